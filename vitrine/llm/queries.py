@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash, token_store, toxicity
-from .common import fold, table
+from . import chat, decontam, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from .common import fold, staged, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -38,6 +38,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    turns = chat.canonical_turns(records).select("conv_id", "turn", F.inline("turns"))
+    return chat.digest_chats(staged(chat.format_chats(turns), "chats"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_removals(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge_contamination(decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,6 +67,20 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+#: Escaping adds a character per backslash and per control string, the template 22 per turn.
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(x) + (length(x) - length(replace(x, '\', ''))) + len(regexp_extract_all(x, '<\||</?s>|<</?SYS>>|\[/?INST\]')) AS n
+      FROM (SELECT *, role || chr(0) || text AS x FROM t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n - 1 + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -53,11 +88,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_token_store": op2_token_store,
         "op4_simhash": op4_simhash,
+        "op5_chat_format": op5_chat_format,
+        "op6_url_filter": op6_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
+        "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": OP5_SQL, "op6_url_filter": urls.oracle()}

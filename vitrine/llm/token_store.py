@@ -8,7 +8,7 @@ compression, so that it lives on any file system Spark can write to, is
 committed atomically and survives lost tasks.  Each row is one shard:
 
 * ``part``, ``seq``: the shard's place; shards in this order hold ascending keys;
-* ``base``: ids in all shards before it; ``first_key``, ``last_key``;
+* ``part_base``: ids before it in its part; ``first_key``, ``last_key``;
 * ``keys``: the rows' keys, int64 little-endian; ``null_keys`` rows at the front have a null key;
 * ``payload``: raw ids, little-endian, two bytes each if the vocabulary fits, else four (``width``);
 * ``offsets``: uint32, row r has ids offsets[r] to offsets[r+1];
@@ -38,14 +38,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_folder, small_batches
 
 SHARD_IDS = 1_000_000
 SHARD_SCHEMA = (
-    "part int, seq int, first_key long, last_key long, n_docs int, n_ids long, null_keys int, width int, "
+    "part int, seq int, part_base long, first_key long, last_key long, n_docs int, n_ids long, null_keys int, width int, "
     "keys binary, offsets binary, seeds binary, slots binary, prints binary, payload binary"
 )
 #: Words remembered by an encoder before it forgets all.
@@ -206,7 +206,7 @@ class Shard:
         return self.ids[self.offsets[r] : self.offsets[r + 1]]
 
 
-def pack(part: int, seq: int, keys: list, parts: list[bytes], dtype: np.dtype) -> dict:
+def pack(part: int, seq: int, part_base: int, keys: list, parts: list[bytes], dtype: np.dtype) -> dict:
     """A shard's row from its documents' keys (nulls first, ascending) and ids."""
     nulls = sum(k is None for k in keys)
     given = np.array([0 if k is None else k for k in keys], "<i8")
@@ -218,7 +218,7 @@ def pack(part: int, seq: int, keys: list, parts: list[bytes], dtype: np.dtype) -
     prints[slot] = (mix(distinct, 7) >> np.uint64(48)).astype(np.uint16)
     real = [k for k in keys if k is not None]
     return {
-        "part": part, "seq": seq, "first_key": real[0] if real else None, "last_key": real[-1] if real else None,
+        "part": part, "seq": seq, "part_base": part_base, "first_key": real[0] if real else None, "last_key": real[-1] if real else None,
         "n_docs": len(keys), "n_ids": int(sizes.sum()), "null_keys": nulls, "width": dtype.itemsize, "keys": given.tobytes(),
         "offsets": np.concatenate([[0], np.cumsum(sizes)]).astype("<u4").tobytes(), "seeds": seeds.tobytes(), "slots": slots.tobytes(),
         "prints": prints.tobytes(), "payload": b"".join(parts),
@@ -237,11 +237,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
-        keys, parts, size = [], [], 0
+        keys, parts, size, base = [], [], 0, 0
         names = spark_schema.names
 
         def closed() -> pa.RecordBatch:
-            row = pack(part, seq, keys, parts, enc.dtype)
+            row = pack(part, seq, base, keys, parts, enc.dtype)
             types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
             return pa.record_batch([pa.array([row[f.name]], types[f.dataType.simpleString()]) for f in spark_schema], names)
 
@@ -253,7 +253,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
                 size += len(ids) // enc.dtype.itemsize
                 if size >= SHARD_IDS:
                     yield closed()
-                    keys, parts, size, seq = [], [], 0, seq + 1
+                    keys, parts, size, seq, base = [], [], 0, seq + 1, base + size
         if keys:
             yield closed()
 
@@ -272,10 +272,8 @@ def store_shards(spark: SparkSession, path: str) -> DataFrame:
     for part, n in totals:
         rows.append((part, before))
         before += n
-    bases = F.broadcast(spark.createDataFrame(rows, "part int, part_base long"))
-    ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    inside = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("seq_base"))
-    return shards.join(inside, ["part", "seq"]).join(bases, "part").withColumn("base", F.col("part_base") + F.col("seq_base")).drop("part_base", "seq_base")
+    bases = F.broadcast(spark.createDataFrame(rows, "of_part int, ahead long"))
+    return shards.join(bases, F.col("part") == F.col("of_part")).withColumn("base", F.col("part_base") + F.col("ahead")).drop("of_part", "ahead")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
