@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import chat, decontam, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from vitrine.llm import chat, decontam, line_join, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
 from vitrine.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
@@ -304,3 +304,19 @@ def test_pipeline_stages(spark, tmp_path):
             rows = before.collect()
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r, c in zip(rows, slow_contamination([r.text for r in rows], items), strict=True) if not c[-1]}
     assert docs.count() == before.count() and cp.run(spark, sf).count() == docs.count()
+
+
+def test_line_join_equals_brute_force(spark, sample, docs):
+    near = [(i, "\n".join(f"w{i % 3} common line of several plain words number {(i + j) % 5} x{j}" for j in range(4)) + "\n \nunique" + str(i)) for i in range(30)]
+    near += [(50, None), (51, ""), (52, near[0][1]), (None, near[1][1])]
+    for df in (spark.createDataFrame(near, "doc_id long, text string"), sample.where("doc_id < 150").select("doc_id", "text")):
+        rows = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+        lines = [(i, n, frozenset(x.lower().split())) for _, i, t in rows for n, x in enumerate(t.split("\n")) if x.split()]
+        want = Counter()
+        for k, (i, n, s) in enumerate(lines):
+            if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
+                want[i] += 1
+        got = line_join.dedup_lines(df).collect()
+        assert len(got) == len(rows) and {r.doc_id or 0: len(r.removed_lines) for r in got if r.removed_lines} == dict(want)
+    assert line_join.dedup_lines(docs.limit(0)).count() == 0 and line_join.dedup_lines(docs).count() == len(TEXTS)
+    assert line_join.drop_lines(docs).columns == docs.columns

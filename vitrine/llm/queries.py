@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from . import chat, decontam, line_join, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
 from .common import fold, staged, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_join.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_links", F.size("removed_lines").alias("n_removed"), F.sha2(F.array_join("removed_lines", ","), 256).alias("removed_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_token_store": op2_token_store,
+        "op3_line_dedup": op3_line_dedup,
         "op4_simhash": op4_simhash,
         "op5_chat_format": op5_chat_format,
         "op6_url_filter": op6_url_filter,
