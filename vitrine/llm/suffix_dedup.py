@@ -10,7 +10,7 @@ one, over positions that the text itself chooses:
 1. Anchors.  Each string of ``length`` bytes has one anchor, the position of
    the smallest hash among its ``GRAM``-byte substrings (the leftmost of
    equals).  Equal strings have equal anchors at equal distances.  About one
-   position in 80 is an anchor; it stands for the run of string starts that
+   position in 85 is an anchor; it stands for the run of string starts that
    chose it, with the bytes those strings cover (its context).
 2. Anchors whose hash occurs once have no repeated string.  Anchors whose
    whole context occurs twice (inside copies) are repeated throughout; equal
@@ -29,7 +29,7 @@ one, over positions that the text itself chooses:
 Equality of substrings rests on 64-bit hashes in steps 1, 2 and 4 and on bytes
 in step 3.
 
-Scale: the shuffles carry anchors (about 30 bytes for each 80 bytes of text),
+Scale: the shuffles carry anchors (about 30 bytes for each 85 bytes of text),
 contexts of the boundaries of repeats only, and the texts once, to be cut.
 
 Edge cases: null and empty texts have no byte and lose none; a text shorter
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
-GRAM = 40
+GRAM = 32
 HOT = 4096
 #: Bytes hashed at once.
 CHUNK = 1 << 19
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["anchor", "context", "head", "bytes", "strings"])
 
     fetched = near.mapInArrow(contexts, "anchor long, context long, head int, bytes binary, strings binary").dropDuplicates(["anchor", "context"])
-    fetched = staged(fetched, "contexts")
+    fetched = staged(fetched, "contexts", compression="zstd")
     usual = fetched.where("bytes is not null").groupBy("anchor").applyInArrow(lambda k, g: repeats_in_group(k, g, length), "anchor long, context long, before int, after int")
 
     # hot hashes: count the strings themselves
