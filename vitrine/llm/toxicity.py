@@ -117,7 +117,7 @@ def fit_bags(feats, sent, doc, labels, features: int = 600) -> ToxicityModel:
     return ToxicityModel(w.astype(np.float32), float(b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_chars: int = 24_000_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 16_000_000) -> ToxicityModel:
     """Fit on at most sample_rows labelled documents of at most sample_chars characters in all, in the order of a hash of the id.
 
     Held-out rows (crc32 of the id as text, modulo 5, is 0) never take part.
