@@ -103,7 +103,7 @@ def fit_bags(feats, sent, doc, labels, features: int = 600) -> ToxicityModel:
     """Fit all features briefly, keep those with the largest weights, and fit these to the end."""
     n_docs = len(labels)
     if not len(feats) or labels.min() == labels.max():
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), -60.0)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), -math.inf)
     # features that occur in under three bags can't be learnt from labels that may hold mistakes
     bags = np.unique(feats.astype(np.int64) * n_docs + doc[sent]) // n_docs
     keep = (np.bincount(bags, minlength=BUCKETS) >= 3)[feats]
@@ -135,7 +135,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sa
     upto = Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     got = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= sample_chars).select("text", "toxic").toPandas()
     if got.empty:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), -60.0)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), -math.inf)
     return fit_bags(*bags_of(got["text"].tolist(), got["toxic"].astype(int).tolist()))
 
 
