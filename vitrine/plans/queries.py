@@ -313,8 +313,7 @@ _NUDGED = f"""SELECT query_id, tile_id, exact, score, row_number() OVER (PARTITI
 
 def _nudged(spark: SparkSession, sf: str) -> DataFrame:
     hits = _reranked(spark, sf).select("query_id", "tile_id", "score", "exact", "rank")
-    verify = T.vectors(spark, sf).select("tile_id").crossJoin(F.broadcast(spark.range(1))).select("tile_id")
-    pairs = hits.select("query_id", "tile_id").join(verify, "tile_id").withColumn("verify", F.col("tile_id") % 3 / 2.0)
+    pairs = hits.select("query_id", "tile_id", (F.col("tile_id") % 3 / 2.0).alias("verify"))
     return search.near_tie_nudge(hits, pairs).withColumn("score", r6("score"))
 
 
@@ -485,7 +484,7 @@ _STEM = "CASE WHEN p_partkey % 2 = 0 THEN p_brand || '_' || p_type || '_' || p_s
 
 @query("b1_filename_metadata")
 def b1(spark, sf):
-    stem = F.expr(_STEM.replace("p_size + 10", "p_size + 10"))
+    stem = F.expr(_STEM)
     return T.table(spark, sf, "part").select("p_partkey", text.filename_metadata(stem).alias("m")).select("p_partkey", "m.*")
 
 
@@ -585,3 +584,62 @@ def i2(spark, sf):
 @query("i6_action_counts", f"SELECT strftime(\"at\", '%Y-%m-%d') AS day, step, count(*) AS n FROM ({_ACTIONS}) GROUP BY 1, 2")
 def i6(spark, sf):
     return files.action_counts(files.file_actions(T.file_events(spark, sf))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# ------------------------------------------------------------ further pieces
+
+
+@query("g3_hit_intersection", f"SELECT k.query_id, k.tile_id FROM ({_knn_sql(10)}) k JOIN ({_JUDGED}) j ON j.query_id = k.query_id AND j.relevant_id = k.tile_id")
+def g3(spark, sf):
+    return _knn(spark, sf, 10).select("query_id", "tile_id").intersect(_judged(spark, sf).select("query_id", F.col("relevant_id").alias("tile_id")))
+
+
+@query("c2_is_unchanged", f"SELECT path FROM ({_DIFF}) WHERE action = 'skipped'")
+def c2(spark, sf):
+    return h1(spark, sf).where("action = 'skipped'").select("path")
+
+
+@query("d10_disk_vs_catalog", f"SELECT coalesce(d.path, c.path) AS path, d.path IS NOT NULL AS on_disk, c.path IS NOT NULL AS in_catalog FROM ({T.DISK_SQL}) d FULL JOIN ({T.CATALOG_SQL}) c ON c.path = d.path")
+def d10(spark, sf):
+    a, b = T.disk(spark, sf).select("path", F.lit(True).alias("on_disk")), T.catalog(spark, sf).select("path", F.lit(True).alias("in_catalog"))
+    return a.join(b, "path", "full").select("path", F.coalesce("on_disk", F.lit(False)).alias("on_disk"), F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"))
+
+
+@query("b10_duplicate_percent", f"SELECT a, b, greatest(0, 100 - distance / 64 * 100) AS percent FROM ({_NEAR}) WHERE distance BETWEEN 1 AND 12")
+def b10(spark, sf):
+    return d5(spark, sf).select("a", "b", vectors.duplicate_percent(F.col("distance")).alias("percent"))
+
+
+@query("b32_display_percent", f"SELECT query_id, tile_id, round(least(99.5, 100 * power(greatest(0, least(1, score)), 1.35)) + 1e-9, 4) AS pct FROM ({_knn_sql(5)})")
+def b32(spark, sf):
+    return _knn(spark, sf, 5).select("query_id", "tile_id", F.round(vectors.display_percent(F.col("score"), F.lit(False)) + 1e-9, 4).alias("pct"))
+
+
+@query("b34_mean_query_embedding", "WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)) + 1e-9, 6) AS x FROM m")
+def b34(spark, sf):
+    m = T.vectors(spark, sf).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return m.select("label", "i", r6(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label")))).alias("x"))
+
+
+@query("e21_ab_gate", f"SELECT count(*) FILTER (query_id % 2 = 0) AS n_on, count(*) FILTER (query_id % 2 = 1) AS n_off, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) FILTER (query_id % 2 = 0) - avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) FILTER (query_id % 2 = 1) + 1e-9, 6) AS gain FROM ({_RANKS})")
+def e21(spark, sf):
+    r, on = _ranks(spark, sf)[0], F.col("query_id") % 2 == 0
+    hit = F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)
+    return r.agg(F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), r6(F.avg(F.when(on, hit)) - F.avg(F.when(~on, hit))).alias("gain"))
+
+
+@query("e30_low_sample_warning", "SELECT label, count(*) AS n, count(*) < 30 AS low FROM embeddings GROUP BY 1")
+def e30(spark, sf):
+    return T.vectors(spark, sf).groupBy("label").agg(F.count("*").alias("n")).withColumn("low", F.col("n") < 30)
+
+
+@query("h6_remove", f"SELECT id, path FROM ({T.TILES_SQL}) WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+def h6(spark, sf):
+    gone = T.table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("id"))
+    return T.tiles(spark, sf).join(gone, "id", "left_anti").select("id", "path")
+
+
+@query("e22_feature_version_status", f"SELECT count(*) AS indexed, count(*) FILTER (id % 4 = 0) AS stale, count(*) FILTER (id % 4 = 0) = 0 AS compatible FROM ({T.TILES_SQL}) WHERE is_indexed")
+def e22(spark, sf):
+    stale = F.count_if(F.col("id") % 4 == 0)
+    return T.tiles(spark, sf).where("is_indexed").agg(F.count("*").alias("indexed"), stale.alias("stale"), (stale == 0).alias("compatible"))
