@@ -2,17 +2,22 @@
 
 A line is the set of its lower-cased words.  A line goes if an earlier one (in
 the order of doc_id, then line) has a Jaccard similarity of ``threshold`` or
-more.  Equal sets are one class.  Between classes the join is the prefix-filter
-one: tokens are ordered by rarity, two sets that are similar enough share a
-token among the first few of both, and only sets that meet there, and pass the
-length and positional filters, are compared in full.
+more.  Equal sets are one class, named by 64 bits.  Between classes the join is
+the prefix-filter one: tokens are ordered by rarity, two sets that are similar
+enough share a token among the first few of both, and only sets that meet there
+and pass the length, positional and bitmap filters are compared in full.  None
+of the filters can lose a pair: the bitmap holds the parity of the tokens in 64
+cells, so that two bitmaps differ in no more bits than two sets do in tokens.
 
 Rarity comes from a count sketch of fixed size: each task counts tokens in
 ``BUCKETS`` hash buckets, the counts add up in any order.  Any common order
 keeps the join exact; a collision only makes a token look less rare.
 
-Scale: classes are pre-aggregated before they are joined, so a line in a third
-of all documents is one row; the join is an equi-join on tokens that Spark can
+Scale: no table holds the words of all lines.  Lines and classes carry their
+first tokens only, and whole sets are read again from the texts for those
+classes that still have a partner.  Classes are pre-aggregated before they are
+joined, so a line in a third of all documents is one row; the join is an
+equi-join on tokens whose two sides share one exchange, and that Spark can
 split where a token is frequent; every link between different sets is found,
 copies are never paired.  The sketch is the only thing broadcast, of fixed size.
 
@@ -39,112 +44,164 @@ from .common import small_batches, staged
 BUCKETS = 1 << 20
 SLICE = 1 << 14
 WORD_CACHE = 500_000
-_known: dict[str, int] = {}
+#: Lines sorted together; their number takes the upper 23 bits of a sort key.
+LINES_AT_ONCE = 1 << 20
+LEVEL_STEPS = 8
 
 
-def token(word: str) -> int:
-    got = _known.get(word)
-    if got is None:
-        if len(_known) >= WORD_CACHE:
-            _known.clear()
-        got = _known[word] = xxh64_intdigest(word.encode("utf-8", "replace")) >> 1
-    return got
+class Tokens(dict):
+    """A word's 64 bits, remembered for a bounded number of words."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        got = self[word] = xxh64_intdigest(word.encode("utf-8", "replace"))
+        return got
 
-def line_sets(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(line number, its distinct tokens) of each line with a word."""
-    for n, line in enumerate((text or "").split("\n")):
-        words = set(line.lower().split())
-        if words:
-            yield n, np.fromiter(map(token, words), np.int64, len(words))
 
+tokens = Tokens()
 
-def token_counts(rows: DataFrame) -> np.ndarray:
-    """How many lines have a token of each bucket: a sketch of fixed size, summed by slices."""
+
+def line_words(text: str | None) -> Iterator[tuple[int, set[str]]]:
+    """(line number, its distinct words) of each line with a word."""
+    for n, line in enumerate((text or "").lower().split("\n")):
+        if words := set(line.split()):
+            yield n, words
+
+
+def line_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, line number, size, tokens of all lines one after the other) for all lines with a word, in blocks."""
+    at: list[int] = []
+    line: list[int] = []
+    size: list[int] = []
+    found: list[int] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(at, np.int64), np.array(line, np.int32), np.array(size, np.int64), np.array(found, np.uint64)
+
+    for i, text in enumerate(texts):
+        for n, words in line_words(text):
+            at.append(i)
+            line.append(n)
+            size.append(len(words))
+            found.extend(map(tokens.__getitem__, words))
+            if len(at) == LINES_AT_ONCE:
+                yield block()
+                at, line, size, found = [], [], [], []
+    if at:
+        yield block()
+
+
+def rarity_levels(rows: DataFrame) -> np.ndarray:
+    """Per bucket of tokens, the logarithm of how many lines have one: a sketch of fixed size, summed by slices."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            found = [s for t in batch["text"].to_pylist() for _, s in line_sets(t)]
-            if found:
-                total += np.bincount(np.concatenate(found) % BUCKETS, minlength=BUCKETS)
+            for *_, found in line_sets(batch["text"].to_pylist()):
+                total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(-1, SLICE)
-        yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+        yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i4").astype(np.int64) for c in table["counts"].to_pylist())
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(c, "<i8") for c in table["counts"].to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     # adding in two steps keeps what one task adds small, however many tasks count
     once = rows.select("text").mapInArrow(count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
     half = once.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary")
-    out = np.zeros(BUCKETS, np.int32)
+    out = np.zeros(BUCKETS, np.int64)
     for r in half.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i4")
-    return out
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
+    return np.minimum(LEVEL_STEPS * np.log2(np.maximum(out, 1)), 255).astype(np.uint8)
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line with a word: doc_id, row, line, class_id, links (of its class to other classes), removed."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    percent = round(threshold * 100)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
-    counts = spark.sparkContext.broadcast(token_counts(rows))
+def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
+    """Every line with a word: doc_id, row, line, class_id, size, bits (parity bitmap), prefix (of its tokens by rarity)."""
+    levels = rows.sparkSession.sparkContext.broadcast(rarity_levels(rows))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = counts.value
+        level_of = levels.value
+        for batch in batches:
+            for at, line, size, found in line_sets(batch["text"].to_pylist()):
+                start = np.concatenate([[0], np.cumsum(size)[:-1]])
+                name = np.add.reduceat(found, start) ^ (size.astype(np.uint64) << np.uint64(48))
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (found & np.uint64(63)), start)
+                order = (level_of[(found % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (found >> np.uint64(32))
+                order = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(40)) | order) & np.uint64((1 << 40) - 1)
+                taken = size - (-(-size * percent // 100)) + 1  # of so many first tokens, similar sets share one
+                ends = np.cumsum(taken)
+                prefix = order[np.repeat(start - (ends - taken), taken) + np.arange(ends[-1])]
+                own = pa.array(at)
+                columns = [batch["doc_id"].take(own), batch["row"].take(own), pa.array(line), pa.array(name.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64))]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix.view(np.int64))))
+                yield pa.record_batch(columns, ["doc_id", "row", "line", "class_id", "size", "bits", "prefix"])
+
+    return rows.mapInArrow(split, "doc_id long, row long, line int, class_id long, size int, bits long, prefix array<long>")
+
+
+def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_id, first, tokens of the wanted classes (class_id, first), read again from the texts that hold their first lines."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, line, name, tokens = [], [], [], []
-            for i, t in enumerate(batch["text"].to_pylist()):
-                for n, s in line_sets(t):
-                    s = s[np.lexsort((s, common[s % BUCKETS]))].astype("<i8").tobytes()
+            at, names, found = [], [], []
+            for i, (text, picked) in enumerate(zip(batch["text"].to_pylist(), batch["picked"].to_pylist(), strict=True)):
+                lines = text.lower().split("\n")
+                for p in picked:
                     at.append(i)
-                    line.append(n)
-                    name.append(xxh64_intdigest(s) >> 1)
-                    tokens.append(s)
+                    names.append((p["class_id"], p["line"]))
+                    found.append(np.sort(np.array([tokens[w] for w in set(lines[p["line"]].split())], "<u8")).tobytes())
             own = pa.array(at, pa.int64())
-            yield pa.record_batch([batch["doc_id"].take(own), batch["row"].take(own), pa.array(line, pa.int32()), pa.array(name, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "row", "line", "class_id", "tokens"])
+            yield pa.record_batch([pa.array([c for c, _ in names], pa.int64()), batch["doc_id"].take(own), batch["row"].take(own), pa.array([n for _, n in names], pa.int32()), pa.array(found, pa.binary())], ["class_id", "doc_id", "row", "line", "tokens"])
 
-    lines = staged(rows.mapInArrow(split, "doc_id long, row long, line int, class_id long, tokens binary"), "lines", compression="zstd")
-    classes = staged(lines.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("tokens").alias("tokens")), "line-classes", compression="zstd")
+    by_text = wanted.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.row").alias("w_row")).agg(F.collect_list(F.struct("class_id", F.col("first.line").alias("line"))).alias("picked"))
+    texts = rows.join(by_text, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("doc_id", "row", "text", "picked")
+    sets = texts.mapInArrow(pick, "class_id long, doc_id long, row long, line int, tokens binary")
+    # rows that are equal in id and text give their sets once
+    return sets.select("class_id", F.struct("doc_id", "row", "line").alias("first"), "tokens").dropDuplicates(["class_id"])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(t, "<i8") for t in batch["tokens"].to_pylist()]
-            size = np.array([len(s) for s in sets], np.int32)
-            n = size - (-(-size * percent // 100)) + 1  # of so many first tokens, similar sets share one
-            at = np.repeat(np.arange(len(sets)), n)
-            own = pa.array(at)
-            place = np.concatenate([np.arange(x) for x in n]).astype(np.int32) if len(n) else np.zeros(0, np.int32)
-            yield pa.record_batch([pa.array(np.concatenate([s[:x] for s, x in zip(sets, n, strict=True)]) if sets else np.zeros(0, np.int64)), batch["class_id"].take(own), pa.array(size[at]), pa.array(place)], ["token", "class_id", "size", "place"])
-
-    small_batches(spark, 4096)
-    entries = classes.select("class_id", "tokens").mapInArrow(prefixes, "token long, class_id long, size int, place int")
-    a, b = entries.alias("a"), entries.select("token", F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b")).alias("b")
-    met = a.join(b, "token").where("class_id < class_b").where(f"least(size, size_b) * 100 >= {percent} * greatest(size, size_b)")
+
+def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every line with a word: doc_id, row, line, class_id, links (of its class to other classes), removed."""
+    small_batches(docs.sparkSession)
+    percent = round(threshold * 100)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    lines = staged(first_tokens(rows, percent), "lines", compression="zstd")
+    best = lines.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "line", "size", "bits", "prefix")).alias("best"))
+    classes = staged(best.select("class_id", F.struct("best.doc_id", "best.row", "best.line").alias("first"), "best.size", "best.bits", "best.prefix"), "line-classes", compression="zstd")
+
+    entries = classes.select("class_id", "size", "bits", F.posexplode("prefix").alias("place", "token"))
+    a, b = entries.alias("a"), entries.alias("b")
+    met = a.join(b, F.expr("a.token = b.token")).where("a.class_id < b.class_id").where(f"least(a.size, b.size) * 100 >= {percent} * greatest(a.size, b.size)")
     # what both can still share from this token on must reach the overlap that the threshold asks for
-    met = met.where(f"(least(size - place, size_b - place_b) + least(place, place_b)) * {100 + percent} >= {percent} * (size + size_b)")
-    met = met.select("class_id", "class_b").distinct()
-    sides = classes.select("class_id", "tokens", "first")
+    met = met.where(f"(least(a.size - a.place, b.size - b.place) + least(a.place, b.place)) * {100 + percent} >= {percent} * (a.size + b.size)")
+    met = met.where(f"bit_count(a.bits ^ b.bits) * {100 + percent} <= {100 - percent} * (a.size + b.size)")
+    met = staged(met.select(F.col("a.class_id").alias("class_id"), F.col("b.class_id").alias("class_b")).distinct(), "line-pairs", compression="zstd")
+
+    wanted = met.select("class_id").union(met.select("class_b")).distinct()
+    sides = staged(whole_sets(rows, classes.select("class_id", "first").join(wanted, "class_id", "left_semi")), "line-sets", compression="zstd")
     pairs = met.join(sides.withColumnsRenamed({"tokens": "tokens_a", "first": "first_a"}), "class_id").join(sides.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b"), F.col("first").alias("first_b")), "class_b")
 
     @F.pandas_udf("boolean")
     def similar(x, y):
         def jaccard(p: bytes, q: bytes) -> bool:
-            p, q = np.frombuffer(p, "<i8"), np.frombuffer(q, "<i8")
-            shared = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+            both = np.sort(np.concatenate([p, q]))
+            shared = int((both[1:] == both[:-1]).sum())
             return shared * 100 >= percent * (len(p) + len(q) - shared)
 
         return pd.Series([jaccard(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    linked = staged(pairs.where(similar("tokens_a", "tokens_b")).select("class_id", "class_b", "first_a", "first_b"), "line-links")
+    small_batches(docs.sparkSession, 4096)
+    linked = staged(pairs.where(similar("tokens_a", "tokens_b")).select("class_id", "class_b", "first_a", "first_b"), "line-links", compression="zstd")
+    small_batches(docs.sparkSession)
     both = linked.select("class_id", F.col("first_b").alias("other")).union(linked.select(F.col("class_b").alias("class_id"), F.col("first_a").alias("other")))
     earliest = both.groupBy("class_id").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = classes.select("class_id", "first").join(earliest, "class_id", "left")
     own = F.struct("doc_id", "row", "line")
     late = ~own.eqNullSafe(F.col("first")) | F.coalesce(F.col("other") < F.col("first"), F.lit(False))
-    return lines.drop("tokens").join(known, "class_id").select("doc_id", "row", "line", "class_id", F.coalesce("links", F.lit(0)).alias("links"), late.alias("removed"))
+    return lines.select("doc_id", "row", "line", "class_id").join(known, "class_id").select("doc_id", "row", "line", "class_id", F.coalesce("links", F.lit(0)).alias("links"), late.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
