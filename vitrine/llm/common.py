@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows per Arrow batch.  Texts differ in length by orders of magnitude, so batches are kept short.
 BATCH_ROWS = 256
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,11 +29,17 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Cuts the lineage the way a table does: a lost executor loses nothing, and
-    whatever reads the result several times computes it once.
+    whatever reads the result several times computes it once.  The shuffle files
+    of the write go with its end, so a chain of steps needs the disk of one.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,7 @@ results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,17 +75,17 @@ def line_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
     at: list[int] = []
     line: list[int] = []
     size: list[int] = []
-    found: list[int] = []
+    found: list[str] = []
 
     def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(at, np.int64), np.array(line, np.int32), np.array(size, np.int64), np.array(found, np.uint64)
+        return np.array(at, np.int64), np.array(line, np.int32), np.array(size, np.int64), np.fromiter(map(tokens.__getitem__, found), np.uint64, len(found))
 
     for i, text in enumerate(texts):
         for n, words in line_words(text):
             at.append(i)
             line.append(n)
             size.append(len(words))
-            found.extend(map(tokens.__getitem__, words))
+            found.extend(words)
             if len(at) == LINES_AT_ONCE:
                 yield block()
                 at, line, size, found = [], [], [], []
@@ -93,13 +94,16 @@ def line_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def rarity_levels(rows: DataFrame) -> np.ndarray:
-    """Per bucket of tokens, the logarithm of how many lines have one: a sketch of fixed size, summed by slices."""
+    """Per bucket of tokens, the logarithm of how often one occurs: a sketch of fixed size, summed by slices."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for *_, found in line_sets(batch["text"].to_pylist()):
-                total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            seen: Counter[str] = Counter()
+            for text in batch["text"].to_pylist():
+                seen.update((text or "").lower().split())
+            found = np.fromiter(map(tokens.__getitem__, seen), np.uint64, len(seen)) % np.uint64(BUCKETS)
+            np.add.at(total, found.astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
         parts = total.reshape(-1, SLICE)
         yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -164,7 +168,8 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every line with a word: doc_id, row, line, class_id, links (of its class to other classes), removed."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     percent = round(threshold * 100)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     lines = staged(first_tokens(rows, percent), "lines", compression="zstd")
@@ -174,14 +179,16 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     entries = classes.select("class_id", "size", "bits", F.posexplode("prefix").alias("place", "token"))
     a, b = entries.alias("a"), entries.alias("b")
     met = a.join(b, F.expr("a.token = b.token")).where("a.class_id < b.class_id").where(f"least(a.size, b.size) * 100 >= {percent} * greatest(a.size, b.size)")
-    # what both can still share from this token on must reach the overlap that the threshold asks for
-    met = met.where(f"(least(a.size - a.place, b.size - b.place) + least(a.place, b.place)) * {100 + percent} >= {percent} * (a.size + b.size)")
+    # what both share from their first common token on must reach the overlap that the threshold asks for
+    met = met.where(f"least(a.size - a.place, b.size - b.place) * {100 + percent} >= {percent} * (a.size + b.size)")
     met = met.where(f"bit_count(a.bits ^ b.bits) * {100 + percent} <= {100 - percent} * (a.size + b.size)")
     met = staged(met.select(F.col("a.class_id").alias("class_id"), F.col("b.class_id").alias("class_b")).distinct(), "line-pairs", compression="zstd")
 
     wanted = met.select("class_id").union(met.select("class_b")).distinct()
     sides = staged(whole_sets(rows, classes.select("class_id", "first").join(wanted, "class_id", "left_semi")), "line-sets", compression="zstd")
-    pairs = met.join(sides.withColumnsRenamed({"tokens": "tokens_a", "first": "first_a"}), "class_id").join(sides.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b"), F.col("first").alias("first_b")), "class_b")
+    x, y = sides.alias("x"), sides.alias("y")
+    pairs = met.join(x, met["class_id"] == F.col("x.class_id")).join(y, F.col("class_b") == F.col("y.class_id"))
+    pairs = pairs.select(met["class_id"], "class_b", F.col("x.first").alias("first_a"), F.col("y.first").alias("first_b"), F.col("x.tokens").alias("tokens_a"), F.col("y.tokens").alias("tokens_b"))
 
     @F.pandas_udf("boolean")
     def similar(x, y):
@@ -193,9 +200,9 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
 
         return pd.Series([jaccard(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    small_batches(docs.sparkSession, 4096)
+    small_batches(spark, 4096)
     linked = staged(pairs.where(similar("tokens_a", "tokens_b")).select("class_id", "class_b", "first_a", "first_b"), "line-links", compression="zstd")
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     both = linked.select("class_id", F.col("first_b").alias("other")).union(linked.select(F.col("class_b").alias("class_id"), F.col("first_a").alias("other")))
     earliest = both.groupBy("class_id").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = classes.select("class_id", "first").join(earliest, "class_id", "left")
