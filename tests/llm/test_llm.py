@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +307,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.count() == before.count() and cp.run(spark, sf).count() == docs.count()
 
 
+def test_line_sets_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "\n\n", "A a b\n \n\tb B\x0bc\nc", "x" * 9000, "end", "é É\u3000z é", *("".join(rng.choice(list("abA \n\té"), n)) for n in rng.integers(0, 300, 60))]
+    want = [(i, n, frozenset(w)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)))]
+    for block, at_once in ((1 << 22, 1 << 20), (50, 7)):
+        monkeypatch.setattr(line_join, "BLOCK", block)
+        monkeypatch.setattr(line_join, "LINES_AT_ONCE", at_once)
+        names = {}
+        for shift in (0, 3):
+            array = pa.array(texts).slice(shift)
+            got = []
+            for at, line, size, found in line_join.line_sets(array):
+                parts = np.split(found, np.cumsum(size)[:-1])
+                got += [(int(a) + shift, int(n), frozenset(map(int, p)), len(p)) for a, n, p in zip(at, line, parts, strict=True)]
+            expected = [w for w in want if w[0] >= shift]
+            assert [(g[0], g[1], g[3]) for g in got] == [(i, n, len(w)) for i, n, w in expected]
+            for g, (_, _, w) in zip(got, expected, strict=True):
+                assert names.setdefault(w, g[2]) == g[2]
+        assert len(set(names.values())) == len(names)
+    assert list(line_join.line_sets(pa.array([], pa.string()))) == []
+
+
 def test_line_join_equals_brute_force(spark, sample, docs):
     near = [(i, "\n".join(f"w{i % 3} common line of several plain words number {(i + j) % 5} x{j}" for j in range(4)) + "\n \nunique" + str(i)) for i in range(30)]
     near += [(50, None), (51, ""), (52, near[0][1]), (None, near[1][1])]

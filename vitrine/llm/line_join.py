@@ -1,13 +1,14 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words.  A line goes if an earlier one (in
-the order of doc_id, then line) has a Jaccard similarity of ``threshold`` or
-more.  Equal sets are one class, named by 64 bits.  Between classes the join is
+A line is the set of its words (runs without ASCII white space, A-Z
+lower-cased).  A line goes if an earlier one (in the order of doc_id, then line)
+has a Jaccard similarity of ``threshold`` or more.  Equal sets are one class, named by 64 bits.  Between classes the join is
 the prefix-filter one: tokens are ordered by rarity, two sets that are similar
 enough share a token among the first few of both, and only sets that meet there
 and pass the length, positional and bitmap filters are compared in full.  None
 of the filters can lose a pair: the bitmap holds the parity of the tokens in 64
 cells, so that two bitmaps differ in no more bits than two sets do in tokens.
+A word is known by 64 bits, computed for all words of a block of bytes at once.
 
 Rarity comes from a count sketch of fixed size: each task counts tokens in
 ``BUCKETS`` hash buckets, the counts add up in any order.  Any common order
@@ -30,7 +31,6 @@ results.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,59 +38,97 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import small_batches, staged
 
 BUCKETS = 1 << 20
 SLICE = 1 << 14
-WORD_CACHE = 500_000
+#: Bytes of text hashed together.  A longer word is hashed whole.
+BLOCK = 1 << 22
 #: Lines sorted together; their number takes the upper 23 bits of a sort key.
 LINES_AT_ONCE = 1 << 20
 LEVEL_STEPS = 8
-
-
-class Tokens(dict):
-    """A word's 64 bits, remembered for a bounded number of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        got = self[word] = xxh64_intdigest(word.encode("utf-8", "replace"))
-        return got
-
-
-tokens = Tokens()
-
-
-def line_words(text: str | None) -> Iterator[tuple[int, set[str]]]:
-    """(line number, its distinct words) of each line with a word."""
-    for n, line in enumerate((text or "").lower().split("\n")):
-        if words := set(line.split()):
-            yield n, words
-
-
-def line_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, line number, size, tokens of all lines one after the other) for all lines with a word, in blocks."""
-    at: list[int] = []
-    line: list[int] = []
-    size: list[int] = []
-    found: list[str] = []
-
-    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(at, np.int64), np.array(line, np.int32), np.array(size, np.int64), np.fromiter(map(tokens.__getitem__, found), np.uint64, len(found))
-
-    for i, text in enumerate(texts):
-        for n, words in line_words(text):
-            at.append(i)
-            line.append(n)
-            size.append(len(words))
-            found.extend(words)
-            if len(at) == LINES_AT_ONCE:
-                yield block()
-                at, line, size, found = [], [], [], []
-    if at:
-        yield block()
+NEWLINE = 10
+IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-spread bits of each number; different numbers stay different."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+#: The share of a byte in a word's hash, before its place is counted in; white space has none.
+BYTE_SHARE = np.where(IS_SPACE, 0, mixed(LOWER.astype(np.uint64) + np.uint64(1))).astype(np.uint64)
+
+
+def place_factors(n: int) -> np.ndarray:
+    return mixed(np.arange(1 << 20, (1 << 20) + n, dtype=np.uint64)) | np.uint64(1)
+
+
+FACTORS = place_factors(1 << 12)
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, and where each begins (and the last ends); a null is empty."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its 64 bits.  No word reaches over one of the cuts (ascending)."""
+    starts, hashes, low = [], [], 0
+    while low < len(data):
+        high = low + BLOCK
+        while high < len(data):  # a block ends after white space
+            if len(spaces := np.flatnonzero(IS_SPACE[data[high : high + BLOCK]])):
+                high += int(spaces[0]) + 1
+                break
+            high += BLOCK
+        part = data[low:high]
+        inside = ~IS_SPACE[part]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        inner = cuts[np.searchsorted(cuts, low) : np.searchsorted(cuts, low + len(part))] - low
+        first[inner] = inside[inner]
+        begin = np.flatnonzero(first)
+        if len(begin):
+            length = np.diff(np.append(begin, len(part)))
+            factors = FACTORS if length.max() <= len(FACTORS) else place_factors(int(length.max()))
+            place = np.arange(begin[0], len(part)) - np.repeat(begin, length)
+            starts.append(begin + low)
+            hashes.append(mixed(np.add.reduceat(BYTE_SHARE[part[begin[0] :]] * factors[place], begin - begin[0])))
+        low += len(part)
+    return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.uint64), *hashes])
+
+
+def line_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, line number, size, distinct tokens of all lines one after the other) for all lines with a word, in blocks."""
+    data, at = utf8(texts)
+    starts, hashes = word_hashes(data, at)
+    ends = np.flatnonzero(data == NEWLINE)
+    text = np.searchsorted(at, starts, "right") - 1
+    before = np.searchsorted(ends, starts)  # newlines before a word, those of earlier texts included
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (before[1:] != before[:-1])
+    begin = np.flatnonzero(fresh)
+    number = (before - np.searchsorted(ends, at[text]))[begin].astype(np.int32)
+    for k in range(0, len(begin), LINES_AT_ONCE):
+        lines = begin[k : k + LINES_AT_ONCE]
+        stop = begin[k + LINES_AT_ONCE] if k + LINES_AT_ONCE < len(begin) else len(starts)
+        found = hashes[lines[0] : stop]
+        line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(lines, stop)))
+        order = np.argsort((line << np.uint64(41)) | (found >> np.uint64(23)), kind="stable")
+        found, line = found[order], line[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
+        yield text[lines], number[k : k + LINES_AT_ONCE], np.bincount(line[new].astype(np.int64), minlength=len(lines)), found[new]
 
 
 def rarity_levels(rows: DataFrame) -> np.ndarray:
@@ -99,11 +137,8 @@ def rarity_levels(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            seen: Counter[str] = Counter()
-            for text in batch["text"].to_pylist():
-                seen.update((text or "").lower().split())
-            found = np.fromiter(map(tokens.__getitem__, seen), np.uint64, len(seen)) % np.uint64(BUCKETS)
-            np.add.at(total, found.astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
+            _, found = word_hashes(*utf8(batch["text"]))
+            total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(-1, SLICE)
         yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -127,7 +162,7 @@ def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
         for batch in batches:
-            for at, line, size, found in line_sets(batch["text"].to_pylist()):
+            for at, line, size, found in line_sets(batch["text"]):
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 name = np.add.reduceat(found, start) ^ (size.astype(np.uint64) << np.uint64(48))
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (found & np.uint64(63)), start)
@@ -150,12 +185,15 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, names, found = [], [], []
-            for i, (text, picked) in enumerate(zip(batch["text"].to_pylist(), batch["picked"].to_pylist(), strict=True)):
-                lines = text.lower().split("\n")
-                for p in picked:
-                    at.append(i)
-                    names.append((p["class_id"], p["line"]))
-                    found.append(np.sort(np.array([tokens[w] for w in set(lines[p["line"]].split())], "<u8")).tobytes())
+            for i, picked in enumerate(batch["picked"].to_pylist()):
+                data, cuts = utf8(batch["text"].slice(i, 1))
+                starts, hashes = word_hashes(data, cuts)
+                ends = np.concatenate([[-1], np.flatnonzero(data == NEWLINE), [len(data)]])
+                number = np.array([p["line"] for p in picked])
+                low, high = np.searchsorted(starts, ends[number]), np.searchsorted(starts, ends[number + 1])
+                at.extend([i] * len(picked))
+                names.extend((p["class_id"], p["line"]) for p in picked)
+                found.extend(np.unique(hashes[x:y]).astype("<u8").tobytes() for x, y in zip(low, high, strict=True))
             own = pa.array(at, pa.int64())
             yield pa.record_batch([pa.array([c for c, _ in names], pa.int64()), batch["doc_id"].take(own), batch["row"].take(own), pa.array([n for _, n in names], pa.int32()), pa.array(found, pa.binary())], ["class_id", "doc_id", "row", "line", "tokens"])
 
