@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 from oracle import compare, views
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import text, vectors
-from vitrine.operators import duplicates, evaluate, maintain, search
+from vitrine.operators import duplicates, evaluate, lookup, maintain, search, tuning
 from vitrine.plans.queries import ORACLES, QUERIES
 from vitrine.sources import catalog
 from vitrine.streaming import files
@@ -118,3 +119,29 @@ def test_stream_equals_its_table_twin(spark, tmp_path):
     want = {tuple(r) for r in files.file_actions(events).groupBy("path").agg(F.max_by("step", "at"), F.max("at")).collect()}
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == want
     assert evaluate.latest(events, ["path"], [F.desc("at")]).count() == 3
+
+
+def test_references(spark):
+    tiles = spark.createDataFrame([(1, "/a/One.JPG", True), (2, "/a/one.txt", True), (3, "/b/two.png", False), (12, "/b/12.png", True)], "id long, path string, is_indexed boolean")
+    refs = spark.createDataFrame([("ONE",), ("two",), (None,), ("",), ("12",), ("99",), ("/b/two.png",), ("ONE",)], "ref string")
+    assert sorted(map(tuple, lookup.by_stem(refs, tiles).collect())) == [("12", 12), ("ONE", 1)]
+    assert sorted(map(tuple, lookup.resolve_refs(refs, tiles).collect())) == [("/b/two.png", 3, "path"), ("12", 12, "id"), ("ONE", 1, "stem")]
+    crops = spark.createDataFrame([(1, "/x/crops/crop_one_3.jpg"), (2, "/x/one_3.jpg"), (3, None)], "query_id long, path string")
+    assert [tuple(r) for r in lookup.link_crops(crops, tiles).collect()] == [(1, 1)]
+    lines = spark.createDataFrame([(2, 7, "b"), (1, 7, " "), (3, 7, "a"), (4, 8, None)], "line_no long, true_id long, path string")
+    assert sorted(map(tuple, lookup.manifest_catalog(lines).collect())) == [(7, "b", False), (8, None, False)]
+
+
+def test_tuning_and_views(spark):
+    hits = spark.createDataFrame([(q, o, t, 0.1 * ((q * 7 + t * 3 + o) % 9), 1.0 - 0.2 * o, t + 1, o == 1) for q in range(40) for o in (0, 1) for t in range(6)], "query_id long, ord int, tile_id long, score double, view_weight double, rank_in_list long, aux boolean")
+    truth = spark.createDataFrame([(q, q % 6) for q in range(40)], "query_id long, true_id long")
+    # parts of a union that adaptive execution merges in different ways must not split a group
+    both = hits.repartition(16, "query_id").withColumn("rank_in_list", F.row_number().over(Window.partitionBy("query_id", "ord").orderBy("tile_id")))
+    table = tuning.fusion_bakeoff(both, truth).collect()
+    assert [r.n for r in table] == [40] * 6 and sum(r.winner for r in table) == 1 and all(r.r1 <= r.r5 for r in table)
+    tuned = tuning.tune_aux_weight(hits, truth).orderBy("place").collect()
+    assert [r.weight for r in tuned] == list(tuning.AUX_WEIGHTS) and [r.chosen for r in tuned].index(True) == max(range(6), key=lambda i: (tuned[i].recall_1, -i))
+    views = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.01]), (1, 2, [0.0, 1.0]), (1, 3, [0.0, 0.99]), (2, 0, [0.0, 2.0])], "tile_id long, ord int, v array<double>")
+    assert sorted(map(tuple, tuning.prune_views(views).collect())) == [(1, 0), (1, 2), (2, 0)]
+    fused = {(r.tile_id, r.i): r.x for r in tuning.fuse_views(views).collect()}
+    assert fused[2, 1] == pytest.approx(1) and fused[1, 0] == pytest.approx(0.8 / (0.8**2 + 0.203**2) ** 0.5)

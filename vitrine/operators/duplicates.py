@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import hash_bits
+from vitrine.session import plain_unions
 
 
 def exact_groups(rows: DataFrame, key: str = "sha256_hash", item: str = "id") -> DataFrame:
@@ -38,6 +39,7 @@ def near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "i
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of (a, b): id, root (the smallest id), by alternating stars with a checkpoint each round."""
     spark = edges.sparkSession
+    plain_unions(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     tied = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().checkpoint()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.session import plain_unions
+
 #: Rules by which two recorded times count as equal, in seconds.
 SAME_TIME = 1e-6
 
@@ -29,6 +31,7 @@ def scan_summary(diff: DataFrame) -> DataFrame:
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """A new snapshot: rows of changes replace rows of current with the same key."""
+    plain_unions(current.sparkSession)
     rows = current.withColumn("is_new", F.lit(0)).unionByName(changes.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("is_new").desc()))).where("nth = 1").drop("nth", "is_new")
 

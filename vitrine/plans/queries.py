@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import families, text, vectors
-from vitrine.operators import duplicates, evaluate, maintain, registry, search
+from vitrine.operators import duplicates, evaluate, lookup, maintain, registry, search, tuning
 from vitrine.sources import catalog as sources
 from vitrine.streaming import files
 
@@ -643,3 +643,144 @@ def h6(spark, sf):
 def e22(spark, sf):
     stale = F.count_if(F.col("id") % 4 == 0)
     return T.tiles(spark, sf).where("is_indexed").agg(F.count("*").alias("indexed"), stale.alias("stale"), (stale == 0).alias("compatible"))
+
+
+# ------------------------------------------- references, tuning, extra views
+
+
+@query("c4_is_exact_match", f"SELECT k.query_id, k.tile_id, a.embedding[1] = b.embedding[1] OR coalesce((a.vec_id % 7 = b.vec_id % 7 AND a.label = b.label), false) OR list_sum(list_transform(range(1, 65), lambda i: ((a.embedding[i] > 0) <> (b.embedding[i] > 0))::INT)) <= 3 AS exact FROM ({_knn_sql(10)}) k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.tile_id")
+def c4(spark, sf):
+    sha = F.sha2(F.concat_ws("-", F.col("tile_id") % 7, "label"), 256)
+    side = T.vectors(spark, sf).select("tile_id", sha.alias("sha")).join(T.hashes(spark, sf), F.col("tile_id") == F.col("id")).drop("id")
+    k = _knn(spark, sf, 10).select("query_id", "tile_id").join(side.withColumnsRenamed({"tile_id": "query_id", "sha": "sha_q", "perceptual_hash": "hash_q"}), "query_id").join(side, "tile_id")
+    return k.select("query_id", "tile_id", lookup.exact_match(F.col("sha_q"), F.col("sha"), F.col("hash_q"), F.col("perceptual_hash")).alias("exact"))
+
+
+#: References of three kinds, one per part and line number: an id, a path, a name in capitals; some name no tile.
+_REFS = "SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN '/tiles/' || l_partkey || '.jpg' ELSE 'T' || l_partkey END AS ref, l_partkey AS k, l_linenumber % 3 AS kind FROM lineitem WHERE l_quantity > 40"
+_NAMED = f"SELECT id, CASE WHEN id % 2 = 0 THEN path ELSE '/tiles/t' || id || '.jpg' END AS path, is_indexed FROM ({T.TILES_SQL})"
+
+
+def _refs(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("l_partkey").cast("string")
+    kind = F.col("l_linenumber") % 3
+    ref = F.when(kind == 0, key).when(kind == 1, F.concat(F.lit("/tiles/"), key, F.lit(".jpg"))).otherwise(F.concat(F.lit("T"), key))
+    return T.table(spark, sf, "lineitem").where("l_quantity > 40").select(ref.alias("ref"))
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("/tiles/t"), F.col("id").cast("string"), F.lit(".jpg")))
+    return T.tiles(spark, sf).select("id", path.alias("path"), "is_indexed")
+
+
+@query("c8_lookup_by_stem", f"SELECT r.ref, t.id FROM ({_REFS}) r JOIN ({_NAMED}) t ON t.is_indexed AND lower(r.ref) = regexp_extract(t.path, '([^/]*)[.]jpg$', 1)")
+def c8(spark, sf):
+    return lookup.by_stem(_refs(spark, sf), _named(spark, sf))
+
+
+@query("c9_resolve_tile_ref", f"SELECT r.ref, t.id, CASE kind WHEN 0 THEN 'id' WHEN 1 THEN 'path' ELSE 'stem' END AS how FROM ({_REFS}) r JOIN ({_NAMED}) t ON CASE kind WHEN 0 THEN t.id = r.k WHEN 1 THEN t.path = r.ref ELSE t.is_indexed AND lower(r.ref) = regexp_extract(t.path, '([^/]*)[.]jpg$', 1) END")
+def c9(spark, sf):
+    return lookup.resolve_refs(_refs(spark, sf), _named(spark, sf))
+
+
+_CROPS = "SELECT o_orderkey AS query_id, CASE o_orderkey % 4 WHEN 0 THEN '/x/crops/crop_T' WHEN 1 THEN '/x/crops/autocrop_t' WHEN 2 THEN '/x/crops/precise_t' ELSE '/x/full/crop_t' END || (o_orderkey % 500) || '_' || (o_orderkey % 10) || '.png' AS path FROM orders"
+
+
+@query("b2_crop_source_stem", "SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 4 < 3 THEN 't' || (o_orderkey % 500) END AS stem FROM orders")
+def b2(spark, sf):
+    return _crops(spark, sf).select("query_id", text.crop_source_stem(F.col("path")).alias("stem"))
+
+
+def _crops(spark: SparkSession, sf: str) -> DataFrame:
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    front = F.when(kind == 0, "/x/crops/crop_T").when(kind == 1, "/x/crops/autocrop_t").when(kind == 2, "/x/crops/precise_t").otherwise("/x/full/crop_t")
+    path = F.concat(front, (key % 500).cast("string"), F.lit("_"), (key % 10).cast("string"), F.lit(".png"))
+    return T.table(spark, sf, "orders").select(key.alias("query_id"), path.alias("path"))
+
+
+@query("d8_link_crop_source", f"SELECT q.query_id, t.id FROM ({_CROPS}) q JOIN ({_NAMED}) t ON t.is_indexed AND t.id % 2 = 1 AND t.id = q.query_id % 500 WHERE q.query_id % 4 < 3")
+def d8(spark, sf):
+    return lookup.link_crops(_crops(spark, sf), _named(spark, sf))
+
+
+@query("d13_catalog_from_manifest", "SELECT l_partkey AS true_id, arg_min('/m/' || l_orderkey || '-' || l_linenumber, l_orderkey * 10 + l_linenumber) FILTER (l_quantity > 5) AS path, bool_and(count(*) FILTER (l_quantity > 5) > 0) OVER () AS complete FROM lineitem GROUP BY l_partkey")
+def d13(spark, sf):
+    path = F.when(F.col("l_quantity") > 5, F.concat(F.lit("/m/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).otherwise(" ")
+    return lookup.manifest_catalog(T.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_partkey").alias("true_id"), path.alias("path")))
+
+
+@query("e3_tune_aux_weight", f"WITH g AS (SELECT unnest(range(0, {len(tuning.AUX_WEIGHTS)}))::INTEGER AS place, unnest({list(tuning.AUX_WEIGHTS)}::DOUBLE[]) AS weight), b AS (SELECT query_id, place, tile_id FROM (SELECT * FROM ({_VIEWS}) CROSS JOIN g) QUALIFY row_number() OVER (PARTITION BY query_id, place ORDER BY CASE ord WHEN 1 THEN score::DOUBLE * weight ELSE score END DESC, tile_id) = 1), r AS (SELECT place, weight, avg(CASE WHEN b.tile_id = t.true_id THEN 1.0 ELSE 0 END) AS recall_1 FROM ({_TRUTH}) t CROSS JOIN g LEFT JOIN b USING (query_id, place) GROUP BY 1, 2) SELECT place, weight, round(recall_1 + 1e-9, 6) AS recall_1, row_number() OVER (ORDER BY recall_1 DESC, place) = 1 AS chosen FROM r")
+def e3(spark, sf):
+    truth = _truth(spark, sf)
+    return tuning.tune_aux_weight(_views(spark, sf).withColumn("aux", F.col("ord") == 1), truth).withColumn("recall_1", r6("recall_1"))
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    by = Window.partitionBy("label")
+    v = T.vectors(spark, sf).select(F.col("tile_id").alias("query_id"), "label")
+    return v.select("query_id", F.coalesce(F.lead("query_id").over(by.orderBy("query_id")), F.min("query_id").over(by)).alias("true_id"))
+
+
+_FUSED_ALL = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, tile_id, row_number() OVER (PARTITION BY query_id ORDER BY round({sql}, 9) DESC, tile_id) AS rank FROM ({_HITS}) GROUP BY query_id, tile_id" for m, sql in _FUSE.items())
+
+
+@query("e16_fusion_bakeoff", f"WITH m AS (SELECT method, {_SINGLE}, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS x1 FROM (SELECT t.query_id, t.true_id, n.method, f.rank FROM ({_TRUTH}) t CROSS JOIN (SELECT unnest({list(_FUSE)}) AS method) n LEFT JOIN ({_FUSED_ALL}) f ON f.method = n.method AND f.query_id = t.query_id AND f.tile_id = t.true_id) GROUP BY 1), a AS (SELECT *, x1 >= (SELECT x1 FROM m WHERE method = 'max') - 0.01 AS admitted FROM m) SELECT * EXCLUDE (x1), row_number() OVER (ORDER BY admitted DESC, r5 DESC, r1 DESC, method) = 1 AS winner FROM a")
+def e16(spark, sf):
+    order = Window.partitionBy("query_id", "ord").orderBy(F.col("score").desc(), "tile_id")
+    hits = _views(spark, sf).withColumn("view_weight", F.when(F.col("ord") == 0, 1.0).otherwise(0.8)).withColumn("rank_in_list", F.row_number().over(order))
+    return _rounded(tuning.fusion_bakeoff(hits, _truth(spark, sf)))
+
+
+def _tile_views(spark: SparkSession, sf: str) -> DataFrame:
+    """A tile of each five vectors: its views in order, the second in each ten the first one over again."""
+    v = T.vectors(spark, sf)
+    place = (F.col("tile_id") % 5).cast("int")
+    return v.select((F.col("tile_id") - place).alias("tile_id"), place.alias("ord"), "v")
+
+
+_TILE_VIEWS = "SELECT vec_id - vec_id % 5 AS tile_id, (vec_id % 5)::INTEGER AS ord, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query("b33_fuse_view_embeddings", f"WITH x AS (SELECT tile_id, ord, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM ({_TILE_VIEWS}) WHERE ord < 3), m AS (SELECT tile_id, i, sum(x * [0.5, 0.3, 0.2][ord + 1]::DOUBLE) / sum([0.5, 0.3, 0.2][ord + 1]::DOUBLE) AS x FROM x GROUP BY 1, 2) SELECT tile_id, i::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY tile_id)) + 1e-9, 6) AS x FROM m")
+def b33(spark, sf):
+    return tuning.fuse_views(_tile_views(spark, sf)).withColumn("x", r6("x"))
+
+
+@query("e29_prune_aux_views")
+def e29(spark, sf):
+    return tuning.prune_views(_tile_views(spark, sf), 0.2, 0.3)
+
+
+@query("b25_dominant_color_penalty", "SELECT event_id, round(CASE WHEN event_id % 5 = 0 OR value <= 28 THEN 0 WHEN value >= 72 THEN -0.08 ELSE -0.08 * (value - 28) / 44 END + 1e-9, 6)::DOUBLE AS penalty FROM events")
+def b25(spark, sf):
+    return T.table(spark, sf, "events").select("event_id", r6(vectors.color_penalty(F.col("value"), F.col("event_id") % 5 == 0)).alias("penalty"))
+
+
+@query("b15_parse_timestamp", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN ts END AS ts FROM events")
+def b15(spark, sf):
+    e = T.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    kind = F.col("event_id") % 4
+    raw = F.when(kind == 0, F.concat(iso, F.lit("Z"))).when(kind == 1, F.concat(iso, F.lit("789"))).when(kind == 2, F.date_format("ts", " yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise("soon")
+    return e.select("event_id", text.parse_timestamp(raw).cast("timestamp_ntz").alias("ts"))
+
+
+@query("b13_profile_errors", "SELECT c_custkey, list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'name' END, CASE WHEN c_custkey % 5 = 0 THEN 'email' END, CASE WHEN c_custkey % 7 = 0 THEN 'phone' END, CASE WHEN c_custkey % 11 = 0 THEN 'website' END], lambda x: x IS NOT NULL) AS errors FROM customer")
+def b13(spark, sf):
+    key = F.col("c_custkey")
+    email = F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.when(key % 5 == 0, " at x.org").otherwise("@x.org"))
+    phone = F.concat(F.lit("(02) "), F.lpad(key.cast("string"), 8, "0"), F.when(key % 7 == 0, "1").otherwise(""))
+    site = F.when(key % 11 == 0, "no site").otherwise(F.concat(F.lit("https://www.c"), key.cast("string"), F.lit(".example.org/shop")))
+    name = F.when(key % 3 == 0, "  ").otherwise(F.col("c_name"))
+    return T.table(spark, sf, "customer").select("c_custkey", text.profile_errors(name, email, phone, site).alias("errors"))
+
+
+@query("g2_merge_revocations", f"SELECT CAST(license_id AS VARCHAR) AS license_id FROM ({T.REGISTRY_SQL}) WHERE status = 'cancelled' UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0")
+def g2(spark, sf):
+    gone = T.registry(spark, sf).where("status = 'cancelled'").select(F.col("license_id").cast("string").alias("license_id"))
+    return gone.union(T.table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("string"))).distinct()
+
+
+@query("h4_force_rebuild", "SELECT path, CASE WHEN action = 'skipped' THEN 'modified' ELSE action END AS action FROM (" + _DIFF + ")")
+def h4(spark, sf):
+    return h1(spark, sf).withColumn("action", F.when(F.col("action") == "skipped", "modified").otherwise(F.col("action")))
