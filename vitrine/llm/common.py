@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.session import plain_unions
+
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
 #: Rows per Arrow batch.  Texts differ in length by orders of magnitude, so batches are kept short.
@@ -16,6 +18,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    plain_unions(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "/tmp/checkpoints"
@@ -44,10 +47,12 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    plain_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
