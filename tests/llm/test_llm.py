@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import chat, decontam, line_join, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from vitrine.llm import chat, decontam, line_join, mixing, near_copies, quality, simhash, suffix_dedup, token_store, toxicity, urls
 from vitrine.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
@@ -343,3 +343,51 @@ def test_line_join_equals_brute_force(spark, sample, docs):
         assert len(got) == len(rows) and {r.doc_id or 0: len(r.removed_lines) for r in got if r.removed_lines} == dict(want)
     assert line_join.dedup_lines(docs.limit(0)).count() == 0 and line_join.dedup_lines(docs).count() == len(TEXTS)
     assert line_join.drop_lines(docs).columns == docs.columns
+
+
+def slow_near_copies(texts, percent=80, n=5):
+    """Classes by brute force: every pair that shares a shingle is compared in full; the least row of each row's class."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            by.setdefault(x, []).append(i)
+    forest = simhash.Forest(len(texts))
+    for i, j in {p for own in by.values() for p in itertools.combinations(own, 2)}:
+        if len(sets[i] & sets[j]) * 100 >= percent * len(sets[i] | sets[j]):
+            forest.join(i, j)
+    return [forest.top(i) for i in range(len(texts))]
+
+
+def test_near_copies_equal_brute_force(spark, sample, docs):
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(3000)])
+    passage = list(rng.choice(words, 40))
+    made = []
+    for i in range(60):  # copies with more and more changed words, next to unrelated texts with a common passage
+        base = list(rng.choice(words, rng.integers(15, 150)))
+        for changes in range(4):
+            own = list(base)
+            for k in rng.integers(0, len(own), changes):
+                own[k] = "changed"
+            made.append((None if i % 3 == 0 else len(made) // (2 if i % 3 == 1 else 1), " ".join([*own, *passage, *own[: i % 7]])))
+    dense = list(rng.choice(words, 120))
+    for k in range(120):  # a large group of near copies, with stragglers
+        made.append((1000 + k, " ".join([*dense[:k], "x", *dense[k + 1 :]])))
+        made.append((2000 + k, " ".join(rng.choice(words, 30)) + " " + " ".join(dense[k // 2 : k // 2 + 20])))
+    made += [made[0], made[5], (None, None), (None, ""), (3000, " \n"), (3001, "a b"), (3002, "A  b"), (3003, "b a")]
+    for df in (spark.createDataFrame(made, "doc_id long, text string").repartition(3), sample.select("doc_id", "text"), docs):
+        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+        top = slow_near_copies([r.text for r in rows])
+        kept = near_copies.drop_near_copies(df)
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+        of = {}
+        for r, t in zip(rows, top, strict=True):
+            of.setdefault((r.doc_id, r.text), t)
+        assert kept.columns == df.columns and sorted(of[k] for k in got.elements()) == sorted(set(top))
+        least = {t: min((r.doc_id is None, r.doc_id or 0) for r, own in zip(rows, top, strict=True) if own == t) for t in set(top)}
+        assert all(least[of[k]] == (k[0] is None, k[0] or 0) for k in got)
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0

@@ -31,7 +31,7 @@ results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,13 +131,13 @@ def line_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield text[lines], number[k : k + LINES_AT_ONCE], np.bincount(line[new].astype(np.int64), minlength=len(lines)), found[new]
 
 
-def rarity_levels(rows: DataFrame) -> np.ndarray:
+def rarity_levels(rows: DataFrame, tokens: Callable[[pa.Array], np.ndarray] = lambda texts: word_hashes(*utf8(texts))[1]) -> np.ndarray:
     """Per bucket of tokens, the logarithm of how often one occurs: a sketch of fixed size, summed by slices."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            _, found = word_hashes(*utf8(batch["text"]))
+            found = tokens(batch["text"])
             total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(-1, SLICE)
         yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
