@@ -391,3 +391,14 @@ def test_near_copies_equal_brute_force(spark, sample, docs):
         least = {t: min((r.doc_id is None, r.doc_id or 0) for r, own in zip(rows, top, strict=True) if own == t) for t in set(top)}
         assert all(least[of[k]] == (k[0] is None, k[0] or 0) for k in got)
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_other_row(spark):
+    text = lambda k: " ".join(f"{w}{k}" for w in "abcdefghijklmnopqrst")
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, None), (7, text(2)), (7, text(3)), (8, text(3)), (9, text(1)), (7, text(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(None, text(0)), (9, text(1)), (None, None), (7, text(2)), (7, text(3))])
+    assert Counter(map(tuple, simhash.keep_one_of_each(df).collect())) == want
+    assert Counter(map(tuple, near_copies.drop_near_copies(df).collect())) == want
+    items = spark.createDataFrame([(1, text(0)), (2, text(2))], "item_id long, text string")
+    assert Counter(map(tuple, decontam.drop_contaminated(df, items).collect())) == Counter(r for r in rows if r[1] not in (text(0), text(2)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.session import plain_unions
@@ -13,6 +13,8 @@ from vitrine.session import plain_unions
 SPACE = r"\x20\x09-\x0D"
 #: Rows per Arrow batch.  Texts differ in length by orders of magnitude, so batches are kept short.
 BATCH_ROWS = 256
+#: Names of the columns that row_keys gives.
+KEYS = ["no_id", "id", "row"]
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,3 +65,15 @@ def partitions(spark: SparkSession) -> int:
 def fold(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 5; the remainder 0 is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def row_keys(key: str = "doc_id", text: str = "text") -> list[Column]:
+    """Columns without nulls that tell rows apart by id and text, in the order in which rows are kept."""
+    given = F.col(key).cast("long")
+    return [given.isNull().alias("no_id"), F.coalesce(given, F.lit(0)).alias("id"), F.xxhash64(text).alias("row")]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs with the rows that kept names by their keys; of rows equal in id and text, one."""
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), *row_keys())
+    return keyed.join(kept, KEYS, "left_semi").dropDuplicates(KEYS).select("doc.*")

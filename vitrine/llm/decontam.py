@@ -31,7 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
@@ -178,15 +178,20 @@ def item_groups(items: DataFrame, group_chars: int, key: str, text: str) -> Iter
         yield [(r["name"], r["text"]) for r in own.toLocalIterator()]
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, group_chars: int = 32_000_000, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
-    """Per document row: doc_id, n_words, spans and items of all matches of the items' windows."""
+def row_key(doc_key: str = "doc_id") -> Column:
+    return F.xxhash64(F.col(doc_key).isNull(), F.col(doc_key), F.col("text"))
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, group_chars: int = 32_000_000, doc_key: str = "doc_id", item_key: str = "item_id", with_row: bool = False) -> DataFrame:
+    """Per document row: doc_id, n_words, spans and items of all matches of the items' windows; row_key (a hash of id and text) if asked for."""
+    same_row = row_key(doc_key)
     one = item_groups(items, group_chars, item_key, "text")
     group = next(one)
     phrases = Phrases(group, window)
     if (rest := next(one, None)) is None:
-        return search(build_index(docs, phrases, doc_key), phrases, slop).drop("row_key")
+        found = search(build_index(docs, phrases, doc_key, row_key=same_row if with_row else None), phrases, slop)
+        return found if with_row else found.drop("row_key")
     found = None
-    same_row = F.xxhash64(F.col(doc_key), F.col("text"))
     n_groups = 0
     for group in chain([group, rest], one):
         phrases, n_groups = Phrases(group, window), n_groups + 1
@@ -201,17 +206,18 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int =
     whole = found.groupBy("doc_id", "row_key", "n_words").agg(
         together(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / n_groups).cast("int").alias("copies")
     )
-    return whole.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "spans", "items")
+    return whole.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", *(["row_key"] if with_row else []), "n_words", "spans", "items")
 
 
 def judge_contamination(found: DataFrame, share: int = 20) -> DataFrame:
     """Digest columns: n_hit, n_items, items_sha256, contaminated (hits make up at least one share-th of the words)."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    own = [c for c in ("doc_id", "row_key") if c in found.columns]
+    out = found.select(*own, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """Documents that aren't contaminated; all rows of a contaminated id go."""
-    found = judge_contamination(find_items(docs, items, window)).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Rows that aren't contaminated; rows are told apart by id and text, so that a null or repeated id takes no other row along."""
+    found = judge_contamination(find_items(docs, items, window, with_row=True)).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_row")).distinct()
+    return docs.join(found, (row_key() == F.col("bad_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches, staged
+from .common import KEYS, keep_rows, row_keys, shared_folder, small_batches, staged
 
 #: Fingerprints that a shard should hold; a tree is as deep as this asks for.
 SHARD_ROWS = 8192
@@ -236,28 +236,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def fingerprint_classes(docs: DataFrame, radius: int = 2, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: no_id, id, row (see row_keys), ``fp``, ``root`` (the smallest fingerprint of its class) and ``component`` (the smallest key of its class)."""
+    rows = docs.select(*row_keys(key, text), F.col(text).alias("text"))
+    rows = staged(add_fingerprints(rows, "text", "fp", shingle).drop("text"), "fingerprints")
+    # a class goes by its fingerprint: keys may be null or stand in rows of several classes
+    nodes = staged(rows.groupBy("fp").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("own")), "classes")
+    root = components(link_fingerprints(nodes.select("fp", F.col("fp").alias("id")), radius)).withColumnRenamed("id", "fp")
+    rooted = nodes.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "own")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("own").alias("component")), "root").select("fp", "root", "component")
+    return rows.join(named, "fp").select(*KEYS, "fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, ``fp``, and ``component``, the smallest key of all documents that it links to."""
-    rows = staged(add_fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")
-    # a class of nothing but null keys takes a stand-in id above all others
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("own")), "classes")
-    absent = nodes.where("own is null").select("fp", F.lit(None).cast("long").alias("component"))
-    given = nodes.where("own is not null").select("fp", F.col("own").alias("id"))
-    if not absent.isEmpty():
-        # such a class still links to others: give it an id by its fingerprint, beyond the largest key
-        top = nodes.agg(F.max("own")).first()[0] or 0
-        given = given.union(absent.select("fp", (F.row_number().over(Window.orderBy("fp")) + top).cast("long").alias("id")))
-        root = components(link_fingerprints(given, radius))
-        named = given.join(root, "id", "left").select("fp", F.coalesce("root", "id").alias("c")).withColumn("component", F.expr(f"if(c > {top}, null, c)")).drop("c")
-    else:
-        root = components(link_fingerprints(given, radius))
-        named = given.join(root, "id", "left").select("fp", F.coalesce("root", "id").alias("component"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component")
+    found = fingerprint_classes(docs, radius, shingle, key, text)
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "fp", "component")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """Drop all but one document of each near-duplicate class: the one with the smallest doc_id, once."""
-    classes = near_duplicates(docs, radius, shingle)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id").distinct()
-    joined = docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """Drop all but one row of each near-duplicate class: the one with the smallest doc_id (a null only where all are null), then text hash."""
+    kept = fingerprint_classes(docs, radius, shingle).groupBy("root").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*")
+    return keep_rows(docs, kept)
