@@ -402,3 +402,10 @@ def test_null_and_repeated_ids_lose_no_other_row(spark):
     assert Counter(map(tuple, near_copies.drop_near_copies(df).collect())) == want
     items = spark.createDataFrame([(1, text(0)), (2, text(2))], "item_id long, text string")
     assert Counter(map(tuple, decontam.drop_contaminated(df, items).collect())) == Counter(r for r in rows if r[1] not in (text(0), text(2)))
+
+
+def test_quality_fences_come_from_the_data(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge_quality(docs).join(labels, "doc_id").where("not base_failed").select("quality", "kept", "n_symbols").collect()
+    assert not [r for r in rows if r.quality == 0 and r.kept and r.n_symbols]
+    assert sum(r.quality == 1 and not r.kept for r in rows) <= 5

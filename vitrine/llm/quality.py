@@ -4,10 +4,12 @@ Each document is measured (words, symbols, repeated lines, repeated windows of
 words).  Fixed base rules reject what is never useful.  All other thresholds
 come from the data: for every language and source, a mergeable quantile sketch
 of each measure (a histogram over a fixed, bounded scale of integer steps, so
-that sketches add up in any order and reruns agree) gives the quartiles, and a
-document fails a rule if it lies beyond the fence ``quartile + REACH * spread``
-of its group.  Groups with under ``LEAST_DOCS`` documents merge into their
-language's sketch.  The fences are joined back and the documents filtered.
+that sketches add up in any order and reruns agree) gives percentiles, and a
+document fails a rule if it lies beyond the fence ``percentile + reach * spread``
+of its group (``FENCES``).  Symbols and word length have their fences by the
+quartiles, since most values beyond those are junk; repeated lines and windows
+occur in a few good documents of each group, so theirs are by the last
+percentiles.  A group with too few documents for that takes its language's.  The fences are joined back and the documents filtered.
 
 Everything is DataFrame functions.  The documents are measured in one pass
 without a shuffle and staged without their texts; sketches are pre-aggregated
@@ -16,7 +18,8 @@ before they are shuffled and hold at most ``STEPS`` rows per group and measure.
 Edge cases: null and empty texts have no word and fail the base rules; null
 languages and sources are groups of their own; repeated rows are judged alike;
 an empty table gives an empty result; a measure that is constant in its group
-rejects nothing within ``SLACK`` steps of it.
+rejects nothing within ``SLACK`` steps of it (word_length: nothing within a fifth
+of its median).
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WINDOW = 8
-STEPS = 1000
+STEPS = 10_000
 REACH = 8
 LEAST_DOCS = 30
 _SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
 #: The measures, each an integer from 0 to STEPS, and whether low values fail too.
 MEASURES = {"symbols": False, "dup_lines": False, "repeats": False, "word_length": True}
-#: The least distance of a fence from its quartile, in steps (word_length has twenty steps a character).
-SLACK = {"symbols": 100, "dup_lines": 200, "repeats": 100, "word_length": 60}
+#: For each measure the percentiles (inner, outer) whose distance is the spread, the reach from the outer one, and the documents that the outer one needs.
+FENCES = {"symbols": (25, 75, REACH, LEAST_DOCS), "word_length": (25, 75, REACH, LEAST_DOCS), "dup_lines": (95, 99, 2, 500), "repeats": (95, 99, 2, 500)}
+PERCENTILES = (25, 50, 75, 95, 99)
+#: The least distance of a fence from its percentile, in steps.
+SLACK = 5
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -86,7 +92,7 @@ def steps(rows: DataFrame) -> DataFrame:
     """Add the measures as integers from 0 to STEPS."""
     share = lambda a, b: F.least(F.lit(STEPS), F.coalesce(F.expr(f"({a} * {STEPS}) div nullif({b}, 0)"), F.lit(0))).cast("int")
     return rows.withColumns(
-        {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "word_length": F.least(F.lit(STEPS), F.coalesce(F.expr("(word_chars * 20) div nullif(n_words, 0)"), F.lit(0))).cast("int")}
+        {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "word_length": F.least(F.lit(STEPS), F.coalesce(F.expr("(word_chars * 200) div nullif(n_words, 0)"), F.lit(0))).cast("int")}
     )
 
 
@@ -96,24 +102,28 @@ def sketch(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.measure", "e.step").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles of each group's merged sketch: by..., measure, docs, q1, q2, q3."""
+def percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Percentiles of each group's merged sketch: by..., measure, docs, p25, p50, ..."""
     whole = Window.partitionBy(*by, "measure")
     merged = sketches.groupBy(*by, "measure", "step").agg(F.sum("n").alias("n"))
     merged = merged.withColumn("upto", F.sum("n").over(whole.orderBy("step"))).withColumn("docs", F.sum("n").over(whole))
-    reached = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * q, F.col("step"))).alias(f"q{q}")
-    return merged.groupBy(*by, "measure").agg(F.max("docs").alias("docs"), *map(reached, (1, 2, 3)))
+    reached = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, F.col("step"))).alias(f"p{p}")
+    return merged.groupBy(*by, "measure").agg(F.max("docs").alias("docs"), *map(reached, PERCENTILES))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
     """lang, source and each measure's low and high limit; small groups take their language's."""
-    own, wide = quartiles(sketches, ["lang", "source"]), quartiles(sketches, ["lang"])
-    wide = wide.select(F.col("lang").alias("w_lang"), F.col("measure").alias("w_measure"), *[F.col(f"q{q}").alias(f"w{q}") for q in (1, 3)])
+    own, wide = percentiles(sketches, ["lang", "source"]), percentiles(sketches, ["lang"])
+    wide = wide.select(F.col("lang").alias("w_lang"), F.col("measure").alias("w_measure"), *[F.col(f"p{p}").alias(f"w{p}") for p in PERCENTILES])
     both = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure")))
-    small = F.col("docs") < LEAST_DOCS
-    q1, q3 = F.when(small, F.col("w1")).otherwise(F.col("q1")), F.when(small, F.col("w3")).otherwise(F.col("q3"))
-    reach = F.greatest(F.lit(REACH) * (q3 - q1), F.element_at(F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair]), F.col("measure")))
-    limits = both.select("lang", "source", "measure", (q1 - reach).alias("low"), (q3 + reach).alias("high"))
+    low, high = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    for m, (inner, outer, reach, least) in FENCES.items():
+        at = lambda p: F.when(F.col("docs") < least, F.col(f"w{p}")).otherwise(F.col(f"p{p}"))  # noqa: B023, E731
+        slack = F.greatest(F.lit(SLACK), (at(50) / 5).cast("int") if m == "word_length" else F.lit(0))
+        far = F.greatest(reach * (at(outer) - at(inner)), slack)
+        here = F.col("measure") == m
+        low, high = F.when(here, at(inner) - far).otherwise(low), F.when(here, at(outer) + far).otherwise(high)
+    limits = both.select("lang", "source", "measure", low.alias("low"), high.alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
     return limits.groupBy("lang", "source").agg(*[pick(m, c) for m in MEASURES for c in ("low", "high")])
 
