@@ -145,3 +145,14 @@ def test_tuning_and_views(spark):
     assert sorted(map(tuple, tuning.prune_views(views).collect())) == [(1, 0), (1, 2), (2, 0)]
     fused = {(r.tile_id, r.i): r.x for r in tuning.fuse_views(views).collect()}
     assert fused[2, 1] == pytest.approx(1) and fused[1, 0] == pytest.approx(0.8 / (0.8**2 + 0.203**2) ** 0.5)
+
+
+def test_near_pairs_of_equal_hashes_equal_their_sql(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60").createOrReplaceTempView("few")
+    copies = spark.sql("SELECT * FROM few UNION ALL SELECT vec_id + 1000, embedding, label FROM few WHERE vec_id < 9")
+    close = spark.sql("SELECT vec_id + n AS vec_id, transform(embedding, (x, i) -> if(i < 2, -x, x)) AS embedding, label FROM few, (SELECT explode(array(2000, 3000)) AS n) WHERE vec_id < 12")
+    copies.unionByName(close).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = views(str(tmp_path))
+    for name in ("d5_near_duplicate_pairs", "d5_near_duplicate_members", "b10_duplicate_percent"):
+        assert compare(spark, con, name, QUERIES[name], ORACLES[name], str(tmp_path)) == ""
+    assert QUERIES["d5_near_duplicate_pairs"](spark, str(tmp_path)).where("a >= 1000 or b >= 1000").count() > 40

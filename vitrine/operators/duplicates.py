@@ -36,6 +36,21 @@ def near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "i
     return keyed.join(other, ["c", "x"]).where("i < i2").where(far <= within).select(F.col("i").alias("a"), F.col("i2").alias("b"), far.alias("distance")).distinct()
 
 
+def hash_members(rows: DataFrame, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+    """One row per row with a hash: id, representative (the smallest id of its hash), distance (0)."""
+    own = rows.select(F.col(item).alias("id"), hash_bits(F.col(key)).alias("h")).where("h is not null")
+    first = own.groupBy("h").agg(F.min("id").alias("representative"))
+    return own.join(first, "h").select("id", "representative", F.lit(0).alias("distance"))
+
+
+def all_near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+    """near_pairs for all ids of both hashes, as (a, b, distance) with a < b; ids of one hash are in hash_members."""
+    pairs, members = near_pairs(rows, within, shared, item, key), hash_members(rows, item, key)
+    side = lambda s: members.select(F.col("representative").alias(s), F.col("id").alias(f"{s}_id"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "distance")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of (a, b): id, root (the smallest id), by alternating stars with a checkpoint each round."""
     spark = edges.sparkSession

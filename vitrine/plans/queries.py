@@ -368,7 +368,12 @@ def b8(spark, sf):
 
 @query("d5_near_duplicate_pairs", f"SELECT * FROM ({_NEAR}) WHERE distance BETWEEN 1 AND 12")
 def d5(spark, sf):
-    return duplicates.near_pairs(T.hashes(spark, sf), 12, 2)
+    return duplicates.all_near_pairs(T.hashes(spark, sf), 12, 2)
+
+
+@query("d5_near_duplicate_members", f"SELECT id, min(id) OVER (PARTITION BY perceptual_hash) AS representative, 0 AS distance FROM ({_BITS})")
+def d5_members(spark, sf):
+    return duplicates.hash_members(T.hashes(spark, sf))
 
 
 @query("e5_near_duplicate_groups", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) WHERE distance <= 12), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS group_id FROM r GROUP BY id")
