@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import chat, decontam, line_join, mixing, near_copies, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from vitrine.llm import chat, decontam, line_join, mixing, near_copies, quality, set_join, simhash, suffix_dedup, token_store, toxicity, urls
 from vitrine.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
@@ -298,7 +298,8 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
         if name == "simhash_near_dedup":
-            want = {r.component for r in simhash.near_duplicates(before).collect()}
+            rows = sorted(before.collect(), key=lambda r: r.doc_id)
+            want = {rows[t].doc_id for t in slow_near_copies([r.text for r in rows])}
             assert {r.doc_id for r in docs.collect()} == want and docs.count() == len(want)
         if name == "benchmark_decontamination":
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -329,20 +330,46 @@ def test_line_sets_equal_brute_force(monkeypatch):
     assert list(line_join.line_sets(pa.array([], pa.string()))) == []
 
 
-def test_line_join_equals_brute_force(spark, sample, docs):
+def hot_parts(monkeypatch, part):
+    """Deal tokens and cells with more than so many classes out as grids."""
+    for module in (set_join, line_join, near_copies):
+        monkeypatch.setattr(module, "PART", part)
+
+
+def test_line_join_equals_brute_force(spark, sample, docs, monkeypatch):
     near = [(i, "\n".join(f"w{i % 3} common line of several plain words number {(i + j) % 5} x{j}" for j in range(4)) + "\n \nunique" + str(i)) for i in range(30)]
-    near += [(50, None), (51, ""), (52, near[0][1]), (None, near[1][1])]
-    for df in (spark.createDataFrame(near, "doc_id long, text string"), sample.where("doc_id < 150").select("doc_id", "text")):
-        rows = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
-        lines = [(i, n, frozenset(x.lower().split())) for _, i, t in rows for n, x in enumerate(t.split("\n")) if x.split()]
+    near += [(50, None), (51, ""), (52, near[0][1]), (None, near[1][1]), (None, near[1][1])]
+    rng = np.random.default_rng(2)
+    base = [f"t{i}" for i in range(40)]
+    for i in range(80):  # a large group of near copies of a line, some links short of the threshold
+        near.append((100 + i, " ".join(x if rng.random() > 0.08 else f"r{rng.integers(60)}" for x in base)))
+    for df, part in ((spark.createDataFrame(near, "doc_id long, text string"), 1024), (spark.createDataFrame(near, "doc_id long, text string").repartition(7), 8), (sample.where("doc_id < 150").select("doc_id", "text"), 1024)):
+        hot_parts(monkeypatch, part)
+        rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()}, key=lambda r: r[:2])
+        lines = [(i if has else None, n, frozenset(x.lower().split())) for has, i, t in rows for n, x in enumerate(t.split("\n")) if x.split()]
+        kinds = {s for _, _, s in lines}
+        links = {s: sum(5 * len(s & o) >= 4 * len(s | o) for o in kinds) - 1 for s in kinds}
         want = Counter()
         for k, (i, n, s) in enumerate(lines):
-            if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
-                want[i] += 1
+            removed = any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k])
+            want[i, n, links[s], removed] += 1
         got = line_join.dedup_lines(df).collect()
-        assert len(got) == len(rows) and {r.doc_id or 0: len(r.removed_lines) for r in got if r.removed_lines} == dict(want)
+        assert len(got) == df.count()
+        once = {(r.has_id, r.id, r.row): r for r in got}
+        assert Counter((r.id if r.has_id else None, x.line, x.links, x.removed) for r in once.values() for x in r.lines) == want
+        classes = {}
+        for r in once.values():
+            for x in r.lines:
+                classes.setdefault(x.class_id, x.links)
+        assert len(classes) == len(kinds)
     assert line_join.dedup_lines(docs.limit(0)).count() == 0 and line_join.dedup_lines(docs).count() == len(TEXTS)
-    assert line_join.drop_lines(docs).columns == docs.columns
+
+
+def test_drop_lines(spark, docs):
+    df = spark.createDataFrame([(1, "a b c d e\nx", "k"), (2, "y\nA B C D E\n\n", "k"), (2, "y\nA B C D E\n\n", "k"), (3, None, "k"), (None, "a b c d e", "k")], "doc_id long, text string, lines string")
+    got = sorted(map(tuple, line_join.drop_lines(df).collect()), key=str)
+    assert got == sorted([(None, "a b c d e", "k"), (1, "x", "k"), (2, "y\n\n", "k"), (2, "y\n\n", "k"), (3, None, "k")], key=str)
+    assert line_join.drop_lines(docs).columns == docs.columns and line_join.drop_lines(docs).count() == len(TEXTS)
 
 
 def slow_near_copies(texts, percent=80, n=5):
@@ -362,7 +389,7 @@ def slow_near_copies(texts, percent=80, n=5):
     return [forest.top(i) for i in range(len(texts))]
 
 
-def test_near_copies_equal_brute_force(spark, sample, docs):
+def test_near_copies_equal_brute_force(spark, sample, docs, monkeypatch):
     rng = np.random.default_rng(8)
     words = np.array([f"w{i}" for i in range(3000)])
     passage = list(rng.choice(words, 40))
@@ -379,7 +406,8 @@ def test_near_copies_equal_brute_force(spark, sample, docs):
         made.append((1000 + k, " ".join([*dense[:k], "x", *dense[k + 1 :]])))
         made.append((2000 + k, " ".join(rng.choice(words, 30)) + " " + " ".join(dense[k // 2 : k // 2 + 20])))
     made += [made[0], made[5], (None, None), (None, ""), (3000, " \n"), (3001, "a b"), (3002, "A  b"), (3003, "b a")]
-    for df in (spark.createDataFrame(made, "doc_id long, text string").repartition(3), sample.select("doc_id", "text"), docs):
+    for df, part in ((spark.createDataFrame(made, "doc_id long, text string").repartition(3), 1024), (spark.createDataFrame(made, "doc_id long, text string"), 16), (sample.select("doc_id", "text"), 1024), (docs, 1024)):
+        hot_parts(monkeypatch, part)
         rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
         top = slow_near_copies([r.text for r in rows])
         kept = near_copies.drop_near_copies(df)

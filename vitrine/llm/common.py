@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from vitrine.session import plain_unions
 
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows per Arrow batch.  Texts differ in length by orders of magnitude, so batches are kept short.
+#: Rows that are worked on together.
 BATCH_ROWS = 256
 #: Names of the columns that row_keys gives.
 KEYS = ["no_id", "id", "row"]
@@ -19,10 +21,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a local one if Spark runs on one machine, else an error."""
     plain_unions(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,6 +40,7 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     Cuts the lineage the way a table does: a lost executor loses nothing, and
     whatever reads the result several times computes it once.  The shuffle files
     of the write go with its end, so a chain of steps needs the disk of one.
+    ``release`` deletes the table once later steps are written themselves.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,12 +50,24 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    plain_unions(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows: texts differ in length by orders of magnitude, and a batch may hold 10,000 of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

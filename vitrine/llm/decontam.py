@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import slices, staged
 
 BLOCK_ROWS = 512
 #: Lower-cases A-Z; all other ASCII but digits and letters becomes a space; other bytes stay.
@@ -67,12 +67,11 @@ class Phrases:
 def build_index(docs: DataFrame, phrases: Phrases, key: str = "doc_id", text: str = "text", row_key=None) -> DataFrame:
     """The stored index: one row per block of documents."""
     spark = docs.sparkSession
-    small_batches(spark, BLOCK_ROWS)
     shared = spark.sparkContext.broadcast(phrases.vocabulary)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value.get
-        for batch in batches:
+        for batch in slices(batches, BLOCK_ROWS):
             if not batch.num_rows:
                 continue
             starts, parts = [0], []
@@ -132,7 +131,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        for batch in batches:
+        for batch in slices(batches, 8):
             for row in batch.to_pylist():
                 starts = np.frombuffer(row["doc_starts"], "<i8")
                 n = len(starts) - 1
@@ -150,7 +149,6 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                     ["doc_id", "row_key", "n_words", "spans", "items"],
                 )
 
-    small_batches(spark, 8)
     return index.mapInArrow(run, MATCHES)
 
 

@@ -2,11 +2,12 @@
 
 A line is the set of its words (runs without ASCII white space, A-Z
 lower-cased).  A line goes if an earlier one (in the order of doc_id, then line)
-has a Jaccard similarity of ``threshold`` or more.  Equal sets are one class, named by 64 bits.  Between classes the join is
-the prefix-filter one: tokens are ordered by rarity, two sets that are similar
-enough share a token among the first few of both, and only sets that meet there
-and pass the length, positional and bitmap filters are compared in full.  None
-of the filters can lose a pair: the bitmap holds the parity of the tokens in 64
+has a Jaccard similarity of ``threshold`` or more.  Equal sets are one class,
+named by 64 bits.  Between classes the join is the prefix-filter one of
+``set_join``: tokens are ordered by rarity, two sets that are similar enough
+share a token among the first few of both, and only sets that meet there and
+pass the length, positional and bitmap filters are compared in full.  None of
+the filters can lose a pair: the bitmap holds the parity of the tokens in 64
 cells, so that two bitmaps differ in no more bits than two sets do in tokens.
 A word is known by 64 bits, computed for all words of a block of bytes at once.
 
@@ -17,16 +18,16 @@ keeps the join exact; a collision only makes a token look less rare.
 Scale: no table holds the words of all lines.  Lines and classes carry their
 first tokens only, and whole sets are read again from the texts for those
 classes that still have a partner.  Classes are pre-aggregated before they are
-joined, so a line in a third of all documents is one row; the join is an
-equi-join on tokens whose two sides share one exchange, and that Spark can
-split where a token is frequent; every link between different sets is found,
-copies are never paired.  The sketch is the only thing broadcast, of fixed size.
+joined, so a line in a third of all documents is one row.  Pairs are never
+written: a class comes out with the number of its links.  The sketch is the
+only thing broadcast, of fixed size.
 
 Edge cases: lines without a word are kept and never match; null and empty texts
 have no line to lose; repeated rows are copies (the first row's lines stay, and
 rows that are equal in id and text are one in the order, so that of their equal
-lines one class is the first); null ids come first; empty tables give empty
-results.
+lines one class is the first, and each has the same lines and links); null ids
+come first; empty tables give empty results; other columns, whatever their
+names, are kept by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import release, slices, staged
+from .set_join import PART, cells, compare, meet
 
 BUCKETS = 1 << 20
 SLICE = 1 << 14
@@ -136,7 +137,7 @@ def rarity_levels(rows: DataFrame, tokens: Callable[[pa.Array], np.ndarray] = la
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             found = tokens(batch["text"])
             total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(-1, SLICE)
@@ -155,114 +156,101 @@ def rarity_levels(rows: DataFrame, tokens: Callable[[pa.Array], np.ndarray] = la
     return np.minimum(LEVEL_STEPS * np.log2(np.maximum(out, 1)), 255).astype(np.uint8)
 
 
+#: The columns that order lines.
+ORDER = ["has_id", "id", "row", "line"]
+
+
+def doc_keys(key: str = "doc_id", text: str = "text") -> list[Column]:
+    """Columns without nulls that tell documents apart by id and text, in the order of documents: null ids come first."""
+    given = F.col(key).cast("long")
+    return [given.isNotNull().alias("has_id"), F.coalesce(given, F.lit(0)).alias("id"), F.xxhash64(text).alias("row")]
+
+
 def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
-    """Every line with a word: doc_id, row, line, class_id, size, bits (parity bitmap), prefix (of its tokens by rarity)."""
+    """Every line with a word: has_id, id, row, line, class_id, size, bits (parity bitmap), prefix (its first tokens by rarity)."""
     levels = rows.sparkSession.sparkContext.broadcast(rarity_levels(rows))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
-        for batch in batches:
+        for batch in slices(batches):
             for at, line, size, found in line_sets(batch["text"]):
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 name = np.add.reduceat(found, start) ^ (size.astype(np.uint64) << np.uint64(48))
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (found & np.uint64(63)), start)
+                # a token as it stands in prefixes: its rarity level, then 32 bits of its hash
                 order = (level_of[(found % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (found >> np.uint64(32))
                 order = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(40)) | order) & np.uint64((1 << 40) - 1)
                 taken = size - (-(-size * percent // 100)) + 1  # of so many first tokens, similar sets share one
                 ends = np.cumsum(taken)
                 prefix = order[np.repeat(start - (ends - taken), taken) + np.arange(ends[-1])]
                 own = pa.array(at)
-                columns = [batch["doc_id"].take(own), batch["row"].take(own), pa.array(line), pa.array(name.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64))]
+                columns = [*(batch[c].take(own) for c in ORDER[:3]), pa.array(line), pa.array(name.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64))]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix.view(np.int64))))
-                yield pa.record_batch(columns, ["doc_id", "row", "line", "class_id", "size", "bits", "prefix"])
+                yield pa.record_batch(columns, [*ORDER, "class_id", "size", "bits", "prefix"])
 
-    return rows.mapInArrow(split, "doc_id long, row long, line int, class_id long, size int, bits long, prefix array<long>")
+    return rows.mapInArrow(split, "has_id boolean, id long, row long, line int, class_id long, size int, bits long, prefix array<long>")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class_id, first, tokens of the wanted classes (class_id, first), read again from the texts that hold their first lines."""
+    """class_id, the columns of ORDER and tokens of the wanted classes (class_id, first), read again from the texts that hold their first lines."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, names, found = [], [], []
-            for i, picked in enumerate(batch["picked"].to_pylist()):
-                data, cuts = utf8(batch["text"].slice(i, 1))
-                starts, hashes = word_hashes(data, cuts)
-                ends = np.concatenate([[-1], np.flatnonzero(data == NEWLINE), [len(data)]])
-                number = np.array([p["line"] for p in picked])
-                low, high = np.searchsorted(starts, ends[number]), np.searchsorted(starts, ends[number + 1])
-                at.extend([i] * len(picked))
-                names.extend((p["class_id"], p["line"]) for p in picked)
-                found.extend(np.unique(hashes[x:y]).astype("<u8").tobytes() for x, y in zip(low, high, strict=True))
-            own = pa.array(at, pa.int64())
-            yield pa.record_batch([pa.array([c for c, _ in names], pa.int64()), batch["doc_id"].take(own), batch["row"].take(own), pa.array([n for _, n in names], pa.int32()), pa.array(found, pa.binary())], ["class_id", "doc_id", "row", "line", "tokens"])
-
-    by_text = wanted.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.row").alias("w_row")).agg(F.collect_list(F.struct("class_id", F.col("first.line").alias("line"))).alias("picked"))
-    texts = rows.join(by_text, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("doc_id", "row", "text", "picked")
-    sets = texts.mapInArrow(pick, "class_id long, doc_id long, row long, line int, tokens binary")
-    # rows that are equal in id and text give their sets once
-    return sets.select("class_id", F.struct("doc_id", "row", "line").alias("first"), "tokens").dropDuplicates(["class_id"])
+        for batch in slices(batches):
+            text, line, name, lines = [], [], [], []
+            for i, (t, picked) in enumerate(zip(batch["text"].to_pylist(), batch["picked"].to_pylist(), strict=True)):
+                own = t.split("\n")
+                for p in picked:
+                    text.append(i)
+                    line.append(p["line"])
+                    name.append(p["class_id"])
+                    lines.append(own[p["line"]])
+            sets = [np.zeros(0, np.uint64)]
+            for _, _, size, found in line_sets(pa.array(["\n".join(lines)], pa.large_string())):
+                sets += np.split(found, np.cumsum(size)[:-1])
+            at = pa.array(text, pa.int64())
+            yield pa.record_batch([pa.array(name, pa.int64()), *(batch[c].take(at) for c in ORDER[:3]), pa.array(line, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets[1:]], pa.binary())], ["class_id", *ORDER, "tokens"])
+
+    of_text = [F.col(f"first.{c}").alias(c) for c in ORDER[:3]]
+    by_text = wanted.groupBy(*of_text).agg(F.collect_list(F.struct("class_id", F.col("first.line").alias("line"))).alias("picked"))
+    sets = rows.join(by_text, ORDER[:3]).mapInArrow(pick, "class_id long, has_id boolean, id long, row long, line int, tokens binary")
+    return sets.dropDuplicates(["class_id"])  # rows that are equal in id and text give their sets once
 
 
 def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line with a word: doc_id, row, line, class_id, links (of its class to other classes), removed."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """Every line with a word: has_id, id, row, line, class_id, links (of its class to other classes), removed."""
     percent = round(threshold * 100)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    rows = docs.select(*doc_keys(key, text), F.col(text).alias("text"))
     lines = staged(first_tokens(rows, percent), "lines", compression="zstd")
-    best = lines.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "line", "size", "bits", "prefix")).alias("best"))
-    classes = staged(best.select("class_id", F.struct("best.doc_id", "best.row", "best.line").alias("first"), "best.size", "best.bits", "best.prefix"), "line-classes", compression="zstd")
+    best = lines.groupBy("class_id").agg(F.min(F.struct(*ORDER, "size", "bits", "prefix")).alias("best"))
+    classes = staged(best.select("class_id", F.struct(*(f"best.{c}" for c in ORDER)).alias("first"), "best.size", "best.bits", "best.prefix"), "line-classes", compression="zstd")
 
     entries = classes.select("class_id", "size", "bits", F.posexplode("prefix").alias("place", "token"))
-    a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, F.expr("a.token = b.token")).where("a.class_id < b.class_id").where(f"least(a.size, b.size) * 100 >= {percent} * greatest(a.size, b.size)")
-    # what both share from their first common token on must reach the overlap that the threshold asks for
-    met = met.where(f"least(a.size - a.place, b.size - b.place) * {100 + percent} >= {percent} * (a.size + b.size)")
-    met = met.where(f"bit_count(a.bits ^ b.bits) * {100 + percent} <= {100 - percent} * (a.size + b.size)")
-    met = staged(met.select(F.col("a.class_id").alias("class_id"), F.col("b.class_id").alias("class_b")).distinct(), "line-pairs", compression="zstd")
-
-    wanted = met.select("class_id").union(met.select("class_b")).distinct()
-    sides = staged(whole_sets(rows, classes.select("class_id", "first").join(wanted, "class_id", "left_semi")), "line-sets", compression="zstd")
-    x, y = sides.alias("x"), sides.alias("y")
-    pairs = met.join(x, met["class_id"] == F.col("x.class_id")).join(y, F.col("class_b") == F.col("y.class_id"))
-    pairs = pairs.select(met["class_id"], "class_b", F.col("x.first").alias("first_a"), F.col("y.first").alias("first_b"), F.col("x.tokens").alias("tokens_a"), F.col("y.tokens").alias("tokens_b"))
-
-    @F.pandas_udf("boolean")
-    def similar(x, y):
-        def jaccard(p: bytes, q: bytes) -> bool:
-            p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-            both = np.sort(np.concatenate([p, q]))
-            shared = int((both[1:] == both[:-1]).sum())
-            return shared * 100 >= percent * (len(p) + len(q) - shared)
-
-        return pd.Series([jaccard(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
-
-    small_batches(spark, 4096)
-    linked = staged(pairs.where(similar("tokens_a", "tokens_b")).select("class_id", "class_b", "first_a", "first_b"), "line-links", compression="zstd")
-    small_batches(spark)
-    both = linked.select("class_id", F.col("first_b").alias("other")).union(linked.select(F.col("class_b").alias("class_id"), F.col("first_a").alias("other")))
-    earliest = both.groupBy("class_id").agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    known = classes.select("class_id", "first").join(earliest, "class_id", "left")
-    own = F.struct("doc_id", "row", "line")
-    late = ~own.eqNullSafe(F.col("first")) | F.coalesce(F.col("other") < F.col("first"), F.lit(False))
-    return lines.select("doc_id", "row", "line", "class_id").join(known, "class_id").select("doc_id", "row", "line", "class_id", F.coalesce("links", F.lit(0)).alias("links"), late.alias("removed"))
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per document (id and text): n_lines, n_links, removed_lines (their numbers, ascending)."""
-    lines = similar_lines(docs, threshold)
-    by = lines.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.sum("links").alias("n_links"), F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("removed"), F.col("line"))))).alias("removed_lines"))
-    by = by.withColumnsRenamed({"doc_id": "l_id", "row": "l_row"})
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
-    joined = keys.join(by, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("row") == F.col("l_row")), "left")
-    nothing = F.array().cast("array<int>")
-    return joined.select("doc_id", "row", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("removed_lines", nothing).alias("removed_lines"))
-
-
-def drop_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with the removed lines cut from text."""
-    found = dedup_lines(docs, threshold).distinct().withColumnsRenamed({"doc_id": "l_id", "row": "l_row"})
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_row")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(F.col("removed_lines"), i), F.lit(False))), "\n")
-    return joined.withColumn("text", kept).select(*docs.columns)
+    often = F.shiftright("token", 32) >= int(LEVEL_STEPS * np.log2(PART))
+    led = staged(meet(entries.withColumn("often", often), percent), "line-leads", compression="zstd")
+    wanted = classes.select("class_id", "first", "size").join(led.select("class_id").distinct(), "class_id")
+    sets = staged(whole_sets(rows, wanted), "line-sets", compression="zstd")
+    members = cells(led.join(wanted.select("class_id", "size"), "class_id")).join(sets, "class_id")
+    found = compare(members, percent, ORDER).groupBy("class_id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
+    found = staged(found, "line-links", compression="zstd")
+    release(led, sets)
+    known = staged(classes.select("class_id", "first").join(found, "class_id", "left"), "line-verdicts", compression="zstd")
+    release(classes, found)
+    removed = ~F.struct(*ORDER).eqNullSafe(F.col("first")) | F.coalesce("late", F.lit(False))
+    return lines.select(*ORDER, "class_id").join(known, "class_id").select(*ORDER, "class_id", F.coalesce("links", F.lit(0)).alias("links"), removed.alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: has_id, id, row (see doc_keys) and lines, those with a word: array of (line, class_id, links, removed), ascending."""
+    lines = similar_lines(docs, threshold, key, text)
+    by = lines.groupBy(*ORDER[:3]).agg(F.array_sort(F.collect_set(F.struct("line", "class_id", "links", "removed"))).alias("lines"))
+    joined = docs.select(*doc_keys(key, text)).join(by, ORDER[:3], "left")
+    return joined.withColumn("lines", F.coalesce("lines", F.array().cast(by.schema["lines"].dataType)))
+
+
+def drop_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the removed lines cut from text; null texts stay null."""
+    found = dedup_lines(docs, threshold, key, text).dropDuplicates(ORDER[:3])
+    cut = F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line"])
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), *doc_keys(key, text)).join(found.select(*ORDER[:3], cut.alias("cut")), ORDER[:3])
+    kept = F.array_join(F.filter(F.split(f"doc.{text}", "\n", -1), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
+    return joined.select(*[(kept if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])

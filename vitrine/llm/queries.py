@@ -35,7 +35,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_join.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_links", F.size("removed_lines").alias("n_removed"), F.sha2(F.array_join("removed_lines", ","), 256).alias("removed_sha256"))
+    links = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["links"])
+    removed = F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line"])
+    doc_id = F.when(F.col("has_id"), F.col("id")).alias("doc_id")
+    return found.select(doc_id, F.size("lines").cast("long").alias("n_lines"), links.alias("n_links"), F.size(removed).alias("n_removed"), F.sha2(F.array_join(removed, ","), 256).alias("removed_sha256"), "lines")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +90,6 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_toxicity": op1_toxicity,
         "op2_token_store": op2_token_store,
@@ -100,7 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, keep_rows, row_keys, shared_folder, small_batches, staged
+from .common import KEYS, keep_rows, row_keys, shared_folder, staged
 
 #: Fingerprints that a shard should hold; a tree is as deep as this asks for.
 SHARD_ROWS = 8192
@@ -72,8 +72,6 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def add_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
     """Add the fingerprint as a signed 64-bit integer with the same bits."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -128,10 +126,11 @@ def shards_of(tree: dict | None, fps: np.ndarray, radius: int) -> tuple[np.ndarr
 
 
 class Forest:
-    """Union-find over row numbers."""
+    """Union-find over row numbers; edges holds the pairs that joined two trees."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
+        self.edges: list[tuple[int, int]] = []
 
     def top(self, x: int) -> int:
         up = self.up
@@ -141,9 +140,10 @@ class Forest:
         return x
 
     def join(self, x: int, y: int) -> None:
-        x, y = self.top(x), self.top(y)
+        pair, x, y = (x, y), self.top(x), self.top(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+            self.edges.append(pair)
 
 
 def link_in_memory(fps: np.ndarray, radius: int) -> Forest:
@@ -180,11 +180,11 @@ def link_in_memory(fps: np.ndarray, radius: int) -> Forest:
 
 
 def link_fingerprints(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that connect the ids of linked fingerprints.  nodes: fp long (distinct), id long."""
+    """Edges (a, b) that connect the ids of linked fingerprints, each a link itself.  nodes: fp long (distinct), id long."""
     spark = nodes.sparkSession
     n = nodes.count()
     # in the order of a hash: the same sample each time, whatever the partitions
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD_ROWS)))))
     tree = spark.sparkContext.broadcast(grow_tree(sample, depth, np.random.default_rng(11)))
 
@@ -196,14 +196,9 @@ def link_fingerprints(nodes: DataFrame, radius: int = 2) -> DataFrame:
 
     def link(key: tuple, rows: pa.Table) -> pa.Table:
         ids = rows["id"].to_numpy()
-        order = np.argsort(ids)  # a root is its tree's smallest id
-        ids, fps = ids[order], rows["fp"].to_numpy()[order].view(np.uint64)
-        forest = link_in_memory(fps, radius)
-        top = np.array([forest.top(i) for i in range(len(ids))], np.int64)
-        linked = np.flatnonzero(top != np.arange(len(ids)))
-        return pa.table({"a": ids[linked], "b": ids[top[linked]]})
-
-    small_batches(spark, 10_000)
+        edges = np.array(link_in_memory(rows["fp"].to_numpy().view(np.uint64), radius).edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+
     routed = nodes.select("fp", "id").mapInArrow(route, "shard long, fp long, id long")
     return routed.groupBy("shard").applyInArrow(link, "a long, b long")
 

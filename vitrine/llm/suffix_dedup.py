@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import slices, staged
 
 GRAM = 32
 HOT = 4096
@@ -163,7 +163,7 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
     """doc_id, thash, anchor, context, first, last, place (in the text's bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
             for data, inside, row, starts, offset in chunks(texts, length):
                 h, place, first, last, context = anchors_of(data, inside, length)
@@ -249,8 +249,6 @@ def repeats_in_group(key: tuple, group: pa.Table, length: int) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, removed (spans in bytes), kept (the remaining bytes)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("thash", F.xxhash64("text"))
     anchors = staged(find_anchors(rows, length), "anchors", compression="zstd")
@@ -267,7 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     near = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("thash") == F.col("a_hash"))).select("text", "asked")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for t, wanted in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["asked"].to_pylist(), strict=True):
                 for a in wanted:
@@ -287,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
 
     # hot hashes: count the strings themselves
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = [np.frombuffer(s, "<i8") for s in batch["strings"].to_pylist()]
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             nth = np.concatenate([np.arange(len(x)) for x in lists]) if lists else np.zeros(0, np.int64)
@@ -316,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("thash") == F.col("s_hash")), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             removed, kept, n_bytes = [], [], []
             lists = batch["spans"]
             edges = lists.offsets.to_numpy()

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, small_batches
+from .common import partitions, shared_folder, slices
 
 SHARD_IDS = 1_000_000
 SHARD_SCHEMA = (
@@ -231,7 +231,6 @@ def pack(part: int, seq: int, part_base: int, keys: list, parts: list[bytes], dt
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", tasks: int | None = None) -> None:
     """Encode all texts, append end_id to each, and write shards in ascending key order to path."""
     spark = docs.sparkSession
-    small_batches(spark)
     spark_schema = spark.createDataFrame([], SHARD_SCHEMA).schema
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +244,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
             types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
             return pa.record_batch([pa.array([row[f.name]], types[f.dataType.simpleString()]) for f in spark_schema], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for k, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = enc(t) + end
                 keys.append(k)
@@ -280,7 +279,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the store, through its index: key, start, n_tokens, ids_crc32 (of the ids as uint32)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             for row in batch.to_pylist():
                 shard = Shard(row)
                 first = np.concatenate([np.zeros(shard.null_keys, np.int64), shard.rows_of_all()])
@@ -294,7 +293,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 keys = pa.array(shard.keys, mask=np.arange(len(shard.keys)) < shard.null_keys)
                 yield pa.record_batch([keys, pa.array(start + row["base"]), pa.array(stop - start), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(spark, 4)
     return store_shards(spark, path).mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 

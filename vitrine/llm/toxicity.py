@@ -27,16 +27,17 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold
 
 BUCKETS = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,12 +63,12 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
 
 
-def bags_of(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bags_of(texts: Iterable[str | pa.Scalar], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sparse bags: features, their sentence, each sentence's document, the labels."""
     known: dict[str, list[int]] = {}
     feats, sent, doc = array("i"), array("i"), array("i")  # compact: lists of ints would take ten times the memory
     for d, text in enumerate(texts):
-        for line in SENTENCE_END.split(text):
+        for line in SENTENCE_END.split(text if isinstance(text, str) else text.as_py()):
             found = set()
             for word in LETTERS.findall(line.lower()):
                 if word not in known:
@@ -120,6 +121,7 @@ def fit_bags(feats, sent, doc, labels, features: int = 600) -> ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 16_000_000) -> ToxicityModel:
     """Fit on at most sample_rows labelled documents of at most sample_chars characters in all, in the order of a hash of the id.
 
+    A text of over a sixteenth of sample_chars takes no part.
     Held-out rows (crc32 of the id as text, modulo 5, is 0) never take part.
     """
     rank = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
@@ -130,13 +132,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sa
     )
     # the chosen ids are few by the limit above, whatever the tables' sizes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    rows = rows.orderBy("rank", "doc_id", F.xxhash64("text")).limit(sample_rows).withColumn("n", F.length("text"))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    upto = Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= sample_chars).select("text", "toxic").toPandas()
-    if got.empty:
+    # a text that would take a large part of the room for all is left out, and the others go on
+    rows = rows.withColumn("n", F.length("text")).where(F.col("n") <= max(1, sample_chars // 16))
+    rows = rows.orderBy("rank", "doc_id", F.xxhash64("text")).limit(sample_rows)
+    upto = Window.orderBy("rank", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= sample_chars).select("text", "toxic").toArrow()
+    if not got.num_rows:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -math.inf)
-    return fit_bags(*bags_of(got["text"].tolist(), got["toxic"].astype(int).tolist()))
+    return fit_bags(*bags_of(got["text"], got["toxic"].to_pylist()))
 
 
 class Scorer:
@@ -178,7 +181,6 @@ class Scorer:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add column ``out``: the document's score and the offending sentences (start, stop in code points, score)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORE_TYPE)
