@@ -7,7 +7,7 @@ named by 64 bits.  Between classes the join is the prefix-filter one of
 ``set_join``: tokens are ordered by rarity, two sets that are similar enough
 share a token among the first few of both, and only sets that meet there and
 pass the length, positional and bitmap filters are compared in full.  None of
-the filters can lose a pair: the bitmap holds the parity of the tokens in 64
+the filters can lose a pair: the bitmap holds the parity of the tokens in 128
 cells, so that two bitmaps differ in no more bits than two sets do in tokens.
 A word is known by 64 bits, computed for all words of a block of bytes at once.
 
@@ -40,10 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, slices, staged
-from .set_join import PART, cells, compare, meet
+from .set_join import BUCKETS, cells, compare, fewer_leads, meet, parity, token_counts
 
-BUCKETS = 1 << 20
-SLICE = 1 << 14
 #: Bytes of text hashed together.  A longer word is hashed whole.
 BLOCK = 1 << 22
 #: Lines sorted together; their number takes the upper 23 bits of a sort key.
@@ -82,18 +80,18 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins, and its 64 bits.  No word reaches over one of the cuts (ascending)."""
-    starts, hashes, low = [], [], 0
+def word_hashes(data: np.ndarray, cuts: np.ndarray, share: np.ndarray = BYTE_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its 64 bits.  No word reaches over one of the cuts (ascending); bytes without a share part words."""
+    starts, hashes, low, outside = [], [], 0, share == 0
     while low < len(data):
         high = low + BLOCK
-        while high < len(data):  # a block ends after white space
-            if len(spaces := np.flatnonzero(IS_SPACE[data[high : high + BLOCK]])):
+        while high < len(data):  # a block ends after a byte outside words
+            if len(spaces := np.flatnonzero(outside[data[high : high + BLOCK]])):
                 high += int(spaces[0]) + 1
                 break
             high += BLOCK
         part = data[low:high]
-        inside = ~IS_SPACE[part]
+        inside = ~outside[part]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         inner = cuts[np.searchsorted(cuts, low) : np.searchsorted(cuts, low + len(part))] - low
@@ -104,7 +102,7 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
             factors = FACTORS if length.max() <= len(FACTORS) else place_factors(int(length.max()))
             place = np.arange(begin[0], len(part)) - np.repeat(begin, length)
             starts.append(begin + low)
-            hashes.append(mixed(np.add.reduceat(BYTE_SHARE[part[begin[0] :]] * factors[place], begin - begin[0])))
+            hashes.append(mixed(np.add.reduceat(share[part[begin[0] :]] * factors[place], begin - begin[0])))
         low += len(part)
     return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.uint64), *hashes])
 
@@ -133,27 +131,8 @@ def line_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def rarity_levels(rows: DataFrame, tokens: Callable[[pa.Array], np.ndarray] = lambda texts: word_hashes(*utf8(texts))[1]) -> np.ndarray:
-    """Per bucket of tokens, the logarithm of how often one occurs: a sketch of fixed size, summed by slices."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches):
-            found = tokens(batch["text"])
-            total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        parts = total.reshape(-1, SLICE)
-        yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i8") for c in table["counts"].to_pylist())
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    # adding in two steps keeps what one task adds small, however many tasks count
-    once = rows.select("text").mapInArrow(count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
-    half = once.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary")
-    out = np.zeros(BUCKETS, np.int64)
-    for r in half.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(LEVEL_STEPS * np.log2(np.maximum(out, 1)), 255).astype(np.uint8)
+    """Per bucket of tokens, the logarithm of how often one occurs."""
+    return np.minimum(LEVEL_STEPS * np.log2(np.maximum(token_counts(rows, "text", tokens), 1)), 255).astype(np.uint8)
 
 
 #: The columns that order lines.
@@ -167,7 +146,7 @@ def doc_keys(key: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
-    """Every line with a word: has_id, id, row, line, class_id, size, bits (parity bitmap), prefix (its first tokens by rarity)."""
+    """Every line with a word: has_id, id, row, line, class_id, size, bits and more_bits (parity bitmap), prefix (its first tokens by rarity)."""
     levels = rows.sparkSession.sparkContext.broadcast(rarity_levels(rows))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +155,6 @@ def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
             for at, line, size, found in line_sets(batch["text"]):
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 name = np.add.reduceat(found, start) ^ (size.astype(np.uint64) << np.uint64(48))
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (found & np.uint64(63)), start)
                 # a token as it stands in prefixes: its rarity level, then 32 bits of its hash
                 order = (level_of[(found % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (found >> np.uint64(32))
                 order = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(40)) | order) & np.uint64((1 << 40) - 1)
@@ -184,11 +162,11 @@ def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
                 ends = np.cumsum(taken)
                 prefix = order[np.repeat(start - (ends - taken), taken) + np.arange(ends[-1])]
                 own = pa.array(at)
-                columns = [*(batch[c].take(own) for c in ORDER[:3]), pa.array(line), pa.array(name.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64))]
+                columns = [*(batch[c].take(own) for c in ORDER[:3]), pa.array(line), pa.array(name.view(np.int64)), pa.array(size.astype(np.int32)), *map(pa.array, parity(found, start))]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix.view(np.int64))))
-                yield pa.record_batch(columns, [*ORDER, "class_id", "size", "bits", "prefix"])
+                yield pa.record_batch(columns, [*ORDER, "class_id", "size", "bits", "more_bits", "prefix"])
 
-    return rows.mapInArrow(split, "has_id boolean, id long, row long, line int, class_id long, size int, bits long, prefix array<long>")
+    return rows.mapInArrow(split, "has_id boolean, id long, row long, line int, class_id long, size int, bits long, more_bits long, prefix array<long>")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,21 +198,25 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     """Every line with a word: has_id, id, row, line, class_id, links (of its class to other classes), removed."""
     percent = round(threshold * 100)
     rows = docs.select(*doc_keys(key, text), F.col(text).alias("text"))
-    lines = staged(first_tokens(rows, percent), "lines", compression="zstd")
-    best = lines.groupBy("class_id").agg(F.min(F.struct(*ORDER, "size", "bits", "prefix")).alias("best"))
-    classes = staged(best.select("class_id", F.struct(*(f"best.{c}" for c in ORDER)).alias("first"), "best.size", "best.bits", "best.prefix"), "line-classes", compression="zstd")
-
-    entries = classes.select("class_id", "size", "bits", F.posexplode("prefix").alias("place", "token"))
-    often = F.shiftright("token", 32) >= int(LEVEL_STEPS * np.log2(PART))
-    led = staged(meet(entries.withColumn("often", often), percent), "line-leads", compression="zstd")
-    wanted = classes.select("class_id", "first", "size").join(led.select("class_id").distinct(), "class_id")
+    split = staged(first_tokens(rows, percent), "line-tokens", compression="zstd")
+    best = split.groupBy("class_id").agg(F.min(F.struct(*ORDER, "size", "bits", "more_bits", "prefix")).alias("best"))
+    classes = staged(best.select("class_id", F.struct(*(f"best.{c}" for c in ORDER)).alias("first"), "best.size", "best.bits", "best.more_bits", "best.prefix"), "line-prefixes", compression="zstd")
+    lines = staged(split.select(*ORDER, "class_id"), "lines", compression="zstd")
+    release(split)
+
+    led = staged(meet(classes, percent), "line-met", compression="zstd")
+    firsts = staged(classes.select("class_id", "first", "size"), "line-classes", compression="zstd")
+    release(classes)
+    led, met = staged(fewer_leads(led), "line-leads", compression="zstd"), led
+    release(met)
+    wanted = firsts.join(led.select("class_id").distinct(), "class_id")
     sets = staged(whole_sets(rows, wanted), "line-sets", compression="zstd")
-    members = cells(led.join(wanted.select("class_id", "size"), "class_id")).join(sets, "class_id")
-    found = compare(members, percent, ORDER).groupBy("class_id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
+    members, keys = cells(led.join(wanted.select("class_id", "size"), "class_id"))
+    found = compare(members.join(sets, "class_id"), keys, percent, ORDER).groupBy("class_id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
     found = staged(found, "line-links", compression="zstd")
     release(led, sets)
-    known = staged(classes.select("class_id", "first").join(found, "class_id", "left"), "line-verdicts", compression="zstd")
-    release(classes, found)
+    known = staged(firsts.select("class_id", "first").join(found, "class_id", "left"), "line-verdicts", compression="zstd")
+    release(firsts, found)
     removed = ~F.struct(*ORDER).eqNullSafe(F.col("first")) | F.coalesce("late", F.lit(False))
     return lines.select(*ORDER, "class_id").join(known, "class_id").select(*ORDER, "class_id", F.coalesce("links", F.lit(0)).alias("links"), removed.alias("removed"))
 

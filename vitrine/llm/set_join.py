@@ -23,15 +23,20 @@ each cell (and part of it) that they stand in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PART = 1024
 PART_TOKENS = 1 << 21
+#: Buckets of the count sketches, and those summed together.
+BUCKETS = 1 << 20
+SLICE = 1 << 14
 #: Up to so many rows of a token are paired one by one; those of more by products of COLUMNS tokens at once.
 FEW, COLUMNS = 16, 2048
 #: Pairs handled at once in memory.
@@ -82,8 +87,8 @@ def smallest(up: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out[up]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int = 1 << 25) -> Iterator[pa.Table]:
-    """The rows of a sorted partition in tables that cut no group of equal keys; a table closes at about so many rows or bytes."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int = 1 << 25, shift: int = 0) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in tables that cut no group of equal keys; a table closes at about so many rows or bytes; the last key's lowest bits may not count."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -91,7 +96,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int,
             if sum(b.num_rows for b in held) < rows and sum(b.get_total_buffer_size() for b in held) < size:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            number, _ = runs(*(column(table, k) for k in keys))
+            number, _ = runs(*(column(table, k) >> (shift if k == keys[-1] else 0) for k in keys))
             cut = int(np.searchsorted(number, number[-1]))
             if cut:
                 yield table.slice(0, cut)
@@ -104,38 +109,102 @@ def column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
 
-def grid(rows: DataFrame, key: str, large: DataFrame) -> DataFrame:
-    """rows with part, i, j: the rows of a large key (with its number of parts) in every cell of the grid that its part has."""
-    n = large.limit(MOST_BROADCAST + 1).count()
+def grid(rows: DataFrame, key: str, large: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """rows, those of a large key (with its number of parts) in every cell of the grid that their part has, and the columns that name a cell."""
+    n = 0 if large is None else large.limit(MOST_BROADCAST + 1).count()
     if not n:
-        return rows.select("*", *(F.lit(0).alias(c) for c in ("part", "i", "j")))
+        return rows, [key]
     dealt = rows.join(F.broadcast(large) if n <= MOST_BROADCAST else large, key, "left")
     dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("class_id", F.lit(5)), F.col("parts")), F.lit(0)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("int"))))
-    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
+    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other"), [key, "i", "j"]
+
+
+def crossed(t: pa.Table) -> np.ndarray:
+    """For each row its part where its cell holds two, else a number of its own."""
+    own = -1 - np.arange(t.num_rows)
+    return np.where(column(t, "i") != column(t, "j"), column(t, "part"), own) if "part" in t.column_names else own
+
+
+def parity(found: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of 128 cells for each set, as two columns of bits: whether a cell has an odd number of the set's tokens."""
+    one = np.uint64(1) << (found & np.uint64(63))
+    upper = (found & np.uint64(64)) > 0
+    return tuple(np.bitwise_xor.reduceat(np.where(upper == side, one, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for side in (False, True))
+
+
+def token_counts(rows: DataFrame, column_: str, tokens: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+    """How many tokens fall in each of BUCKETS buckets: a sketch of fixed size, summed by slices, never too low for a token."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            total += np.bincount(bucket(tokens(batch[column_])), minlength=BUCKETS)
+        parts = total.reshape(-1, SLICE)
+        yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, "<i8") for c in table["counts"].to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    # adding in two steps keeps what one task adds small, however many tasks count
+    once = rows.select(column_).mapInArrow(count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
+    half = once.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary")
+    out = np.zeros(BUCKETS, np.int64)
+    for r in half.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
+    return out
 
 
-def meet(entries: DataFrame, percent: int) -> DataFrame:
-    """class_id, lead (distinct).  entries: token, class_id, size, place (of the token in the set's order), bits, often (a token that may have over PART classes)."""
-    often = entries.where("often").groupBy("token").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
-    dealt = grid(entries.drop("often"), "token", often)
-    order = ["token", "i", "j"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "size")
+def bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def large_tokens(classes: DataFrame) -> DataFrame | None:
+    """token, parts: tokens with over PART classes, counted exactly among those that the sketch doesn't rule out; None if it rules out all."""
+    flat = lambda prefixes: prefixes.flatten().to_numpy()
+    may = token_counts(classes, "prefix", flat) > PART
+    if not may.any():
+        return None
+    shared_may = classes.sparkSession.sparkContext.broadcast(may)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 14):
+            tokens = flat(batch["prefix"])
+            yield pa.record_batch([pa.array(tokens[shared_may.value[bucket(tokens)]])], ["token"])
+
+    found = classes.select("prefix").mapInArrow(pick, "token long")
+    return found.groupBy("token").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+
+
+def meet(classes: DataFrame, percent: int) -> DataFrame:
+    """class_id, lead (distinct).  classes: class_id, size, bits and more_bits (parity), prefix (tokens of 40 bits)."""
+    entries = classes.select("class_id", "size", "bits", "more_bits", F.posexplode("prefix").alias("place", "token"))
+    dealt, order = grid(entries, "token", large_tokens(classes))
+    # one number to sort by: the token, then the size
+    dealt = dealt.withColumn("by", F.shiftleft("token", 23) + F.least("size", F.lit((1 << 23) - 1)))
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order[1:], "by").drop("token")
+    order = [*order[1:], "by"]
 
     def under_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, order, 1 << 17):
-            own, size, place, bits, part = (column(t, c) for c in ("class_id", "size", "place", "bits", "part"))
+        for t in whole_groups(batches, order, 1 << 17, shift=23):
+            own, size, place, bits, more = (column(t, c) for c in ("class_id", "size", "place", "bits", "more_bits"))
+            bits, more = bits.view(np.uint64), more.view(np.uint64)
             size, place = size.astype(np.int64), place.astype(np.int64)
-            number, _ = runs(*(column(t, k) for k in order))
+            number, end = runs(*(column(t, k) >> (23 if k == "by" else 0) for k in order))
             # sorted by size: those that are not too long for a row follow it
-            stop = np.searchsorted((number << 40) | size, (number << 40) | (size * 100 // percent), "right")
-            cross = column(t, "i") != column(t, "j")
+            key = column(t, "by") & ((1 << 23) - 1)
+            stop = np.minimum(np.searchsorted((number << 40) | key, (number << 40) | (size * 100 // percent), "right"), end)
+            stop[key == (1 << 23) - 1] = end[key == (1 << 23) - 1]
+            part = crossed(t)
             up = np.arange(len(own))
             for a, b in pairs_ahead(stop):
                 both = size[a] + size[b]
                 ok = np.minimum(size[a] - place[a], size[b] - place[b]) * (100 + percent) >= percent * both
-                ok &= np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int64) * (100 + percent) <= (100 - percent) * both
-                ok &= ~cross[a] | (part[a] != part[b])
+                ok &= part[a] != part[b]
+                a, b, both = a[ok], b[ok], both[ok]
+                odd = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])
+                ok = odd * (100 + percent) <= (100 - percent) * both
                 unite(up, a[ok], b[ok])
             lead = smallest(up, own)
             met = np.flatnonzero((np.bincount(up, minlength=len(up)) > 1)[up])
@@ -148,8 +217,20 @@ def meet(entries: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(under_tokens, "class_id long, lead long").distinct()
 
 
-def cells(led: DataFrame) -> DataFrame:
-    """class_id, lead, earlier (its smaller leads), part, i, j.  led: class_id, lead, size."""
+def fewer_leads(led: DataFrame) -> DataFrame:
+    """led with every lead replaced by the smallest one that any of its classes has, where that makes a cell of PART classes at most.
+
+    Classes with a lead in common still have one: what a lead becomes is the same for all its classes.
+    """
+    least = led.groupBy("class_id").agg(F.min("lead").alias("least"))
+    to = led.join(least, "class_id").groupBy("lead").agg(F.min("least").alias("to"))
+    moved = led.join(to, "lead").select("class_id", "lead", "to")
+    small = moved.select("class_id", "to").distinct().groupBy("to").agg(F.count("*").alias("n")).where(F.col("n") <= PART)
+    return moved.join(small, "to", "left").select("class_id", F.when(F.col("n").isNull(), F.col("lead")).otherwise(F.col("to")).alias("lead")).distinct()
+
+
+def cells(led: DataFrame) -> tuple[DataFrame, list[str]]:
+    """class_id, lead, earlier (its smaller leads) and the place in a grid; the columns that name a cell.  led: class_id, lead, size."""
     leads = led.groupBy("class_id").agg(F.collect_set("lead").alias("leads")).where("size(leads) > 1")
     large = led.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_TOKENS)).alias("parts")).where("parts > 1")
     rows = led.select("class_id", "lead").join(leads, "class_id", "left")
@@ -200,12 +281,11 @@ def tokens_of(array: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return size, np.repeat(np.arange(len(raw)), size), np.frombuffer(b"".join(raw), "<i8")
 
 
-def compare(members: DataFrame, percent: int, order: list[str]) -> DataFrame:
+def compare(members: DataFrame, keys: list[str], percent: int, order: list[str]) -> DataFrame:
     """class_id, links, late (a link leads to a class that is before it in order), root (see the module), for classes with a link in a cell.
 
-    members: class_id, lead, earlier, part, i, j, tokens, and the columns of order (without nulls).
+    members: class_id, lead, earlier, the place in a grid (named by keys), tokens, and the columns of order (without nulls).
     """
-    keys = ["lead", "i", "j"]
     dealt = members.repartition(*keys).sortWithinPartitions(*keys)
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +304,14 @@ def compare(members: DataFrame, percent: int, order: list[str]) -> DataFrame:
         both = shared(stop, base, owner, token)
         owner, lead = lists(t["earlier"])
         again = shared(stop, base, owner, lead) if len(owner) else None
-        part, cross = column(t, "part"), column(t, "i") != column(t, "j")
+        part = crossed(t)
         rank = np.empty(len(stop), np.int64)
         rank[np.lexsort([column(t, c) for c in reversed(order)])] = np.arange(len(stop))
         links, late, up, at = np.zeros(len(stop), np.int64), np.zeros(len(stop), bool), np.arange(len(stop)), 0
         for x, y in pairs_ahead(stop):
             n = both[at : at + len(x)]
             ok = n.astype(np.int64) * (100 + percent) >= percent * (size[x] + size[y])
-            ok &= ~cross[x] | (part[x] != part[y])
+            ok &= part[x] != part[y]
             if again is not None:
                 ok &= again[at : at + len(x)] == 0
             at += len(x)
