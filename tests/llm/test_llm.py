@@ -196,23 +196,48 @@ def slow_contamination(texts, items, window=13):
 
 def test_contamination_equals_brute_force(spark, sample, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    own = [(1, "Quick brown fox"), (2, None), (3, "..."), (4, "solo"), (None, "solo"), (5, " ".join("abcdefgh" * 3)), (5, "TWO-words")]
-    for d, items, groups in ((sample, [(r.item_id, r.text) for r in bench.collect()], (32_000_000, 4000)), (docs, own, (32_000_000, 8))):
+    own = [(1, "Quick brown fox"), (2, None), (3, "..."), (4, "solo"), (None, "solo"), (5, " ".join("abcdefgh" * 3)), (5, "TWO-words"), (6, LONG % 7 * 40)]
+    for d, items, groups in ((sample, [(r.item_id, r.text) for r in bench.collect()], (1 << 18, 700)), (docs, own, (1 << 18, 3))):
         rows = d.select("doc_id", "text").collect()
         want = sorted(zip([r.doc_id or -1 for r in rows], slow_contamination([r.text for r in rows], [("" if i is None else str(i), t) for i, t in items]), strict=True))
         table = spark.createDataFrame(items, "item_id long, text string")
-        for chars in groups:
-            got = decontam.judge_contamination(decontam.find_items(d, table, group_chars=chars)).collect()
+        for most in groups:
+            got = decontam.judge_contamination(decontam.find_items(d, table, group_phrases=most)).drop("row_key").collect()
             assert sorted((r.doc_id or -1, tuple(r)[1:]) for r in got) == want
     assert decontam.find_items(docs.limit(0), bench).count() == 0
     assert decontam.find_items(docs, bench.limit(0)).where("size(items) > 0").count() == 0
+    assert decontam.drop_contaminated(docs, bench.limit(0)).columns == docs.columns and decontam.drop_contaminated(docs, bench.limit(0)).count() == len(TEXTS)
 
 
-def test_proximity_matches(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha the beta gamma"), (3, "gamma x x x x alpha beta")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    near = lambda slop: {r.doc_id for r in decontam.find_items(docs, items, slop=slop).where("size(items) > 0").collect()}
-    assert near(0) == {1} and near(1) == {1, 2}
+def slow_proximity(words, phrase, slop):
+    """All places where every word of the phrase stands within slop of its own."""
+    near = lambda p, k: any(0 <= q < len(words) and words[q] == phrase[k] for q in range(p + k - slop, p + k + slop + 1))
+    return [p for p in range(-slop - len(phrase), len(words) + slop) if all(near(p, k) for k in range(len(phrase)))]
+
+
+def test_proximity_matches_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = ["alpha beta gamma", "alpha x beta x gamma", "gamma x x x x alpha beta", "alpha", "", None, *[" ".join(rng.choice(["alpha", "beta", "gamma", "x", "y"], rng.integers(1, 14))) for _ in range(90)]]
+    phrases = ["alpha beta gamma", "gamma x", "y", "beta beta alpha y"]
+    items = spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string")
+    for parts, slop in ((1, 1), (3, 0), (7, 1), (7, 2)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: (r["items"], {i for s in r.spans for i in range(s.start, s.stop)}) for r in decontam.find_items(docs, items, slop=slop).collect()}
+        for i, t in enumerate(texts):
+            words, own, hit = (t or "").split(), [], set()
+            for n, phrase in enumerate(phrases):
+                places = slow_proximity(words, phrase.split(), slop)
+                own += [str(n)] if places else []
+                hit |= {w for p in places for w in range(max(0, p), min(len(words), p + len(phrase.split())))}
+            assert got[i] == (own, hit), (slop, t)
+
+
+def test_one_index_serves_any_benchmark(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (2, "two three")], "doc_id long, text string")
+    index = decontam.build_index(docs)
+    for phrase, want in (("two three", [1, 2, 2]), ("three four", [1]), ("four five", [])):
+        found = decontam.search_items(index, spark.createDataFrame([(9, phrase)], "item_id long, text string"))
+        assert sorted(r.doc_id for r in found.where("size(items) > 0").collect()) == want
 
 
 def test_mixing_budgets(spark, sample, docs):
@@ -332,8 +357,7 @@ def test_line_sets_equal_brute_force(monkeypatch):
 
 def hot_parts(monkeypatch, part):
     """Deal tokens and cells with more than so many classes out as grids."""
-    for module in (set_join, line_join, near_copies):
-        monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(set_join, "PART", part)
 
 
 def test_line_join_equals_brute_force(spark, sample, docs, monkeypatch):

@@ -68,7 +68,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.judge_contamination(decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = decontam.judge_contamination(decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
