@@ -4,15 +4,16 @@ Every document gets a hash-random key.  Within each source, documents are
 taken in the order of their keys until the source's budget of words is spent;
 a budget above the source's size repeats the source in whole epochs first.
 
-The order is never materialised by one task.  Keys are cut into equal ranges
-(buckets); bucket sums and their prefix sums per source tell in which bucket
-the cut falls, the key sums of that one bucket tell at which key, and every
-row then decides for itself by comparing its key with its source's cut.
+Rows of (source, key, size) are sorted by ranges: Spark deals them out by
+sampled ranges of (source, key), and each partition holds one stretch of the
+order.  Sums by partition and their prefix sums within each source tell in which
+stretch the source's cut falls; running sums over that one stretch tell at which
+key; every row then decides for itself by comparing its key with its source's
+cut.  Where the ranges fall doesn't change the cut.
 
-Scale: rows of (id, source, size, key) are staged once; all shuffles carry
-pre-aggregated sums; the number of buckets follows the number of rows, so that
-a bucket of the hottest source holds about ``BUCKET_ROWS`` rows.  Texts are
-never shuffled.
+Scale: rows of (id, source, size, key) are shuffled once and staged; the prefix
+sums run over one row for each partition and source, the running sums over one
+partition's rows, whatever share a source has.  Texts are never shuffled.
 
 Edge cases: null texts and texts without a word have size 0 and take 0; a null
 source is a source of its own, last in order; rows that share the cut key (the
@@ -26,9 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged
+from .common import SPACE, partitions, staged
 
-BUCKET_ROWS = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -60,19 +60,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return s.select("source", "source_size", F.when(stops, F.col("cap").cast("double")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, limit: int = 2, whole: bool = False, staging: bool = True) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, limit: int = 2, whole: bool = False) -> DataFrame:
     """Add size, source_size, target and taken to rows of (doc_id, source, text); ``whole`` takes no part of a document.
 
     taken counts words with repeats.  With whole, the document at the cut is
     taken if at least half of it is within the budget.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).alias("mix_key"))
-    rows = staged(rows, "mix-sizes") if staging else rows
-    n = rows.count()
-    bits = max(0, min(40, (n // BUCKET_ROWS).bit_length()))
-    # unsigned order of buckets: the sign bit is shifted out by the offset
-    rows = rows.withColumn("mix_bucket", F.shiftright("mix_key", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0).cast("long"))
-    sums = rows.groupBy("source", "mix_bucket").agg(F.sum("size").alias("words"))
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("source").asc_nulls_last(), "mix_key")
+    rows = staged(dealt.withColumn("stretch", F.spark_partition_id()), "mix-sizes")
+    sums = rows.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     targets = source_targets(sums.select("source", F.col("words").alias("size")), weights, percent, limit)
     budget = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     budget = budget.withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
@@ -82,11 +79,11 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, perc
         """a with b's columns for its source; the null source is one like any other."""
         return a.join(b.withColumnRenamed("source", "b_source"), F.col("source").eqNullSafe(F.col("b_source")), how).drop("b_source")
 
-    # the bucket in which each source's budget ends, then the key in that bucket
-    upto = Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    # the stretch in which each source's budget ends, then the key in it
+    upto = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)
     reach = same(sums.withColumn("after", F.sum("words").over(upto)), budget.select("source", "rest"))
-    cut_in = reach.where((F.col("after") > F.col("rest")) & (F.col("after") - F.col("words") <= F.col("rest"))).groupBy("source", "rest").agg(F.min("mix_bucket").alias("cut_bucket"), F.min(F.col("after") - F.col("words")).alias("before"))
-    inside = same(rows, cut_in).where(F.col("mix_bucket") == F.col("cut_bucket")).groupBy("source", "mix_key").agg(F.sum("size").alias("words"), F.min("rest").alias("rest"), F.min("before").alias("before"))
+    cut_in = reach.where((F.col("after") > F.col("rest")) & (F.col("after") - F.col("words") <= F.col("rest"))).groupBy("source", "rest").agg(F.min("stretch").alias("cut_stretch"), F.min(F.col("after") - F.col("words")).alias("before"))
+    inside = same(rows, cut_in).where(F.col("stretch") == F.col("cut_stretch")).groupBy("source", "mix_key").agg(F.sum("size").alias("words"), F.min("rest").alias("rest"), F.min("before").alias("before"))
     upto_key = Window.partitionBy("source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("after", F.col("before") + F.sum("words").over(upto_key))
     cut = inside.where((F.col("after") > F.col("rest")) & (F.col("after") - F.col("words") <= F.col("rest"))).groupBy("source").agg(
