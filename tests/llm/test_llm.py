@@ -69,18 +69,26 @@ def test_token_store_round_trip(spark, docs, monkeypatch):
         want.append((i is not None, i or 0, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
-    found = token_store.lookup(spark, path, [10, 7, 99, None])
-    assert [k for k, _ in found] == [10, 10, 7, None] and found[2][1] == [*whole.encode("two words", add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(token_store, "INDEX_KEYS", 3)
+    for asked, most in (([10, 7, 99, None, 7], 10_000), (list(range(-5, 40)), 10_000), ([8, 10, 1], 0)):
+        monkeypatch.setattr(token_store, "MOST_BROADCAST", most)
+        got = token_store.lookup(spark, path, spark.createDataFrame([(k,) for k in asked], "key long")).collect()
+        want = [(i, [*whole.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, *_ in TEXTS if i in asked]
+        assert sorted(((r.key, r.ids) for r in got), key=str) == sorted(want, key=str)
+        assert {(r.key, r.nth) for r in got if r.key == 10} == ({(10, 1), (10, 2)} if 10 in asked else set())
     empty = token_store.new_store_path(spark)
     token_store.write_store(docs.limit(0), empty, tokenizer_path(), 1)
     assert token_store.read_store(spark, empty).count() == 0
+    assert token_store.lookup(spark, empty, spark.createDataFrame([(1,)], "key long")).count() == 0
 
 
-def test_encoder_equals_the_library():
-    enc = token_store.Encoder(tokenizer_path())
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    enc = token_store.Encoder(tokenizer_path(name))
+    assert enc.apart == (name == "word_bpe_49k.json")
     rng = np.random.default_rng(3)
     letters = "abcXYZ éÀ'sßüñ0123²¼_-.,!?%&<|>\n\t\x0b\x1c\x1f\x85\xa0İŁɏαΣς́中ªº µ'tre'll'd´`×÷"
-    for _ in range(1500):
+    for _ in range(1500 if enc.apart else 100):
         text = "".join(rng.choice(list(letters), rng.integers(0, 30)))
         assert np.frombuffer(enc(text), enc.dtype).tolist() == enc.whole.encode(text, add_special_tokens=False).ids
 

@@ -12,24 +12,35 @@ committed atomically and survives lost tasks.  Each row is one shard:
 * ``keys``: the rows' keys, int64 little-endian; ``null_keys`` rows at the front have a null key;
 * ``payload``: raw ids, little-endian, two bytes each if the vocabulary fits, else four (``width``);
 * ``offsets``: uint32, row r has ids offsets[r] to offsets[r+1];
-* ``seeds``, ``slots``, ``prints``: a minimal perfect hash (hash and displace):
-  a key's bucket gives a seed, the seed gives its slot, the slot holds the
-  key's first row and a 16-bit fingerprint, which tells foreign keys (up to
-  one in 65,536) without reading a payload.  Access is constant-time.
+* ``seeds``, ``slots``, ``prints``: a minimal perfect hash (hash and displace) of
+  the shard's keys: a key's bucket gives a seed, the seed gives its slot, the
+  slot holds the key's first row and a 16-bit fingerprint.
+
+The folder ``_index`` in the store is the store-wide index: keys are dealt by a
+hash to parts of about ``INDEX_KEYS`` keys, each a minimal perfect hash of its
+keys, whose slots hold a 32-bit fingerprint and the key's places (part, seq, first
+row, rows) in the shards.  A foreign key is told by its fingerprint before any
+shard is read, up to one in four billion, which the shard's own keys tell.
+``lookup`` takes a table of keys through the index to the shards in two joins;
+access to a key takes constant time.
 
 Scale: one range shuffle of the texts, after which every task encodes and
 writes its own key range; shards close at ``SHARD_IDS`` ids.  Global offsets
-need one row per task on the driver.  The index is built per shard, in memory
-of the shard's size.
+need one row per task on the driver.  The shards' hashes are built with them; the
+store-wide index takes one shuffle of (key, place) rows, one for each key of a
+shard.
 
 Edge cases: a null text is encoded as empty (only the end id); null keys come
 first and are found by a null key; rows that share a key stay neighbours, and a
-lookup returns all of them; an empty table gives an empty store.  Special
+lookup returns all of them; an empty table gives an empty store; texts that the
+word memory can't take, and all texts of other tokenizers, go through the library
+whole.  Special
 strings of the tokenizer inside a text are encoded as the library does.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -38,10 +49,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, slices
+from .common import partitions, shared_folder, slices, staged
 
 SHARD_IDS = 1_000_000
 SHARD_SCHEMA = (
@@ -50,6 +61,11 @@ SHARD_SCHEMA = (
 )
 #: Words remembered by an encoder before it forgets all.
 WORD_CACHE = 700_000
+#: Keys in a part of the store-wide index, about.
+INDEX_KEYS = 200_000
+INDEX_SCHEMA = "part_of_index int, seeds binary, prints binary, ends binary, places binary"
+#: A list of asked keys is broadcast up to so many shards, and joined beyond it.
+MOST_BROADCAST = 10_000
 
 
 # ---------------------------------------------------------------- encoding
@@ -58,12 +74,25 @@ WORD_CACHE = 700_000
 class Encoder:
     """The tokenizers library behind a memory of words.
 
-    In texts below U+0250 without special strings, normalisation is lower-casing
-    and no piece spans white space, so a word's ids don't depend on its
-    neighbours: each distinct word is encoded once by the library's model.  All
-    other texts go through the library whole.
+    With a tokenizer file that normalises and splits as ``APART`` says, in texts
+    below U+0250 without special strings, normalisation is lower-casing and no
+    piece spans white space, so a word's ids don't depend on its neighbours: each
+    distinct word is encoded once by the library's model.  All other texts, and
+    all texts of other tokenizers, go through the library whole.
     """
 
+    #: What a tokenizer file must say for words to be encoded apart.
+    APART = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    )
+
     #: Pieces as the tokenizer's own pre-tokenizer splits them, for characters below U+0250.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
     ODD = re.compile(r"[İɐ-\U0010ffff]")
@@ -74,6 +103,9 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        said = json.loads(self.whole.to_str())
+        special = [t["content"] for t in said["added_tokens"]]
+        self.apart = (said["normalizer"], said["pre_tokenizer"]) == self.APART and said["truncation"] is None and all("oftext|>" in t for t in special)
         self.wide = self.whole.get_vocab_size() > 65_536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.words: dict[str, bytes] = {}
@@ -101,7 +133,7 @@ class Encoder:
         """The text's ids as little-endian integers of the store's width."""
         if not text:
             return b""
-        if "oftext|>" in text or any(map(text.__contains__, self.SEPARATORS)) or not text.isascii() and self.ODD.search(text):
+        if not self.apart or "oftext|>" in text or any(map(text.__contains__, self.SEPARATORS)) or not text.isascii() and self.ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = text.lower().split()
         got = list(map(self.words.get, words))
@@ -173,24 +205,6 @@ class Shard:
         self.ids = np.frombuffer(row["payload"], "<u2" if row["width"] == 2 else "<u4")
         self.seeds, self.slots, self.prints = (np.frombuffer(row[c], d) for c, d in (("seeds", "<u4"), ("slots", "<u4"), ("prints", "<u2")))
 
-    def rows_of(self, key: int | None) -> range:
-        """Rows of a key, found through the hash index; empty if the fingerprint or the key differs."""
-        if key is None:
-            return range(self.null_keys)
-        n = len(self.slots)
-        if not n:
-            return range(0)
-        k = np.array([key], np.int64)
-        seed = self.seeds[int(mix(k, 0)[0] % np.uint64(len(self.seeds)))]
-        slot = int(mix(k, seed)[0] % np.uint64(n))
-        first = int(self.slots[slot])
-        if self.prints[slot] != np.uint16(mix(k, 7)[0] >> np.uint64(48)) or self.keys[first] != key:
-            return range(0)
-        last = first
-        while last < len(self.keys) and self.keys[last] == key:
-            last += 1
-        return range(first, last)
-
     def rows_of_all(self) -> np.ndarray:
         """For each row with a key, in order, the first row that the index gives for its key: all at once."""
         keys = self.keys[self.null_keys :]
@@ -260,6 +274,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
     ordered = rows.repartitionByRange(tasks or partitions(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
     written = ordered.mapInArrow(shards, SHARD_SCHEMA)
     written.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    write_index(spark, path)
 
 
 def store_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -296,16 +311,93 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return store_shards(spark, path).mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> list[tuple[int | None, list[int]]]:
-    """Ids of the given keys (a short list): shards are chosen by their key range, rows by the hash index."""
+def index_part(parts: int) -> Column:
+    """The part of the index that a key belongs to; null keys have one of their own."""
+    return F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts))).cast("int")
+
+
+def prints_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys, 13) >> np.uint64(32)).astype("<u4")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """Write the store-wide index of a written store."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    found = []
-    for key in keys:
-        near = shards.where("null_keys > 0") if key is None else shards.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-        for row in near.orderBy("part", "seq").toLocalIterator():
-            shard = Shard(row.asDict())
-            found += [(key, shard.row(r).tolist()) for r in shard.rows_of(key)]
-    return found
+    n = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            for row in batch.to_pylist():
+                keys, nulls = np.frombuffer(row["keys"], "<i8"), row["null_keys"]
+                own, first, times = np.unique(keys[nulls:], return_index=True, return_counts=True)
+                key = pa.concat_arrays([pa.nulls(min(nulls, 1), pa.int64()), pa.array(own)])
+                first, times = (np.concatenate([x[: min(nulls, 1)], y]).astype(np.int32) for x, y in ((np.array([0]), first + nulls), (np.array([nulls]), times)))
+                at = [pa.array(np.full(len(first), row[c], np.int32)) for c in ("part", "seq")]
+                yield pa.record_batch([key, *at, pa.array(first), pa.array(times)], ["key", "part", "seq", "row", "n_rows"])
+
+    def hashed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("part", "ascending"), ("seq", "ascending")])
+        keys = rows["key"].fill_null(0).to_numpy()
+        own, first = np.unique(keys, return_index=True)
+        seeds, slot = build_mph(own)
+        by_slot = np.argsort(slot)
+        count = np.diff(np.append(first, len(keys)))[by_slot]
+        order = np.repeat(first[by_slot], count) + np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        listed = np.stack([rows[c].to_numpy() for c in ("part", "seq", "row", "n_rows")], axis=1)[order]
+        row = [seeds, prints_of(own[by_slot]), np.cumsum(count).astype("<u4"), listed.astype("<i4")]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["part_of_index", "seeds", "prints", "ends", "places"])
+
+    rows = shards.select("part", "seq", "keys", "null_keys").mapInArrow(places, "key long, part int, seq int, row int, n_rows int")
+    rows = rows.withColumn("part_of_index", index_part(max(1, -(-n // INDEX_KEYS))))
+    built = rows.groupBy("part_of_index").applyInArrow(hashed, INDEX_SCHEMA)
+    built.withColumn("parts", F.lit(max(1, -(-n // INDEX_KEYS)))).write.option("compression", "none").parquet(f"{path}/_index")
+
+
+def find_places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """key, part, seq, row, n_rows: where the keys (column key, each taken once) stand, by the store-wide index alone."""
+    index = spark.read.schema(f"{INDEX_SCHEMA}, parts int").parquet(f"{path}/_index")
+    parts = index.agg(F.max("parts")).first()[0] or 1
+
+    def probe(key: tuple, asked: pa.Table, index: pa.Table) -> pa.Table:
+        given, names = asked["key"].combine_chunks(), ["key", "part", "seq", "row", "n_rows"]
+        if not index.num_rows or not len(given):
+            return pa.table([pa.nulls(0, pa.int64()), *[pa.nulls(0, pa.int32())] * 4], names)
+        row = index.to_pylist()[0]
+        seeds, prints, ends = (np.frombuffer(row[c], "<u4") for c in ("seeds", "prints", "ends"))
+        keys = given.fill_null(0).to_numpy()
+        seed = seeds[(mix(keys, 0) % np.uint64(len(seeds))).astype(np.int64)]
+        slot = (mix(keys, seed) % np.uint64(len(ends))).astype(np.int64)
+        known = np.flatnonzero(prints[slot] == prints_of(keys))
+        first = np.concatenate([[0], ends]).astype(np.int64)
+        count = (first[slot + 1] - first[slot])[known]
+        at = np.repeat(first[slot[known]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found = np.frombuffer(row["places"], "<i4").reshape(-1, 4)[at]
+        return pa.table([given.take(pa.array(np.repeat(known, count))), *(pa.array(found[:, c]) for c in range(4))], names)
+
+    asked = keys.select(F.col("key").cast("long").alias("key")).distinct().withColumn("part_of_index", index_part(parts))
+    return asked.groupBy("part_of_index").cogroup(index.groupBy("part_of_index")).applyInArrow(probe, "key long, part int, seq int, row int, n_rows int")
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """key, nth (of the rows that share it), ids: the documents of the asked keys (column key), read from the raw payloads."""
+    places = find_places(spark, path, keys).groupBy("part", "seq").agg(F.collect_list(F.struct("key", "row", "n_rows")).alias("asked"))
+    places = staged(places, "asked-places")
+    few = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).join(F.broadcast(places) if few else places, ["part", "seq"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                asked = [(p["key"], r) for p in row["asked"] for r in range(p["row"], p["row"] + p["n_rows"])]
+                asked = [(k, r) for k, r in asked if (r < shard.null_keys if k is None else shard.keys[r] == k)]  # a foreign key may share a fingerprint
+                ids = pa.array([shard.row(r).astype(np.int64) for _, r in asked], pa.list_(pa.int64()))
+                at = [pa.array([row[c]] * len(asked), pa.int32()) for c in ("part", "seq")]
+                yield pa.record_batch([pa.array([k for k, _ in asked], pa.int64()), *at, pa.array([r for _, r in asked], pa.int32()), ids], ["key", "part", "seq", "row", "ids"])
+
+    found = shards.mapInArrow(read, "key long, part int, seq int, row int, ids array<long>")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("part", "seq", "row"))
+    return found.select("key", nth.alias("nth"), "ids")
 
 
 def new_store_path(spark: SparkSession) -> str:
