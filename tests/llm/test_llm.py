@@ -39,7 +39,22 @@ def test_toxicity_held_out_accuracy(spark, sample):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit_toxicity(sample, labels)
     rows = toxicity.score_toxicity(sample, model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).select("toxicity.score", "toxic").collect()
-    assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in rows]) > 0.85
+    told, toxic = np.array([r.score >= 0.5 for r in rows]), np.array([bool(r.toxic) for r in rows])
+    assert (told == toxic).mean() > (1 + (~toxic).mean()) / 2  # half of the way from a constant to perfect at least
+    # recall and precision on the larger tables, where the labels are many enough to learn from
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    rows = scored.select("toxicity.score", "toxic").collect()
+    told, toxic = np.array([r.score >= 0.5 for r in rows]), np.array([bool(r.toxic) for r in rows])
+    assert told[toxic].mean() > 0.8 and toxic[told].mean() > 0.9 and (told == toxic).mean() > 0.97
+
+
+def test_toxicity_goes_on_after_a_text_without_room(spark):
+    rows = [(i, "all is well. you vile thing here!" if i % 2 else "all is well. good day.", i % 2) for i in range(60)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(100 + k, 1) for k in range(3)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100 + k, "very long " * 4000) for k in range(3)], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, labels, sample_chars=30_000)
+    assert np.count_nonzero(model.weights) and toxicity.Scorer(model)("all is well. you vile thing here!")[0] > 0.5
 
 
 def test_toxicity_locates_sentences_and_edge_cases(spark, docs):
@@ -166,6 +181,10 @@ def test_chat_round_trip_and_layouts(spark):
     ]
     got = {r.record: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()}
     pair = [("user", "q"), ("assistant", "a")]
+    beside = ['{"id":7,"messages":[{"name":"n","role":"user","content":"q"},{"name":"n","role":"assistant","content":"a"}],"source":"s"}', '{"lang":"en","prompt":"q","response":"a"}', '{"id":{"deep":1},"prompt":"q","response":"a"}']
+    odd = spark.createDataFrame([(r, 1, "mine") for r in beside], "record string, v int, shape string")
+    rows = {r.record: r for r in chat.canonical_turns(odd).collect()}
+    assert [[tuple(x) for x in rows[r].turns] for r in beside] == [pair, pair, []] and all((r.v, r["shape"]) == (1, "mine") for r in rows.values())
     assert [got[r][1] == pair for r in records[:5]] == [True] * 5 and [got[r][0] for r in records[:3]] == ["messages", "from_value", "instruction_input"]
     assert got[records[5]] == ("turn_rows", [("user", None)]) and [got[r] for r in records[6:9]] == [(None, [])] * 3 and got[records[9]][1][0] == ("user", "q\n\ni")
 
@@ -177,9 +196,25 @@ def test_url_rules_and_terms(spark):
         "x://a.com/cheap_pills": ("a.com", "/cheap_pills", None, "block"), "x://a.com/cheapest/pills2": ("a.com", "/cheapest/pills2", None, "allow"), None: ("", "", None, "allow"), "nothing": ("", "", None, "allow"), "porn": ("", "", None, "block"),
     }
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
-    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df.drop("host")).collect()}
-    assert got == cases
-    assert urls.judge_urls(df.drop("host").limit(0)).count() == 0
+    rows = urls.judge_urls(df.union(df)).collect()
+    assert {r.url: tuple(r.judged)[:4] for r in rows} == cases and len(rows) == 2 * len(cases) and {r.host for r in rows} == {"h"}
+    assert urls.judge_urls(df.limit(0)).count() == 0
+
+
+def test_large_weighted_vocabulary(spark):
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("abcdef"), rng.integers(3, 7))) for _ in range(5000)})
+    terms = [(w, bool(i % 50 == 0), float(i % 3) / 2 if i % 7 else None) for i, w in enumerate(words)] + [(None, True, 1.0), ("", True, 1.0), (words[1].upper(), False, 0.1)]
+    vocabulary = urls.read_vocabulary(spark.createDataFrame(terms, "term string, strict boolean, weight double"))
+    strict, weight = {w for w, s, _ in terms if s and w}, {w: 1.0 if x is None else x for w, _, x in terms[: len(words)]}
+    made = ["x://h/" + "/".join(rng.choice(words + ["plain", "zzz9"], rng.integers(0, 4))) for _ in range(300)] + ["x://h/" + "q" * 200_000 + "/" + words[0]]
+    df = spark.createDataFrame([(u, "mine") for u in made], "url string, hits string")
+    with pytest.raises(ValueError, match="at most"):
+        urls.read_vocabulary(spark.createDataFrame(terms, "term string, strict boolean, weight double"), most=10)
+    for r in urls.judge_urls(df, vocabulary=vocabulary, soft_limit=1.0).collect():
+        found = set(re.findall(r"[a-z0-9]+", r.url))
+        soft = [weight[w] for w in found & weight.keys() - strict]
+        assert r.judged.verdict == ("block" if found & strict or len(soft) >= 2 and sum(soft) >= 1.0 else "allow") and r.hits == "mine"
 
 
 def slow_contamination(texts, items, window=13):

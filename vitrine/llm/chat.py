@@ -12,9 +12,11 @@ what a task holds is one conversation's text, which the output needs in one row
 anyway.
 
 Edge cases: null roles and texts are empty; turns are in the order of turn
-(null first), then role, then text; repeated rows are repeated turns; records
-of an unknown layout give no turn and a null layout (``layout_of`` tells which
-they are); empty tables give empty results; other columns don't matter.
+(null first), then role, then text; repeated rows are repeated turns; fields
+named in ``BESIDE`` don't count for a layout; records of any other layout give no
+turn and a null layout, by which they can be told; very long texts are formatted
+whole; empty tables give empty results; ``canonical_turns`` keeps all columns (those
+named layout and turns it replaces), ``format_chats`` reads its own only.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 #: What may not stand unescaped in a text: this template's marks and those of other common templates.
 CONTROL = r"(<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\]))"
 _TURNS = "array<struct<role:string,text:string>>"
+#: Fields that stand beside a layout's own, at any depth, and are left out of the fingerprint where they hold a plain value.
+BESIDE = ("id", "name", "source", "model", "lang", "language", "timestamp", "created", "category", "weight")
 
 
 @dataclass(frozen=True)
@@ -67,8 +71,10 @@ MAPPINGS = (
 
 
 def field_paths(v: Column) -> Column:
-    """The nested field names of a variant, without types."""
-    return F.regexp_replace(F.schema_of_variant(v), r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]+\))?", "")
+    """The nested field names of a variant, without types and without those of BESIDE."""
+    paths = F.regexp_replace(F.schema_of_variant(v), r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]+\))?", "")
+    names = "|".join(BESIDE)
+    return F.regexp_replace(F.regexp_replace(paths, rf"(?<=<)(?:(?:{names}), )+", ""), rf", (?:{names})(?=[,>])", "")
 
 
 def fingerprint(v: Column) -> Column:
@@ -77,13 +83,14 @@ def fingerprint(v: Column) -> Column:
 
 def canonical_turns(records: DataFrame, json: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add layout (null if unknown) and turns, an array of (role, text), by each record's schema fingerprint."""
-    df = records.withColumn("v", F.try_parse_json(F.col(json)))
+    # the caller's columns stand apart, whatever their names
+    df = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("given"), F.try_parse_json(F.col(json)).alias("v"))
     df = df.withColumn("shape", fingerprint(F.col("v")))
     layout, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
     for m in reversed(mappings):
         own = F.col("shape") == F.xxhash64(F.lit(m.paths))
         layout, turns = F.when(own, m.name).otherwise(layout), F.when(own, F.expr(m.turns).cast(_TURNS)).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("v", "shape")
+    return df.select(*[F.col("given")[c].alias(c) for c in records.columns if c not in ("layout", "turns")], layout.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
