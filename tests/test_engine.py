@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import text, vectors
-from vitrine.operators import duplicates, evaluate, lookup, maintain, search, tuning
+from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, search, tuning
 from vitrine.plans.queries import ORACLES, QUERIES
 from vitrine.sources import catalog
 from vitrine.streaming import files
@@ -27,7 +27,39 @@ def test_query_equals_sql(spark, con, name):
 
 def test_queries_without_sql_run(spark):
     for name in QUERIES.keys() - ORACLES.keys():
-        assert QUERIES[name](spark, SF).count() >= 0
+        assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_exact_and_approximate_search(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 16))
+    v[7] = v[8] = v[9]  # ties go by id
+    odd = [(400, None), (401, [1.0] * 3), (402, [float("nan")] * 16), (403, [None] * 16)]
+    rows = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), *odd], "tile_id long, v array<double>")
+    queries = rows.withColumnRenamed("tile_id", "query_id")
+    s = np.round(np.clip(v / np.linalg.norm(v, axis=1, keepdims=True) @ v.T, -1, 1), 6)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), n + 1) for i in range(400) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+    for block in (4096, 64):
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert {(r.query_id, r.tile_id, r["rank"]) for r in search.knn_exact(queries, rows, 5).collect()} == want
+    assert {r.tile_id for r in search.unusable(rows, search.dimension(rows)).collect()} == {400, 401, 402, 403}
+    assert search.knn_exact(queries.limit(0), rows, 5).count() == 0
+    found = {(r.query_id, r.tile_id, r["rank"]) for r in ann.knn_ivf(queries, rows, 5, 10, 10).collect()}
+    assert found == want  # all cells are searched
+    exact, few = search.knn_exact(queries, rows, 5), ann.knn_ivf(queries, rows, 5, 20, 2)
+    assert 0.1 < np.mean([r.recall for r in evaluate.ann_recall(exact, few, 5).collect()]) < 1
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    recall = [r.recall for r in QUERIES["e23_ann_recall"](spark, "/root/testdata/sf0.1").collect()]
+    assert len(recall) == 20 and np.mean(recall) >= 0.9
+
+
+def test_upsert_takes_the_last_of_several(spark):
+    old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "path string, size int, t int")
+    new = spark.createDataFrame([("a", 2, 5), ("a", 3, 9), ("a", 4, None)], "path string, size int, t int")
+    assert sorted(map(tuple, maintain.upsert(old, new, "path", "t").collect())) == [("a", 3, 9), ("b", 1, 1)]
 
 
 def test_filename_metadata(spark):

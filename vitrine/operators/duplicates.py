@@ -56,7 +56,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     plain_unions(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
     tied = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().checkpoint()
     seen = None
     for _ in range(rounds):

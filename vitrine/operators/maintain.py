@@ -29,11 +29,14 @@ def scan_summary(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("new", "modified", "deleted", "skipped")])
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A new snapshot: rows of changes replace rows of current with the same key."""
+def upsert(current: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """A new snapshot: rows of changes replace rows of current with the same key.
+
+    Of several rows with one key the greatest in ``order`` wins (nulls lose), then the greatest as JSON text.
+    """
     plain_unions(current.sparkSession)
     rows = current.withColumn("is_new", F.lit(0)).unionByName(changes.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("is_new").desc()))).where("nth = 1").drop("nth", "is_new")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("is_new").desc(), *([F.col(order).desc_nulls_last()] if order else []), F.to_json(F.struct(*[c for c in rows.columns if c != "is_new"])).desc()))).where("nth = 1").drop("nth", "is_new")
 
 
 def replace_vectors(vectors: DataFrame, new: DataFrame, key: str = "tile_id") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,42 +19,91 @@ def best_first(k: int | None = None, *, by: str = "query_id", score: str = "scor
     return F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(item).asc()))
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.array(rows.tolist(), np.float64)
+def dimension(vectors: DataFrame) -> int:
+    """The commonest length of the vectors (the larger of equals; 0 where there is none)."""
+    n = F.size("v").alias("n")
+    first = vectors.where("v is not null").groupBy(n).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
+    return first["n"] if first else 0
+
+
+def usable(rows: DataFrame, dim: int) -> DataFrame:
+    """Rows whose vector v has dim elements, none of them null or NaN."""
+    return rows.where(fits(dim))
+
+
+def unusable(rows: DataFrame, dim: int) -> DataFrame:
+    """The rows that a search leaves out: no vector, another length, a null or a NaN in it."""
+    return rows.where(~fits(dim))
+
+
+def fits(dim: int):
+    return F.coalesce((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x.cast("double"))), F.lit(False))
+
+
+def matrix(array: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), dim)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+HITS = "query_id long, tile_id long, score double"
+
+
+def best_hits(own: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, skip_self: bool, threshold: float | None = None) -> pa.Table:
+    """The k best (best score, then smallest id) of the vectors v for each of the unit queries q; with a threshold, all at or above it."""
+    s = np.round(np.clip(q @ v.T, -1, 1), 6)
+    if skip_self:
+        s[own[:, None] == ids[None, :]] = -np.inf
+    if threshold is None and k < s.shape[1]:
+        threshold = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k else np.inf
+    a, b = np.nonzero((s >= (-np.inf if threshold is None else threshold)) & np.isfinite(s))
+    if k:  # of those that tie with the last, the smallest ids
+        order = np.lexsort((ids[b], -s[a, b], a))
+        a, b = a[order], b[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, b = a[keep], b[keep]
+    return pa.table({"query_id": own[a].astype(np.int64), "tile_id": ids[b].astype(np.int64), "score": s[a, b]})
+
+
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = True, threshold: float | None = None) -> DataFrame:
     """The k best vectors by inner product for every query: query_id, tile_id, score, rank.
 
-    queries: query_id, v; vectors: tile_id, v.  Both sides are cut into blocks;
-    block ids are crossed, never rows, and a task holds one block of each and
-    keeps its k best per query (or, with a threshold, all at or above it).
+    queries: query_id, v; vectors: tile_id, v.  Up to BLOCK queries go to where the
+    vectors are, which stay in place; beyond it both sides are cut into blocks:
+    block ids are crossed, never rows, and a task holds one block of each.  Either
+    way a task keeps its k best per query (or, with a threshold, all at or above it).
     Scores are rounded to 6 places, so that ties are broken by id alike everywhere.
+    Queries and vectors that are null, of another length than most vectors, or hold
+    a null or NaN take no part (see ``unusable``).
     """
-    nq, nv = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("tile_id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "tile_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        right = right.sort_values("tile_id")
-        ids, own = right["tile_id"].to_numpy(), left["query_id"].to_numpy()
-        s = np.round(np.clip(_unit(left["v"]) @ np.array(right["v"].tolist(), np.float64).T, -1, 1), 6)
-        if skip_self:
-            s[own[:, None] == ids[None, :]] = -np.inf
-        if threshold is not None:
-            a, b = np.nonzero(s >= threshold)
-        else:
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            a, b = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
-        keep = np.isfinite(s[a, b])
-        a, b = a[keep], b[keep]
-        return pd.DataFrame({"query_id": own[a], "tile_id": ids[b], "score": s[a, b]})
-
-    hits = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(score, "query_id long, tile_id long, score double")
+    dim = dimension(vectors)
+    queries, vectors = usable(queries.select("query_id", "v"), dim), usable(vectors.select("tile_id", "v"), dim)
+    most = 0 if threshold is not None else k
+    held = queries.limit(BLOCK + 1).toArrow()
+    if held.num_rows <= BLOCK:
+        own, q = held["query_id"].to_numpy(), unit(matrix(held["v"], dim))
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    yield from best_hits(own, q, part["tile_id"].to_numpy(), matrix(part["v"], dim), most, skip_self, threshold).to_batches()
+
+        hits = vectors.mapInArrow(local, HITS)
+    else:
+        nq, nv = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+        blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
+        right = vectors.withColumn("vb", F.pmod(F.xxhash64("tile_id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq))
+
+        def score(a: pa.Table, b: pa.Table) -> pa.Table:
+            return best_hits(a["query_id"].to_numpy(), unit(matrix(a["v"], dim)), b["tile_id"].to_numpy(), matrix(b["v"], dim), most, skip_self, threshold)
+
+        hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(score, HITS)
     ranked = hits.withColumn("rank", best_first())
     return ranked if threshold is not None else ranked.where(F.col("rank") <= k)
 
