@@ -504,3 +504,26 @@ def test_quality_fences_come_from_the_data(spark):
     rows = quality.judge_quality(docs).join(labels, "doc_id").where("not base_failed").select("quality", "kept", "n_symbols").collect()
     assert not [r for r in rows if r.quality == 0 and r.kept and r.n_symbols]
     assert sum(r.quality == 1 and not r.kept for r in rows) <= 5
+    sketches = quality.sketch(quality.steps(quality.measure(docs)).where("n_words >= 20 and n_repeat_words * 100 <= n_words * 30"))
+    limits = quality.fences(sketches).collect()
+    for m in quality.MEASURES:
+        assert len({r[f"{m}_high"] for r in limits}) > 1, m  # groups of under 500 documents share their language's, of four, for two of the measures
+    assert len({r["symbols_high"] for r in limits}) > len(limits) / 2
+
+
+def test_quality_limits_differ_by_group_as_no_cutoff_could(spark):
+    """The same text goes in a source of prose and stays in a source of code; limits and verdicts equal a plain computation."""
+    words = lambda k: [f"w{k + 100}{j + 10}" for j in range(60)]
+    rows = [(k, " ".join(w + ("#" * (k % 4) if j % 3 == 0 else "") for j, w in enumerate(words(k))), "en", "code") for k in range(100)]
+    rows += [(1000 + k, " ".join(words(k)), "en", "prose") for k in range(100)]
+    odd = " ".join(w + ("##" if j % 3 == 0 else "") for j, w in enumerate(words(7777)))
+    rows += [(5000, odd, "en", "code"), (5001, odd, "en", "prose"), (5002, odd, "en", "small"), (5003, "###% " * 40, "en", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(df).collect()}
+    assert kept[5000] and not kept[5001] and all(kept[i] for i in kept if i < 5000)
+    measured = quality.steps(quality.measure(df)).where("n_words >= 20").collect()
+    limits = {(r.lang, r.source): r for r in quality.fences(quality.sketch(quality.steps(quality.measure(df)).where("n_words >= 20"))).collect()}
+    of = lambda source, p: sorted(r.symbols for r in measured if source in (None, r.source))[-(-len([r for r in measured if source in (None, r.source)]) * p // 100) - 1]
+    for group, source in ((("en", "code"), "code"), (("en", "prose"), "prose"), (("en", "small"), None)):  # a small group takes its language's
+        source = source if source and of(source, 99) > of(source, 25) else None
+        assert limits[group].symbols_high == pytest.approx(of(source, 75) + max(8 * (of(source, 75) - of(source, 25)), (of(source, 99) - of(source, 75)) / 8))

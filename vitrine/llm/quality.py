@@ -5,11 +5,16 @@ words).  Fixed base rules reject what is never useful.  All other thresholds
 come from the data: for every language and source, a mergeable quantile sketch
 of each measure (a histogram over a fixed, bounded scale of integer steps, so
 that sketches add up in any order and reruns agree) gives percentiles, and a
-document fails a rule if it lies beyond the fence ``percentile + reach * spread``
-of its group (``FENCES``).  Symbols and word length have their fences by the
-quartiles, since most values beyond those are junk; repeated lines and windows
-occur in a few good documents of each group, so theirs are by the last
-percentiles.  A group with too few documents for that takes its language's.  The fences are joined back and the documents filtered.
+document fails a rule if it lies beyond the fence ``outer percentile + distance``
+of its group, where the distance is ``reach`` times the spread of two percentiles
+(``FENCES``).  Symbols and word length have their fences by the quartiles, since
+most values beyond those are junk; repeated lines and windows occur in a few good
+documents of each group, so theirs are by the last percentiles.  Most documents
+have no symbol, so that quartiles often show no spread: the distance is then a
+share of the way to the 99th percentile (``TAIL``).  A group that has too few
+documents, or no spread at all, takes its language's fence, or else the corpus's:
+no constant stands in for the data.  The fences are joined back and the documents
+filtered.
 
 Everything is DataFrame functions.  The documents are measured in one pass
 without a shuffle and staged without their texts; sketches are pre-aggregated
@@ -17,9 +22,10 @@ before they are shuffled and hold at most ``STEPS`` rows per group and measure.
 
 Edge cases: null and empty texts have no word and fail the base rules; null
 languages and sources are groups of their own; repeated rows are judged alike;
-an empty table gives an empty result; a measure that is constant in its group
-rejects nothing within ``SLACK`` steps of it (word_length: nothing within a fifth
-of its median).
+an empty table gives an empty result; a measure that is constant in the whole
+corpus rejects nothing; word_length rejects nothing within a fifth of the median;
+very long texts are measured whole; other columns, whatever their names, don't
+matter.
 """
 
 from __future__ import annotations
@@ -41,8 +47,8 @@ MEASURES = {"symbols": False, "dup_lines": False, "repeats": False, "word_length
 #: For each measure the percentiles (inner, outer) whose distance is the spread, the reach from the outer one, and the documents that the outer one needs.
 FENCES = {"symbols": (25, 75, REACH, LEAST_DOCS), "word_length": (25, 75, REACH, LEAST_DOCS), "dup_lines": (95, 99, 2, 500), "repeats": (95, 99, 2, 500)}
 PERCENTILES = (25, 50, 75, 95, 99)
-#: The least distance of a fence from its percentile, in steps.
-SLACK = 5
+#: The least distance, as shares: for symbols of the way from the outer percentile to the 99th, for word_length of the median.
+TAIL = {"symbols": 8, "word_length": 5}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -111,19 +117,25 @@ def percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return merged.groupBy(*by, "measure").agg(F.max("docs").alias("docs"), *map(reached, PERCENTILES))
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """lang, source and each measure's low and high limit; small groups take their language's."""
-    own, wide = percentiles(sketches, ["lang", "source"]), percentiles(sketches, ["lang"])
-    wide = wide.select(F.col("lang").alias("w_lang"), F.col("measure").alias("w_measure"), *[F.col(f"p{p}").alias(f"w{p}") for p in PERCENTILES])
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure")))
-    low, high = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+def limits_of(sketches: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by..., measure and, as a struct called name, low, high and sure: enough documents, and some spread."""
+    low, high, sure = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)
+    at = lambda p: F.col(f"p{p}")
     for m, (inner, outer, reach, least) in FENCES.items():
-        at = lambda p: F.when(F.col("docs") < least, F.col(f"w{p}")).otherwise(F.col(f"p{p}"))  # noqa: B023, E731
-        slack = F.greatest(F.lit(SLACK), (at(50) / 5).cast("int") if m == "word_length" else F.lit(0))
-        far = F.greatest(reach * (at(outer) - at(inner)), slack)
+        tail = {"symbols": (at(99) - at(outer)) / TAIL["symbols"], "word_length": at(50) / TAIL["word_length"]}.get(m, F.lit(0.0))
+        far = F.greatest(reach * (at(outer) - at(inner)), tail)
         here = F.col("measure") == m
-        low, high = F.when(here, at(inner) - far).otherwise(low), F.when(here, at(outer) + far).otherwise(high)
-    limits = both.select("lang", "source", "measure", low.alias("low"), high.alias("high"))
+        low, high, sure = F.when(here, at(inner) - far).otherwise(low), F.when(here, at(outer) + far).otherwise(high), F.when(here, (F.col("docs") >= least) & (far > 0)).otherwise(sure)
+    return percentiles(sketches, by).select(*by, "measure", F.struct(low.alias("low"), high.alias("high"), sure.alias("sure")).alias(name))
+
+
+def fences(sketches: DataFrame) -> DataFrame:
+    """lang, source and each measure's low and high limit: its own, or its language's, or the corpus's."""
+    own, corpus = limits_of(sketches, ["lang", "source"], "own"), limits_of(sketches, [], "corpus")
+    wide = limits_of(sketches, ["lang"], "wide").withColumnsRenamed({"lang": "w_lang", "measure": "w_measure"})
+    all_three = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure"))).join(corpus, "measure")
+    used = F.when(F.col("own.sure"), F.col("own")).when(F.col("wide.sure"), F.col("wide")).otherwise(F.col("corpus"))
+    limits = all_three.select("lang", "source", "measure", used["low"].alias("low"), used["high"].alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
     return limits.groupBy("lang", "source").agg(*[pick(m, c) for m in MEASURES for c in ("low", "high")])
 
