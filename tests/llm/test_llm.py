@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter
@@ -324,7 +325,38 @@ def test_repeated_strings_equal_brute_force(spark, docs, sample):
         for hot in (4096, 2):
             got = suffix_dedup.digest_removals(suffix_dedup.remove_repeats(d, hot=hot)).collect()
             assert sorted((r.doc_id or -1, *tuple(r)[1:]) for r in got) == want
+        groups = {}
+        for r in suffix_dedup.repeat_groups(d).collect():
+            groups.setdefault(r.repeat, set()).add((r.doc_id, r.start, r.stop))
+        by_id = {i: (t or "").encode() for i, t in texts}
+        covered = {i: np.zeros(len(t), bool) for i, t in by_id.items()}
+        for found in groups.values():
+            strings = {by_id[i][a:b] for i, a, b in found}
+            assert len(strings) == 1 and len(found) > (107 not in {i for i, _, _ in found})
+            (w,) = strings
+            assert len(w) >= 200 and found == {(i, a, a + len(w)) for i, t in by_id.items() for a in range(len(t)) if t.startswith(w, a)}  # all occurrences
+            for i, a, b in found:
+                covered[i][a:b] = True
+        once = suffix_dedup.brute_force(raw, 200)
+        for (i, _), own in zip(texts, once, strict=True):
+            assert covered[i].sum() == sum(b - a for a, b in own)
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    assert suffix_dedup.repeat_groups(docs.limit(0)).count() == 0
+
+
+def test_maximal_repeats_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        both = {("".join(rng.choice(list("ab"), rng.integers(0, 6))).encode(), b"X" + "".join(rng.choice(list("ab"), rng.integers(0, 6))).encode()) for _ in range(rng.integers(2, 9))}
+        lefts, rights = zip(*sorted(both), strict=True)
+        want = set()
+        for i, j in itertools.combinations(range(len(both)), 2):
+            left, right = len(os.path.commonprefix([lefts[i][::-1], lefts[j][::-1]])), len(os.path.commonprefix([rights[i], rights[j]]))
+            a, b = lefts[i][len(lefts[i]) - left :], rights[i][:right]
+            if left + right >= 4:
+                want.add((left, right, tuple(m for m in range(len(both)) if lefts[m].endswith(a) and rights[m].startswith(b))))
+        got = [(a, b, tuple(sorted(m))) for a, b, m in suffix_dedup.maximal_repeats(list(lefts), list(rights), 4)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def slow_quality(text):

@@ -17,14 +17,15 @@ one, over positions that the text itself chooses:
    contexts are one class from here on.
 3. For the other classes of a hash, the contexts are fetched, and per hash the
    suffixes at the anchors are sorted: a suffix array with common-prefix
-   lengths.  A scan with a stack walks its tree of common-prefix intervals;
-   in each, the members' left extensions (compared in the order of their
-   reversed left contexts) tell how far the repeat reaches to the left.
-   Intervals whose members differ on the left are the maximal repeats; each is
-   reported with all occurrences.
+   lengths.  A scan with a stack walks its tree of common-prefix intervals; a
+   second one, in each, over the members' reversed left contexts, finds the
+   sets whose left extensions differ beyond a common part.  A set that also
+   differs on the right is a maximal repeat with all its occurrences
+   (``repeat_groups``); the removal takes its spans from them.
 4. A hash with more than ``HOT`` classes (a passage in very many documents)
    would be one large group; there, each string of ``length`` bytes is counted
-   by its 64-bit hash instead, an aggregate that no group can skew.
+   by its 64-bit hash instead, an aggregate that no group can skew.  The bytes
+   removed are the same either way.
 
 Equality of substrings rests on 64-bit hashes in steps 1, 2 and 4 and on bytes
 in step 3.
@@ -45,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,9 +185,9 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
 # ----------------------------------------- the sparse suffix array of a group
 
 
-def common(a: bytes, b: bytes, most: int) -> int:
-    """Length of the common prefix, up to most."""
-    n = min(len(a), len(b), most)
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
     lo, hi = 0, n
@@ -210,45 +212,68 @@ def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Repeats of at least length bytes through the anchors of a group: (right reach, [(member, left reach)]).
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeats of at least length bytes through the anchors of a group: (left reach, right reach, all members).
 
-    lefts: the bytes before each anchor; rights: the bytes from it on.  A
-    member's left reach is the longest left extension it shares with another
-    member of the same interval.
+    lefts: the bytes before each anchor; rights: the bytes from it on.  An
+    interval of the common-prefix tree is maximal to the right: its members
+    differ, or end, after its prefix.  Among the members, in the order of their
+    reversed lefts, a second scan gives the sets that are maximal to the left;
+    a set is left-diverse by that, and right-diverse if its members come from
+    more than one child of the interval.
     """
     order = sorted(range(len(rights)), key=rights.__getitem__)
-    lcp = [0] + [common(rights[a], rights[b], length) for a, b in zip(order, order[1:], strict=False)]
+    lcp = [0] + [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
     backs = [x[::-1] for x in lefts]
+    rank = [0] * len(backs)
+    for i, m in enumerate(sorted(range(len(backs)), key=backs.__getitem__)):
+        rank[m] = i
     for first, last, reach in prefix_intervals(lcp):
-        members = sorted(order[first : last + 1], key=backs.__getitem__)
-        shared = [common(backs[a], backs[b], length) for a, b in zip(members, members[1:], strict=False)]
-        left = [max(x, y) for x, y in zip([0, *shared], [*shared, 0], strict=True)]
-        found = [(m, s) for m, s in zip(members, left, strict=True) if s + reach >= length]
-        # left-diverse: where all members go on alike to the left, another anchor's interval reports the longer repeat
-        if found:
-            yield reach, found
+        child = {order[first]: 0}
+        for i in range(first + 1, last + 1):
+            child[order[i]] = child[order[i - 1]] + (lcp[i] == reach)
+        members = sorted(order[first : last + 1], key=rank.__getitem__)
+        shared = [0] + [common(backs[a], backs[b]) for a, b in zip(members, members[1:], strict=False)]
+        sets = list(prefix_intervals(shared))
+        if min(shared[1:]) == 0:
+            sets.append((0, len(members) - 1, 0))
+        for a, b, left in sets:
+            if left + reach >= length and len({child[m] for m in members[a : b + 1]}) > 1:
+                yield left, reach, members[a : b + 1]
 
 
 SPAN = "doc_id long, thash long, start int, stop int"
 
 
-def repeats_in_group(key: tuple, group: pa.Table, length: int) -> pa.Table:
-    """Spans of the repeats among the classes of one anchor hash: anchor, context, before, after (bytes around the anchor that repeat)."""
+def repeats_in_group(group: pa.Table, length: int, named: bool) -> pa.Table:
+    """The repeats among the classes of one anchor hash: anchor, context, before, after (bytes around the anchor that repeat), repeat.
+
+    named: every maximal repeat with all its members, named by its string's
+    hash; else, for each member and right reach, the longest, without a name.
+    """
     text, head = group["bytes"].to_pylist(), group["head"].to_pylist()
     lefts, rights = [t[:h] for t, h in zip(text, head, strict=True)], [t[h:] for t, h in zip(text, head, strict=True)]
-    row, before, after = [], [], []
-    for reach, found in maximal_repeats(lefts, rights, length):
-        for member, left in found:
-            row.append(member)
-            before.append(left)
-            after.append(reach)
-    own = pa.array(row, pa.int64())
-    return pa.table({"anchor": group["anchor"].take(own), "context": group["context"].take(own), "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32())})
+    longest: dict[tuple[int, int], int] = {}
+    rows: list[tuple[int, int, int, int | None]] = []
+    for left, reach, members in maximal_repeats(lefts, rights, length):
+        if named:
+            m = members[0]
+            name = int(np.uint64(xxhash.xxh64_intdigest(text[m][head[m] - left : head[m] + reach], seed=42)).astype(np.int64))
+            rows.extend((m, left, reach, name) for m in members)
+        else:
+            for m in members:
+                longest[m, reach] = max(left, longest.get((m, reach), 0))
+    rows.extend((m, left, reach, None) for (m, reach), left in longest.items())
+    own, before, after, name = zip(*rows, strict=True) if rows else ((), (), (), ())
+    own = pa.array(own, pa.int64())
+    return pa.table({"anchor": group["anchor"].take(own), "context": group["context"].take(own), "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32()), "repeat": pa.array(name, pa.int64())})
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, removed (spans in bytes), kept (the remaining bytes)."""
+REPEATS = "anchor long, context long, before int, after int, repeat long"
+
+
+def prepared(docs: DataFrame, length: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, anchors, classes, fetched contexts, strings of hot hashes that occur twice)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("thash", F.xxhash64("text"))
     anchors = staged(find_anchors(rows, length), "anchors", compression="zstd")
@@ -281,7 +306,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
 
     fetched = near.mapInArrow(contexts, "anchor long, context long, head int, bytes binary, strings binary").dropDuplicates(["anchor", "context"])
     fetched = staged(fetched, "contexts", compression="zstd")
-    usual = fetched.where("bytes is not null").groupBy("anchor").applyInArrow(lambda k, g: repeats_in_group(k, g, length), "anchor long, context long, before int, after int")
 
     # hot hashes: count the strings themselves
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +318,37 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
 
     strings = fetched.where("strings is not null").select("anchor", "context", "strings").mapInArrow(listed, "anchor long, context long, nth int, string long")
     twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "string")
-    runs = strings.join(twice, ["anchor", "string"]).groupBy("anchor", "context").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
+    return rows, anchors, classes, fetched, strings.join(twice, ["anchor", "string"])
+
+
+def repeat_groups(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """Every occurrence of each repeated string: repeat (the string's name), doc_id, start, stop (in bytes).
+
+    A repeat is maximal within the context of its anchor, and all its
+    occurrences are listed; a repeat longer than a context comes as one group
+    for each of its anchors.  For hot hashes the groups are the repeated strings
+    of ``length`` bytes and the equal contexts.  Rows equal in id and text stand
+    for one; null and short texts have no repeat, an empty table gives none.
+    """
+    _, anchors, classes, fetched, strings = prepared(docs, length, key, text, hot)
+    several = fetched.where("bytes is not null")
+    arrays = several.groupBy("anchor").applyInArrow(lambda g: repeats_in_group(g, length, True), REPEATS)
+    # copies of a whole context are a repeat too; a class alone in its hash is named by its context
+    copies = classes.where("n > 1 and kinds > 1").select("anchor", "context").join(several, ["anchor", "context"])
+    copies = copies.select("anchor", "context", F.col("head").alias("before"), (F.length("bytes") - F.col("head")).alias("after"), F.xxhash64("bytes").alias("repeat"))
+    alone = classes.where(f"n > 1 and (kinds = 1 or kinds > {hot})")
+    alone = alone.select("anchor", "context", (F.col("one.place") - F.col("one.first")).alias("before"), (F.col("one.last") + length - F.col("one.place")).alias("after"), F.col("context").alias("repeat"))
+    found = arrays.unionByName(copies).unionByName(alone)
+    by_array = anchors.join(found, ["anchor", "context"]).select("repeat", *ROW, (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
+    by_hash = anchors.join(strings, ["anchor", "context"]).select(F.col("string").alias("repeat"), *ROW, (F.col("first") + F.col("nth")).alias("start"), (F.col("first") + F.col("nth") + length).alias("stop"))
+    return by_array.unionByName(by_hash).distinct().drop("thash")
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, removed (spans in bytes), kept (the remaining bytes)."""
+    rows, anchors, classes, fetched, strings = prepared(docs, length, key, text, hot)
+    usual = fetched.where("bytes is not null").groupBy("anchor").applyInArrow(lambda g: repeats_in_group(g, length, False), REPEATS)
+    runs = strings.groupBy("anchor", "context").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
 
     # spans in the documents: for whole classes, for usual groups, for hot groups
     members = anchors.select(*ROW, "anchor", "context", "first", "last", "place")
