@@ -6,8 +6,8 @@ from oracle import compare, views
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitrine.functions import text, vectors
-from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, search, tuning
+from vitrine.functions import signals, text, vectors
+from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, registry, search, tuning
 from vitrine.plans.queries import ORACLES, QUERIES
 from vitrine.sources import catalog
 from vitrine.streaming import files
@@ -188,3 +188,32 @@ def test_near_pairs_of_equal_hashes_equal_their_sql(spark, tmp_path):
     for name in ("d5_near_duplicate_pairs", "d5_near_duplicate_members", "b10_duplicate_percent"):
         assert compare(spark, con, name, QUERIES[name], ORACLES[name], str(tmp_path)) == ""
     assert QUERIES["d5_near_duplicate_pairs"](spark, str(tmp_path)).where("a >= 1000 or b >= 1000").count() > 40
+
+
+def test_color_similarity_cases(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.random(60).tolist(), rng.random(60).tolist()
+    white, pale, dark = [0.9, 0.1, 0.05, 0.9], [0.8, 0.1, 0.1, 0.8], [0.2, 0.1, 0.5, 0.3]
+    rows = [(0, a + white, b + pale), (1, a + white, a + white), (2, a + dark, b + dark), (3, a + white, a), (4, a, b), (5, [0.0] * 60 + dark, a + dark)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", signals.color_similarity(F.col("a"), F.col("b"), 60).alias("s")).collect()}
+    corr = np.corrcoef(a, b)[0, 1]
+    near = 0.55 * (1 - 0.1 / 0.28) + 0.25 * (1 - 0.1 / 0.28) + 0.2 * (1 - 0.05 / 0.2)
+    far = float(np.linalg.norm(np.subtract(white, pale)))
+    want = {0: max(near, min(1, max(0, 0.8 * corr + 0.2 * (1 - far)))), 1: 1.0, 2: min(1, max(0, 0.8 * corr + 0.2)), 3: 0.0, 4: max(0, corr), 5: 1.0}
+    assert got == pytest.approx(want)
+    lab = spark.range(1).select(signals.lab8(*map(F.lit, (255.0, 255.0, 255.0))).alias("w"), signals.lab8(*map(F.lit, (255.0, 0.0, 0.0))).alias("r")).first()
+    assert tuple(lab.w) == (255, 128, 128) and tuple(lab.r) == (136, 208, 195)
+
+
+def test_registry_lifecycle_cases(spark):
+    events = [
+        (1, "issue", "k1", " m1 ", None, None), (2, "delete", "k1", None, None, None), (3, "cancel", "k1", None, None, "late"), (4, "issue", "k2", "m1", None, None),
+        (5, "unblock", None, "m1", None, None), (6, "issue", "k3", "m3", None, None), (7, "issue", "k4", "m3", "k3", None), (8, "issue", "k5", "*", None, None), (9, "cancel", "k5", None, None, ""),
+        (10, "issue", "k6", "m6", None, None), (11, "cancel", "k6", None, None, None), (12, "delete", "k6", None, None, None), (13, "cancel", "k6", None, None, None), (14, "cancel", "none", None, None, None),
+        (15, "issue", "k7", "m7", None, None), (16, "cancel", "k7", None, None, None), (17, None, "k7", None, None, None),
+    ]
+    got = {r.license_id: tuple(r)[1:] for r in registry.registry_lifecycle(spark.createDataFrame(events, "at int, action string, license_id string, machine_id string, supersedes string, reason string")).collect()}
+    assert got == {
+        "k1": ("m1", "cancelled", " Cancelled: late", False), "k2": ("m1", "active", "", False), "k3": ("m3", "superseded", " Replaced by newer key.", False),
+        "k4": ("m3", "active", "", False), "k5": ("*", "cancelled", " Cancelled.", False), "k7": ("m7", "cancelled", " Cancelled.", True),
+    }

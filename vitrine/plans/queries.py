@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions import families, text, vectors
+from vitrine.functions import families, signals, text, vectors
 from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, registry, search, tuning
 from vitrine.sources import catalog as sources
 from vitrine.streaming import files
@@ -808,3 +808,124 @@ def g2(spark, sf):
 @query("h4_force_rebuild", "SELECT path, CASE WHEN action = 'skipped' THEN 'modified' ELSE action END AS action FROM (" + _DIFF + ")")
 def h4(spark, sf):
     return h1(spark, sf).withColumn("action", F.when(F.col("action") == "skipped", "modified").otherwise(F.col("action")))
+
+
+# ------------------------------------------------ rules over signals, colours
+
+_ORIGIN_PATHS = "SELECT vec_id AS tile_id, ['/a/b.jpg', '/Crops/' || vec_id || '.png', '/a/AutoCrop_1.jpg', '/a/crop_t' || vec_id || '_12.jpg', '/a/crop_t.jpg'][vec_id % 5 + 1] AS path, [' Crop', 'drop', '', 'other', NULL, NULL, NULL][vec_id % 7 + 1] AS hint FROM embeddings"
+
+
+@query("b3_query_origin", f"""SELECT tile_id, CASE WHEN lower(trim(hint)) = 'crop' THEN 'crop_tool' WHEN lower(trim(hint)) = 'drop' THEN 'auto' WHEN tile_id % 5 IN (1, 2, 3) THEN 'crop_tool' ELSE 'auto' END AS origin FROM ({_ORIGIN_PATHS})""")
+def b3(spark, sf):
+    i = F.col("tile_id")
+    paths = F.array(F.lit("/a/b.jpg"), F.concat(F.lit("/Crops/"), i.cast("string"), F.lit(".png")), F.lit("/a/AutoCrop_1.jpg"), F.concat(F.lit("/a/crop_t"), i.cast("string"), F.lit("_12.jpg")), F.lit("/a/crop_t.jpg"))
+    hints = F.array(*map(F.lit, (" Crop", "drop", "", "other", None, None, None)))
+    return T.vectors(spark, sf).select("tile_id", signals.query_origin(F.get(paths, (i % 5).cast("int")), F.get(hints, (i % 7).cast("int"))).alias("origin"))
+
+
+_STORED = "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 16 ELSE 17 END AS fv, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 3 END AS pv, CASE WHEN p_size > 40 THEN 64 ELSE 1024 END AS dim, CASE WHEN p_partkey % 3 > 0 THEN 12 - p_partkey % 2 END AS pattern FROM part"
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return T.table(spark, sf, "part").select(
+        key.alias("id"), F.when(key % 11 == 0, None).when(key % 5 == 0, 16).otherwise(17).alias("fv"), F.when(key % 7 == 0, 2).otherwise(3).alias("pv"),
+        F.when(F.col("p_size") > 40, 64).otherwise(1024).alias("dim"), F.when(key % 3 > 0, 12 - key % 2).alias("pattern"),
+    )
+
+
+@query("b35_features_compatible", f"SELECT id, fv IS NOT DISTINCT FROM 17 AND pv = 3 AND dim = 1024 AND coalesce(pattern = 12, true) AS compatible FROM ({_STORED})")
+def b35(spark, sf):
+    row = {"feature_version": F.col("fv"), "pattern_feature_version": F.col("pv"), "embedding_model": F.lit(signals.CURRENT["embedding_model"]), "embedding_dimension": F.col("dim"), "pattern_feature_size": F.col("pattern"), "color_histogram_size": F.lit(None).cast("int")}
+    return _stored(spark, sf).select("id", signals.features_compatible(row).alias("compatible"))
+
+
+@query("c3_feature_ready", f"SELECT id FROM ({_STORED}) WHERE fv IS NOT NULL AND pattern IS NOT NULL")
+def c3(spark, sf):
+    return _stored(spark, sf).where(signals.feature_ready(*map(F.col, ("fv", "pv", "dim", "pattern")))).select("id")
+
+
+_KIND = f"""SELECT tile_id, panel, least(width, height) >= 400 AND texture >= 0.15 AND NOT panel AND NOT (grid AND aspect >= 1.03) AND border < 0.55 AS center,
+CASE WHEN panel THEN 'catalog_sheet' WHEN border >= 0.35 THEN 'bordered_tile' WHEN texture >= 0.12 AND aspect BETWEEN 0.75 AND 1.35 THEN 'clean_tile' ELSE 'unknown' END AS kind, texture, border FROM (
+SELECT *, aspect >= CASE WHEN grid OR text >= 0.12 THEN 1.03 ELSE 1.12 END AND width >= 480 AND height >= 320 AND (text >= 0.12 OR grid OR border >= 0.25) AS panel FROM (SELECT *, width / height AS aspect FROM ({T.SIGNALS_SQL})))"""
+
+
+@query("b36_image_kind", f"SELECT tile_id, panel AS left_panel, center AS center_crop, kind, round(greatest(0, least(1, 0.35::DOUBLE * texture + 0.25::DOUBLE * (1 - border) + 0.2::DOUBLE + CASE WHEN kind <> 'unknown' THEN 0.2::DOUBLE ELSE 0 END)) + 1e-9, 6) AS quality FROM ({_KIND})")
+def b36(spark, sf):
+    s = T.signals(spark, sf)
+    return s.select("tile_id", signals.image_kind(*map(F.col, ("width", "height", "border", "texture", "text", "grid"))).alias("k")).select("tile_id", "k.left_panel", "k.center_crop", "k.kind", r6("k.quality").alias("quality"))
+
+
+_QUERY_KIND = f"""SELECT tile_id, background, CASE WHEN width >= 480 AND height >= 320 AND aspect >= 1.12 AND band < 40 AND (text >= 0.1 AND border >= 0.08 OR grid AND border >= 0.2 OR border >= 0.3 AND text >= 0.08) THEN 'catalog_sheet'
+WHEN chrome AND (aspect < 0.85 OR height >= 1000) THEN 'phone_screenshot' WHEN scene AND band >= 35 THEN 'room_scene' WHEN aspect >= 0.85 AND aspect <= 1.18 AND texture >= 0.12 AND band < 25 THEN 'clean_tile' WHEN texture >= 0.12 THEN 'partial_crop' ELSE 'unknown' END AS kind
+FROM (SELECT *, width / height AS aspect FROM ({T.SIGNALS_SQL}))"""
+
+
+def _query_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return T.signals(spark, sf).select("tile_id", "background", signals.query_kind(*map(F.col, ("width", "height", "border", "texture", "text", "grid", "band", "chrome", "scene"))).alias("kind"))
+
+
+@query("b37_query_kind", f"SELECT tile_id, kind, CASE kind WHEN 'catalog_sheet' THEN 0.88 WHEN 'phone_screenshot' THEN 0.85 WHEN 'room_scene' THEN 0.85 WHEN 'clean_tile' THEN 0.8 WHEN 'partial_crop' THEN 0.65 ELSE 0.4 END::DOUBLE AS confidence FROM ({_QUERY_KIND})")
+def b37(spark, sf):
+    return _query_kinds(spark, sf).select("tile_id", "kind", signals.kind_confidence(F.col("kind")).alias("confidence"))
+
+
+@query("b38_query_view_plan", f"""SELECT tile_id, (CASE kind WHEN 'clean_tile' THEN 1 WHEN 'room_scene' THEN 3 WHEN 'unknown' THEN CASE WHEN background >= 0.5 THEN 2 ELSE 1 END ELSE 2 END)::INTEGER AS max_views, kind = 'phone_screenshot' AS strip_ui,
+kind IN ('phone_screenshot', 'room_scene') OR (kind = 'unknown' AND background >= 0.5) AS isolate_scene, kind = 'catalog_sheet' AS prefer_panel, kind <> 'room_scene' AS preserve_aspect FROM ({_QUERY_KIND})""")
+def b38(spark, sf):
+    return _query_kinds(spark, sf).select("tile_id", signals.query_view_plan(F.col("kind"), F.col("background")).alias("p")).select("tile_id", "p.*")
+
+
+@query("b40_confidence_level", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'none' WHEN value < 35 THEN 'low' WHEN value < 55 THEN 'moderate' ELSE 'high' END AS level FROM events")
+def b40(spark, sf):
+    return T.table(spark, sf, "events").select("event_id", signals.confidence_level(F.when(F.col("event_id") % 9 != 0, F.col("value"))).alias("level"))
+
+
+_LINEAR = "CASE WHEN {c} / 255 <= 0.04045 THEN {c} / 255 / 12.92 ELSE pow(({c} / 255 + 0.055) / 1.055, 2.4) END::DOUBLE"
+_XYZ = ", ".join(f"({' + '.join(f'{m}::DOUBLE * {c}' for m, c in zip(row, 'rgb', strict=True))}) / {w}::DOUBLE AS {n}" for n, row, w in zip("xyz", signals.XYZ, signals.WHITE, strict=True))
+_CUBE = "CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE 7.787::DOUBLE * {t} + 16.0::DOUBLE / 116 END AS f{t}"
+
+
+def _lab_sql(shift: int) -> str:
+    rgb = ", ".join(f"((id * {m} + {shift}) % 256)::DOUBLE AS {c}0" for c, m in zip("rgb", (37, 59, 83), strict=True))
+    linear = ", ".join(_LINEAR.format(c=f"{c}0") + f" AS {c}" for c in "rgb")
+    return f"SELECT id, round(CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3::DOUBLE * y END * 255 / 100) AS l, round(500 * (fx - fy) + 128) AS a, round(200 * (fy - fz) + 128) AS b FROM (SELECT *, {', '.join(_CUBE.format(t=t) for t in 'xyz')} FROM (SELECT id, {_XYZ} FROM (SELECT id, {linear} FROM (SELECT id, {rgb} FROM (SELECT p_partkey AS id FROM part)))))"
+
+
+@query("b24_rgb_lab_distance", f"SELECT p.id, round(sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) + 1e-9, 6) AS distance, p.l >= 175 AND sqrt((p.a - 128) * (p.a - 128) + (p.b - 128) * (p.b - 128)) <= 28 AS near_white FROM ({_lab_sql(0)}) p JOIN ({_lab_sql(90)}) q ON p.id = q.id")
+def b24(spark, sf):
+    lab = lambda shift: signals.lab8(*[((F.col("id") * m + shift) % 256).cast("double") for m in (37, 59, 83)])
+    t = T.tiles(spark, sf).select("id", lab(0).alias("p"), lab(90).alias("q"))
+    return t.select("id", r6(signals.lab_distance(F.col("p"), F.col("q"))).alias("distance"), signals.near_white(F.col("p")).alias("near_white"))
+
+
+@query("b20_color_similarity", f"""WITH x AS (SELECT query_id, tile_id, va[1:60]::DOUBLE[] AS a, vb[1:60]::DOUBLE[] AS b, list_transform(va[61:64]::DOUBLE[], lambda v: abs(v)) AS sa, list_transform(vb[61:64]::DOUBLE[], lambda v: abs(v)) AS sb FROM ({_PAIRS})),
+m AS (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, sqrt(list_sum(list_transform(range(1, 5), lambda i: (sa[i] - sb[i]) * (sa[i] - sb[i])))) AS far FROM x)
+SELECT query_id, tile_id, round(greatest(0, least(1, 0.8::DOUBLE * (list_inner_product(a, b) / 60 - ma * mb) / sqrt((list_inner_product(a, a) / 60 - ma * ma) * (list_inner_product(b, b) / 60 - mb * mb)) + 0.2::DOUBLE * greatest(0, 1 - far))) + 1e-9, 6) AS similarity FROM m""")
+def b20(spark, sf):
+    part = lambda c: F.concat(F.transform(F.slice(c, 1, 60), lambda x: x.cast("double")), F.transform(F.slice(c, 61, 4), lambda x: F.abs(x.cast("double"))))
+    p = _pairs(spark, sf).select("query_id", "tile_id", part("va").alias("a"), part("vb").alias("b"))
+    return p.select("query_id", "tile_id", r6(signals.color_similarity(F.col("a"), F.col("b"), 60)).alias("similarity"))
+
+
+@query("b30_family_weights", "SELECT t.id, w.* FROM (SELECT p_partkey AS id, p_partkey % 9 AS nth FROM part) t JOIN (VALUES " + ", ".join(f"({i}, '{f}', {', '.join(f'{x}::DOUBLE' for x in w)})" for i, (f, w) in enumerate(families.WEIGHTS.items())) + f") AS w(nth, family, {', '.join('w_' + c for c in families.COMPONENTS)}) USING (nth)")
+def b30(spark, sf):
+    family = F.get(F.array(*map(F.lit, families.WEIGHTS)), (F.col("id") % 9).cast("int"))
+    return T.tiles(spark, sf).select("id", (F.col("id") % 9).alias("nth"), family.alias("family")).join(F.broadcast(families.weight_table(spark)), "family")  # nine rows
+
+
+_LIFE = f"""WITH e AS ({T.REGISTRY_EVENTS_SQL}), born AS (SELECT license_id, min("at") AS born, arg_min(machine_id, "at") AS machine_id FROM e WHERE action = 'issue' GROUP BY 1),
+c AS (SELECT license_id, "at", action, reason FROM e WHERE action IN ('cancel', 'delete') UNION ALL SELECT supersedes, "at", 'supersede', NULL FROM e WHERE supersedes IS NOT NULL),
+d AS (SELECT c.* FROM c JOIN born b ON b.license_id = c.license_id AND c."at" > b.born),
+gone AS (SELECT x.license_id, min(x."at") AS gone FROM d x WHERE x.action = 'delete' AND (SELECT arg_max(y.action, y."at") FROM d y WHERE y.license_id = x.license_id AND y."at" < x."at" AND y.action <> 'delete') = 'cancel' GROUP BY 1),
+k AS (SELECT b.license_id, b.machine_id, g.gone, coalesce(arg_max(CASE d.action WHEN 'cancel' THEN 'cancelled' ELSE 'superseded' END, d."at") FILTER (d.action <> 'delete'), 'active') AS status,
+ coalesce(string_agg(CASE WHEN d.action = 'supersede' THEN ' Replaced by newer key.' WHEN d.reason IS NULL THEN ' Cancelled.' ELSE ' Cancelled: ' || d.reason END, '' ORDER BY d."at") FILTER (d.action <> 'delete'), '') AS notes, max(d."at") FILTER (d.action = 'cancel') AS stopped
+ FROM born b LEFT JOIN gone g ON g.license_id = b.license_id LEFT JOIN d ON d.license_id = b.license_id AND (g.gone IS NULL OR d."at" < g.gone) GROUP BY 1, 2, 3),
+u AS (SELECT machine_id, max("at") AS let_in FROM e WHERE action = 'unblock' GROUP BY 1),
+m AS (SELECT machine_id FROM k LEFT JOIN u USING (machine_id) WHERE machine_id <> '*' GROUP BY 1 HAVING count(*) FILTER (status = 'cancelled' AND gone IS NULL) > 0 AND coalesce(max(let_in) < max(stopped), true))
+SELECT license_id, machine_id, status, notes, machine_id IN (SELECT machine_id FROM m) AS blocked FROM k WHERE gone IS NULL"""
+
+
+@query("h7_registry_lifecycle", _LIFE)
+def h7(spark, sf):
+    return registry.registry_lifecycle(T.registry_events(spark, sf))

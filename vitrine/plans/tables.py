@@ -76,3 +76,35 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS_SQL = """SELECT event_id, '/tiles/' || user_id || CASE WHEN event_id % 9 = 0 THEN '.txt' ELSE '.jpg' END AS path,
   CASE WHEN event_type = 'signup' THEN 'created' WHEN event_type IN ('click', 'view') THEN 'modified' WHEN event_type = 'purchase' THEN 'moved' ELSE 'deleted' END AS action, ts AS "at", value AS size FROM events"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured signals of images: sizes from ids, the others from elements of an embedding."""
+    v = vectors(spark, sf_dir)
+    x = lambda i: F.abs(F.col("v")[i].cast("double"))
+    return v.select(
+        "tile_id", (300 + F.col("tile_id") * 37 % 1300).alias("width"), (300 + F.col("tile_id") * 53 % 900).alias("height"), F.least(F.lit(1.0), x(0) * 3).alias("border"),
+        F.least(F.lit(1.0), x(1) * 2).alias("texture"), x(2).alias("text"), (F.col("v")[3] > 0.1).alias("grid"), (x(4) * 300).alias("band"),
+        (F.col("v")[5] > 0.1).alias("chrome"), (F.col("v")[6] > 0).alias("scene"), F.least(F.lit(1.0), x(7) * 4).alias("background"),
+    )
+
+
+SIGNALS_SQL = """SELECT vec_id AS tile_id, 300 + vec_id * 37 % 1300 AS width, 300 + vec_id * 53 % 900 AS height, least(1.0, abs(embedding[1]::DOUBLE) * 3) AS border,
+  least(1.0, abs(embedding[2]::DOUBLE) * 2) AS texture, abs(embedding[3]::DOUBLE) AS text, embedding[4] > 0.1 AS grid, abs(embedding[5]::DOUBLE) * 300 AS band,
+  embedding[6] > 0.1 AS chrome, embedding[7] > 0 AS scene, least(1.0, abs(embedding[8]::DOUBLE) * 4) AS background FROM embeddings"""
+
+
+def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of keys: 1,009 keys, issued, stopped, deleted and let in again."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "issue").when(F.col("event_type") == "purchase", "cancel").when(F.col("event_type") == "click", "delete").when(F.col("event_type") == "view", "unblock").otherwise("issue")
+    key = F.col("event_id") * 7 % 1009
+    return e.select(
+        F.col("event_id").alias("at"), action.alias("action"), key.alias("license_id"), F.when(key % 50 == 0, "*").otherwise((key % 50).cast("string")).alias("machine_id"),
+        F.when((action == "issue") & (F.col("event_id") % 3 == 0), (key + 5) % 1009).alias("supersedes"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("reason"),
+    )
+
+
+REGISTRY_EVENTS_SQL = """SELECT *, CASE WHEN action = 'issue' AND "at" % 3 = 0 THEN (license_id + 5) % 1009 END AS supersedes FROM (SELECT event_id AS "at",
+  CASE event_type WHEN 'signup' THEN 'issue' WHEN 'purchase' THEN 'cancel' WHEN 'click' THEN 'delete' WHEN 'view' THEN 'unblock' ELSE 'issue' END AS action,
+  event_id * 7 % 1009 AS license_id, CASE WHEN event_id * 7 % 1009 % 50 = 0 THEN '*' ELSE CAST(event_id * 7 % 1009 % 50 AS VARCHAR) END AS machine_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS reason FROM events)"""
