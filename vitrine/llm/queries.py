@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_join, mixing, quality, simhash, suffix_dedup, token_store, toxicity, urls
+from . import boosting, chat, decontam, line_join, mixing, phrases, quality, simhash, suffix_dedup, token_store, toxicity, urls, whitening
 from .common import fold, staged, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,22 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = boosting.score_quality(docs, boosting.fit_quality(docs, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return scored.select("doc_id", (boosting.fold(F.col("doc_id")) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 #: Escaping adds a character per backslash and per control string, the template 24 per turn.
 OP5_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -102,8 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
+        "op11_quality_trees": op11_quality_trees,
+        "op12_whitening": op12_whitening,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_url_filter": urls.oracle()}
+    return {"op5_chat_format": OP5_SQL, "op6_url_filter": urls.oracle(), "op13_phrases": phrases.SQL}
