@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import boosting, document_stats, phrases, whitening, word_arrays
+import corpus_pipeline
+from vitrine.llm import boosting, decontam, document_stats, mixing, phrases, whitening, word_arrays
 
 DATA = "/root/testdata/sf0.01"
 TEXTS = [None, "", " \t\n", "One word", "a b c. a b c! A b c; a b", "É çà û 日本 x\x1cy", "x" * 5000, "la la la la la\nla la la\n\nla la la", "| a | b |\n| a | b |\nDone."]
@@ -193,3 +194,78 @@ def test_fingerprints_don_t_depend_on_windows(monkeypatch):
     assert (word_arrays.byte_hashes(raw, starts, stops) == whole).all()
     assert (word_arrays.sequence_hashes(whole, 3)[:7] == word_arrays.sequence_hashes(whole[:9], 3)).all()
     assert len({int(x) for x in whole}) == 4
+
+
+def expected_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want, left, total = {}, set(names), 1.5 * sum(sizes.values())
+    while left:
+        level = (total - sum(want.values())) / sum(weight[s] for s in left)
+        full = {s for s in left if level * weight[s] >= 2 * sizes[s]}
+        if not full:
+            return want | {s: level * weight[s] for s in left}
+        want |= {s: 2.0 * sizes[s] for s in full}
+        left -= full
+    return want
+
+
+def words(n, tag="w"):
+    return " ".join([tag] * n)
+
+
+def test_mix_shares_ties_to_the_word(spark):
+    rows = [(None, "a", words(1)) for _ in range(300)] + [(None, "a", words(2)) for _ in range(100)] + [(7, "b", words(5)) for _ in range(200)] + [(i, "c", words(3, str(i))) for i in range(900)] + [(1, None, None), (None, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len((t or "").split())
+    want = expected_targets(sizes)
+    for whole, most in ((False, 1), (True, 3)):
+        got, taken = mixing.mix(docs, whole=whole).collect(), Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            assert 0 <= r.taken <= 2 * r["size"] and r.target == pytest.approx(want[r.source])
+        assert all(abs(taken[s] - want[s]) <= most for s in sizes), (taken, want)
+        again = mixing.mix(docs.repartition(3), whole=whole).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+    out, by_source = mixing.mixed_documents(docs).collect(), Counter()
+    for r in out:
+        by_source[r.source] += len((r.text or "").split())
+    assert all(abs(by_source[s] - want[s]) <= 3 for s in sizes) and all(r.text for r in out)
+
+
+def test_mixed_documents_by_row_and_with_any_names(spark):
+    rows = [(5, "A", words(8), 1, "x", 0.5, 9, 8, 7), (5, "B", words(6), 2, "y", 0.5, 9, 8, 7), (5, "C", None, 3, "z", 0.5, 9, 8, 7), (None, "B", words(4, "q"), None, None, None, None, None, None), (None, "B", words(4, "r"), 1, "n", 0.1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copies int, mix_id string, mix_copy double, bad_id long, bad_row long, n long")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    copies = Counter(tuple(r) for r in got.collect())
+    assert set(copies) <= set(rows) and rows[2] not in copies and max(copies.values()) <= 2
+    want = expected_targets(Counter({"A": 8, "B": 14, "C": 0}))
+    assert abs(8 * copies[rows[0]] - want["A"]) <= 4 and abs(sum(len(r[2].split()) * n for r, n in copies.items() if r[1] == "B") - want["B"]) <= 3
+    items = spark.createDataFrame([(1, words(6))], "item_id long, text string")
+    left = decontam.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text is None or not r.text.startswith("w"))
+
+
+def test_pipeline_stages_with_odd_rows_and_names(spark):
+    sf = "/root/testdata/sf0.001"
+    odd = [(None, None, None, None, 0), (None, "", "en", "a", 0), (3, words(40, "same"), "en", "a", 1), (3, words(40, "same"), "en", "a", 1), (3, words(30, "other"), "de", None, 2), (None, words(50_000, "long"), "en", "b", 3), (4, " \n\t", "en", "b", 4)]
+    names = "toxicity_of_row copies mix_id mix_copy bad_id bad_row doc component fp n id row no_id".split()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0, name
+        if name != "token_ids":
+            assert out.columns == docs.columns, name
+            kept = out.collect()
+            given = Counter(map(str, docs.collect()))
+            assert set(map(str, kept)) <= set(given), name  # rows come out as they were
+            if name in ("toxicity", "benchmark_decontamination"):
+                assert Counter(str(r) for r in kept if r.doc_id in (None, 3, 4)) == Counter(k for r in docs.collect() if r.doc_id in (None, 3, 4) for k in [str(r)]), name
+        else:
+            assert out.count() == docs.count() and out.agg(F.sum("n_tokens")).first()[0] > docs.count()

@@ -248,5 +248,6 @@ def judge_contamination(found: DataFrame, share: int = 20) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """Rows that aren't contaminated; rows are told apart by id and text, so that a null or repeated id takes no other row along."""
-    found = judge_contamination(find_items(docs, items, window)).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_row")).distinct()
-    return docs.join(found, (row_key() == F.col("bad_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = judge_contamination(find_items(docs, items, window)).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_row")).distinct()
+    given = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), row_key().alias("own_row"))
+    return given.join(bad, (F.col("own_row") == F.col("bad_row")) & F.col("own_id").eqNullSafe(F.col("bad_id")), "left_anti").select("doc.*")

@@ -271,7 +271,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
             yield closed()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(tasks or partitions(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
+    # rows that share a key (all null ones, say) are many tasks' work: the text's hash and a number of the row part them
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
+    ordered = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(tasks or partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
     written = ordered.mapInArrow(shards, SHARD_SCHEMA)
     written.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
     write_index(spark, path)
