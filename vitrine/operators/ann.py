@@ -1,25 +1,39 @@
-"""Approximate search by an inverted file: coarse cells by k-means, of which a query searches the nearest.
+"""Approximate search: inverted files, product quantisation and hyperplane hashing.
 
-The cells' centres are fitted on a bounded sample (``SAMPLE`` vectors, in the
-order of a hash of the id); every vector is indexed.  A cell with more than
-``BLOCK`` vectors is cut into parts, and a query goes to all parts of the cells
-that it searches, so no cell meets in one task.  Null, ragged and NaN vectors
-take no part, as in the exact search.
+An index is built once and searched often.  Vectors are dealt out by cell and
+stay where they are; up to ``BLOCK`` queries at a time go to them, with the
+cells that each query asks for, so neither a query nor a vector is copied and a
+cell with a third of all vectors is many partitions' work.  A task keeps its
+best hits for each query and sends on no more.
+
+What is fitted (cells' centres, sub-vector codes) is fitted on a bounded sample
+in the order of a hash of the id, ``SAMPLE`` vectors and ``SAMPLE_FLOATS``
+numbers at most; every vector is indexed.  Null, ragged and NaN vectors take no
+part, as in the exact search.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import BLOCK, HITS, best_first, best_hits, dimension, matrix, unit, usable
+from vitrine.session import shared_folder
+
+from .search import BLOCK, HITS, best_first, dimension, matrix, unit, usable
 
-SAMPLE = 65_536
+SAMPLE, SAMPLE_FLOATS = 65_536, 16 << 20
+#: Hits that a task holds before it drops all but each query's best.
+HELD = 1 << 20
+#: Rows for each part of a hash table's bucket on average.
+BUCKET = 64
 
 
 def auto_nlist(n: int) -> int:
@@ -27,51 +41,331 @@ def auto_nlist(n: int) -> int:
     return max(1, min(16_384, n, round(4 * math.sqrt(n))))
 
 
-def fit_centres(vectors: DataFrame, nlist: int, dim: int, rounds: int = 10) -> np.ndarray:
-    """Unit centres of nlist cells, by k-means on the sample."""
-    sample = usable(vectors, dim).orderBy(F.xxhash64("tile_id"), "tile_id").limit(SAMPLE).select("v").toArrow()
-    rows = unit(matrix(sample["v"], dim))
-    centres = rows[:nlist].copy()
+def sample_of(vectors: DataFrame, dim: int) -> np.ndarray:
+    most = max(1, min(SAMPLE, SAMPLE_FLOATS // max(1, dim)))
+    rows = vectors.orderBy(F.xxhash64("tile_id"), "tile_id").limit(most).select("v").toArrow()
+    return matrix(rows["v"], dim)
+
+
+def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row."""
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([(rows[i : i + BLOCK] @ centres.T - half).argmax(1) for i in range(0, len(rows), BLOCK)] or [np.zeros(0, np.int64)])
+
+
+def k_means(rows: np.ndarray, k: int, rounds: int, spherical: bool = False) -> np.ndarray:
+    """Centres of at most k cells (the first rows to begin with); cells that run empty stay where they are."""
+    centres = rows[:k].copy()
     for _ in range(rounds):
-        own = np.concatenate([(rows[i : i + BLOCK] @ centres.T).argmax(axis=1) for i in range(0, len(rows), BLOCK)] or [np.zeros(0, np.int64)])
-        total = np.zeros_like(centres)
-        np.add.at(total, own, rows)
-        full = np.bincount(own, minlength=len(centres)) > 0
-        centres[full] = unit(total[full])
+        own = nearest(rows, centres)
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.diff(own[order], prepend=-1))
+        full = own[order][at]
+        if len(full):
+            sums = np.add.reduceat(rows[order], at)
+            centres[full] = unit(sums) if spherical else sums / np.diff(np.append(at, len(order)))[:, None]
     return centres
 
 
+def sub_vectors(dim: int, m: int) -> int:
+    """m if it divides the dimension, else the largest of 16, 8, 4, 2 and 1 that does."""
+    return m if m > 0 and dim % m == 0 else next(c for c in (16, 8, 4, 2, 1) if dim % c == 0)
+
+
+@dataclass
+class Index:
+    """Stored rows by cell (tile_id, cell and v or code), the cells' centres, and with codes their books: [sub-vector, code, element]."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    books: np.ndarray | None
+    n: int
+    dim: int
+
+    @property
+    def bytes_a_vector(self) -> int:
+        """Of what a search reads for a vector, besides its id and cell."""
+        return self.dim * 4 if self.books is None else self.books.shape[0]
+
+
+def build_index(vectors: DataFrame, nlist: int = 0, m: int = 0, nbits: int = 8, rounds: int = 10) -> Index:
+    """Index all usable vectors (tile_id, v) by cell; with m, as m sub-vector codes of nbits in place of the vector.
+
+    The codes are of what is left of the unit vector behind its cell's centre.
+    With fewer vectors than codes (2**nbits) the vectors themselves are kept.
+    """
+    spark = vectors.sparkSession
+    dim = dimension(vectors)
+    vectors = usable(vectors.select("tile_id", "v"), dim)
+    n = vectors.count()
+    sample = sample_of(vectors, dim) if n else np.zeros((0, dim))
+    norm = unit(sample)
+    centres = k_means(norm, nlist or auto_nlist(n), rounds, spherical=True)
+    books = None
+    if m and n >= 2**nbits:
+        m = sub_vectors(dim, m)
+        rest = (norm - centres[nearest(norm, centres)]).reshape(len(norm), m, -1)
+        books = np.stack([k_means(rest[:, i], 2**nbits, rounds) for i in range(m)])
+    shared = spark.sparkContext.broadcast((centres, books))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, books = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                raw = matrix(part["v"], dim)
+                rows = unit(raw)
+                cell = nearest(rows, centres) if len(centres) else np.zeros(0, np.int64)
+                if books is None:
+                    held = pa.array(list(raw.astype(np.float32)), pa.list_(pa.float32()))
+                else:  # the norm stands behind the codes, so that scores are those of the vectors as given
+                    rest = (rows - centres[cell]).reshape(len(rows), len(books), -1)
+                    codes = np.column_stack([nearest(rest[:, i], books[i]) for i in range(len(books))]).astype(np.uint8)
+                    norms = np.linalg.norm(raw, axis=1).astype("<f4").view(np.uint8).reshape(-1, 4)
+                    held = pa.array([r.tobytes() for r in np.hstack([codes, norms])], pa.binary())
+                yield pa.record_batch([part["tile_id"], pa.array(cell.astype(np.int32)), held], ["tile_id", "cell", "held"])
+
+    kind = "array<float>" if books is None else "binary"
+    placed = vectors.mapInArrow(place, f"tile_id long, cell int, held {kind}")
+    order = ["cell", F.xxhash64("tile_id")]
+    path = f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    return Index(spark.read.schema(placed.schema).parquet(path), centres, books, n, dim)
+
+
+def compact(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best, ties by id."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], scores[keep]
+
+
+def cells_asked(q: np.ndarray, centres: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
+    """For each cell the queries that ask for it."""
+    near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :nprobe]
+    cells, own = near.ravel(), np.repeat(np.arange(len(q)), near.shape[1])
+    order = np.argsort(cells, kind="stable")
+    at = np.flatnonzero(np.diff(cells[order], prepend=-1))
+    return {int(cells[order[a]]): own[order[a:b]] for a, b in zip(at, np.append(at[1:], len(order)))}
+
+
+def code_scores(q: np.ndarray, cell: int, held: pa.Array, centres: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Scores of a cell's codes for some queries: the centre's, and a table entry for each sub-vector."""
+    m = tables.shape[1]
+    packed = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(len(held), m + 4)
+    norms = packed[:, m:].copy().view("<f4").ravel().astype(np.float64)
+    s = np.repeat((q @ centres[cell])[:, None], len(held), 1)
+    for i in range(m):
+        s += tables[:, i][:, packed[:, i]]
+    return s * norms
+
+
+def scan(index: Index, own: np.ndarray, q: np.ndarray, k: int, nprobe: int, skip_self: bool) -> DataFrame:
+    """Each query's k best rows of the cells that it asks for, from every task: query_id, tile_id, score."""
+    shared = index.rows.sparkSession.sparkContext.broadcast((own, q, cells_asked(q, index.centres, nprobe), index.centres, index.books))
+    dim = index.dim
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q, asked, centres, books = shared.value
+        tables = None if books is None else np.einsum("qms,mcs->qmc", q.reshape(len(q), len(books), -1), books)
+        found, size = [], 0
+        for batch in batches:
+            cells, ids = batch["cell"].to_numpy(), batch["tile_id"].to_numpy()
+            at = np.flatnonzero(np.diff(cells, prepend=-1))
+            for a, b in zip(at, np.append(at[1:], len(cells))):
+                who = asked.get(int(cells[a]))
+                if who is None:
+                    continue
+                held = batch["held"].slice(a, b - a)
+                if books is None:
+                    s = np.round(np.clip(q[who] @ matrix(held, dim).T, -1, 1), 6)
+                else:
+                    s = code_scores(q[who], int(cells[a]), held, centres, tables[who])
+                if skip_self:
+                    s[own[who][:, None] == ids[a:b][None, :]] = -np.inf
+                cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else -np.inf
+                x, y = np.nonzero((s >= cut) & np.isfinite(s))
+                found.append((who[x], ids[a:b][y], s[x, y]))
+                size += len(x)
+                if size > HELD:
+                    found = [compact(*(np.concatenate(c) for c in zip(*found)), k)]
+                    size = len(found[0][0])
+        if found:
+            who, ids, s = compact(*(np.concatenate(c) for c in zip(*found)), k)
+            yield pa.record_batch([pa.array(own[who].astype(np.int64)), pa.array(ids), pa.array(s)], ["query_id", "tile_id", "score"])
+
+    return index.rows.mapInArrow(look, HITS)
+
+
+def query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the usable queries, BLOCK at a time and never more on the driver."""
+    queries = usable(queries.select("query_id", "v"), dim)
+    parts = max(1, -(-queries.count() // (BLOCK // 2)))
+    for part in range(parts):  # parts of half a block on average; a fuller one is taken in pieces
+        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow() if parts > 1 else queries.toArrow()
+        for at in range(0, got.num_rows, BLOCK):
+            piece = got.slice(at, BLOCK)
+            yield piece["query_id"].to_numpy(), unit(matrix(piece["v"], dim))
+
+
+def union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
+    return hits.withColumn("rank", best_first()).where(F.col("rank") <= k)
+
+
+def exact_scores(pairs: DataFrame, own: np.ndarray, q: np.ndarray, vectors: DataFrame, dim: int) -> DataFrame:
+    """query_id, tile_id, score of pairs of a block's queries: the vectors stay in place, the pairs' ids go to them.
+
+    pairs has a bounded number of rows for each query of the block.
+    """
+    who = pairs.groupBy("tile_id").agg(F.collect_set("query_id").alias("who"))
+    shared = vectors.sparkSession.sparkContext.broadcast((own, q))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        order = np.argsort(own, kind="stable")
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v, lists = matrix(part["v"], dim), part["who"]
+                asked = np.asarray(lists.flatten())
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                at_q = order[np.searchsorted(own, asked, sorter=order)]
+                s = np.round(np.clip(np.einsum("ij,ij->i", q[at_q], v[row]), -1, 1), 6)
+                yield pa.record_batch([pa.array(asked.astype(np.int64)), part["tile_id"].take(pa.array(row)), pa.array(s)], ["query_id", "tile_id", "score"])
+
+    rows = usable(vectors.select("tile_id", "v"), dim).join(F.broadcast(who), "tile_id")
+    return rows.select("tile_id", "v", "who").mapInArrow(score, HITS)
+
+
+def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 16, *, vectors: DataFrame | None = None, shortlist: int = 0, skip_self: bool = True) -> DataFrame:
+    """The k best of the nprobe nearest cells of every query: query_id, tile_id, score, rank.
+
+    An index of codes gives a shortlist for each query (10 k unless told), of
+    which ``vectors`` (tile_id, v) gives the exact scores.
+    """
+    parts = []
+    for own, q in query_blocks(queries, index.dim):
+        if index.books is None:
+            parts.append(scan(index, own, q, k, nprobe, skip_self))
+        else:
+            most = max(k, shortlist or 10 * k)
+            pairs = best_of(scan(index, own, q, most, nprobe, skip_self), most)
+            parts.append(exact_scores(pairs.select("query_id", "tile_id"), own, q, vectors, index.dim))
+    return best_of(union(parts, index.rows.sparkSession), k)
+
+
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 0, nprobe: int = 16, *, skip_self: bool = True) -> DataFrame:
     """The k best vectors in the nprobe nearest cells of every query: query_id, tile_id, score, rank.  nlist 0: ``auto_nlist``."""
+    return search_index(build_index(vectors, nlist), queries, k, nprobe, skip_self=skip_self)
+
+
+def knn_ivf_pq(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 0, nprobe: int = 16, m: int = 16, nbits: int = 8, shortlist: int = 0, *, skip_self: bool = True) -> DataFrame:
+    """As knn_ivf over codes of m bytes a vector (and four for its norm), with exact scores of a shortlist."""
+    return search_index(build_index(vectors, nlist, m, nbits), queries, k, nprobe, vectors=vectors, shortlist=shortlist, skip_self=skip_self)
+
+
+# ------------------------------------------------------------------- hashing
+
+
+@dataclass
+class HashTables:
+    """Buckets of every vector (table, bucket, tile_id), stored by table and bucket, and the hyperplanes: [table, bit, element]."""
+
+    rows: DataFrame
+    planes: np.ndarray
+    dim: int
+
+
+def auto_bits(n: int) -> int:
+    """So many that a bucket has some BUCKET vectors on average, 1 to 60."""
+    return max(1, min(60, round(math.log2(max(2, n / BUCKET)))))
+
+
+def buckets(rows: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[row, table] bucket numbers and [row, table, bit] distances from the planes."""
+    side = np.einsum("re,tbe->rtb", rows, planes)
+    return ((side > 0).astype(np.int64) << np.arange(planes.shape[1])).sum(2), side
+
+
+def build_tables(vectors: DataFrame, tables: int = 8, bits: int = 0, seed: int = 1) -> HashTables:
+    """Hash all usable vectors (tile_id, v) by random hyperplanes; what is stored has an id and a number for each table."""
+    spark = vectors.sparkSession
     dim = dimension(vectors)
-    queries, vectors = usable(queries.select("query_id", "v"), dim), usable(vectors.select("tile_id", "v"), dim)
-    n = vectors.count()
-    nlist = nlist or auto_nlist(n)
-    centres = vectors.sparkSession.sparkContext.broadcast(fit_centres(vectors, nlist, dim))
+    vectors = usable(vectors.select("tile_id", "v"), dim)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits or auto_bits(vectors.count()), dim))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                number, _ = buckets(matrix(part["v"], dim), planes)
+                ids = part["tile_id"].take(pa.array(np.repeat(np.arange(part.num_rows), tables)))
+                yield pa.record_batch([pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(number.ravel()), ids], ["table", "bucket", "tile_id"])
+
+    placed = vectors.mapInArrow(place, "table int, bucket long, tile_id long")
+    order = ["table", "bucket", F.xxhash64("tile_id")]  # a hot bucket is cut into many partitions
+    path = f"{shared_folder(spark)}/hash-tables-{uuid.uuid4().hex}"
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    return HashTables(spark.read.schema(placed.schema).parquet(path), planes, dim)
+
 
-    def near(name: str, most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def probes_of(own: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int) -> pa.Table:
+    """query_id, table, bucket: each query's own buckets and those across its nearest planes, in the order of what they cost.
+
+    Costs are the squared distances of the planes that are crossed, one or two of the nearest.
+    """
+    number, side = buckets(q, planes)
+    bits = planes.shape[1]
+    near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, : min(bits, probes)]
+    cost = np.take_along_axis(side**2, near, 2)
+    flips = [(i,) for i in range(near.shape[2])] + [(i, j) for i in range(near.shape[2]) for j in range(i) if i + j < probes]
+    if not flips or probes <= 1:
+        chosen = number[:, :, None]
+    else:
+        costs = np.stack([cost[:, :, list(f)].sum(2) for f in flips], 2)
+        masks = np.stack([np.bitwise_or.reduce(np.int64(1) << near[:, :, list(f)], axis=2) for f in flips], 2)
+        best = np.argsort(costs, axis=2, kind="stable")[:, :, : probes - 1]
+        chosen = np.concatenate([number[:, :, None], number[:, :, None] ^ np.take_along_axis(masks, best, 2)], 2)
+    n, t, p = chosen.shape
+    return pa.table({"query_id": np.repeat(own.astype(np.int64), t * p), "table": np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n), "bucket": chosen.ravel()})
+
+
+def lsh_candidates(index: HashTables, own: np.ndarray, q: np.ndarray, probes: int) -> DataFrame:
+    """Pairs (query_id, tile_id) that share a probed bucket of some table.  The probes of a block of queries are broadcast: BLOCK * tables * probes rows at most."""
+    spark = index.rows.sparkSession
+    asked = spark.createDataFrame(probes_of(own, q, index.planes, probes))
+    return index.rows.join(F.broadcast(asked), ["table", "bucket"]).select("query_id", "tile_id").distinct()
+
+
+def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bits: int = 0, probes: int = 4, *, skip_self: bool = True, index: HashTables | None = None) -> DataFrame:
+    """The k best of the vectors that share one of a query's probed buckets, by their exact scores: query_id, tile_id, score, rank, candidates (of the query)."""
+    index = index or build_tables(vectors, tables, bits)
+    spark, parts = vectors.sparkSession, []
+    given = usable(vectors.select("tile_id", "v"), index.dim)
+    for own, q in query_blocks(queries, index.dim):
+        pairs = lsh_candidates(index, own, q, probes)
+        if skip_self:
+            pairs = pairs.where("query_id <> tile_id")
+        shared, dim = spark.sparkContext.broadcast((own, q)), index.dim
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
+            own, q = shared.value
+            order = np.argsort(own, kind="stable")
             for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    cells = np.argsort(-(unit(matrix(part["v"], dim)) @ centres.value.T), axis=1, kind="stable")[:, :most]
-                    own = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
-                    yield pa.record_batch([part[name].take(own), part["v"].take(own), pa.array(cells.ravel().astype(np.int32))], [name, "v", "cell"])
-
-        return run
-
-    kind = vectors.schema["v"].dataType.simpleString()
-    placed = vectors.mapInArrow(near("tile_id", 1), f"tile_id long, v {kind}, cell int")
-    asked = queries.mapInArrow(near("query_id", nprobe), f"query_id long, v {queries.schema['v'].dataType.simpleString()}, cell int")
-    # one row for each cell, at most 16,384
-    parts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    placed = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("tile_id"), F.col("parts")).cast("int")).drop("parts")
-    asked = asked.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        own, q, ids, v = a["query_id"].to_numpy(), unit(matrix(a["v"], dim)), b["tile_id"].to_numpy(), matrix(b["v"], dim)
-        found = [best_hits(own[i : i + BLOCK], q[i : i + BLOCK], ids, v, k, skip_self) for i in range(0, len(own), BLOCK)]
-        return pa.concat_tables(found) if found else best_hits(own, q, ids, v, k, skip_self)
-
-    hits = asked.groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInArrow(score, HITS)
-    return hits.withColumn("rank", best_first()).where(F.col("rank") <= k)
+                ids, at_q = batch["tile_id"].to_numpy(), order[np.searchsorted(own, batch["query_id"].to_numpy(), sorter=order)]
+                s = np.round(np.clip(np.einsum("ij,ij->i", q[at_q], matrix(batch["v"], dim)), -1, 1), 6)
+                n = np.bincount(at_q, minlength=len(own))
+                at_q, ids, s = compact(at_q, ids, s, k)
+                first = np.diff(at_q, prepend=-1) != 0  # the candidates of the batch are told with a query's best
+                yield pa.record_batch([pa.array(own[at_q].astype(np.int64)), pa.array(ids), pa.array(s), pa.array(np.where(first, n[at_q], 0))], ["query_id", "tile_id", "score", "candidates"])
+
+        parts.append(pairs.join(given, "tile_id").select("query_id", "tile_id", "v").mapInArrow(score, f"{HITS}, candidates long"))
+    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{HITS}, candidates long")
+    whole = F.sum("candidates").over(Window.partitionBy("query_id"))
+    ranked = every.withColumn("rank", best_first()).withColumn("candidates", whole)
+    return ranked.where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import hash_bits
-from vitrine.session import plain_unions
+from vitrine.session import shared_folder
 
 
 def exact_groups(rows: DataFrame, key: str = "sha256_hash", item: str = "id") -> DataFrame:
@@ -54,12 +54,7 @@ def all_near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of (a, b): id, root (the smallest id), by alternating stars with a checkpoint each round."""
     spark = edges.sparkSession
-    plain_unions(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
+    shared_folder(spark)
     tied = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct().checkpoint()
     seen = None
     for _ in range(rounds):
