@@ -45,7 +45,7 @@ from .word_arrays import by_bytes, byte_hashes, mixed, runs, sequence_hashes, te
 LONGEST, LEAST, KEEP, COVER = 4, 30, 2000, 80
 BITS = 27
 #: Distinct phrases that a task of the last pass remembers before it sends them on.
-PHRASES_HELD = 500_000
+PHRASES_HELD = 100_000
 SALTS = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
