@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import signals, text, vectors
 from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, registry, search, tuning
-from vitrine.plans.queries import ORACLES, QUERIES
+from vitrine.plans import ORACLES, QUERIES
 from vitrine.sources import catalog
 from vitrine.streaming import files
 

@@ -164,8 +164,11 @@ def near_tie_nudge(hits: DataFrame, verify: DataFrame, band: float = 0.03, most:
     return df.drop("top", "in_band", "tied", "before", "verify")
 
 
-def weak_filter(hits: DataFrame, top_k: int, share: float = 0.60, least: float = 0.38, fallback: int = 3) -> DataFrame:
-    """Keep exact hits and those at or above a floor relative to the best; if none is kept, the first few.  hits: query_id, tile_id, score, exact, rank."""
+def weak_verdicts(hits: DataFrame, top_k: int, share: float = 0.60, least: float = 0.38, fallback: int = 3) -> DataFrame:
+    """Add floor, kept and out_rank (the place among the kept).  hits: query_id, tile_id, score, exact, rank.
+
+    Exact hits and those at or above a floor relative to the best are kept; if none is, the first few.
+    """
     whole = Window.partitionBy("query_id")
     inexact = F.max(F.when(~F.col("exact"), F.col("score"))).over(whole)
     top = F.max("score").over(whole)
@@ -173,8 +176,14 @@ def weak_filter(hits: DataFrame, top_k: int, share: float = 0.60, least: float =
     df = hits.withColumn("floor", F.greatest(share * F.when(top_exact, F.coalesce(inexact, top)).otherwise(top), F.lit(least)))
     df = df.withColumn("kept", F.col("exact") | (F.col("score") >= F.col("floor"))).withColumn("n_kept", F.sum(F.col("kept").cast("int")).over(whole))
     df = df.withColumn("kept", F.when(F.col("n_kept") == 0, F.col("rank") <= min(fallback, top_k)).otherwise(F.col("kept")))
-    out = df.where("kept").withColumn("rank", F.row_number().over(whole.orderBy("rank")))
-    return out.where(F.col("rank") <= top_k).drop("kept", "n_kept")
+    place = F.sum(F.col("kept").cast("int")).over(whole.orderBy("rank"))
+    return df.withColumn("out_rank", F.when(F.col("kept"), place.cast("int"))).drop("n_kept")
+
+
+def weak_filter(hits: DataFrame, top_k: int, share: float = 0.60, least: float = 0.38, fallback: int = 3) -> DataFrame:
+    """The first top_k of what weak_verdicts keeps, ranked anew."""
+    out = weak_verdicts(hits, top_k, share, least, fallback).where(F.col("kept") & (F.col("out_rank") <= top_k))
+    return out.withColumn("rank", F.col("out_rank")).drop("kept", "out_rank")
 
 
 def query_confidence(hits: DataFrame) -> DataFrame:

@@ -1 +1,7 @@
-"""Queries over the driver tables, with their SQL equivalents."""
+"""Queries over the driver's tables, with their SQL."""
+
+from . import hybrid, queries
+
+QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "hybrid"]

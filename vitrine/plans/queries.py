@@ -276,104 +276,6 @@ def b23(spark, sf):
     return _pairs(spark, sf).select("query_id", "tile_id", r6(vectors.pattern_similarity(F.slice("va", 1, 12), F.slice("vb", 1, 12))).alias("similarity"))
 
 
-_FAM = "[" + ", ".join(f"'{f}'" for f in families.FAMILIES) + "]"
-_BASE = f"""SELECT query_id, tile_id, score AS vector_score, {_FAM}[query_id % 9 + 1] AS query_family, {_FAM}[tile_id % 9 + 1] AS candidate_family, round(score * 0.9 + 1e-9, 6) AS s_embedding, (tile_id % 10) / 10.0 AS s_pattern, (query_id % 10) / 10.0 AS s_color,
-  (tile_id % 4) / 4.0 AS s_texture, (query_id % 5) / 5.0 AS s_edge, CASE WHEN tile_id % 6 = 0 THEN -0.08 ELSE 0.0 END AS color_penalty, tile_id % 50 = 0 AS exact, tile_id = query_id + 1 AS own_file, tile_id % 8 = 0 AS crop_source FROM ({_knn_sql(10)})"""
-_PAIR = "least(query_family, candidate_family) || '|' || greatest(query_family, candidate_family)"
-_IN = lambda pairs: ", ".join("'" + "|".join(sorted(p)) + "'" for p in pairs)
-_HYBRID = f"""SELECT *, greatest(0, least(1, s_embedding * w[1] + s_pattern * w[2] + s_color * w[3] + s_texture * w[4] + s_edge * w[5]
-    + CASE WHEN query_family = candidate_family THEN 0.025 WHEN {_PAIR} IN ({_IN(families.CONFUSED)}) THEN -0.045 WHEN {_PAIR} IN ({_IN(families.UNLIKE)}) THEN -0.035 ELSE 0 END + color_penalty))
-    * CASE WHEN query_family IN ('speckled', 'terrazzo') AND s_embedding < 0.42 THEN 0.82 WHEN query_family IN ('marble', 'wood', 'stone') AND s_embedding < 0.40 THEN 0.80 WHEN s_embedding < 0.36 THEN 0.78 WHEN s_embedding < 0.42 THEN 0.90 ELSE 1 END AS final
-  FROM (SELECT *, CASE query_family {' '.join(f"WHEN '{f}' THEN {list(w)}" for f, w in families.WEIGHTS.items())} END AS w FROM ({_BASE}))"""
-
-
-def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*map(F.lit, families.FAMILIES))
-    k = _knn(spark, sf, 10).select(
-        "query_id", "tile_id", F.col("score").alias("vector_score"), F.get(names, (F.col("query_id") % 9).cast("int")).alias("query_family"), F.get(names, (F.col("tile_id") % 9).cast("int")).alias("candidate_family"), r6(F.col("score") * 0.9).alias("s_embedding"),
-        (F.col("tile_id") % 10 / 10.0).alias("s_pattern"), (F.col("query_id") % 10 / 10.0).alias("s_color"), (F.col("tile_id") % 4 / 4.0).alias("s_texture"), (F.col("query_id") % 5 / 5.0).alias("s_edge"), F.when(F.col("tile_id") % 6 == 0, -0.08).otherwise(0.0).alias("color_penalty"),
-        (F.col("tile_id") % 50 == 0).alias("exact"), (F.col("tile_id") == F.col("query_id") + 1).alias("own_file"), (F.col("tile_id") % 8 == 0).alias("crop_source"),
-    )
-    return families.hybrid_score(k)
-
-
-@query("b31_hybrid_score", f"SELECT query_id, tile_id, query_family, candidate_family, round(final + 1e-9, 6) AS final FROM ({_HYBRID})")
-def b31(spark, sf):
-    return _hybrid(spark, sf).select("query_id", "tile_id", "query_family", "candidate_family", r6("final").alias("final"))
-
-
-@query("b29_family_compatibility", f"SELECT DISTINCT query_family, candidate_family, CASE WHEN query_family = candidate_family THEN 0.025 WHEN {_PAIR} IN ({_IN(families.CONFUSED)}) THEN -0.045 WHEN {_PAIR} IN ({_IN(families.UNLIKE)}) THEN -0.035 ELSE 0.0 END::DOUBLE AS adjustment FROM ({_BASE})")
-def b29(spark, sf):
-    pairs = _hybrid(spark, sf).select("query_family", "candidate_family").distinct()
-    return pairs.withColumn("adjustment", families.compatibility(F.col("query_family"), F.col("candidate_family")))
-
-
-_RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tile_id) AS rank FROM (SELECT * EXCLUDE (exact, final),
-  round(CASE WHEN NOT own_file AND vector_score >= 0.88 AND lead THEN 1.0 WHEN NOT exact AND vector_score >= 0.80 AND lead THEN greatest(final, least(1, 0.72 * vector_score + 0.28 * final)) WHEN NOT exact AND crop_source AND greatest(s_embedding, vector_score) >= 0.78 THEN 1.0
-       WHEN exact AND own_file THEN 0.97 WHEN exact THEN 1.0 ELSE final END + 1e-9, 6) AS score,
-  exact OR (NOT own_file AND vector_score >= 0.88 AND lead) OR (NOT exact AND NOT (vector_score >= 0.80 AND lead) AND crop_source AND greatest(s_embedding, vector_score) >= 0.78) AS exact
-  FROM (SELECT *, vector_score >= s_embedding + 0.12 AS lead FROM ({_HYBRID})))"""
-
-
-def _reranked(spark: SparkSession, sf: str) -> DataFrame:
-    out = search.rerank(_hybrid(spark, sf)).withColumn("score", r6("score"))
-    return out.withColumn("rank", search.best_first())
-
-
-@query("f3_rerank", f"SELECT query_id, tile_id, score, exact, rank FROM ({_RERANKED})")
-def f3(spark, sf):
-    return _reranked(spark, sf).select("query_id", "tile_id", "score", "exact", "rank")
-
-
-_NUDGED = f"""SELECT query_id, tile_id, exact, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM (SELECT query_id, tile_id, exact, rank,
-    CASE WHEN band AND nth <= 5 AND sum(CASE WHEN band AND nth <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) >= 2 AND tile_id % 3 > 0 THEN round(least(1, score + 0.05 * ((tile_id % 3) / 2.0)) + 1e-9, 6) ELSE score END AS score
-  FROM (SELECT *, sum(CASE WHEN band THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM (SELECT *, NOT exact AND score >= max(score) OVER (PARTITION BY query_id) - 0.03 AS band FROM ({_RERANKED}))))"""
-
-
-def _nudged(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _reranked(spark, sf).select("query_id", "tile_id", "score", "exact", "rank")
-    pairs = hits.select("query_id", "tile_id", (F.col("tile_id") % 3 / 2.0).alias("verify"))
-    return search.near_tie_nudge(hits, pairs).withColumn("score", r6("score"))
-
-
-@query("f4_near_tie_nudge", f"SELECT query_id, tile_id, score, exact, rank FROM ({_NUDGED})")
-def f4(spark, sf):
-    return _nudged(spark, sf).select("query_id", "tile_id", "score", "exact", "rank")
-
-
-_FILTERED = f"""SELECT query_id, tile_id, score, exact, rank FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (
-  SELECT *, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS n_kept FROM (SELECT *, exact OR score >= floor AS kept FROM (
-  SELECT *, greatest(0.6 * CASE WHEN first_value(exact) OVER (PARTITION BY query_id ORDER BY rank) THEN coalesce(max(CASE WHEN NOT exact THEN score END) OVER (PARTITION BY query_id), max(score) OVER (PARTITION BY query_id)) ELSE max(score) OVER (PARTITION BY query_id) END, 0.38) AS floor FROM ({_NUDGED}))))
-  WHERE CASE WHEN n_kept = 0 THEN rank <= 3 ELSE kept END) WHERE rank <= 5"""
-
-
-def _searched(spark: SparkSession, sf: str) -> DataFrame:
-    return search.weak_filter(_nudged(spark, sf), 5)
-
-
-@query("f5_weak_filter", _FILTERED)
-def f5(spark, sf):
-    return _searched(spark, sf).select("query_id", "tile_id", "score", "exact", "rank")
-
-
-_DISPLAY = "round(CASE WHEN exact THEN 100.0 ELSE least(99.5, 100 * power(greatest(0, least(1, score)), 1.35)) END, 4)"
-
-
-@query("f10_search", f"SELECT *, {_DISPLAY} AS display_pct FROM ({_FILTERED})")
-def f10(spark, sf):
-    return _searched(spark, sf).select("query_id", "tile_id", "score", "exact", "rank", F.round(vectors.display_percent(F.col("score"), F.col("exact")), 4).alias("display_pct"))
-
-
-@query("f7_query_confidence", f"SELECT query_id, max(p) FILTER (p < 99.5) AS best, CASE WHEN max(p) FILTER (p < 99.5) < 35 THEN 'low' WHEN max(p) FILTER (p < 99.5) < 55 THEN 'moderate' ELSE 'high' END AS confidence FROM (SELECT query_id, {_DISPLAY} AS p FROM ({_FILTERED})) GROUP BY 1")
-def f7(spark, sf):
-    return search.query_confidence(f10(spark, sf))
-
-
-@query("f8_export_selection", f"SELECT * FROM ({_knn_sql(10)}) WHERE rank IN (1, 3, 4)")
-def f8(spark, sf):
-    return _knn(spark, sf, 10).where(F.col("rank").isin(1, 3, 4))
-
-
 # --------------------------------------------------------------- duplicates
 
 _BITS = "SELECT vec_id AS id, lpad(lower(to_hex(list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END), lambda x, y: x | y))), 16, '0') AS perceptual_hash, list_transform(range(1, 65), lambda i: (embedding[i] > 0)::INT) AS signs FROM embeddings"
@@ -735,11 +637,11 @@ def d13(spark, sf):
 
 @query("e3_tune_aux_weight", f"WITH g AS (SELECT unnest(range(0, {len(tuning.AUX_WEIGHTS)}))::INTEGER AS place, unnest({list(tuning.AUX_WEIGHTS)}::DOUBLE[]) AS weight), b AS (SELECT query_id, place, tile_id FROM (SELECT * FROM ({_VIEWS}) CROSS JOIN g) QUALIFY row_number() OVER (PARTITION BY query_id, place ORDER BY CASE ord WHEN 1 THEN score::DOUBLE * weight ELSE score END DESC, tile_id) = 1), r AS (SELECT place, weight, avg(CASE WHEN b.tile_id = t.true_id THEN 1.0 ELSE 0 END) AS recall_1 FROM ({_TRUTH}) t CROSS JOIN g LEFT JOIN b USING (query_id, place) GROUP BY 1, 2) SELECT place, weight, round(recall_1 + 1e-9, 6) AS recall_1, row_number() OVER (ORDER BY recall_1 DESC, place) = 1 AS chosen FROM r")
 def e3(spark, sf):
-    truth = _truth(spark, sf)
+    truth = true_tiles(spark, sf)
     return tuning.tune_aux_weight(_views(spark, sf).withColumn("aux", F.col("ord") == 1), truth).withColumn("recall_1", r6("recall_1"))
 
 
-def _truth(spark: SparkSession, sf: str) -> DataFrame:
+def true_tiles(spark: SparkSession, sf: str) -> DataFrame:
     by = Window.partitionBy("label")
     v = T.vectors(spark, sf).select(F.col("tile_id").alias("query_id"), "label")
     return v.select("query_id", F.coalesce(F.lead("query_id").over(by.orderBy("query_id")), F.min("query_id").over(by)).alias("true_id"))
@@ -752,7 +654,7 @@ _FUSED_ALL = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, tile_id, row
 def e16(spark, sf):
     order = Window.partitionBy("query_id", "ord").orderBy(F.col("score").desc(), "tile_id")
     hits = _views(spark, sf).withColumn("view_weight", F.when(F.col("ord") == 0, 1.0).otherwise(0.8)).withColumn("rank_in_list", F.row_number().over(order))
-    return _rounded(tuning.fusion_bakeoff(hits, _truth(spark, sf)))
+    return _rounded(tuning.fusion_bakeoff(hits, true_tiles(spark, sf)))
 
 
 def _tile_views(spark: SparkSession, sf: str) -> DataFrame:
@@ -908,12 +810,6 @@ def b20(spark, sf):
     return p.select("query_id", "tile_id", r6(signals.color_similarity(F.col("a"), F.col("b"), 60)).alias("similarity"))
 
 
-@query("b30_family_weights", "SELECT t.id, w.* FROM (SELECT p_partkey AS id, p_partkey % 9 AS nth FROM part) t JOIN (VALUES " + ", ".join(f"({i}, '{f}', {', '.join(f'{x}::DOUBLE' for x in w)})" for i, (f, w) in enumerate(families.WEIGHTS.items())) + f") AS w(nth, family, {', '.join('w_' + c for c in families.COMPONENTS)}) USING (nth)")
-def b30(spark, sf):
-    family = F.get(F.array(*map(F.lit, families.WEIGHTS)), (F.col("id") % 9).cast("int"))
-    return T.tiles(spark, sf).select("id", (F.col("id") % 9).alias("nth"), family.alias("family")).join(F.broadcast(families.weight_table(spark)), "family")  # nine rows
-
-
 _LIFE = f"""WITH e AS ({T.REGISTRY_EVENTS_SQL}), born AS (SELECT license_id, min("at") AS born, arg_min(machine_id, "at") AS machine_id FROM e WHERE action = 'issue' GROUP BY 1),
 c AS (SELECT license_id, "at", action, reason FROM e WHERE action IN ('cancel', 'delete') UNION ALL SELECT supersedes, "at", 'supersede', NULL FROM e WHERE supersedes IS NOT NULL),
 d AS (SELECT c.* FROM c JOIN born b ON b.license_id = c.license_id AND c."at" > b.born),
