@@ -78,6 +78,16 @@ def sign_hash(v: Column, bits: int = 64) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def dhash64(gray: Column) -> Column:
+    """The difference hash of 8 rows of 9 grey values as 16 hex digits: a bit for each value below its right neighbour, the first in the highest bit; null for another size."""
+    value = F.lit(0).cast("long")
+    for r in range(8):
+        for c in range(8):
+            up = F.get(gray, F.lit(9 * r + c)) < F.get(gray, F.lit(9 * r + c + 1))
+            value = value.bitwiseOR(F.when(up, F.shiftleft(F.lit(1).cast("long"), 63 - 8 * r - c)).otherwise(F.lit(0).cast("long")))
+    return F.when(F.size(gray) == 72, F.lower(F.lpad(F.hex(value), 16, "0")))
+
+
 def hash_bits(h: Column) -> Column:
     """16 hex digits as the signed integer of the same bits; null if it isn't hex."""
     return F.when(h.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(h, 16, -10).cast("long"))

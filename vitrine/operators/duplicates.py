@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,24 +17,41 @@ def exact_groups(rows: DataFrame, key: str = "sha256_hash", item: str = "id") ->
     return rows.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n"), F.min(item).alias("first_id")).where("n > 1")
 
 
-def near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+def blocks_to_share(n: int, within: int, candidates: int = 64, most_keys: int = 3000) -> int:
+    """How many blocks two hashes must share, so that a hash meets some ``candidates`` others by chance among n, or as few as the number of its keys allows."""
+    shared = 1
+    while shared < 8 and n * comb(within + shared, shared) * 2 ** (-64 * shared / (within + shared)) > candidates and comb(within + shared + 1, shared + 1) <= most_keys:
+        shared += 1
+    return shared
+
+
+def near_pairs(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
     """All pairs of different hashes at most ``within`` bits apart: a, b, distance, with the smallest id of each hash.
 
-    The 64 bits are cut into within + shared blocks; two hashes that close
-    agree on at least ``shared`` of them, so an equi-join on every choice of
-    that many blocks misses no pair.  Equal hashes are one row before.
+    The 64 bits are cut into within + shared blocks; two hashes that close agree
+    on at least ``shared`` of them, so an equi-join on every choice of that many
+    blocks misses no pair.  A pair comes out at the first choice on which it
+    agrees and nowhere else, so nothing has to be made distinct.  Equal hashes are
+    one row before.  shared 0: by the number of hashes (``blocks_to_share``).
     """
     bits = rows.select(F.col(item).alias("i"), hash_bits(F.col(key)).alias("h")).where("h is not null").groupBy("h").agg(F.min("i").alias("i"))
+    shared = shared or blocks_to_share(rows.count(), within)
     n = within + shared
     edges = [64 * k // n for k in range(n + 1)]
-    block = lambda k: F.shiftrightunsigned("h", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    names = [f"b{k}" for k in range(n)]
-    cut = bits.select("i", "h", *[block(k).alias(names[k]) for k in range(n)])
-    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.xxhash64(*[F.col(names[k]) for k in choice]).alias("x")) for c, choice in enumerate(combinations(range(n), shared))]))
-    keyed = cut.select("i", "h", keys.alias("k")).select("i", "h", "k.c", "k.x")
+    parts = [((1 << edges[k + 1]) - (1 << edges[k])) - (1 << 64 if edges[k + 1] == 64 else 0) for k in range(n)]  # each block's bits, as a signed number
+    masked = [(sum(1 << k for k in choice), sum(parts[k] for k in choice)) for choice in combinations(range(n), shared)]
+    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("h").bitwiseAND(F.lit(m)).alias("x")) for c, m in masked]))
+    keyed = bits.select("i", "h", keys.alias("k")).select("i", "h", "k.c", "k.x")
     other = keyed.select(F.col("i").alias("i2"), F.col("h").alias("h2"), "c", "x")
-    far = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))
-    return keyed.join(other, ["c", "x"]).where("i < i2").where(far <= within).select(F.col("i").alias("a"), F.col("i2").alias("b"), far.alias("distance")).distinct()
+    differing = F.col("h").bitwiseXOR(F.col("h2"))
+    far = F.bit_count(differing)
+    agree = sum((F.when(differing.bitwiseAND(F.lit(p)) == 0, 1 << k).otherwise(0) for k, p in enumerate(parts)), F.lit(0))
+    first = F.lit(0)
+    for _ in range(shared):  # the lowest blocks that agree, one by one
+        rest = agree.bitwiseAND(F.bitwise_not(first))
+        first = first.bitwiseOR(rest.bitwiseAND(-rest))
+    met = keyed.join(other, ["c", "x"]).where((F.col("i") < F.col("i2")) & (far <= within))
+    return met.where(first == F.col("c")).select(F.col("i").alias("a"), F.col("i2").alias("b"), far.alias("distance"))
 
 
 def hash_members(rows: DataFrame, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
@@ -43,7 +61,7 @@ def hash_members(rows: DataFrame, item: str = "id", key: str = "perceptual_hash"
     return own.join(first, "h").select("id", "representative", F.lit(0).alias("distance"))
 
 
-def all_near_pairs(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+def all_near_pairs(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
     """near_pairs for all ids of both hashes, as (a, b, distance) with a < b; ids of one hash are in hash_members."""
     pairs, members = near_pairs(rows, within, shared, item, key), hash_members(rows, item, key)
     side = lambda s: members.select(F.col("representative").alias(s), F.col("id").alias(f"{s}_id"))
@@ -71,7 +89,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_groups(rows: DataFrame, within: int = 8, shared: int = 2, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+def near_groups(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
     """id, group_id for rows in a near-duplicate group of two or more rows; equal hashes count."""
     root = components(near_pairs(rows, within, shared, item, key))
     own = rows.select(item, hash_bits(F.col(key)).alias("h")).where("h is not null")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import families, signals, text, vectors
 from vitrine.operators import ann, duplicates, evaluate, lookup, maintain, registry, search, tuning
+from vitrine.session import stored
 from vitrine.sources import catalog as sources
 from vitrine.streaming import files
 
@@ -220,13 +221,6 @@ def d14(spark, sf):
     return _ivf(spark, sf, T.vectors(spark, sf))
 
 
-@query("e23_ann_recall")
-def e23(spark, sf):
-    q = T.vectors(spark, sf).where("tile_id % 100 = 0")  # the query set of searches
-    exact = search.knn_exact(q.select(F.col("tile_id").alias("query_id"), "v"), T.vectors(spark, sf).select("tile_id", "v"), 10)
-    return evaluate.ann_recall(exact, _ivf(spark, sf, q), 10).select("query_id", r6("recall").alias("recall"))
-
-
 @query("b18_l2_normalize", "SELECT vec_id AS tile_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) + 1e-9, 6)) AS unit FROM embeddings")
 def b18(spark, sf):
     v = T.vectors(spark, sf).select("tile_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
@@ -279,7 +273,6 @@ def b23(spark, sf):
 # --------------------------------------------------------------- duplicates
 
 _BITS = "SELECT vec_id AS id, lpad(lower(to_hex(list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END), lambda x, y: x | y))), 16, '0') AS perceptual_hash, list_transform(range(1, 65), lambda i: (embedding[i] > 0)::INT) AS signs FROM embeddings"
-_NEAR = f"SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: (a.signs[i] <> b.signs[i])::INT)) AS INT) AS distance FROM ({_BITS}) a JOIN ({_BITS}) b ON a.id < b.id"
 
 
 @query("b8_sign_hash", f"SELECT id, perceptual_hash FROM ({_BITS})")
@@ -287,19 +280,30 @@ def b8(spark, sf):
     return T.hashes(spark, sf)
 
 
-@query("d5_near_duplicate_pairs", f"SELECT * FROM ({_NEAR}) WHERE distance BETWEEN 1 AND 12")
+#: The hashes of documents, and how far apart near copies may be.
+_GRID = f"SELECT id, h, lpad(lower(to_hex(h)), 16, '0') AS perceptual_hash FROM ({T.DOCUMENT_HASHES_SQL})"
+_NEAR = f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)::BIT)::INT AS distance FROM ({_GRID}) a JOIN ({_GRID}) b ON a.id < b.id"
+WITHIN = 8
+
+
+@query("b8_dhash64", f"SELECT id, perceptual_hash FROM ({_GRID})")
+def b8_grid(spark, sf):
+    return T.document_hashes(spark, sf)
+
+
+@query("d5_near_duplicate_pairs", f"SELECT * FROM ({_NEAR}) WHERE distance BETWEEN 1 AND {WITHIN}")
 def d5(spark, sf):
-    return duplicates.all_near_pairs(T.hashes(spark, sf), 12, 2)
+    return duplicates.all_near_pairs(stored(T.document_hashes(spark, sf), "hashes"), WITHIN)
 
 
-@query("d5_near_duplicate_members", f"SELECT id, min(id) OVER (PARTITION BY perceptual_hash) AS representative, 0 AS distance FROM ({_BITS})")
+@query("d5_near_duplicate_members", f"SELECT id, min(id) OVER (PARTITION BY h) AS representative, 0 AS distance FROM ({_GRID})")
 def d5_members(spark, sf):
-    return duplicates.hash_members(T.hashes(spark, sf))
+    return duplicates.hash_members(T.document_hashes(spark, sf))
 
 
-@query("e5_near_duplicate_groups", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) WHERE distance <= 12), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS group_id FROM r GROUP BY id")
+@query("e5_near_duplicate_groups", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) WHERE distance <= {WITHIN}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS group_id FROM r GROUP BY id")
 def e5(spark, sf):
-    return duplicates.near_groups(T.hashes(spark, sf), 12, 2)
+    return duplicates.near_groups(stored(T.document_hashes(spark, sf), "hashes"), WITHIN)
 
 
 @query("b9_hamming64", f"SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: (a.signs[i] <> b.signs[i])::INT)) AS INT) AS distance FROM ({_BITS}) a JOIN ({_BITS}) b ON b.id = a.id + 1")
@@ -531,7 +535,7 @@ def d10(spark, sf):
     return a.join(b, "path", "full").select("path", F.coalesce("on_disk", F.lit(False)).alias("on_disk"), F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"))
 
 
-@query("b10_duplicate_percent", f"SELECT a, b, greatest(0, 100 - distance / 64 * 100) AS percent FROM ({_NEAR}) WHERE distance BETWEEN 1 AND 12")
+@query("b10_duplicate_percent", f"SELECT a, b, greatest(0, 100 - distance / 64 * 100) AS percent FROM ({_NEAR}) WHERE distance BETWEEN 1 AND {WITHIN}")
 def b10(spark, sf):
     return d5(spark, sf).select("a", "b", vectors.duplicate_percent(F.col("distance")).alias("percent"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import sign_hash
+from vitrine.functions.vectors import dhash64, sign_hash
 from vitrine.session import plain_unions
 
 
@@ -28,6 +28,20 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select(F.col("tile_id").alias("id"), sign_hash(F.col("v")).alias("perceptual_hash"))
 
 
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference hash of each document of 50 words or more: its grid is how many words fall into each of 72 classes, so near copies differ in few bits."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 50)
+    words = d.select("id", F.explode("w").alias("w")).select("id", (F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int") % 72).alias("cell"))
+    counts = words.groupBy("id", "cell").count().groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "count"))).alias("counts"))
+    gray = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0)))
+    return counts.select("id", dhash64(gray).alias("perceptual_hash"))
+
+
+DOCUMENT_HASHES_SQL = """SELECT id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(0, 64), lambda i: CASE WHEN gray[i // 8 * 9 + i % 8 + 1] < gray[i // 8 * 9 + i % 8 + 2] THEN 1::UBIGINT << (63 - i)::UBIGINT ELSE 0::UBIGINT END)), lambda x, y: x | y) AS h FROM (
+  SELECT id, list_transform(range(0, 72), lambda i: len(list_filter(cells, lambda c: c = i))) AS gray FROM (
+  SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 72) AS cells FROM documents) WHERE len(cells) >= 50)"""
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
