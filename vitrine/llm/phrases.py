@@ -5,21 +5,21 @@ polynomials over a batch's bytes give every word's, prefix polynomials over
 these every n-gram's (``word_arrays``).  One level follows another.  Words are
 counted first, then pairs of frequent words, then triples and quadruples whose
 pairs are all frequent, since no part of a frequent phrase is rarer than the
-phrase.  What is frequent is known to the tasks by a bit array of fixed size; a
+phrase; of the words only those of frequent pairs are wanted from then on.  What is frequent is known to the tasks by a bit array of fixed size; a
 bit that is set by chance only lets something pass that a later count drops.
 
 Fingerprints can't tell for sure that two phrases are equal.  So the last pass
 reads the text at every occurrence of a frequent fingerprint: words get exact
 numbers (equal fingerprints, then equal bytes, else numbers by text), n-grams
 are grouped by their words' numbers, and only these phrases become text, each
-with its count and a pointer to its first occurrence (document and byte).  The
+with its count and a pointer to an occurrence (document and byte).  The
 final counts are by text.
 
 Scale: each pass reads the texts where they are.  What is shuffled is (language
 and phrase in one fingerprint, count), first summed in the map tasks; a
 language or phrase with a third of all rows is one row for each task.  The bit
-array (2**27 bits, 16 MB) and what a task remembers are of fixed size, whatever
-the input: fuller bits let more n-grams through to the shuffle, never a
+array (2**27 bits, 16 MB) and the slices of text are of fixed size, whatever the
+input: fuller bits let more n-grams through to the shuffle, never a
 different result.  Scores and drops join rows of frequent phrases only.  The
 first rows of each language are cut in salted parts before they meet.
 
@@ -44,8 +44,8 @@ from .word_arrays import by_bytes, byte_hashes, mixed, runs, sequence_hashes, te
 
 LONGEST, LEAST, KEEP, COVER = 4, 30, 2000, 80
 BITS = 27
-#: Distinct phrases that a task of the last pass remembers before it sends them on.
-PHRASES_HELD = 100_000
+#: Phrases that become text at once.
+PHRASES_AT_ONCE = 200_000
 SALTS = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -115,12 +115,19 @@ def may_be_frequent(words: Words, n: int, known: Frequent) -> tuple[np.ndarray,
     return at[keep], found[keep]
 
 
+def words_of_pairs(words: Words, known: Frequent) -> np.ndarray:
+    """Fingerprints of the words that stand in pairs that pass."""
+    at, pairs = words.grams(2)
+    at = at[known(pairs)]
+    return np.unique(words.grams(1)[1][np.union1d(at, at + 1)])
+
+
 def read(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("text"))
 
 
 def count_fingerprints(docs: DataFrame, sizes: tuple[int, ...], least: int, known: Broadcast | None) -> DataFrame:
-    """fp, count of the n-grams of these sizes that occur at least so often."""
+    """fp, count of the n-grams of these sizes that occur at least so often; with the longest, also the words of frequent pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -129,6 +136,9 @@ def count_fingerprints(docs: DataFrame, sizes: tuple[int, ...], least: int, know
                 found = words.grams(n)[1] if known is None else may_be_frequent(words, n, known.value)[1]
                 fps, counts = np.unique(found, return_counts=True)
                 yield pa.record_batch({"fp": fps.view(np.int64), "count": counts.astype(np.int64)})
+            if max(sizes) == LONGEST:  # words of frequent pairs are wanted, whatever their number
+                fps = words_of_pairs(words, known.value)
+                yield pa.record_batch({"fp": fps.view(np.int64), "count": np.full(len(fps), least, np.int64)})
 
     found = read(docs).mapInArrow(count, "fp long, count long")
     return found.groupBy("fp").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
@@ -163,58 +173,76 @@ def exact_words(words: Words) -> np.ndarray:
     return number
 
 
+def first_and_count(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First index and size of each group, and each entry's first."""
+    _, first, own, counts = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    return first, counts, first[own]
+
+
 def phrases_of(words: Words, known: Frequent) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each size: first places of the phrases that pass in this batch, and their counts; told apart by their words."""
     number = exact_words(words)
     for n in range(1, LONGEST + 1):
         at, found = words.grams(n)
-        at = at[known(found)]
-        group = words.lang[at]
-        for k in range(n):  # numbers of (language, first word, ...), pair by pair, without a hash
-            group = np.unique(group * (number.max(initial=0) + 1) + number[at + k], return_inverse=True)[1].astype(np.int64)
-        _, first, counts = np.unique(group, return_index=True, return_counts=True)
+        pass_ = known(found)
+        at, found = at[pass_], found[pass_]
+        first, counts, like = first_and_count(found)
+        differs = words.lang[at] != words.lang[at[like]]
+        for k in range(n):
+            differs |= number[at + k] != number[at[like] + k]
+        if differs.any():  # equal fingerprints of different phrases: group by the words' numbers, pair by pair
+            group = words.lang[at]
+            for k in range(n):
+                group = np.unique(group * (number.max() + 1) + number[at + k], return_inverse=True)[1].astype(np.int64)
+            first, counts, _ = first_and_count(group)
         yield n, at[first], counts
 
 
-def count_phrases(docs: DataFrame, known: Broadcast, least: int) -> DataFrame:
-    """lang, k, phrase, f, first (doc_id, byte) of the frequent phrases; k 0, phrase null: all words of the language."""
+def phrase_texts(words: Words, places: np.ndarray, n: int) -> pa.Array:
+    """The n words from each place on, joined by spaces, put together from the bytes at once."""
+    word = (places[:, None] + np.arange(n)).ravel()
+    size = words.stops[word] - words.starts[word] + 1  # with a space behind
+    ends = np.cumsum(size)
+    source = np.repeat(words.starts[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    data = words.raw[np.minimum(source, len(words.raw) - 1)]
+    data[ends - 1] = 32
+    keep = np.ones(len(data), bool)
+    keep[ends[n - 1 :: n] - 1] = False
+    offsets = np.concatenate(([0], ends[n - 1 :: n] - np.arange(1, len(places) + 1)))
+    return pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep])).cast(pa.string())
+
+
+def slice_table(batch: pa.RecordBatch, known: Frequent) -> pa.Table:
+    """lang, k, phrase, f, doc_id, byte of a batch's phrases; k 0: all words of the language."""
+    words, names = Words(batch), ["lang", "k", "phrase", "f", "doc_id", "byte"]
+    langs = pa.array(words.langs, pa.string())
+    nulls = pa.nulls(len(langs), pa.int64())
+    totals = np.bincount(words.lang, minlength=len(langs)).astype(np.int64)
+    parts = [pa.table([langs, pa.array(np.zeros(len(langs), np.int32)), pa.nulls(len(langs), pa.string()), pa.array(totals), nulls, nulls], names)]
+    ids = batch.column("doc_id").cast(pa.int64())
+    for n, places, counts in phrases_of(words, known):
+        for low in range(0, len(places), PHRASES_AT_ONCE):
+            at = places[low : low + PHRASES_AT_ONCE]
+            doc = words.doc[at]
+            byte = pa.array(words.starts[at] - words.offsets[doc])
+            parts.append(pa.table([langs.take(pa.array(words.lang[at])), pa.array(np.full(len(at), n, np.int32)), phrase_texts(words, at, n), pa.array(counts[low : low + PHRASES_AT_ONCE].astype(np.int64)), ids.take(pa.array(doc)), byte], names))
+    return pa.concat_tables(parts)
+
 
-    def rows(held: dict) -> pa.RecordBatch:
-        keys, values = list(held), list(held.values())
-        columns = {"lang": pa.array([k[0] for k in keys], pa.string()), "k": pa.array([k[1] for k in keys], pa.int32()), "phrase": pa.array([k[2] for k in keys], pa.string())}
-        columns |= {"f": pa.array([v[0] for v in values], pa.int64()), "doc_id": pa.array([v[1] for v in values], pa.int64()), "byte": pa.array([v[2] for v in values], pa.int64())}
-        return pa.record_batch(columns)
+def count_phrases(docs: DataFrame, known: Broadcast, least: int) -> DataFrame:
+    """lang, k, phrase, f, doc_id, byte of the frequent phrases; k 0, phrase null: all words of the language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
         for batch in by_bytes(batches):
-            words = Words(batch)
-            ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            totals = np.bincount(words.lang, minlength=len(words.langs))
-            for lang, total in zip(words.langs, totals.tolist(), strict=True):
-                held.setdefault((lang, 0, None), [0, None, None])[0] += total
-            for n, places, counts in phrases_of(words, known.value):
-                for at, f in zip(places.tolist(), counts.tolist(), strict=True):
-                    text = " ".join(words.raw[words.starts[w] : words.stops[w]].tobytes().decode("utf-8", "replace") for w in range(at, at + n))
-                    key = words.langs[words.lang[at]], n, text
-                    if key in held:
-                        held[key][0] += f
-                    else:
-                        doc = int(words.doc[at])
-                        held[key] = [f, ids[doc], int(words.starts[at] - words.offsets[doc])]
-            if len(held) >= PHRASES_HELD:
-                yield rows(held)
-                held = {}
-        if held:
-            yield rows(held)
+            yield from slice_table(batch, known.value).to_batches()
 
     found = read(docs).mapInArrow(count, "lang string, k int, phrase string, f long, doc_id long, byte long")
-    found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "byte")).alias("first"))
+    found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"), F.first("doc_id").alias("doc_id"), F.first("byte").alias("byte"))  # both of one row
     return found.where((F.col("f") >= least) | (F.col("k") == 0))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, k, phrase, f, first of all phrases of up to four words with f >= least, and the languages' totals (k 0); staged."""
+    """lang, k, phrase, f, doc_id, byte of all phrases of two to four words with f >= least, of their words, and the languages' totals (k 0); staged."""
     spark = docs.sparkSession
     words = staged(count_fingerprints(docs, (1,), least, None), "frequent-words")
     known = spark.sparkContext.broadcast(bit_array(words))
@@ -223,7 +251,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     known = spark.sparkContext.broadcast(bit_array(pairs))
     longer = staged(count_fingerprints(docs, tuple(range(3, LONGEST + 1)), least, known), "frequent-longer")
     known.unpersist()
-    known = spark.sparkContext.broadcast(bit_array(words.unionByName(pairs).unionByName(longer)))
+    known = spark.sparkContext.broadcast(bit_array(pairs.unionByName(longer)))
     out = staged(count_phrases(docs, known, least), "frequent-phrases")
     known.unpersist()
     release(words, pairs, longer)
@@ -237,7 +265,7 @@ def words_of(phrase: str = "phrase") -> Column:
 def scored(phrases: DataFrame) -> DataFrame:
     """Candidates (two words or more) with a, l, r and score of their lowest-scoring cut."""
     parts = phrases.where("k > 0").select(F.col("lang").alias("p_lang"), F.col("phrase").alias("part"), F.col("f").alias("p_f"))
-    cuts = phrases.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"), "first", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    cuts = phrases.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"), "doc_id", "byte", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     w = words_of()
     cuts = cuts.withColumn("head", F.array_join(F.slice(w, F.lit(1), F.col("cut")), " ")).withColumn("rest", F.array_join(F.slice(w, F.col("cut") + 1, F.col("k") - F.col("cut")), " "))
     for column, name in (("head", "l"), ("rest", "r")):
@@ -245,7 +273,7 @@ def scored(phrases: DataFrame) -> DataFrame:
     wide = "decimal(38,0)"
     score = F.expr(f"(cast(2000000 as {wide}) * cast(a as {wide})) div (cast(l as {wide}) + cast(r as {wide}))").cast("long")
     lowest = F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("low")
-    return cuts.groupBy("lang", "k", "phrase", "a", "first").agg(lowest).select("lang", "k", "phrase", "a", "first", "low.l", "low.r", "low.score")
+    return cuts.groupBy("lang", "k", "phrase", "a", "doc_id", "byte").agg(lowest).select("lang", "k", "phrase", "a", "doc_id", "byte", "low.l", "low.r", "low.score")
 
 
 def covered(phrases: DataFrame, percent: int = COVER) -> DataFrame:
@@ -260,7 +288,7 @@ def covered(phrases: DataFrame, percent: int = COVER) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, percent: int = COVER) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score, first_doc_id, first_byte: each language's best phrases of two to four words."""
+    """lang, rank, phrase, a, l, r, n, score, doc_id, byte: each language's best phrases of two to four words."""
     phrases = frequent_phrases(docs, least)
     found = scored(phrases).join(covered(phrases, percent), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
@@ -269,7 +297,7 @@ def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, percent:
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= keep)
     totals = phrases.where("k = 0").select(F.col("lang").alias("n_lang"), F.col("f").alias("n"))
     found = found.join(totals, F.col("lang") == F.col("n_lang"))
-    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("first.doc_id").alias("first_doc_id"), F.col("first.byte").alias("first_byte"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "doc_id", "byte")
 
 
 SQL = r"""

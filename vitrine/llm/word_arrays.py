@@ -17,7 +17,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes that are hashed at a time, and bytes of text that are worked on together; a longer text stands alone.
-WINDOW, SLICE_BYTES = 1 << 20, 2 << 20
+WINDOW, SLICE_BYTES = 1 << 18, 1 << 20
 CODES = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
