@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import re
 import zlib
@@ -538,9 +539,8 @@ def test_quality_fences_come_from_the_data(spark):
     assert sum(r.quality == 1 and not r.kept for r in rows) <= 5
     sketches = quality.sketch(quality.steps(quality.measure(docs)).where("n_words >= 20 and n_repeat_words * 100 <= n_words * 30"))
     limits = quality.fences(sketches).collect()
-    for m in quality.MEASURES:
-        assert len({r[f"{m}_high"] for r in limits}) > 1, m  # groups of under 500 documents share their language's, of four, for two of the measures
-    assert len({r["symbols_high"] for r in limits}) > len(limits) / 2
+    for m in ("symbols_high", "word_length_low", "word_length_high"):
+        assert len({r[m] for r in limits}) > len(limits) / 2, m
 
 
 def test_quality_limits_differ_by_group_as_no_cutoff_could(spark):
@@ -555,7 +555,14 @@ def test_quality_limits_differ_by_group_as_no_cutoff_could(spark):
     assert kept[5000] and not kept[5001] and all(kept[i] for i in kept if i < 5000)
     measured = quality.steps(quality.measure(df)).where("n_words >= 20").collect()
     limits = {(r.lang, r.source): r for r in quality.fences(quality.sketch(quality.steps(quality.measure(df)).where("n_words >= 20"))).collect()}
-    of = lambda source, p: sorted(r.symbols for r in measured if source in (None, r.source))[-(-len([r for r in measured if source in (None, r.source)]) * p // 100) - 1]
-    for group, source in ((("en", "code"), "code"), (("en", "prose"), "prose"), (("en", "small"), None)):  # a small group takes its language's
-        source = source if source and of(source, 99) > of(source, 25) else None
-        assert limits[group].symbols_high == pytest.approx(of(source, 75) + max(8 * (of(source, 75) - of(source, 25)), (of(source, 99) - of(source, 75)) / 8))
+    rank = lambda rows, p: sorted(rows)[-(-len(rows) * p // 100) - 1]
+
+    def plain(rows):  # the logarithm of eight times the upper quartile, or of what could hide in a document of median length
+        unseen = 30_000 / 2 ** (rank([math.floor(math.log2(r.word_chars) * 100) for r in rows], 50) / 100)
+        return math.log2(8 * max(rank([r.symbols for r in rows], 75), unseen))
+
+    wide = plain(measured)
+    for source in ("code", "prose", "small"):
+        own = [r for r in measured if r.source == source]
+        limit = limits["en", source].symbols_high
+        assert limit == pytest.approx(2 ** ((plain(own) * len(own) + wide * 10) / (len(own) + 10)))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vitrine.llm import boosting, decontam, document_stats, mixing, phrases, whitening, word_arrays
+from vitrine.llm import boosting, decontam, document_stats, mixing, phrases, quality, whitening, word_arrays
 
 DATA = "/root/testdata/sf0.01"
 TEXTS = [None, "", " \t\n", "One word", "a b c. a b c! A b c; a b", "É çà û 日本 x\x1cy", "x" * 5000, "la la la la la\nla la la\n\nla la la", "| a | b |\n| a | b |\nDone."]
@@ -162,7 +162,7 @@ def test_phrases_against_plain_python(spark):
         assert mined(df, least=least, keep=keep) == plain_phrases(rows, least, keep)
     assert phrases.collocations(df.limit(0)).count() == 0
     first = phrases.collocations(df, least=5).where("lang = 'de'").first()
-    at = re.sub(" +", " ", rows[first.first_doc_id][1].encode()[first.first_byte :].decode())
+    at = re.sub(" +", " ", rows[first.doc_id][1].encode()[first.byte :].decode())
     assert at.startswith(first.phrase)
 
 
@@ -269,3 +269,39 @@ def test_pipeline_stages_with_odd_rows_and_names(spark):
                 assert Counter(str(r) for r in kept if r.doc_id in (None, 3, 4)) == Counter(k for r in docs.collect() if r.doc_id in (None, 3, 4) for k in [str(r)]), name
         else:
             assert out.count() == docs.count() and out.agg(F.sum("n_tokens")).first()[0] > docs.count()
+
+
+def prose(i, n=150):
+    return " ".join(f"w{(i * 37 + k * k) % 991} river" for k in range(n // 2))
+
+
+def judged(spark, rows):
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    return {r.doc_id for r in quality.judge_quality(docs).where("NOT kept AND NOT base_failed").collect()}
+
+
+def test_quality_keeps_clean_groups(spark):
+    clean = [(prose(i) + (" 5% & 3%" if i % 40 == 0 else ""), "en", f"s{i % 3}") for i in range(1500)]
+    assert judged(spark, clean) == set()  # some symbols in some documents of equal prose are no junk
+    tailing = [(prose(i) + " %" * (i % 120), "en", "s") for i in range(1500)]
+    assert len(judged(spark, tailing)) <= 15  # a bulk that tails off isn't cut through
+    lines = [("\n".join([prose(i, 12)] * (1 + i % 2) + [prose(i * 50 + k, 12) for k in range(14)]), "de", "s") for i in range(400)]
+    assert judged(spark, lines) == set()
+
+
+def test_quality_finds_what_stands_apart(spark):
+    rows = [(prose(i) if i % 20 else " ".join(w + "###" for w in prose(i).split()), "en", f"s{i % 7}") for i in range(1400)]
+    assert judged(spark, rows) == {i for i in range(1400) if i % 20 == 0}
+    small = [*rows[1:700], (rows[0][0], "en", "rare"), (prose(3), "en", "rare"), (rows[0][0], None, None)]  # a source and a language of a few documents
+    at = {i for i, r in enumerate(small) if "###" in r[0]}
+    assert judged(spark, small) == at
+    long_words = [(" ".join("x" * (9 if i else 60) for _ in range(50)) + f" {i}", "en", "s") for i in range(200)]
+    assert judged(spark, long_words) <= {0}
+
+
+def test_quality_limits_are_averages_by_size(spark):
+    rows = [(prose(i, 100 if i < 600 else 600), "en", "short" if i < 600 else "long") for i in range(1200)] + [(prose(i, 600), "en", "few") for i in range(5)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.source: r for r in quality.fences(quality.sketch(quality.steps(quality.measure(docs)))).collect()}
+    assert got["short"].symbols_high > 3 * got["long"].symbols_high  # less can hide in a long document
+    assert got["long"].symbols_high < got["few"].symbols_high < got["short"].symbols_high

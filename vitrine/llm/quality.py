@@ -2,19 +2,29 @@
 
 Each document is measured (words, symbols, repeated lines, repeated windows of
 words).  Fixed base rules reject what is never useful.  All other thresholds
-come from the data: for every language and source, a mergeable quantile sketch
-of each measure (a histogram over a fixed, bounded scale of integer steps, so
-that sketches add up in any order and reruns agree) gives percentiles, and a
-document fails a rule if it lies beyond the fence ``outer percentile + distance``
-of its group, where the distance is ``reach`` times the spread of two percentiles
-(``FENCES``).  Symbols and word length have their fences by the quartiles, since
-most values beyond those are junk; repeated lines and windows occur in a few good
-documents of each group, so theirs are by the last percentiles.  Most documents
-have no symbol, so that quartiles often show no spread: the distance is then a
-share of the way to the 99th percentile (``TAIL``).  A group that has too few
-documents, or no spread at all, takes its language's fence, or else the corpus's:
-no constant stands in for the data.  The fences are joined back and the documents
-filtered.
+come from the data: for every language and source, mergeable quantile sketches
+(histograms over a fixed, bounded scale of integer steps, so that sketches add up
+in any order and reruns agree) of each measure and of the length that it is a
+share of.
+
+* Word length: a fence ``REACH`` times the spread of the quartiles beyond them,
+  and at least a fifth of the median.
+* Symbols, repeated lines, repeated windows: most documents have none, so the
+  quartiles say little about how far a good one may go.  What they do say is how
+  much could hide in them: a share that a document of median length may have
+  without showing it is up to ``UNSEEN`` over that length.  The limit is
+  ``RATIO`` times the upper quartile or that share, whichever is more.  And it
+  must stand in a gap: if more than one in ``GAP`` documents lie in the half
+  octave below it, the limit would cut through a bulk that merely tails off, and
+  the measure rejects nothing.  That is asked of the source, and of its language
+  too, unless the source is large enough to show that it is unlike it: by the
+  language's share it would have ``UNSEEN`` such documents or more.
+
+A source's limits are averaged with its language's, and these with the corpus's,
+weighted by its documents against ``PRIOR_DOCS``, so a source with few documents
+is judged like its language and no number of documents switches a rule on.  None
+of the constants was fitted to labels.  The limits are joined back and the
+documents filtered.
 
 Everything is DataFrame functions.  The documents are measured in one pass
 without a shuffle and staged without their texts; sketches are pre-aggregated
@@ -22,10 +32,8 @@ before they are shuffled and hold at most ``STEPS`` rows per group and measure.
 
 Edge cases: null and empty texts have no word and fail the base rules; null
 languages and sources are groups of their own; repeated rows are judged alike;
-an empty table gives an empty result; a measure that is constant in the whole
-corpus rejects nothing; word_length rejects nothing within a fifth of the median;
-very long texts are measured whole; other columns, whatever their names, don't
-matter.
+an empty table gives an empty result; very long texts are measured whole; other
+columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -39,16 +47,16 @@ from .common import staged
 
 WINDOW = 8
 STEPS = 10_000
-REACH = 8
-LEAST_DOCS = 30
 _SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
-#: The measures, each an integer from 0 to STEPS, and whether low values fail too.
-MEASURES = {"symbols": False, "dup_lines": False, "repeats": False, "word_length": True}
-#: For each measure the percentiles (inner, outer) whose distance is the spread, the reach from the outer one, and the documents that the outer one needs.
-FENCES = {"symbols": (25, 75, REACH, LEAST_DOCS), "word_length": (25, 75, REACH, LEAST_DOCS), "dup_lines": (95, 99, 2, 500), "repeats": (95, 99, 2, 500)}
-PERCENTILES = (25, 50, 75, 95, 99)
-#: The least distance, as shares: for symbols of the way from the outer percentile to the 99th, for word_length of the median.
-TAIL = {"symbols": 8, "word_length": 5}
+#: The measures that are shares, and the column that each is a share of.
+SHARES = {"symbols": "word_chars", "dup_lines": "n_lines", "repeats": "n_words"}
+PERCENTILES = (25, 50, 75)
+REACH, LEAST_REACH = 8, 5
+#: With no occurrence in n places, a share of up to some UNSEEN / n isn't unlikely (the rule of three).
+UNSEEN, RATIO, GAP = 3, 8, 500
+PRIOR_DOCS = 10
+#: Steps of a length's sketch and bins of a share's for each doubling.
+LENGTH_STEPS, BINS = 100, 4
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -103,13 +111,15 @@ def steps(rows: DataFrame) -> DataFrame:
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """The mergeable sketches: lang, source, measure, step, n."""
-    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("step")) for m in MEASURES]))
+    """The mergeable sketches: lang, source, measure, step, n; a share's length has one of its own, in steps of its logarithm."""
+    of = {m: F.col(m) for m in (*SHARES, "word_length")}
+    of |= {f"{m}_of": F.floor(F.log2(F.greatest(F.col(c), F.lit(1))) * LENGTH_STEPS).cast("int") for m, c in SHARES.items()}
+    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), c.alias("step")) for m, c in of.items()]))
     return rows.select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.measure", "e.step").agg(F.count("*").alias("n"))
 
 
 def percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Percentiles of each group's merged sketch: by..., measure, docs, p25, p50, ..."""
+    """Percentiles of each group's merged sketch: by..., measure, docs, p25, p50, p75."""
     whole = Window.partitionBy(*by, "measure")
     merged = sketches.groupBy(*by, "measure", "step").agg(F.sum("n").alias("n"))
     merged = merged.withColumn("upto", F.sum("n").over(whole.orderBy("step"))).withColumn("docs", F.sum("n").over(whole))
@@ -118,26 +128,51 @@ def percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def limits_of(sketches: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by..., measure and, as a struct called name, low, high and sure: enough documents, and some spread."""
-    low, high, sure = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)
-    at = lambda p: F.col(f"p{p}")
-    for m, (inner, outer, reach, least) in FENCES.items():
-        tail = {"symbols": (at(99) - at(outer)) / TAIL["symbols"], "word_length": at(50) / TAIL["word_length"]}.get(m, F.lit(0.0))
-        far = F.greatest(reach * (at(outer) - at(inner)), tail)
-        here = F.col("measure") == m
-        low, high, sure = F.when(here, at(inner) - far).otherwise(low), F.when(here, at(outer) + far).otherwise(high), F.when(here, (F.col("docs") >= least) & (far > 0)).otherwise(sure)
-    return percentiles(sketches, by).select(*by, "measure", F.struct(low.alias("low"), high.alias("high"), sure.alias("sure")).alias(name))
+    """by... and, as a struct called name, docs, word_length_low and _high and the logarithm of each share's high limit."""
+    of = lambda m, p: F.max(F.when(F.col("measure") == m, F.col(p)))
+    far = F.greatest(REACH * (of("word_length", "p75") - of("word_length", "p25")), of("word_length", "p50") / LEAST_REACH)
+    found = {"docs": of("word_length", "docs").cast("double"), "word_length_low": of("word_length", "p25") - far, "word_length_high": of("word_length", "p75") + far}
+    for m in SHARES:
+        unseen = F.lit(float(UNSEEN * STEPS)) / F.pow(F.lit(2.0), of(f"{m}_of", "p50") / LENGTH_STEPS)
+        found[m] = F.log2(RATIO * F.greatest(of(m, "p75"), unseen))
+    return percentiles(sketches, by).groupBy(*by).agg(F.struct(*[c.alias(n) for n, c in found.items()]).alias(name))
+
+
+def crowding(sketches: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by..., measure, bin, and as name the documents of the group in the half octave below the bin; bins without any aren't listed."""
+    shares = sketches.where(F.col("measure").isin(*SHARES) & (F.col("step") > 0))
+    own = F.floor(F.log2("step") * BINS).cast("int")
+    bins = shares.groupBy(*by, "measure", own.alias("own")).agg(F.sum("n").alias("n"))
+    spread = bins.select(*by, "measure", F.explode(F.sequence(F.col("own") + 1, F.col("own") + BINS // 2)).alias("bin"), "n")
+    return spread.groupBy(*by, "measure", "bin").agg(F.sum("n").alias(name))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """lang, source and each measure's low and high limit: its own, or its language's, or the corpus's."""
+    """lang, source, word_length_low and _high, and each share's high limit (null where it doesn't stand in a gap)."""
     own, corpus = limits_of(sketches, ["lang", "source"], "own"), limits_of(sketches, [], "corpus")
-    wide = limits_of(sketches, ["lang"], "wide").withColumnsRenamed({"lang": "w_lang", "measure": "w_measure"})
-    all_three = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure"))).join(corpus, "measure")
-    used = F.when(F.col("own.sure"), F.col("own")).when(F.col("wide.sure"), F.col("wide")).otherwise(F.col("corpus"))
-    limits = all_three.select("lang", "source", "measure", used["low"].alias("low"), used["high"].alias("high"))
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
-    return limits.groupBy("lang", "source").agg(*[pick(m, c) for m in MEASURES for c in ("low", "high")])
+    wide = limits_of(sketches, ["lang"], "wide").withColumnRenamed("lang", "w_lang")
+    # one row for the corpus
+    rows = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang"))).crossJoin(F.broadcast(corpus))
+    names = ("word_length_low", "word_length_high", *SHARES)
+    averaged = lambda a, n, b: (a * n + b * PRIOR_DOCS) / (n + PRIOR_DOCS)
+    limits = rows.select(
+        "lang", "source", F.col("own.docs").alias("docs"), F.col("wide.docs").alias("all_docs"), *[averaged(F.col(f"own.{m}"), F.col("own.docs"), averaged(F.col(f"wide.{m}"), F.col("wide.docs"), F.col(f"corpus.{m}"))).alias(m) for m in names]
+    )
+    shares = limits.select("lang", "source", "docs", "all_docs", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("log")) for m in SHARES])).alias("x")).select("lang", "source", "docs", "all_docs", "x.*")
+    shares = shares.withColumn("bin", F.floor(F.col("log") * BINS).cast("int"))
+    for by, name in ((["lang", "source"], "near"), (["lang"], "all_near")):
+        found = crowding(sketches, by, name).withColumnsRenamed({c: f"c_{c}" for c in (*by, "measure", "bin")})
+        at = (F.col("measure") == F.col("c_measure")) & (F.col("bin") == F.col("c_bin"))
+        for c in by:
+            at = at & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+        shares = shares.join(found, at, "left").drop(*[f"c_{c}" for c in (*by, "measure", "bin")])
+    near, all_near = F.coalesce("near", F.lit(0)), F.coalesce("all_near", F.lit(0))
+    told_apart = F.col("docs") * all_near >= UNSEEN * F.col("all_docs")
+    stands = (near * GAP <= F.col("docs")) & ((all_near * GAP <= F.col("all_docs")) | told_apart)
+    pick = lambda m: F.max(F.when((F.col("measure") == m) & stands, F.pow(F.lit(2.0), F.col("log")))).alias(f"{m}_high")
+    high = shares.groupBy("lang", "source").agg(*map(pick, SHARES)).withColumnsRenamed({"lang": "h_lang", "source": "h_source"})
+    same = F.col("lang").eqNullSafe(F.col("h_lang")) & F.col("source").eqNullSafe(F.col("h_source"))
+    return limits.select("lang", "source", "word_length_low", "word_length_high").join(high, same).drop("h_lang", "h_source")
 
 
 def judge_quality(docs: DataFrame, least_words: int = 20, most_repeated: int = 30, text: str = "text") -> DataFrame:
@@ -146,9 +181,7 @@ def judge_quality(docs: DataFrame, least_words: int = 20, most_repeated: int = 3
     rows = staged(steps(measure(docs, text)).withColumn("base_failed", base), "quality")
     limits = fences(sketch(rows.where(~F.col("base_failed")))).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    beyond = F.lit(False)
-    for m, low_too in MEASURES.items():
-        beyond = beyond | (F.col(m) > F.col(f"{m}_high"))
-        if low_too:
-            beyond = beyond | (F.col(m) < F.col(f"{m}_low"))
+    beyond = (F.col("word_length") < F.col("word_length_low")) | (F.col("word_length") > F.col("word_length_high"))
+    for m in SHARES:
+        beyond = beyond | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))).alias("kept"))
