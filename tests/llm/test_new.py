@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vitrine.llm import boosting, decontam, document_stats, mixing, phrases, quality, whitening, word_arrays
+from vitrine.llm import boosting, chat, decontam, document_stats, mixing, phrases, quality, whitening, word_arrays
 
 DATA = "/root/testdata/sf0.01"
 TEXTS = [None, "", " \t\n", "One word", "a b c. a b c! A b c; a b", "É çà û 日本 x\x1cy", "x" * 5000, "la la la la la\nla la la\n\nla la la", "| a | b |\n| a | b |\nDone."]
@@ -305,3 +305,22 @@ def test_quality_limits_are_averages_by_size(spark):
     got = {r.source: r for r in quality.fences(quality.sketch(quality.steps(quality.measure(docs)))).collect()}
     assert got["short"].symbols_high > 3 * got["long"].symbols_high  # less can hide in a long document
     assert got["long"].symbols_high < got["few"].symbols_high < got["short"].symbols_high
+
+
+def test_long_records_parse_or_raise(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LONG_RECORD", 40)
+    fine = spark.createDataFrame([(1, '{"role": "user", "text": "%s"}' % ("x" * 50)), (2, "no json"), (3, None)], "conv_id long, record string")
+    assert [r.layout is not None for r in chat.canonical_turns(fine).orderBy("conv_id").collect()] == [True, False, False]
+    with pytest.raises(Exception, match="MALFORMED_RECORD|parse"):
+        chat.canonical_turns(spark.createDataFrame([(1, "x" * 50)], "conv_id long, record string")).collect()
+
+
+def test_index_blocks_end_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b c " * (1 if i else 3000)) for i in range(40)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    index = decontam.build_index(docs)
+    assert index.count() == 1
+    items = spark.createDataFrame([(1, "b c a0 b"), (2, "a7 b c")], "item_id long, text string")
+    want = sorted(map(str, decontam.search_items(index, items).select("doc_id", "n_words", "spans", "items").collect()))
+    rows = pa.record_batch({"text": [r.text for r in docs.collect()]})
+    assert [b.num_rows for b in word_arrays.by_bytes([rows], most=1000)] == [1, 40]
+    assert len(want) == 41 and sum("items=['1']" in w for w in want) == 1

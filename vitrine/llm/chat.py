@@ -15,7 +15,7 @@ Edge cases: null roles and texts are empty; turns are in the order of turn
 (null first), then role, then text; repeated rows are repeated turns; fields
 named in ``BESIDE`` don't count for a layout; records of any other layout give no
 turn and a null layout, by which they can be told; very long texts are formatted
-whole; empty tables give empty results; ``canonical_turns`` keeps all columns (those
+whole, and a record too long for a variant raises an error; empty tables give empty results; ``canonical_turns`` keeps all columns (those
 named layout and turns it replaces), ``format_chats`` reads its own only.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 #: What may not stand unescaped in a text: this template's marks and those of other common templates.
 CONTROL = r"(<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\]))"
+#: Characters from which on a record must parse: Spark's variants end at 128 MB.
+LONG_RECORD = 64 << 20
 _TURNS = "array<struct<role:string,text:string>>"
 #: Fields that stand beside a layout's own, at any depth, and are left out of the fingerprint where they hold a plain value.
 BESIDE = ("id", "name", "source", "model", "lang", "language", "timestamp", "created", "category", "weight")
@@ -81,10 +83,15 @@ def fingerprint(v: Column) -> Column:
     return F.xxhash64(field_paths(v))
 
 
+def parsed(record: Column) -> Column:
+    """The record as a variant, null if it isn't JSON.  A very long one that can't be held as a variant raises instead of losing its turns."""
+    return F.when(F.length(record) >= LONG_RECORD, F.parse_json(record)).otherwise(F.try_parse_json(record))
+
+
 def canonical_turns(records: DataFrame, json: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add layout (null if unknown) and turns, an array of (role, text), by each record's schema fingerprint."""
     # the caller's columns stand apart, whatever their names
-    df = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("given"), F.try_parse_json(F.col(json)).alias("v"))
+    df = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("given"), parsed(F.col(json)).alias("v"))
     df = df.withColumn("shape", fingerprint(F.col("v")))
     layout, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
     for m in reversed(mappings):

@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 
 from .common import release, slices, staged
 from .line_join import LOWER, mixed, utf8, word_hashes
+from .word_arrays import by_bytes
 
-BLOCK_ROWS = 512
+#: Documents and bytes of text of a block at most; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 GROUP_PHRASES = 1 << 18
 #: Candidate places handled at once.
 PLACES = 1 << 20
@@ -69,7 +71,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", row_ke
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, BLOCK_ROWS):
+        for batch in by_bytes(slices(batches, BLOCK_ROWS), most=BLOCK_BYTES):
             words, first = terms_of(batch["text"])
             starts = first + np.arange(len(first))
             place = np.arange(len(words)) + np.repeat(np.arange(batch.num_rows), np.diff(first))
