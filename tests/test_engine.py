@@ -52,8 +52,12 @@ def test_exact_and_approximate_search(spark, monkeypatch):
 
 
 def test_approximate_search_reaches_its_recall(spark):
-    recall = [r.recall for r in QUERIES["e23_ann_recall"](spark, "/root/testdata/sf0.1").collect()]
-    assert len(recall) == 20 and np.mean(recall) >= 0.9
+    recall = {}
+    for r in QUERIES["e23_ann_recall"](spark, "/root/testdata/sf0.1").collect():
+        recall.setdefault(r.method, []).append(r.recall)
+    assert all(len(r) == 20 for r in recall.values())
+    mean = {m: np.mean(r) for m, r in recall.items()}
+    assert min(mean["ivf"], mean["ivf_pq"], mean["lsh_6"]) >= 0.9 and mean["lsh_1"] < mean["lsh_3"] < mean["lsh_6"]
 
 
 def test_upsert_takes_the_last_of_several(spark):
@@ -180,14 +184,15 @@ def test_tuning_and_views(spark):
 
 
 def test_near_pairs_of_equal_hashes_equal_their_sql(spark, tmp_path):
-    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60").createOrReplaceTempView("few")
-    copies = spark.sql("SELECT * FROM few UNION ALL SELECT vec_id + 1000, embedding, label FROM few WHERE vec_id < 9")
-    close = spark.sql("SELECT vec_id + n AS vec_id, transform(embedding, (x, i) -> if(i < 2, -x, x)) AS embedding, label FROM few, (SELECT explode(array(2000, 3000)) AS n) WHERE vec_id < 12")
-    copies.unionByName(close).write.parquet(f"{tmp_path}/embeddings.parquet")
+    few = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(60)
+    copies = few.unionByName(few.limit(9).withColumn("doc_id", F.col("doc_id") + 10_000))
+    close = few.limit(12).crossJoin(spark.createDataFrame([(20_000, "extra"), (30_000, "more words here")], "n long, w string"))
+    close = close.withColumns({"doc_id": F.col("doc_id") + F.col("n"), "text": F.concat_ws(" ", "text", "w")}).drop("n", "w")
+    copies.unionByName(close).write.parquet(f"{tmp_path}/documents.parquet")
     con = views(str(tmp_path))
     for name in ("d5_near_duplicate_pairs", "d5_near_duplicate_members", "b10_duplicate_percent"):
         assert compare(spark, con, name, QUERIES[name], ORACLES[name], str(tmp_path)) == ""
-    assert QUERIES["d5_near_duplicate_pairs"](spark, str(tmp_path)).where("a >= 1000 or b >= 1000").count() > 40
+    assert QUERIES["d5_near_duplicate_pairs"](spark, str(tmp_path)).where("a >= 10000 or b >= 10000").count() > 40
 
 
 def test_color_similarity_cases(spark):

@@ -45,7 +45,7 @@ def test_indexes_reach_their_recall_on_a_small_part(clustered):
     assert recall(exact, got) >= 0.9
     assert all(abs(s - exact[q][t]) < 2e-6 for q in got for t, s in got[q].items() if t in exact[q])  # scores are the exact ones
     codes = ann.build_index(rows, m=8)
-    assert codes.bytes_a_vector == 8 and codes.rows.count() == 6000
+    assert codes.bytes_a_vector == 12 and codes.rows.count() == 6000
     got = found(ann.search_index(codes, queries, 10, max(1, len(codes.centres) // 10), vectors=rows, shortlist=100))
     assert recall(exact, got) >= 0.9 and all(len(h) == 10 for h in got.values())
     assert all(abs(s - exact[q][t]) < 2e-6 for q in got for t, s in got[q].items() if t in exact[q])

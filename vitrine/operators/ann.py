@@ -74,7 +74,7 @@ def sub_vectors(dim: int, m: int) -> int:
 
 @dataclass
 class Index:
-    """Stored rows by cell (tile_id, cell and v or code), the cells' centres, and with codes their books: [sub-vector, code, element]."""
+    """Stored rows by cell (tile_id, cell, and the vector or its code), the cells' centres, and with codes their books: [sub-vector, code, element]."""
 
     rows: DataFrame
     centres: np.ndarray
@@ -85,7 +85,7 @@ class Index:
     @property
     def bytes_a_vector(self) -> int:
         """Of what a search reads for a vector, besides its id and cell."""
-        return self.dim * 4 if self.books is None else self.books.shape[0]
+        return self.dim * 4 if self.books is None else self.books.shape[0] + 4  # codes, and the norm
 
 
 def build_index(vectors: DataFrame, nlist: int = 0, m: int = 0, nbits: int = 8, rounds: int = 10) -> Index:
@@ -113,19 +113,17 @@ def build_index(vectors: DataFrame, nlist: int = 0, m: int = 0, nbits: int = 8,
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                raw = matrix(part["v"], dim)
+                raw, held = matrix(part["v"], dim), part["v"]
                 rows = unit(raw)
                 cell = nearest(rows, centres) if len(centres) else np.zeros(0, np.int64)
-                if books is None:
-                    held = pa.array(list(raw.astype(np.float32)), pa.list_(pa.float32()))
-                else:  # the norm stands behind the codes, so that scores are those of the vectors as given
+                if books is not None:  # the norm stands behind the codes, so that scores are those of the vectors as given
                     rest = (rows - centres[cell]).reshape(len(rows), len(books), -1)
                     codes = np.column_stack([nearest(rest[:, i], books[i]) for i in range(len(books))]).astype(np.uint8)
                     norms = np.linalg.norm(raw, axis=1).astype("<f4").view(np.uint8).reshape(-1, 4)
                     held = pa.array([r.tobytes() for r in np.hstack([codes, norms])], pa.binary())
                 yield pa.record_batch([part["tile_id"], pa.array(cell.astype(np.int32)), held], ["tile_id", "cell", "held"])
 
-    kind = "array<float>" if books is None else "binary"
+    kind = vectors.schema["v"].dataType.simpleString() if books is None else "binary"
     placed = vectors.mapInArrow(place, f"tile_id long, cell int, held {kind}")
     order = ["cell", F.xxhash64("tile_id")]
     path = f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("d15_knn_ivf_pq")
 def d15(spark, sf):
-    """Codes of 16 bytes a vector, all of 32 cells' codes, exact scores of 100 for each query."""
+    """Codes of 16 bytes a vector and four for its norm, all of 32 cells' codes, exact scores of 100 for each query."""
     queries, vectors = _sides(spark, sf)
     return ann.knn_ivf_pq(queries, vectors, 10, nlist=32, nprobe=32, m=16, shortlist=100)
 
@@ -39,7 +39,7 @@ def d16(spark, sf):
 
 @query("e23_ann_recall")
 def e23(spark, sf):
-    """Of each index: the mean, least and median recall of the queries, and what was looked at for a query."""
+    """Each query's recall with each index, and with three numbers of probes."""
     _, vectors = _sides(spark, sf)
     queries = vectors.where("tile_id % 100 = 0").select(F.col("tile_id").alias("query_id"), "v")  # the query set of searches
     exact = search.knn_exact(queries, vectors, 10)
