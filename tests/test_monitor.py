@@ -6,7 +6,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.streaming import monitor
+from vitrine.sources import catalog
+from vitrine.streaming import files, monitor
 
 T0 = dt.datetime(2024, 1, 1)
 SEEN = "path string, size long, at timestamp"
@@ -114,3 +115,29 @@ def test_a_stream_of_batches_equals_one_batch(spark, store, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
     assert sorted(map(str, store.snapshot().drop("event_id").collect())) == sorted(map(str, whole.snapshot().drop("event_id").collect()))
+
+
+def test_history_of_a_stream_is_appended_once(spark, tmp_path):
+    kind = "query_id long, query_path string, result_count int, elapsed_seconds double, at timestamp"
+    rows = [(i, f" /q/{i}.jpg ", i - 1, 0.5 * i, at(i)) for i in range(6)] + [(9, " ", 1, 1.0, at(2)), (10, None, 1, 1.0, at(2))]
+    source, root, check = (str(tmp_path / n) for n in ("in", "history", "check"))
+    for part in (rows[:3], rows[1:]):  # two searches are told again
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = files.search_history(spark.readStream.schema(kind).parquet(source))
+        q = stream.writeStream.foreachBatch(lambda batch, n: catalog.append_batch(batch, root, n)).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    want = sorted((i, f"/q/{i}.jpg", max(0, i - 1), 0.5 * i, at(i)) for i in range(6))
+    assert sorted(tuple(r)[:5] for r in catalog.read_batches(spark, root).drop("batch").collect()) == want
+    assert sorted(tuple(r) for r in files.search_history(spark.createDataFrame(rows + rows, kind)).collect()) == want
+    before = catalog.read_batches(spark, root).count()
+    catalog.append_batch(spark.read.parquet(f"{root}/batch=0").limit(0).unionByName(spark.createDataFrame([(0, "/q/0.jpg", 0, 0.0, at(0))], kind)), root, 77)
+    assert catalog.read_batches(spark, root).count() == before + 1
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = [("/a b.jpg", [3, 1], "x", 7), ("/n.jpg", [2], None, None), (None, [1], "x", 1), ("/none.jpg", [], "x", 2), ('/"q".jpg', [5], "y", 3)]
+    path = str(tmp_path / "manifest")
+    catalog.write_manifest(spark.createDataFrame(rows, "query_path string, relevant_ids array<long>, category string, query_id long"), path)
+    got = sorted((r.query_path, r.relevant_ids, r.category, r.query_id) for r in catalog.parse_manifest(spark.read.text(path)).collect())
+    assert got == sorted([("/a b.jpg", [1, 3], "x", 7), ("/n.jpg", [2], "Unknown", None), ('/"q".jpg', [5], "y", 3)], key=lambda r: r[0])

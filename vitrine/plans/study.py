@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import ann, checks, evaluate, search, views
 from vitrine.operators.checks import Constraint
 from vitrine.session import shared_folder
+from vitrine.sources import catalog as sources
 from vitrine.streaming import files, monitor
 
 from . import tables as T
@@ -284,3 +285,31 @@ def i4(spark, sf):
     for batch_id in (0, 1, 2, 2, 3):
         store.apply(changes.where(F.col("part") == batch_id).drop("part"), batch_id)
     return store.snapshot().select("path", "size", F.col("at").cast("timestamp_ntz").alias("at"), "event_id")
+
+
+# ------------------------------------------------------- manifests, history
+
+
+@query("a6_write_manifest", "SELECT '/q/' || min(vec_id) || '.jpg' AS query_path, list_sort(list(vec_id)) AS relevant_ids, 'class-' || label AS category, min(vec_id) AS query_id FROM embeddings GROUP BY label")
+def a6(spark, sf):
+    """A manifest with a query for each class, written and read back."""
+    v = T.vectors(spark, sf).groupBy("label").agg(F.min("tile_id").alias("query_id"), F.collect_list("tile_id").alias("relevant_ids"))
+    queries = v.select(F.concat(F.lit("/q/"), F.col("query_id").cast("string"), F.lit(".jpg")).alias("query_path"), "relevant_ids", F.concat(F.lit("class-"), F.col("label").cast("string")).alias("category"), "query_id")
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    sources.write_manifest(queries, path)
+    return sources.parse_manifest(spark.read.text(path))
+
+
+@query(
+    "a11_append_history",
+    """SELECT event_id AS query_id, '/q/' || user_id AS query_path, floor(value)::INTEGER AS result_count, value / 10 AS elapsed_seconds, ts AS "at" FROM events WHERE event_type IN ('view', 'click')""",
+)
+def a11(spark, sf):
+    """Searches appended to the history in three batches, the second of them twice; each search is told twice."""
+    e = T.table(spark, sf, "events").where("event_type IN ('view', 'click')")
+    told = e.select(F.col("event_id").alias("query_id"), F.concat(F.lit(" /q/"), F.col("user_id").cast("string")).alias("query_path"), F.floor("value").alias("result_count"), (F.col("value") / 10).alias("elapsed_seconds"), F.col("ts").alias("at"))
+    root = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    for batch_id in (0, 1, 1, 2):
+        part = told.where(F.pmod("query_id", F.lit(3)) == batch_id)
+        sources.append_batch(files.search_history(part.unionByName(part)), root, batch_id)
+    return sources.read_batches(spark, root).drop("batch")

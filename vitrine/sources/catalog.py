@@ -25,6 +25,26 @@ def parse_manifest(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.select(fine.alias("query_path"), "m.relevant_ids", F.coalesce("m.category", F.lit("Unknown")).alias("category"), "m.query_id")
 
 
+def write_manifest(queries: DataFrame, path: str) -> None:
+    """JSON lines that parse_manifest reads back: query_path, relevant_ids in ascending order, category, query_id; null fields are left out.
+
+    A query without a path or without a relevant id is no line.
+    """
+    rows = queries.where(F.col("query_path").isNotNull() & (F.size("relevant_ids") > 0))
+    line = F.to_json(F.struct("query_path", F.array_sort("relevant_ids").alias("relevant_ids"), "category", "query_id"))
+    rows.select(line.alias("value")).write.mode("errorifexists").text(path)
+
+
+def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
+    """Append a batch of history or activity rows in a folder of its own; a replayed batch replaces itself.  Fit for foreachBatch."""
+    rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, root: str) -> DataFrame:
+    """All appended rows, with the batch that brought each."""
+    return spark.read.parquet(root)
+
+
 def parse_customer_manifest(lines: DataFrame, line: str = "value") -> DataFrame:
     """As parse_manifest, with # comments, aliases, and the true id from true_tile_id, relevant_ids or query_id."""
     from vitrine.functions.text import tile_id

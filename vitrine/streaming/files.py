@@ -28,6 +28,19 @@ def action_counts(actions: DataFrame, window: str = "1 day", late: str = "10 min
     return rows.groupBy(F.window("at", window).alias("w"), "step").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "step", "n")
 
 
+def search_history(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """One history row for each finished search (query_id), whatever the times it is told: query_path, result_count, elapsed_seconds, at.
+
+    events: query_id, query_path, result_count, elapsed_seconds, at.  Searches
+    without a path aren't kept; negative counts and times are 0.  On a stream,
+    repeats that come later than ``late`` are no longer known.
+    """
+    rows = events.where(F.trim("query_path") != "")
+    rows = rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["query_id"]) if rows.isStreaming else rows.dropDuplicates(["query_id"])
+    zero = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    return rows.select("query_id", F.trim("query_path").alias("query_path"), zero("result_count").cast("int").alias("result_count"), zero("elapsed_seconds").cast("double").alias("elapsed_seconds"), "at")
+
+
 def apply_to(path: str, key: str = "path"):
     """A foreachBatch function that keeps a snapshot table of the latest step per path; repeating a batch changes nothing."""
 
