@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions import families, vectors
+from vitrine.functions import families, signals, vectors
 from vitrine.operators import ann, checks, duplicates, scoring, search, views
 from vitrine.plans import ORACLES, QUERIES
+from vitrine.sources import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -212,3 +213,14 @@ def test_queries_have_rows(spark):
     for name in ("d5_near_duplicate_pairs", "e5_near_duplicate_groups", "b10_duplicate_percent", "e14_view_ablation", "e27_catalog_quality_report", "i4_incremental_apply", "d17_feature_drift", "d15_knn_ivf_pq", "d16_knn_lsh"):
         assert QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1, name
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_boxes_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 101, 51), (2, 1, 1), (3, 0, 9)], "id int, w int, h int")
+    got = {r.id: [tuple(b) for b in r.b] for r in rows.select("id", signals.index_view_boxes(F.col("w"), F.col("h"), (0.5,)).alias("b")).collect()}
+    assert got == {1: [("full", 0, 0, 101, 51), ("center_50", 25, 13, 75, 38)], 2: [("full", 0, 0, 1, 1), ("center_50", 0, 0, 1, 1)], 3: []}
+    table = spark.createDataFrame([(1, 'a, "b"', [1, 2]), (2, None, None)], "id long, note string, ids array<long>")
+    catalog.write_report(table, str(tmp_path / "r"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "r/csv"))
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [("1", 'a, "b"', "[1,2]"), ("2", None, None)]
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "r/json")).collect()) == [1, 2]

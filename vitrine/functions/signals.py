@@ -92,6 +92,21 @@ def query_view_plan(kind: Column, background: Column, cap: int = 3) -> Column:
     return F.struct(*out)
 
 
+def center_box(width: Column, height: Column, ratio: float) -> Column:
+    """struct(left, top, right, bottom) of the middle part of an image, in whole pixels and one at least."""
+    w, h = (F.greatest(F.lit(1), F.floor(side * ratio)).cast("int") for side in (width, height))
+    left, top = (F.floor((side - part) / 2).cast("int") for side, part in ((width, w), (height, h)))
+    return F.struct(left.alias("left"), top.alias("top"), (left + w).alias("right"), (top + h).alias("bottom"))
+
+
+def index_view_boxes(width: Column, height: Column, ratios: tuple[float, ...] = (0.50, 0.40)) -> Column:
+    """array of struct(view, left, top, right, bottom): the whole image, and its middle at each ratio; empty where a side isn't above 0."""
+    whole = F.struct(F.lit(0).alias("left"), F.lit(0).alias("top"), width.cast("int").alias("right"), height.cast("int").alias("bottom"))
+    named = {"full": whole, **{f"center_{round(100 * r)}": center_box(width, height, r) for r in ratios}}
+    boxes = F.array(*[F.struct(F.lit(n).alias("view"), *[b[c].alias(c) for c in ("left", "top", "right", "bottom")]) for n, b in named.items()])
+    return F.when((width > 0) & (height > 0), boxes).otherwise(F.filter(boxes, lambda b: F.lit(False)))
+
+
 def confidence_level(best: Column) -> Column:
     """Of the best display score that isn't exact: none, low, moderate or high."""
     return F.when(best.isNull(), "none").when(best < 35, "low").when(best < 55, "moderate").otherwise("high")

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators import ann, checks, evaluate, search, views
+from vitrine.functions import signals
+from vitrine.operators import ann, checks, evaluate, maintain, search, views
 from vitrine.operators.checks import Constraint
 from vitrine.session import shared_folder
 from vitrine.sources import catalog as sources
@@ -313,3 +314,36 @@ def a11(spark, sf):
         part = told.where(F.pmod("query_id", F.lit(3)) == batch_id)
         sources.append_batch(files.search_history(part.unionByName(part)), root, batch_id)
     return sources.read_batches(spark, root).drop("batch")
+
+
+_BOX = "SELECT tile_id, 'center_{p}' AS view, (width - w) // 2 AS \"left\", (height - h) // 2 AS top, (width - w) // 2 + w AS \"right\", (height - h) // 2 + h AS bottom FROM (SELECT tile_id, width, height, greatest(1, floor(width * {r}))::INTEGER AS w, greatest(1, floor(height * {r}))::INTEGER AS h FROM s)"
+_BOXES = f"""WITH s AS (SELECT tile_id, width::INTEGER AS width, height::INTEGER AS height FROM ({T.SIGNALS_SQL}))
+SELECT tile_id, 'full' AS view, 0 AS "left", 0 AS top, width AS "right", height AS bottom FROM s UNION ALL {_BOX.format(p=50, r='0.5::DOUBLE')} UNION ALL {_BOX.format(p=40, r='0.4::DOUBLE')}"""
+
+
+@query("b39_index_view_boxes", _BOXES)
+def b39(spark, sf):
+    s = T.signals(spark, sf)
+    return s.select("tile_id", F.inline(signals.index_view_boxes(F.col("width"), F.col("height"))))
+
+
+_FOLDERS = "SELECT '/tiles/' || (user_id % 20) AS path, ts AS last_indexed_at, event_id FROM events"
+
+
+@query("a12_upsert_folders", f"""SELECT path, max(last_indexed_at) AS last_indexed_at FROM ({_FOLDERS}) GROUP BY 1""")
+def a12(spark, sf):
+    """Each folder's last indexing, from earlier rows and a batch of changes with several rows a folder."""
+    e = T.table(spark, sf, "events").select(F.concat(F.lit("/tiles/"), (F.col("user_id") % 20).cast("string")).alias("path"), F.col("ts").alias("last_indexed_at"))
+    middle = e.agg(F.percentile(F.col("last_indexed_at").cast("timestamp").cast("double"), 0.5).alias("middle"))
+    e = e.crossJoin(F.broadcast(middle)).withColumn("late", F.col("last_indexed_at").cast("timestamp").cast("double") > F.col("middle")).drop("middle")  # one row
+    earlier = maintain.upsert(e.where("false").drop("late"), e.where("NOT late").drop("late"), "path", "last_indexed_at")
+    return maintain.upsert(earlier, e.where("late").drop("late"), "path", "last_indexed_at")
+
+
+@query("a7_write_report", "SELECT label::BIGINT AS label, count(*)::BIGINT AS n, 'class, \"' || label || '\"' AS note FROM embeddings GROUP BY 1, 3")
+def a7(spark, sf):
+    """A report written as CSV and JSON, read back from the JSON."""
+    rows = T.vectors(spark, sf).groupBy("label").agg(F.count("*").alias("n")).withColumn("note", F.concat(F.lit('class, "'), F.col("label").cast("string"), F.lit('"')))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sources.write_report(rows, path)
+    return spark.read.schema("label long, n long, note string").json(f"{path}/json")

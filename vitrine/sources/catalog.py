@@ -35,6 +35,17 @@ def write_manifest(queries: DataFrame, path: str) -> None:
     rows.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_report(table: DataFrame, path: str) -> None:
+    """A report table as CSV with a header and as JSON lines, in path/csv and path/json; nested columns are JSON text in the CSV.
+
+    The columns of the table name the fields, also where it has no row.
+    """
+    nested = ("array", "struct", "map")
+    flat = table.select(*[F.to_json(c).alias(c) if kind.startswith(nested) else F.col(c) for c, kind in table.dtypes])
+    flat.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/csv")
+    table.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/json")
+
+
 def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
     """Append a batch of history or activity rows in a folder of its own; a replayed batch replaces itself.  Fit for foreachBatch."""
     rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
