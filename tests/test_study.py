@@ -224,3 +224,15 @@ def test_boxes_and_reports(spark, tmp_path):
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "r/csv"))
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [("1", 'a, "b"', "[1,2]"), ("2", None, None)]
     assert sorted(r.id for r in spark.read.json(str(tmp_path / "r/json")).collect()) == [1, 2]
+
+
+def test_near_pairs_compare_every_pair(spark):
+    """Crowded and negative hashes, more than a group's chunk, against brute force."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 1, dtype=np.uint64)[0]
+    h = sorted({int(base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)))) for _ in range(700)} | {(1 << 64) - 1, 1 << 63, 0})
+    df = spark.createDataFrame([(i, f"{x:016x}") for i, x in enumerate(h)], "id long, perceptual_hash string").repartition(5)
+    want = {(i, j, (x ^ y).bit_count()) for i, x in enumerate(h) for j, y in enumerate(h) if i < j and (x ^ y).bit_count() <= 8}
+    got = [tuple(r) for r in duplicates.near_pairs(df).collect()]
+    assert len(got) == len(want) > 1000 and set(got) == want
+    assert "Join" not in duplicates.near_pairs(df)._jdf.queryExecution().executedPlan().toString()  # keys of crowded hashes would meet in far more pairs than there are

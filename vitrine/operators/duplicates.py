@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +28,15 @@ def blocks_to_share(n: int, within: int, candidates: int = 64, most_keys: int =
     return shared
 
 
-def near_pairs(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
-    """All pairs of different hashes at most ``within`` bits apart: a, b, distance, with the smallest id of each hash.
+def keyed_pairs(bits: DataFrame, within: int, shared: int) -> DataFrame:
+    """near_pairs of (i, h) by an equi-join: for hashes whose bits are nearly uniform.
 
     The 64 bits are cut into within + shared blocks; two hashes that close agree
     on at least ``shared`` of them, so an equi-join on every choice of that many
     blocks misses no pair.  A pair comes out at the first choice on which it
-    agrees and nowhere else, so nothing has to be made distinct.  Equal hashes are
-    one row before.  shared 0: by the number of hashes (``blocks_to_share``).
+    agrees and nowhere else, so nothing has to be made distinct.  Which number of
+    blocks keeps chance meetings few: ``blocks_to_share``.
     """
-    bits = rows.select(F.col(item).alias("i"), hash_bits(F.col(key)).alias("h")).where("h is not null").groupBy("h").agg(F.min("i").alias("i"))
-    shared = shared or blocks_to_share(rows.count(), within)
     n = within + shared
     edges = [64 * k // n for k in range(n + 1)]
     parts = [((1 << edges[k + 1]) - (1 << edges[k])) - (1 << 64 if edges[k + 1] == 64 else 0) for k in range(n)]  # each block's bits, as a signed number
@@ -54,6 +55,69 @@ def near_pairs(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "i
     return met.where(first == F.col("c")).select(F.col("i").alias("a"), F.col("i2").alias("b"), far.alias("distance"))
 
 
+#: Groups that hashes are dealt into at least, and hashes that a group holds on average at most.
+GROUPS, HELD = 16, 1 << 18
+#: Pairs that are compared at a time.
+AT_A_TIME = 1 << 19
+
+
+def close_pairs(i: np.ndarray, h: np.ndarray, i2: np.ndarray, h2: np.ndarray, within: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs at most ``within`` bits apart, each once with the smaller id first; with same, both sides are one list."""
+    h, h2 = h.view(np.uint64), h2.view(np.uint64)  # bits of a negative number would be counted without its sign
+    wide = max(1, min(len(h2), 1 << 13))
+    high = max(1, AT_A_TIME // wide)
+    found, size = [], 0
+    for r in range(0, len(h), high):
+        for c in range(0, len(h2), wide):
+            if same and c + wide <= r:  # below the diagonal
+                continue
+            far = np.bitwise_count(h[r : r + high, None] ^ h2[None, c : c + wide])
+            x, y = np.divmod(np.flatnonzero(far <= within), far.shape[1])
+            far = far[x, y]
+            if same:
+                above = r + x < c + y
+                x, y, far = x[above], y[above], far[above]
+            if len(x):
+                found.append((i[r + x], i2[c + y], far))
+                size += len(x)
+            if size > HELD:
+                yield pair_batch(found)
+                found, size = [], 0
+    yield pair_batch(found)
+
+
+def pair_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far.astype(np.int32))], ["a", "b", "distance"])
+
+
+def near_pairs(rows: DataFrame, within: int = 8, shared: int = 0, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
+    """All pairs of different hashes at most ``within`` bits apart: a, b, distance, with the smallest id of each hash.
+
+    Hashes of documents are far from uniform: at this distance keys of some of
+    their bits meet many times more pairs than there are, so every pair of
+    hashes is compared, in arrays.  Hashes are dealt into groups, and each task
+    compares two of them; a hash goes to as many tasks as there are groups, whose
+    number is fixed until a group would hold more than HELD.  Equal hashes are one
+    row before.  With ``shared``, pairs are found by ``keyed_pairs`` instead.
+    """
+    bits = rows.select(F.col(item).alias("i"), hash_bits(F.col(key)).alias("h")).where("h is not null").groupBy("h").agg(F.min("i").alias("i"))
+    if shared:
+        return keyed_pairs(bits, within, shared)
+    n = max(GROUPS, -(-rows.count() // HELD))
+    own, other = F.col("g"), F.col("o")
+    dealt = bits.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("i", "h", "g", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = (k.as_py() for k in key)
+        i, h, g = (np.concatenate(c) for c in zip(*[[b[c].to_numpy() for c in ("i", "h", "g")] for b in batches], strict=True))
+        left, right = g == x, g == y
+        yield from close_pairs(i[left], h[left], i[right], h[right], within, x == y)
+
+    return dealt.repartition(n * (n + 1) // 2, "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long, distance int")
+
+
 def hash_members(rows: DataFrame, item: str = "id", key: str = "perceptual_hash") -> DataFrame:
     """One row per row with a hash: id, representative (the smallest id of its hash), distance (0)."""
     own = rows.select(F.col(item).alias("id"), hash_bits(F.col(key)).alias("h")).where("h is not null")
