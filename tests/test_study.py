@@ -236,3 +236,25 @@ def test_near_pairs_compare_every_pair(spark):
     got = [tuple(r) for r in duplicates.near_pairs(df).collect()]
     assert len(got) == len(want) > 1000 and set(got) == want
     assert "Join" not in duplicates.near_pairs(df)._jdf.queryExecution().executedPlan().toString()  # keys of crowded hashes would meet in far more pairs than there are
+
+
+def test_all_against_all_sends_on_only_the_best(spark, monkeypatch):
+    """Blocks of queries past which all vectors go: ties, copies, long, short and infinite vectors, and a threshold, as the local path gives them."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(700, 8)).astype("f4")
+    base[:300] /= np.linalg.norm(base[:300], axis=1, keepdims=True)
+    base[100:140], base[300], base[301, 2] = base[0], 0, np.inf
+    df = spark.createDataFrame([((i * 37) % 997, [float(x) for x in r]) for i, r in enumerate(base)], "tile_id long, v array<float>").repartition(3).persist()
+    queries = df.select(F.col("tile_id").alias("query_id"), "v")
+    ask = [dict(k=5), dict(k=0, threshold=0.9), dict(k=1000), dict(k=3, skip_self=False)]
+    want = [sorted(map(tuple, search.knn_exact(queries, df, **a).collect())) for a in ask]
+    monkeypatch.setattr(search, "BLOCK", 50)
+    got = [search.knn_exact(queries, df, **a) for a in ask]
+    assert [sorted(map(tuple, g.collect())) for g in got] == want and len(want[0]) > 3000
+    assert "CoGroup" not in got[0]._jdf.queryExecution().executedPlan().toString()  # pairs of blocks would send on k hits each
+
+
+def test_nudged_scores_that_round_to_equals_keep_their_order(spark):
+    rows = [(1, 7, 0.8, False, 1, 0.1), (1, 8, 0.8, False, 2, 0.1000001), (1, 9, 0.3, False, 3, 0.9)]
+    hits = spark.createDataFrame(rows, "query_id long, tile_id long, score double, exact boolean, rank int, s_edge double")
+    assert [r.tile_id for r in scoring.nudged(hits, F.col("s_edge")).orderBy("rank").collect()] == [7, 8, 9]

@@ -65,7 +65,7 @@ def nudged(rows: DataFrame, verify: Column) -> DataFrame:
     """Add nudge, what the verification of near ties added to the score; rank by it."""
     own = rows.withColumn("before_nudge", F.col("score"))
     pairs = rows.select("query_id", "tile_id", verify.alias("verify"))
-    out = search.near_tie_nudge(own, pairs).withColumn("score", rounded(F.col("score")))
+    out = search.near_tie_nudge(own, pairs, places=6)
     return out.withColumn("nudge", F.col("score") - F.col("before_nudge")).drop("before_nudge")
 
 

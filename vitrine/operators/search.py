@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vitrine.functions.vectors import clamp01
 
 BLOCK = 4096
+#: Blocks of more queries than BLOCK at least; vectors that a block sees at a time; pairs whose exact scores are taken at a time.
+SPREAD, STEP, CHECKED = 32, 512, 1 << 16
 
 
 def best_first(k: int | None = None, *, by: str = "query_id", score: str = "score", item: str = "tile_id"):
@@ -69,13 +71,71 @@ def best_hits(own: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     return pa.table({"query_id": own[a].astype(np.int64), "tile_id": ids[b].astype(np.int64), "score": s[a, b]})
 
 
+class Best:
+    """A block of unit queries and the k best hits of the vectors that they have seen, which come in the order of their ids."""
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, k: int, skip_self: bool, threshold: float | None):
+        self.own, self.q, self.k, self.skip_self, self.threshold = own, q, k, skip_self, threshold
+        self.single, self.least = q.astype(np.float32), np.full(len(q), -np.inf)  # the k-th best score
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, id, score
+        self.more, self.size = [], 0
+
+    def see(self, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.threshold is not None:
+            yield from best_hits(self.own, self.q, ids, v, 0, self.skip_self, self.threshold).to_batches()
+        elif self.k > 0:
+            x, y, s = self.candidates(ids, v)
+            if self.skip_self:
+                other = self.own[x] != ids[y]
+                x, y, s = x[other], y[other], s[other]
+            if len(x):
+                self.more.append((x, ids[y], s))
+                self.size += len(x)
+            if self.size > max(1 << 18, len(self.held[0])) or not np.isfinite(self.least).any():
+                self.settle()
+
+    def candidates(self, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs that may be among the best, and their exact scores; single precision rules out the rest with its error bound."""
+        longest = np.sqrt((v * v).sum(1).max())
+        if not np.isfinite(self.least).all() or not longest < 1e18:
+            with np.errstate(invalid="ignore"):
+                s = np.round(np.clip(self.q @ v.T, -1, 1), 6)
+            s[np.isnan(s)] = -np.inf
+            most = self.k + self.skip_self
+            cut = self.least[:, None] if most >= s.shape[1] else np.maximum(self.least[:, None], -np.partition(-s, most - 1, axis=1)[:, most - 1 : most])
+            x, y = np.nonzero((s >= cut) & (s > self.least[:, None]))
+            return x, y, s[x, y]
+        slack = (v.shape[1] + 8) * 2.0**-23 * longest + 1e-6
+        x, y = np.divmod(np.flatnonzero(self.single @ v.T.astype(np.float32) > (self.least - slack).astype(np.float32)[:, None]), len(v))
+        pieces = [np.einsum("ij,ij->i", self.q[x[a : a + CHECKED]], v[y[a : a + CHECKED]]) for a in range(0, len(x), CHECKED)]
+        s = np.round(np.clip(np.concatenate(pieces or [np.zeros(0)]), -1, 1), 6)
+        better = s > self.least[x]  # of equals the earlier, with the smaller id, stays
+        return x[better], y[better], s[better]
+
+    def settle(self) -> None:
+        x, ids, s = (np.concatenate(c) for c in zip(self.held, *self.more))
+        order = np.lexsort((ids, -s, x))
+        x, ids, s = x[order], ids[order], s[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        keep = place < self.k
+        self.least[x[place == self.k - 1]] = s[place == self.k - 1]
+        self.held, self.more, self.size = (x[keep], ids[keep], s[keep]), [], 0
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        x, ids, s = self.held
+        yield pa.record_batch([pa.array(self.own[x].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(s)], ["query_id", "tile_id", "score"])
+
+
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = True, threshold: float | None = None) -> DataFrame:
     """The k best vectors by inner product for every query: query_id, tile_id, score, rank.
 
     queries: query_id, v; vectors: tile_id, v.  Up to BLOCK queries go to where the
-    vectors are, which stay in place; beyond it both sides are cut into blocks:
-    block ids are crossed, never rows, and a task holds one block of each.  Either
-    way a task keeps its k best per query (or, with a threshold, all at or above it).
+    vectors are, which stay in place, and a task keeps its k best per query.  Beyond
+    it, queries are cut into blocks, SPREAD until a block would be over four times
+    BLOCK; a task holds one, and all vectors go past it in the order of their ids,
+    so that a block sends on only each query's k best of all (or, with a threshold,
+    all at or above it): what is moved grows with the rows, not with their square.
     Scores are rounded to 6 places, so that ties are broken by id alike everywhere.
     Queries and vectors that are null, of another length than most vectors, or hold
     a null or NaN take no part (see ``unusable``).
@@ -95,15 +155,33 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool
 
         hits = vectors.mapInArrow(local, HITS)
     else:
-        nq, nv = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
-        blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
-        right = vectors.withColumn("vb", F.pmod(F.xxhash64("tile_id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq))
-
-        def score(a: pa.Table, b: pa.Table) -> pa.Table:
-            return best_hits(a["query_id"].to_numpy(), unit(matrix(a["v"], dim)), b["tile_id"].to_numpy(), matrix(b["v"], dim), most, skip_self, threshold)
+        n = max(SPREAD, -(-queries.count() // (4 * BLOCK)))
+        left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("qb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "v")
+        right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb"), F.lit(1).alias("side"), F.col("tile_id").alias("id"), "v")
+        rows = left.unionByName(right).repartitionById(n, F.col("qb")).sortWithinPartitions("qb", "side", "id")
 
-        hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(score, HITS)
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, asking, best = None, [], None
+            for batch in batches:
+                qb, side = batch["qb"].to_numpy(), batch["side"].to_numpy()
+                cuts = np.flatnonzero(np.diff(qb * 2 + side, prepend=-1))
+                for a, b in zip(cuts, np.append(cuts[1:], len(qb))):
+                    if qb[a] != at:
+                        if best:
+                            yield from best.hits()
+                        at, asking, best = qb[a], [], None
+                    part = batch.slice(a, b - a)
+                    if side[a] == 0:
+                        asking.append((part["id"].to_numpy(), unit(matrix(part["v"], dim))))
+                    elif asking:
+                        best = best or Best(*map(np.concatenate, zip(*asking)), most, skip_self, threshold)
+                        for c in range(0, part.num_rows, STEP):
+                            piece = part.slice(c, STEP)
+                            yield from best.see(piece["id"].to_numpy(), matrix(piece["v"], dim))
+            if best:
+                yield from best.hits()
+
+        hits = rows.mapInArrow(look, HITS)
     ranked = hits.withColumn("rank", best_first())
     return ranked if threshold is not None else ranked.where(F.col("rank") <= k)
 
@@ -151,8 +229,11 @@ def rerank(hits: DataFrame) -> DataFrame:
     return out.withColumn("rank", best_first())
 
 
-def near_tie_nudge(hits: DataFrame, verify: DataFrame, band: float = 0.03, most: int = 5, bonus: float = 0.05) -> DataFrame:
-    """Raise non-exact hits within a band of the best by their pair's verification; needs at least two of them.  verify: query_id, tile_id, verify."""
+def near_tie_nudge(hits: DataFrame, verify: DataFrame, band: float = 0.03, most: int = 5, bonus: float = 0.05, places: int | None = None) -> DataFrame:
+    """Raise non-exact hits within a band of the best by their pair's verification; needs at least two of them.  verify: query_id, tile_id, verify.
+
+    With places, scores are rounded to so many before hits are ranked by them: equals keep their order.
+    """
     whole = Window.partitionBy("query_id")
     df = hits.join(verify, ["query_id", "tile_id"], "left").withColumn("top", F.max("score").over(whole))
     df = df.withColumn("in_band", ~F.col("exact") & (F.col("score") >= F.col("top") - band))
@@ -160,6 +241,8 @@ def near_tie_nudge(hits: DataFrame, verify: DataFrame, band: float = 0.03, most:
     df = df.withColumn("in_band", F.col("in_band") & (nth <= most)).withColumn("tied", F.sum(F.col("in_band").cast("int")).over(whole))
     up = F.col("in_band") & (F.col("tied") >= 2) & (F.coalesce(F.col("verify"), F.lit(0.0)) > 0)
     df = df.withColumn("score", F.when(up, F.least(F.lit(1.0), F.col("score") + bonus * F.col("verify"))).otherwise(F.col("score"))).withColumn("before", F.col("rank"))
+    if places is not None:
+        df = df.withColumn("score", F.round(F.col("score") + 1e-9, places))
     df = df.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), F.col("before"))))
     return df.drop("top", "in_band", "tied", "before", "verify")
 
