@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from vitrine.session import shared_folder
 
-from .search import BLOCK, HITS, best_first, dimension, matrix, unit, usable
+from .search import BLOCK, HITS, STEP, best_first, dimension, matrix, unit, usable
 
 SAMPLE, SAMPLE_FLOATS = 65_536, 16 << 20
 #: Hits that a task holds before it drops all but each query's best.
 HELD = 1 << 20
 #: Rows for each part of a hash table's bucket on average.
 BUCKET = 64
+#: Rows, and queries that ask, of a bucket's part at most on average.
+HOT = 1 << 12
 
 
 def auto_nlist(n: int) -> int:
@@ -333,37 +335,81 @@ def probes_of(own: np.ndarray, q: np.ndarray, planes: np.ndarray, probes: int) -
     return pa.table({"query_id": np.repeat(own.astype(np.int64), t * p), "table": np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n), "bucket": chosen.ravel()})
 
 
-def lsh_candidates(index: HashTables, own: np.ndarray, q: np.ndarray, probes: int) -> DataFrame:
-    """Pairs (query_id, tile_id) that share a probed bucket of some table.  The probes of a block of queries are broadcast: BLOCK * tables * probes rows at most."""
-    spark = index.rows.sparkSession
-    asked = spark.createDataFrame(probes_of(own, q, index.planes, probes))
-    return index.rows.join(F.broadcast(asked), ["table", "bucket"]).select("query_id", "tile_id").distinct()
+def met_before(mine: np.ndarray, asked: np.ndarray, table: int) -> np.ndarray:
+    """[query, row] whether a row stands in a bucket that the query probes in an earlier table.  mine: [row, table]; asked: [query, table, probe]."""
+    met = np.zeros((len(asked), len(mine)), bool)
+    for t in range(table):
+        for p in range(asked.shape[2]):
+            met |= asked[:, t, p][:, None] == mine[:, t][None, :]
+    return met
 
 
 def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bits: int = 0, probes: int = 4, *, skip_self: bool = True, index: HashTables | None = None) -> DataFrame:
     """The k best of the vectors that share one of a query's probed buckets, by their exact scores: query_id, tile_id, score, rank, candidates (of the query)."""
     index = index or build_tables(vectors, tables, bits)
-    spark, parts = vectors.sparkSession, []
-    given = usable(vectors.select("tile_id", "v"), index.dim)
-    for own, q in query_blocks(queries, index.dim):
-        pairs = lsh_candidates(index, own, q, probes)
-        if skip_self:
-            pairs = pairs.where("query_id <> tile_id")
-        shared, dim = spark.sparkContext.broadcast((own, q)), index.dim
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
-            own, q = shared.value
-            order = np.argsort(own, kind="stable")
+    planes, dim, part = index.planes, index.dim, HOT
+    tables = len(planes)
+    sides = {"tile_id": usable(vectors.select("tile_id", "v"), dim), "query_id": usable(queries.select("query_id", "v"), dim)}
+
+    def numbers(name: str) -> DataFrame:
+        """A row for each table and bucket that a row stands in or asks for, with the vector and all its bucket numbers."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, at_q = batch["tile_id"].to_numpy(), order[np.searchsorted(own, batch["query_id"].to_numpy(), sorter=order)]
-                s = np.round(np.clip(np.einsum("ij,ij->i", q[at_q], matrix(batch["v"], dim)), -1, 1), 6)
-                n = np.bincount(at_q, minlength=len(own))
-                at_q, ids, s = compact(at_q, ids, s, k)
-                first = np.diff(at_q, prepend=-1) != 0  # the candidates of the batch are told with a query's best
-                yield pa.record_batch([pa.array(own[at_q].astype(np.int64)), pa.array(ids), pa.array(s), pa.array(np.where(first, n[at_q], 0))], ["query_id", "tile_id", "score", "candidates"])
-
-        parts.append(pairs.join(given, "tile_id").select("query_id", "tile_id", "v").mapInArrow(score, f"{HITS}, candidates long"))
-    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{HITS}, candidates long")
+                for at in range(0, batch.num_rows, BLOCK // 8):
+                    piece = batch.slice(at, BLOCK // 8)
+                    v = matrix(piece["v"], dim)
+                    if name == "tile_id":
+                        chosen = buckets(v, planes)[0][:, :, None]
+                    else:
+                        chosen = probes_of(np.arange(len(v)), unit(v), planes, probes)["bucket"].to_numpy().reshape(len(v), tables, -1)
+                    n, t, p = chosen.shape
+                    row = np.repeat(np.arange(n), t * p)
+                    every = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (t * p)), pa.array(chosen.ravel()))
+                    yield pa.record_batch([pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(chosen.ravel()), *(c.take(pa.array(row)) for c in (piece[name], piece["v"], every))], ["table", "bucket", name, "v", "every"])
+
+        kind = sides[name].schema["v"].dataType.simpleString()
+        return sides[name].mapInArrow(place, f"table int, bucket long, {name} long, v {kind}, every array<long>")
+
+    tiles, asking = numbers("tile_id"), numbers("query_id")
+    # a bucket of many rows, or that many ask for, is dealt out as a grid; such buckets are few
+    hot = lambda df: df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / part).cast("int").alias("n")).where("n > 1")
+    grid = hot(index.rows).withColumnRenamed("n", "nt").join(hot(asking).withColumnRenamed("n", "nq"), ["table", "bucket"], "full").select("table", "bucket", F.coalesce("nt", F.lit(1)).alias("nt"), F.coalesce("nq", F.lit(1)).alias("nq"))
+    parts_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = lambda c: F.coalesce(c, F.lit(1))
+    left = asking.join(F.broadcast(grid), ["table", "bucket"], "left").withColumn("y", F.pmod(F.xxhash64("query_id"), one("nq")).cast("int")).withColumn("x", parts_of(one("nt"))).drop("nt", "nq")
+    right = tiles.join(F.broadcast(grid), ["table", "bucket"], "left").withColumn("x", F.pmod(F.xxhash64("tile_id"), one("nt")).cast("int")).withColumn("y", parts_of(one("nq"))).drop("nt", "nq")
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        """A bucket's hits: each pair is scored and counted at the first table where it meets, so it comes once."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        if a.num_rows and b.num_rows:
+            table, own, ids = a["table"][0].as_py(), a["query_id"].to_numpy(), b["tile_id"].to_numpy()
+            q, v = unit(matrix(a["v"], dim)), matrix(b["v"], dim)
+            mine, wanted = matrix_of(b["every"], tables), matrix_of(a["every"], -1).reshape(len(own), tables, -1)
+            for at in range(0, len(own), STEP):
+                some = slice(at, at + STEP)
+                s = np.round(np.clip(q[some] @ v.T, -1, 1), 6)
+                out = met_before(mine, wanted[some], table)
+                if skip_self:
+                    out |= own[some][:, None] == ids[None, :]
+                n = (~out).sum(1)
+                s[out | np.isnan(s)] = -np.inf
+                cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else -np.inf
+                x, y = np.nonzero((s >= cut) & np.isfinite(s))
+                x, i, s = compact(x, ids[y], s[x, y], k)
+                found.append((own[some][x], i, s, np.where(np.diff(x, prepend=-1) != 0, n[x], 0)))  # the bucket's candidates are told with a query's best
+        own, ids, s, n = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": own.astype(np.int64), "tile_id": ids.astype(np.int64), "score": s, "candidates": n.astype(np.int64)})
+
+    on = ["table", "bucket", "x", "y"]
+    every = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(score, f"{HITS}, candidates long")
     whole = F.sum("candidates").over(Window.partitionBy("query_id"))
     ranked = every.withColumn("rank", best_first()).withColumn("candidates", whole)
     return ranked.where(F.col("rank") <= k)
+
+
+def matrix_of(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one length of whole numbers as a matrix."""
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), width)
