@@ -254,6 +254,21 @@ def test_all_against_all_sends_on_only_the_best(spark, monkeypatch):
     assert "CoGroup" not in got[0]._jdf.queryExecution().executedPlan().toString()  # pairs of blocks would send on k hits each
 
 
+def test_all_against_all_copies_no_vector(spark, monkeypatch):
+    """Stored vectors are read past the blocks of queries: none is copied into a shuffle, in however many parts, and their order doesn't matter."""
+    rng = np.random.default_rng(12)
+    rows = [(int(i), [float(x) for x in r]) for i, r in zip(rng.permutation(300), np.round(rng.normal(size=(300, 4))))]  # many ties
+    df = spark.createDataFrame(rows, "tile_id long, v array<float>").repartition(5).persist()
+    queries = df.select(F.col("tile_id").alias("query_id"), "v")
+    want = sorted(map(tuple, search.knn_exact(queries, df, 4).collect()))
+    for name, value in (("BLOCK", 50), ("PACKED", 16 * 20), ("PASSED", 16 * 100)):
+        monkeypatch.setattr(search, name, value)
+    found = search.knn_exact(queries, df, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 1200
+
+
 def test_nudged_scores_that_round_to_equals_keep_their_order(spark):
     rows = [(1, 7, 0.8, False, 1, 0.1), (1, 8, 0.8, False, 2, 0.1000001), (1, 9, 0.3, False, 3, 0.9)]
     hits = spark.createDataFrame(rows, "query_id long, tile_id long, score double, exact boolean, rank int, s_edge double")

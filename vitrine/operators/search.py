@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import clamp01
+from vitrine.session import stored
 
 BLOCK = 4096
 #: Blocks of more queries than BLOCK at least; vectors that a block sees at a time; pairs whose exact scores are taken at a time.
 SPREAD, STEP, CHECKED = 32, 512, 1 << 16
+#: Bytes of vectors in a packed row at most, and in what a block goes past in one task.
+PACKED, PASSED = 2 << 20, 128 << 20
 
 
 def best_first(k: int | None = None, *, by: str = "query_id", score: str = "score", item: str = "tile_id"):
@@ -72,11 +75,12 @@ def best_hits(own: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
 
 
 class Best:
-    """A block of unit queries and the k best hits of the vectors that they have seen, which come in the order of their ids."""
+    """A block of unit queries and the k best hits of the vectors that they have seen, in whatever order these come."""
 
     def __init__(self, own: np.ndarray, q: np.ndarray, k: int, skip_self: bool, threshold: float | None):
         self.own, self.q, self.k, self.skip_self, self.threshold = own, q, k, skip_self, threshold
         self.single, self.least = q.astype(np.float32), np.full(len(q), -np.inf)  # the k-th best score
+        self.last = np.full(len(q), np.iinfo(np.int64).max)  # and its id: of equals the smaller goes first
         self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, id, score
         self.more, self.size = [], 0
 
@@ -103,22 +107,28 @@ class Best:
             s[np.isnan(s)] = -np.inf
             most = self.k + self.skip_self
             cut = self.least[:, None] if most >= s.shape[1] else np.maximum(self.least[:, None], -np.partition(-s, most - 1, axis=1)[:, most - 1 : most])
-            x, y = np.nonzero((s >= cut) & (s > self.least[:, None]))
-            return x, y, s[x, y]
+            x, y = np.nonzero((s >= cut) & np.isfinite(s))
+            s = s[x, y]
+            better = self.better(x, ids[y], s)
+            return x[better], y[better], s[better]
         slack = (v.shape[1] + 8) * 2.0**-23 * longest + 1e-6
         x, y = np.divmod(np.flatnonzero(self.single @ v.T.astype(np.float32) > (self.least - slack).astype(np.float32)[:, None]), len(v))
         pieces = [np.einsum("ij,ij->i", self.q[x[a : a + CHECKED]], v[y[a : a + CHECKED]]) for a in range(0, len(x), CHECKED)]
         s = np.round(np.clip(np.concatenate(pieces or [np.zeros(0)]), -1, 1), 6)
-        better = s > self.least[x]  # of equals the earlier, with the smaller id, stays
+        better = self.better(x, ids[y], s)
         return x[better], y[better], s[better]
 
+    def better(self, x: np.ndarray, ids: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return (s > self.least[x]) | (s == self.least[x]) & (ids < self.last[x])
+
     def settle(self) -> None:
         x, ids, s = (np.concatenate(c) for c in zip(self.held, *self.more))
         order = np.lexsort((ids, -s, x))
         x, ids, s = x[order], ids[order], s[order]
         place = np.arange(len(x)) - np.searchsorted(x, x)
         keep = place < self.k
-        self.least[x[place == self.k - 1]] = s[place == self.k - 1]
+        kth = place == self.k - 1
+        self.least[x[kth]], self.last[x[kth]] = s[kth], ids[kth]
         self.held, self.more, self.size = (x[keep], ids[keep], s[keep]), [], 0
 
     def hits(self) -> Iterator[pa.RecordBatch]:
@@ -127,15 +137,50 @@ class Best:
         yield pa.record_batch([pa.array(self.own[x].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(s)], ["query_id", "tile_id", "score"])
 
 
+def packed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Up to ``most`` vectors a row: n, ids (int64), v (elements one after another, four bytes each if they are floats, else eight)."""
+    kind = element(rows)
+
+    def row(held: list) -> pa.RecordBatch:
+        ids, v = (np.concatenate(c) for c in zip(*held))
+        return pa.record_batch([pa.array([len(ids)]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["n", "ids", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, most - n)
+                held.append((part[key].to_numpy().astype("<i8"), part["v"].flatten().to_numpy(zero_copy_only=False).astype(kind)))
+                at, n = at + part.num_rows, n + part.num_rows
+                if n == most:
+                    yield row(held)
+                    held, n = [], 0
+        if held:
+            yield row(held)
+
+    return rows.select(key, "v").mapInArrow(pack, "n long, ids binary, v binary")
+
+
+def element(rows: DataFrame) -> str:
+    return "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def unpacked(ids: pa.Scalar, v: pa.Scalar, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids.as_buffer(), "<i8")
+    return ids, np.frombuffer(v.as_buffer(), kind).astype(np.float64).reshape(len(ids), -1)
+
+
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = True, threshold: float | None = None) -> DataFrame:
     """The k best vectors by inner product for every query: query_id, tile_id, score, rank.
 
     queries: query_id, v; vectors: tile_id, v.  Up to BLOCK queries go to where the
     vectors are, which stay in place, and a task keeps its k best per query.  Beyond
-    it, queries are cut into blocks, SPREAD until a block would be over four times
-    BLOCK; a task holds one, and all vectors go past it in the order of their ids,
-    so that a block sends on only each query's k best of all (or, with a threshold,
-    all at or above it): what is moved grows with the rows, not with their square.
+    it, vectors are stored once, many to a row, and queries are cut into blocks,
+    SPREAD until a block would be over PACKED; a task holds one block and reads up
+    to PASSED of the stored vectors past it, so that it sends on only each query's
+    k best of these (or, with a threshold, all at or above it).  What is shuffled
+    and written are the queries, the vectors and the hits, no copies of vectors.
     Scores are rounded to 6 places, so that ties are broken by id alike everywhere.
     Queries and vectors that are null, of another length than most vectors, or hold
     a null or NaN take no part (see ``unusable``).
@@ -155,33 +200,32 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool
 
         hits = vectors.mapInArrow(local, HITS)
     else:
-        n = max(SPREAD, -(-queries.count() // (4 * BLOCK)))
-        left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("qb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "v")
-        right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb"), F.lit(1).alias("side"), F.col("tile_id").alias("id"), "v")
-        rows = left.unionByName(right).repartitionById(n, F.col("qb")).sortWithinPartitions("qb", "side", "id")
+        asked_as, kind = element(queries), element(vectors)
+        size, asked_size = dim * np.dtype(kind).itemsize, dim * np.dtype(asked_as).itemsize
+        there = stored(packed(vectors, "tile_id", max(1, PACKED // size)), "packed-vectors")
+        parts = max(1, -(-there.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * size // PASSED))
+        n = max(SPREAD, -(-queries.count() * asked_size // PACKED))
+        # a hash deals out unevenly: a block may be twice the average before it is cut
+        blocks = packed(queries.repartition(n, "query_id"), "query_id", max(1, 2 * PACKED // asked_size))
+        blocks = blocks.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("own"), F.col("v").alias("q"))
+        pairs = blocks.crossJoin(there.select("ids", "v").coalesce(parts).hint("shuffle_replicate_nl"))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, asking, best = None, [], None
+            at, best = None, None
             for batch in batches:
-                qb, side = batch["qb"].to_numpy(), batch["side"].to_numpy()
-                cuts = np.flatnonzero(np.diff(qb * 2 + side, prepend=-1))
-                for a, b in zip(cuts, np.append(cuts[1:], len(qb))):
-                    if qb[a] != at:
+                for i, block in enumerate(batch["block"].to_pylist()):
+                    if block != at:
                         if best:
                             yield from best.hits()
-                        at, asking, best = qb[a], [], None
-                    part = batch.slice(a, b - a)
-                    if side[a] == 0:
-                        asking.append((part["id"].to_numpy(), unit(matrix(part["v"], dim))))
-                    elif asking:
-                        best = best or Best(*map(np.concatenate, zip(*asking)), most, skip_self, threshold)
-                        for c in range(0, part.num_rows, STEP):
-                            piece = part.slice(c, STEP)
-                            yield from best.see(piece["id"].to_numpy(), matrix(piece["v"], dim))
+                        own, q = unpacked(batch["own"][i], batch["q"][i], asked_as)
+                        at, best = block, Best(own, unit(q), most, skip_self, threshold)
+                    ids, v = unpacked(batch["ids"][i], batch["v"][i], kind)
+                    for c in range(0, len(ids), STEP):
+                        yield from best.see(ids[c : c + STEP], v[c : c + STEP])
             if best:
                 yield from best.hits()
 
-        hits = rows.mapInArrow(look, HITS)
+        hits = pairs.mapInArrow(look, HITS)
     ranked = hits.withColumn("rank", best_first())
     return ranked if threshold is not None else ranked.where(F.col("rank") <= k)
 
