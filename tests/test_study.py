@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import families, signals, vectors
 from vitrine.operators import ann, checks, duplicates, evaluate, scoring, search, views
-from vitrine.plans import ORACLES, QUERIES
+from vitrine.plans import ORACLES, QUERIES, hybrid
+from vitrine.plans import tables as T
 from vitrine.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -269,6 +270,18 @@ def test_all_against_all_copies_no_vector(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and len(want) == 1200
 
 
+def test_pairs_carry_what_descriptors_are_made_of(spark):
+    """Pairs are scored alike whether their tiles' descriptors go through the joins or only the elements that these are made of."""
+    ids = T.vectors(spark, SF).select("tile_id")
+    pairs = ids.select(F.col("tile_id").alias("query_id"), F.explode(F.array(F.col("tile_id"), (F.col("tile_id") * 7 + 3) % 100)).alias("tile_id"))
+    tiles = hybrid.compared_tiles(spark, SF)
+    assert not set(hybrid.MADE) & set(tiles.columns)
+    full = hybrid.descriptors(spark, SF).select("tile_id", *scoring.DESCRIPTORS)
+    got = scoring.pair_components(pairs, tiles, hybrid.widen)
+    want = scoring.pair_components(pairs, full)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
+
+
 def test_nudged_scores_that_round_to_equals_keep_their_order(spark):
     rows = [(1, 7, 0.8, False, 1, 0.1), (1, 8, 0.8, False, 2, 0.1000001), (1, 9, 0.3, False, 3, 0.9)]
     hits = spark.createDataFrame(rows, "query_id long, tile_id long, score double, exact boolean, rank int, s_edge double")

@@ -7,6 +7,8 @@ differ.  All windows are by query, over a query's pool.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,25 @@ def pool(hits: DataFrame, size: int) -> DataFrame:
     return best.where(F.col("pool_rank") <= size).select("query_id", "tile_id", F.col("score").alias("vector_score"), F.col("ord").alias("view"), "pool_rank")
 
 
-def pair_components(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
+#: Descriptors, by name, from a struct of what a tile keeps of them.
+Widen = Callable[[Column], dict[str, Column]]
+
+
+def pair_components(pairs: DataFrame, tiles: DataFrame, widen: Widen | None = None) -> DataFrame:
     """pairs (query_id, tile_id, …) with both sides' descriptors compared: s_<component>, families, colour penalty, exact, own_file, crop_source.
 
     tiles: tile_id and DESCRIPTORS; queries are tiles too.  A pair without
     descriptors on either side can't be scored and goes, as where a catalogue
-    row has no features.
+    row has no features.  Pairs carry their tiles' columns through two joins:
+    where ``widen`` makes some descriptors, tiles need only hold what these are
+    made of, and pairs carry no more.
     """
-    q, t = (tiles.select(F.col("tile_id").alias(key), F.struct(*DESCRIPTORS).alias(name)) for key, name in (("query_id", "q"), ("tile_id", "t")))
+    held = [c for c in tiles.columns if c != "tile_id"]
+    q, t = (tiles.select(F.col("tile_id").alias(key), F.struct(*held).alias(name)) for key, name in (("query_id", "q"), ("tile_id", "t")))
     both = pairs.join(q, "query_id").join(t, "tile_id")
-    a, b = F.col("q"), F.col("t")
+    made = {f"{side}_{name}": value for side in "qt" if widen for name, value in widen(F.col(side)).items()}
+    both = both.withColumns(made) if made else both
+    a, b = ({c: F.col(f"{side}_{c}") if f"{side}_{c}" in made else F.col(side)[c] for c in DESCRIPTORS} for side in "qt")
     white = signals.near_white(a["lab"]) & signals.near_white(b["lab"])
     near = vectors.hamming64(a["hash"], b["hash"])
     return both.withColumns(
@@ -42,7 +53,7 @@ def pair_components(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
             "s_texture": vectors.texture_similarity(a["texture"], b["texture"]), "s_edge": vectors.edge_similarity(a["edges"], b["edges"]), "query_family": a["family"], "candidate_family": b["family"],
             "color_penalty": vectors.color_penalty(signals.lab_distance(a["lab"], b["lab"]), white), "exact": (a["sha"] == b["sha"]) | near.between(0, 3), "own_file": a["path"] == b["path"], "crop_source": F.coalesce(a["stem"] == b["stem"], F.lit(False)),
         }
-    ).drop("q", "t")
+    ).drop("q", "t", *made)
 
 
 def component_score(pairs: DataFrame) -> DataFrame:
@@ -69,14 +80,14 @@ def nudged(rows: DataFrame, verify: Column) -> DataFrame:
     return out.withColumn("nudge", F.col("score") - F.col("before_nudge")).drop("before_nudge")
 
 
-def explain(hits: DataFrame, tiles: DataFrame, top_k: int, pool_size: int = 50, verify: Column | None = None) -> DataFrame:
+def explain(hits: DataFrame, tiles: DataFrame, top_k: int, pool_size: int = 50, verify: Column | None = None, widen: Widen | None = None) -> DataFrame:
     """Every candidate of every query with all stages: one row for each tile of the pool.
 
     pool_rank, vector_score, view; s_<component>, compat, color_penalty, final;
     score, exact, rerank_rank; nudge; floor, kept; rank (null where it isn't
     returned) and lost (where it was lost: weak_filter, top_k, or null).
     """
-    scored = component_score(pair_components(pool(hits, pool_size), tiles))
+    scored = component_score(pair_components(pool(hits, pool_size), tiles, widen))
     after = nudged(ranked(scored), F.col("s_edge") if verify is None else verify)
     told = search.weak_verdicts(after, top_k)
     lost = F.when(~F.col("kept"), "weak_filter").when(F.col("out_rank") > top_k, "top_k")
