@@ -59,6 +59,19 @@ def test_toxicity_goes_on_after_a_text_without_room(spark):
     assert np.count_nonzero(model.weights) and toxicity.Scorer(model)("all is well. you vile thing here!")[0] > 0.5
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's texts don't come to the driver; the model is that of the same rows fitted here."""
+    rows = [(i, "all is well. you vile thing here!" if i % 2 else "all is well. good day.", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    rank = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
+    kept = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(rank, "doc_id").collect()
+    want = toxicity.fit_bags(*toxicity.bags_of([r.text for r in kept], [r.toxic for r in kept]))
+    driver, own = os.getpid(), toxicity.bags_of
+    monkeypatch.setattr(toxicity, "bags_of", lambda *a: pytest.fail("fitted on the driver") if os.getpid() == driver else own(*a))
+    got = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert np.count_nonzero(want.weights) and (got.weights == want.weights).all() and got.bias == want.bias
+
+
 def test_toxicity_locates_sentences_and_edge_cases(spark, docs):
     bags = toxicity.bags_of(["all is well. you vile thing here!", "all is well. good day."] * 30, [1, 0] * 30)
     model = toxicity.fit_bags(*bags)

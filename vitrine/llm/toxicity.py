@@ -123,6 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sa
 
     A text of over a sixteenth of sample_chars takes no part.
     Held-out rows (crc32 of the id as text, modulo 5, is 0) never take part.
+    The fit is one task's work, and only the weights come to the driver.
     """
     rank = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     chosen = (
@@ -136,10 +137,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sa
     rows = rows.withColumn("n", F.length("text")).where(F.col("n") <= max(1, sample_chars // 16))
     rows = rows.orderBy("rank", "doc_id", F.xxhash64("text")).limit(sample_rows)
     upto = Window.orderBy("rank", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= sample_chars).select("text", "toxic").toArrow()
-    if not got.num_rows:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), -math.inf)
-    return fit_bags(*bags_of(got["text"], got["toxic"].to_pylist()))
+    sample = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= sample_chars).select("text", "toxic")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts.extend(batch["text"])
+            toxic.extend(batch["toxic"].to_pylist())
+        if texts:
+            model = fit_bags(*bags_of(texts, toxic))
+            at = np.flatnonzero(model.weights).astype("<i4")
+            yield pa.record_batch([pa.array([at.tobytes()], pa.binary()), pa.array([model.weights[at].tobytes()], pa.binary()), pa.array([model.bias])], ["features", "weights", "bias"])
+
+    # the window leaves the bounded sample, in its order, in one partition
+    found = sample.mapInArrow(fit, "features binary, weights binary, bias double").collect()
+    weights = np.zeros(BUCKETS, np.float32)
+    for row in found:
+        weights[np.frombuffer(row["features"], "<i4")] = np.frombuffer(row["weights"], np.float32)
+    return ToxicityModel(weights, found[0]["bias"] if found else -math.inf)
 
 
 class Scorer:
