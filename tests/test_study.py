@@ -80,6 +80,21 @@ def test_indexes_with_odd_rows(spark):
     assert ann.sub_vectors(64, 16) == 16 and ann.sub_vectors(30, 16) == 2 and ann.sub_vectors(7, 4) == 1
 
 
+def test_queries_of_an_index_dont_pass_the_driver(spark, clustered, monkeypatch):
+    rows, few = clustered
+    many = rows.withColumnRenamed("tile_id", "query_id")
+    cells, codes = ann.build_index(rows, 40), ann.build_index(rows, 40, m=8)
+    ask = lambda queries: (ann.search_index(cells, queries, 10, 6), ann.search_index(cells, queries, 10, 40), ann.search_index(codes, queries, 10, 6, vectors=rows))
+    whole = [found(h) for h in ask(few)]
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    monkeypatch.setattr(ann, "SPREAD", 3)
+    monkeypatch.setattr(ann, "PASSED", 1 << 18)
+    monkeypatch.setattr(type(rows), "toArrow", lambda *_: pytest.fail("queries collected"))
+    for one, hits in zip(whole, ask(many)):
+        got = found(hits.where("query_id % 100 = 0"))
+        assert got == one and len(got) == 60
+
+
 # ------------------------------------------------------------ near pairs
 
 

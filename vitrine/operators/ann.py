@@ -1,10 +1,10 @@
 """Approximate search: inverted files, product quantisation and hyperplane hashing.
 
 An index is built once and searched often.  Vectors are dealt out by cell and
-stay where they are; up to ``BLOCK`` queries at a time go to them, with the
-cells that each query asks for, so neither a query nor a vector is copied and a
-cell with a third of all vectors is many partitions' work.  A task keeps its
-best hits for each query and sends on no more.
+stored; blocks of queries go past them, with the cells that each query asks
+for, so no vector is copied for a query, no query passes the driver, and a cell
+with a third of all vectors is many blocks' work.  A task keeps its best hits
+for each query and sends on no more.
 
 What is fitted (cells' centres, sub-vector codes) is fitted on a bounded sample
 in the order of a hash of the id, ``SAMPLE`` vectors and ``SAMPLE_FLOATS``
@@ -18,20 +18,17 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.session import shared_folder
+from vitrine.session import shared_folder, stored
 
-from .search import BLOCK, HITS, STEP, best_first, dimension, matrix, unit, usable
+from .search import BLOCK, CHECKED, HITS, PACKED, PASSED, SPREAD, STEP, Best, best_first, dimension, element, matrix, numbers, packed, past_blocks, query_blocks, unit, unpacked, usable
 
 SAMPLE, SAMPLE_FLOATS = 65_536, 16 << 20
-#: Hits that a task holds before it drops all but each query's best.
-HELD = 1 << 20
 #: Rows for each part of a hash table's bucket on average.
 BUCKET = 64
 #: Rows, and queries that ask, of a bucket's part at most on average.
@@ -141,8 +138,10 @@ def compact(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple
     return q[keep], ids[keep], scores[keep]
 
 
-def cells_asked(q: np.ndarray, centres: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
-    """For each cell the queries that ask for it."""
+def cells_asked(q: np.ndarray, centres: np.ndarray, nprobe: int) -> dict[int, np.ndarray | None]:
+    """For each cell the queries that ask for it; None for all."""
+    if nprobe >= len(centres):
+        return dict.fromkeys(range(len(centres)))
     near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :nprobe]
     cells, own = near.ravel(), np.repeat(np.arange(len(q)), near.shape[1])
     order = np.argsort(cells, kind="stable")
@@ -150,96 +149,109 @@ def cells_asked(q: np.ndarray, centres: np.ndarray, nprobe: int) -> dict[int, np
     return {int(cells[order[a]]): own[order[a:b]] for a, b in zip(at, np.append(at[1:], len(order)))}
 
 
-def code_scores(q: np.ndarray, cell: int, held: pa.Array, centres: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Scores of a cell's codes for some queries: the centre's, and a table entry for each sub-vector."""
-    m = tables.shape[1]
-    packed = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(len(held), m + 4)
-    norms = packed[:, m:].copy().view("<f4").ravel().astype(np.float64)
-    s = np.repeat((q @ centres[cell])[:, None], len(held), 1)
-    for i in range(m):
-        s += tables[:, i][:, packed[:, i]]
-    return s * norms
+def decoded(codes: np.ndarray, cell: np.ndarray, centres: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for: the cell's centre and an entry of each sub-vector's book, as long as the vector was."""
+    m = len(books)
+    norms = codes[:, m:].copy().view("<f4").astype(np.float64)
+    return (centres[cell] + np.concatenate([books[i][codes[:, i]] for i in range(m)], axis=1)) * norms
 
 
-def scan(index: Index, own: np.ndarray, q: np.ndarray, k: int, nprobe: int, skip_self: bool) -> DataFrame:
-    """Each query's k best rows of the cells that it asks for, from every task: query_id, tile_id, score."""
-    shared = index.rows.sparkSession.sparkContext.broadcast((own, q, cells_asked(q, index.centres, nprobe), index.centres, index.books))
-    dim = index.dim
+def number_of_blocks(n: int, size: int) -> int:
+    """One for up to BLOCK queries, else SPREAD or as many as keep a block at PACKED bytes."""
+    return 1 if n <= BLOCK else max(SPREAD, -(-n * size // PACKED))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, asked, centres, books = shared.value
-        tables = None if books is None else np.einsum("qms,mcs->qmc", q.reshape(len(q), len(books), -1), books)
-        found, size = [], 0
-        for batch in batches:
-            cells, ids = batch["cell"].to_numpy(), batch["tile_id"].to_numpy()
-            at = np.flatnonzero(np.diff(cells, prepend=-1))
-            for a, b in zip(at, np.append(at[1:], len(cells))):
-                who = asked.get(int(cells[a]))
-                if who is None:
-                    continue
-                held = batch["held"].slice(a, b - a)
-                if books is None:
-                    s = np.round(np.clip(q[who] @ matrix(held, dim).T, -1, 1), 6)
-                else:
-                    s = code_scores(q[who], int(cells[a]), held, centres, tables[who])
-                if skip_self:
-                    s[own[who][:, None] == ids[a:b][None, :]] = -np.inf
-                cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else -np.inf
-                x, y = np.nonzero((s >= cut) & np.isfinite(s))
-                found.append((who[x], ids[a:b][y], s[x, y]))
-                size += len(x)
-                if size > HELD:
-                    found = [compact(*(np.concatenate(c) for c in zip(*found)), k)]
-                    size = len(found[0][0])
-        if found:
-            who, ids, s = compact(*(np.concatenate(c) for c in zip(*found)), k)
-            yield pa.record_batch([pa.array(own[who].astype(np.int64)), pa.array(ids), pa.array(s)], ["query_id", "tile_id", "score"])
 
-    return index.rows.mapInArrow(look, HITS)
+def stored_parts(there: DataFrame, size: int, blocks: int) -> int:
+    """Parts of stored rows that a block goes past, of PASSED bytes; a single block leaves them as they are."""
+    if blocks == 1:
+        return max(1, there.rdd.getNumPartitions())
+    return max(1, -(-there.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * size // PASSED))
 
 
-def query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the usable queries, BLOCK at a time and never more on the driver."""
-    queries = usable(queries.select("query_id", "v"), dim)
-    parts = max(1, -(-queries.count() // (BLOCK // 2)))
-    for part in range(parts):  # parts of half a block on average; a fuller one is taken in pieces
-        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow() if parts > 1 else queries.toArrow()
-        for at in range(0, got.num_rows, BLOCK):
-            piece = got.slice(at, BLOCK)
-            yield piece["query_id"].to_numpy(), unit(matrix(piece["v"], dim))
+def scan(index: Index, queries: DataFrame, n: int, k: int, nprobe: int, skip_self: bool) -> DataFrame:
+    """Each query's k best rows of the cells that it asks for, from every part of the index: query_id, tile_id, score.
 
+    queries: usable ones, n blocks of them.  What a block sees of a code is the
+    vector that it stands for, so that a product of arrays scores it.
+    """
+    shared, dim = index.rows.sparkSession.sparkContext.broadcast((index.centres, index.books)), index.dim
+    kind, asked_as, size = element(index.rows, "held") if index.books is None else "u1", element(queries), index.bytes_a_vector + 12
+    there = stored(packed(index.rows, max(1, PACKED // max(1, dim * 8)), {"tile_id": "<i8", "cell": "<i4", "held": kind}), "packed-cells")
+    blocks = query_blocks(queries, {"query_id": "<i8", "v": asked_as}, n, max(1, dim * np.dtype(asked_as).itemsize))
 
-def union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, books = shared.value
+        block, best = None, None
+        for batch in batches:
+            for i, b in enumerate(batch["block"].to_pylist()):
+                if b != block:
+                    if best:
+                        yield from best.hits()
+                    own, q = unpacked(batch["query_id"][i], batch["v"][i], asked_as)
+                    q = unit(q)
+                    block, best, asked = b, Best(own, q, k, skip_self, None, plain=books is not None), cells_asked(q, centres, nprobe)
+                ids, cell = numbers(batch["tile_id"][i]), numbers(batch["cell"][i], "<i4")
+                v = numbers(batch["held"][i], kind).reshape(len(ids), -1)
+                v = v.astype(np.float64) if books is None else decoded(v, cell, centres, books)
+                # cells stand one after another; where every query asks for every cell, their borders don't count
+                cuts = np.flatnonzero(np.diff(cell)) + 1 if nprobe < len(centres) else []
+                for low, high in zip([0, *cuts], [*cuts, len(ids)]):
+                    if int(cell[low]) in asked:
+                        for c in range(low, high, STEP):
+                            part = slice(c, min(c + STEP, high))
+                            yield from best.see(ids[part], v[part], asked[int(cell[low])])
+        if best:
+            yield from best.hits()
+
+    return past_blocks(blocks, there.drop("n"), stored_parts(there, size, n)).mapInArrow(look, HITS)
 
 
 def best_of(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", best_first()).where(F.col("rank") <= k)
 
 
-def exact_scores(pairs: DataFrame, own: np.ndarray, q: np.ndarray, vectors: DataFrame, dim: int) -> DataFrame:
-    """query_id, tile_id, score of pairs of a block's queries: the vectors stay in place, the pairs' ids go to them.
+def exact_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """query_id, tile_id, score: of each query's pairs (query_id, tile_id; a bounded number) the k best by their exact scores, from every part of the vectors.
 
-    pairs has a bounded number of rows for each query of the block.
+    n blocks of queries go past the stored vectors with the ids of their pairs, so no vector is copied for a pair.
     """
-    who = pairs.groupBy("tile_id").agg(F.collect_set("query_id").alias("who"))
-    shared = vectors.sparkSession.sparkContext.broadcast((own, q))
+    kind, asked_as = element(vectors), element(queries)
+    vectors = usable(vectors.select("tile_id", "v"), dim)
+    size = max(1, dim * np.dtype(kind).itemsize)
+    there = stored(packed(vectors, max(1, PACKED // size), {"tile_id": "<i8", "v": kind}), "packed-vectors")
+    # queries that share an id share their pairs
+    lists = pairs.groupBy("query_id").agg(F.collect_set("tile_id").alias("asked"))
+    asking = queries.join(lists, "query_id").withColumn("count", F.size("asked"))
+    blocks = query_blocks(asking, {"query_id": "<i8", "v": asked_as, "count": "<i4", "asked": "<i8"}, n, max(1, dim * np.dtype(asked_as).itemsize))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found = None, []
+
+        def hits() -> pa.RecordBatch:
+            x, ids, s = compact(*(np.concatenate(c) for c in zip(*found)), k)
+            return pa.record_batch([pa.array(own[x].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(s)], ["query_id", "tile_id", "score"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = shared.value
-        order = np.argsort(own, kind="stable")
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                v, lists = matrix(part["v"], dim), part["who"]
-                asked = np.asarray(lists.flatten())
-                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                at_q = order[np.searchsorted(own, asked, sorter=order)]
-                s = np.round(np.clip(np.einsum("ij,ij->i", q[at_q], v[row]), -1, 1), 6)
-                yield pa.record_batch([pa.array(asked.astype(np.int64)), part["tile_id"].take(pa.array(row)), pa.array(s)], ["query_id", "tile_id", "score"])
+            for i, b in enumerate(batch["block"].to_pylist()):
+                if b != block:
+                    if found:
+                        yield hits()
+                    own, q = unpacked(batch["query_id"][i], batch["q"][i], asked_as)
+                    q, wanted = unit(q), numbers(batch["asked"][i])
+                    order = np.argsort(wanted, kind="stable")
+                    row, wanted = np.repeat(np.arange(len(own)), numbers(batch["count"][i], "<i4"))[order], wanted[order]
+                    block, found = b, []
+                ids, v = unpacked(batch["tile_id"][i], batch["v"][i], kind)
+                low, high = np.searchsorted(wanted, ids), np.searchsorted(wanted, ids, "right")
+                times = high - low
+                y = np.repeat(np.arange(len(ids)), times)
+                x = row[np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
+                pieces = [np.einsum("ij,ij->i", q[x[a : a + CHECKED]], v[y[a : a + CHECKED]]) for a in range(0, len(x), CHECKED)]
+                found.append((x, ids[y], np.round(np.clip(np.concatenate(pieces or [np.zeros(0)]), -1, 1), 6)))
+        if found:
+            yield hits()
 
-    rows = usable(vectors.select("tile_id", "v"), dim).join(F.broadcast(who), "tile_id")
-    return rows.select("tile_id", "v", "who").mapInArrow(score, HITS)
+    return past_blocks(blocks.withColumnRenamed("v", "q"), there.drop("n"), stored_parts(there, size, n)).mapInArrow(look, HITS)
 
 
 def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 16, *, vectors: DataFrame | None = None, shortlist: int = 0, skip_self: bool = True) -> DataFrame:
@@ -248,15 +260,13 @@ def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 16, *,
     An index of codes gives a shortlist for each query (10 k unless told), of
     which ``vectors`` (tile_id, v) gives the exact scores.
     """
-    parts = []
-    for own, q in query_blocks(queries, index.dim):
-        if index.books is None:
-            parts.append(scan(index, own, q, k, nprobe, skip_self))
-        else:
-            most = max(k, shortlist or 10 * k)
-            pairs = best_of(scan(index, own, q, most, nprobe, skip_self), most)
-            parts.append(exact_scores(pairs.select("query_id", "tile_id"), own, q, vectors, index.dim))
-    return best_of(union(parts, index.rows.sparkSession), k)
+    queries = usable(queries.select("query_id", "v"), index.dim)
+    n = number_of_blocks(queries.count(), index.dim * np.dtype(element(queries)).itemsize)
+    if index.books is None:
+        return best_of(scan(index, queries, n, k, nprobe, skip_self), k)
+    most = max(k, shortlist or 10 * k)
+    pairs = best_of(scan(index, queries, n, most, nprobe, skip_self), most)
+    return best_of(exact_scores(pairs, queries, vectors, index.dim, n, k), k)
 
 
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 0, nprobe: int = 16, *, skip_self: bool = True) -> DataFrame:

@@ -75,20 +75,24 @@ def best_hits(own: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
 
 
 class Best:
-    """A block of unit queries and the k best hits of the vectors that they have seen, in whatever order these come."""
+    """A block of unit queries and the k best hits of the vectors that they have seen, in whatever order these come.
 
-    def __init__(self, own: np.ndarray, q: np.ndarray, k: int, skip_self: bool, threshold: float | None):
-        self.own, self.q, self.k, self.skip_self, self.threshold = own, q, k, skip_self, threshold
+    Scores are held to -1 to 1 and rounded, or, if plain, left as they are.
+    """
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, k: int, skip_self: bool, threshold: float | None, plain: bool = False):
+        self.own, self.q, self.k, self.skip_self, self.threshold, self.plain = own, q, k, skip_self, threshold, plain
         self.single, self.least = q.astype(np.float32), np.full(len(q), -np.inf)  # the k-th best score
         self.last = np.full(len(q), np.iinfo(np.int64).max)  # and its id: of equals the smaller goes first
         self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, id, score
         self.more, self.size = [], 0
 
-    def see(self, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def see(self, ids: np.ndarray, v: np.ndarray, who: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Vectors for all queries, or for those in the places ``who`` (not with a threshold)."""
         if self.threshold is not None:
             yield from best_hits(self.own, self.q, ids, v, 0, self.skip_self, self.threshold).to_batches()
         elif self.k > 0:
-            x, y, s = self.candidates(ids, v)
+            x, y, s = self.candidates(ids, v, slice(None) if who is None else who)
             if self.skip_self:
                 other = self.own[x] != ids[y]
                 x, y, s = x[other], y[other], s[other]
@@ -98,26 +102,30 @@ class Best:
             if self.size > max(1 << 18, len(self.held[0])) or not np.isfinite(self.least).any():
                 self.settle()
 
-    def candidates(self, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, ids: np.ndarray, v: np.ndarray, who: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of pairs that may be among the best, and their exact scores; single precision rules out the rest with its error bound."""
         longest = np.sqrt((v * v).sum(1).max())
-        if not np.isfinite(self.least).all() or not longest < 1e18:
+        place, least = np.arange(len(self.q))[who], self.least[who]
+        if not np.isfinite(least).all() or not longest < 1e18:
             with np.errstate(invalid="ignore"):
-                s = np.round(np.clip(self.q @ v.T, -1, 1), 6)
+                s = self.shown(self.q[who] @ v.T)
             s[np.isnan(s)] = -np.inf
             most = self.k + self.skip_self
-            cut = self.least[:, None] if most >= s.shape[1] else np.maximum(self.least[:, None], -np.partition(-s, most - 1, axis=1)[:, most - 1 : most])
+            cut = least[:, None] if most >= s.shape[1] else np.maximum(least[:, None], -np.partition(-s, most - 1, axis=1)[:, most - 1 : most])
             x, y = np.nonzero((s >= cut) & np.isfinite(s))
-            s = s[x, y]
-            better = self.better(x, ids[y], s)
-            return x[better], y[better], s[better]
-        slack = (v.shape[1] + 8) * 2.0**-23 * longest + 1e-6
-        x, y = np.divmod(np.flatnonzero(self.single @ v.T.astype(np.float32) > (self.least - slack).astype(np.float32)[:, None]), len(v))
-        pieces = [np.einsum("ij,ij->i", self.q[x[a : a + CHECKED]], v[y[a : a + CHECKED]]) for a in range(0, len(x), CHECKED)]
-        s = np.round(np.clip(np.concatenate(pieces or [np.zeros(0)]), -1, 1), 6)
+            x, s = place[x], s[x, y]
+        else:
+            slack = (v.shape[1] + 8) * 2.0**-23 * longest + 1e-6
+            x, y = np.divmod(np.flatnonzero(self.single[who] @ v.T.astype(np.float32) > (least - slack).astype(np.float32)[:, None]), len(v))
+            x = place[x]
+            pieces = [np.einsum("ij,ij->i", self.q[x[a : a + CHECKED]], v[y[a : a + CHECKED]]) for a in range(0, len(x), CHECKED)]
+            s = self.shown(np.concatenate(pieces or [np.zeros(0)]))
         better = self.better(x, ids[y], s)
         return x[better], y[better], s[better]
 
+    def shown(self, s: np.ndarray) -> np.ndarray:
+        return s if self.plain else np.round(np.clip(s, -1, 1), 6)
+
     def better(self, x: np.ndarray, ids: np.ndarray, s: np.ndarray) -> np.ndarray:
         return (s > self.least[x]) | (s == self.least[x]) & (ids < self.last[x])
 
@@ -137,13 +145,17 @@ class Best:
         yield pa.record_batch([pa.array(self.own[x].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(s)], ["query_id", "tile_id", "score"])
 
 
-def packed(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Up to ``most`` vectors a row: n, ids (int64), v (elements one after another, four bytes each if they are floats, else eight)."""
-    kind = element(rows)
+def packed(rows: DataFrame, most: int, kinds: dict[str, str]) -> DataFrame:
+    """Up to ``most`` rows in one: n, and for each column that kinds names its numbers one after another, as bytes of that kind (lists and binaries end to end)."""
 
-    def row(held: list) -> pa.RecordBatch:
-        ids, v = (np.concatenate(c) for c in zip(*held))
-        return pa.record_batch([pa.array([len(ids)]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["n", "ids", "v"])
+    def flat(column: pa.Array, kind: str) -> bytes:
+        if pa.types.is_binary(column.type):
+            return b"".join(column.to_pylist())
+        numbers = column.flatten() if pa.types.is_list(column.type) else column
+        return numbers.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+
+    def row(held: list, n: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([n]), *(pa.array([b"".join(c)], pa.binary()) for c in zip(*held))], ["n", *kinds])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -151,24 +163,40 @@ def packed(rows: DataFrame, key: str, most: int) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 part = batch.slice(at, most - n)
-                held.append((part[key].to_numpy().astype("<i8"), part["v"].flatten().to_numpy(zero_copy_only=False).astype(kind)))
+                held.append([flat(part[c], kind) for c, kind in kinds.items()])
                 at, n = at + part.num_rows, n + part.num_rows
                 if n == most:
-                    yield row(held)
+                    yield row(held, n)
                     held, n = [], 0
         if held:
-            yield row(held)
+            yield row(held, n)
+
+    return rows.select(*kinds).mapInArrow(pack, ", ".join(["n long", *(f"{c} binary" for c in kinds)]))
 
-    return rows.select(key, "v").mapInArrow(pack, "n long, ids binary, v binary")
 
+def element(rows: DataFrame, name: str = "v") -> str:
+    return "<f4" if rows.schema[name].dataType.elementType.typeName() == "float" else "<f8"
 
-def element(rows: DataFrame) -> str:
-    return "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+
+def numbers(packed: pa.Scalar, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), kind)
 
 
 def unpacked(ids: pa.Scalar, v: pa.Scalar, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids.as_buffer(), "<i8")
-    return ids, np.frombuffer(v.as_buffer(), kind).astype(np.float64).reshape(len(ids), -1)
+    ids = numbers(ids)
+    return ids, numbers(v, kind).astype(np.float64).reshape(len(ids), -1)
+
+
+def query_blocks(queries: DataFrame, kinds: dict[str, str], n: int, size: int) -> DataFrame:
+    """block and the packed columns of about n blocks of queries, dealt out by id; a query has so many bytes."""
+    # a hash deals out unevenly: a block may be twice the average before it is cut
+    blocks = packed(queries.repartition(n, "query_id"), max(1, 2 * PACKED // size), kinds)
+    return blocks.select(F.monotonically_increasing_id().alias("block"), *kinds)
+
+
+def past_blocks(blocks: DataFrame, there: DataFrame, parts: int) -> DataFrame:
+    """Each block with all packed rows that are stored there, in ``parts`` parts: a task has one part's rows, block after block."""
+    return blocks.crossJoin(there.coalesce(parts).hint("shuffle_replicate_nl"))
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = True, threshold: float | None = None) -> DataFrame:
@@ -202,13 +230,11 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool
     else:
         asked_as, kind = element(queries), element(vectors)
         size, asked_size = dim * np.dtype(kind).itemsize, dim * np.dtype(asked_as).itemsize
-        there = stored(packed(vectors, "tile_id", max(1, PACKED // size)), "packed-vectors")
+        there = stored(packed(vectors, max(1, PACKED // size), {"tile_id": "<i8", "v": kind}), "packed-vectors")
         parts = max(1, -(-there.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * size // PASSED))
         n = max(SPREAD, -(-queries.count() * asked_size // PACKED))
-        # a hash deals out unevenly: a block may be twice the average before it is cut
-        blocks = packed(queries.repartition(n, "query_id"), "query_id", max(1, 2 * PACKED // asked_size))
-        blocks = blocks.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("own"), F.col("v").alias("q"))
-        pairs = blocks.crossJoin(there.select("ids", "v").coalesce(parts).hint("shuffle_replicate_nl"))
+        blocks = query_blocks(queries, {"query_id": "<i8", "v": asked_as}, n, asked_size).withColumnRenamed("v", "q")
+        pairs = past_blocks(blocks, there.select("tile_id", "v"), parts)
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, best = None, None
@@ -217,9 +243,9 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool
                     if block != at:
                         if best:
                             yield from best.hits()
-                        own, q = unpacked(batch["own"][i], batch["q"][i], asked_as)
+                        own, q = unpacked(batch["query_id"][i], batch["q"][i], asked_as)
                         at, best = block, Best(own, unit(q), most, skip_self, threshold)
-                    ids, v = unpacked(batch["ids"][i], batch["v"][i], kind)
+                    ids, v = unpacked(batch["tile_id"][i], batch["v"][i], kind)
                     for c in range(0, len(ids), STEP):
                         yield from best.see(ids[c : c + STEP], v[c : c + STEP])
             if best:
