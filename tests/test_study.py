@@ -157,6 +157,12 @@ def test_explanation_and_search_agree(spark):
         assert r.score >= r.floor or r.exact or r.lost or r["rank"] <= 3
 
 
+def test_pairs_are_scored_once_and_joined_alike_at_any_size(spark):
+    hits = spark.range(40).select((F.col("id") % 4).alias("query_id"), F.lit(0).alias("ord"), F.col("id").alias("tile_id"), F.lit(0.5).alias("score"))
+    plan = scoring.explain(hits, hybrid.compared_tiles(spark, SF), 5, 20, widen=hybrid.widen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan  # the broadcast is the families' weights, nine rows
+
+
 def test_export_is_held_to_its_limits(spark):
     rows = spark.createDataFrame([(1, i, i) for i in range(1, 151)], "query_id long, tile_id long, rank int")
     assert [scoring.export_selection(rows, n).count() for n in (12, 0, 500, -3)] == [12, 1, 100, 1] and scoring.export_selection(rows).count() == 12

@@ -35,13 +35,15 @@ def pair_components(pairs: DataFrame, tiles: DataFrame, widen: Widen | None = No
 
     tiles: tile_id and DESCRIPTORS; queries are tiles too.  A pair without
     descriptors on either side can't be scored and goes, as where a catalogue
-    row has no features.  Pairs carry their tiles' columns through two joins:
-    where ``widen`` makes some descriptors, tiles need only hold what these are
-    made of, and pairs carry no more.
+    row has no features.  Bare pairs go to the tiles, then carry these to the
+    queries, where they stay to be scored and ranked by query: one shuffle with
+    one tile's columns a pair, at any size (no broadcast, and none of the pairs
+    is sorted to be joined).  Where ``widen`` makes some descriptors, tiles need
+    only hold what these are made of, and pairs carry no more.
     """
     held = [c for c in tiles.columns if c != "tile_id"]
     q, t = (tiles.select(F.col("tile_id").alias(key), F.struct(*held).alias(name)) for key, name in (("query_id", "q"), ("tile_id", "t")))
-    both = pairs.join(q, "query_id").join(t, "tile_id")
+    both = pairs.join(t.hint("shuffle_hash"), "tile_id").join(q.hint("shuffle_hash"), "query_id")
     made = {f"{side}_{name}": value for side in "qt" if widen for name, value in widen(F.col(side)).items()}
     both = both.withColumns(made) if made else both
     a, b = ({c: F.col(f"{side}_{c}") if f"{side}_{c}" in made else F.col(side)[c] for c in DESCRIPTORS} for side in "qt")
@@ -74,9 +76,8 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 def nudged(rows: DataFrame, verify: Column) -> DataFrame:
     """Add nudge, what the verification of near ties added to the score; rank by it."""
-    own = rows.withColumn("before_nudge", F.col("score"))
-    pairs = rows.select("query_id", "tile_id", verify.alias("verify"))
-    out = search.near_tie_nudge(own, pairs, places=6)
+    own = rows.withColumns({"before_nudge": F.col("score"), "verify": verify})
+    out = search.near_tie_nudge(own, places=6)
     return out.withColumn("nudge", F.col("score") - F.col("before_nudge")).drop("before_nudge")
 
 

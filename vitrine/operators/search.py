@@ -299,13 +299,13 @@ def rerank(hits: DataFrame) -> DataFrame:
     return out.withColumn("rank", best_first())
 
 
-def near_tie_nudge(hits: DataFrame, verify: DataFrame, band: float = 0.03, most: int = 5, bonus: float = 0.05, places: int | None = None) -> DataFrame:
-    """Raise non-exact hits within a band of the best by their pair's verification; needs at least two of them.  verify: query_id, tile_id, verify.
+def near_tie_nudge(hits: DataFrame, verify: DataFrame | None = None, band: float = 0.03, most: int = 5, bonus: float = 0.05, places: int | None = None) -> DataFrame:
+    """Raise non-exact hits within a band of the best by their pair's verification; needs at least two of them.  verify: query_id, tile_id, verify; or hits have that column.
 
     With places, scores are rounded to so many before hits are ranked by them: equals keep their order.
     """
     whole = Window.partitionBy("query_id")
-    df = hits.join(verify, ["query_id", "tile_id"], "left").withColumn("top", F.max("score").over(whole))
+    df = (hits if verify is None else hits.join(verify, ["query_id", "tile_id"], "left")).withColumn("top", F.max("score").over(whole))
     df = df.withColumn("in_band", ~F.col("exact") & (F.col("score") >= F.col("top") - band))
     nth = F.sum(F.col("in_band").cast("int")).over(whole.orderBy("rank"))
     df = df.withColumn("in_band", F.col("in_band") & (nth <= most)).withColumn("tied", F.sum(F.col("in_band").cast("int")).over(whole))
