@@ -449,6 +449,15 @@ def hot_parts(monkeypatch, part):
     monkeypatch.setattr(set_join, "PART", part)
 
 
+def test_token_counts_pass_over_the_buckets_once_for_as_many_tokens(monkeypatch):
+    rng, passes, plain = np.random.default_rng(3), [], np.bincount
+    found = [rng.integers(0, set_join.BUCKETS, n) for n in rng.integers(0, 3000, 1500)]
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    got = set_join.bucket_totals(iter(found))
+    assert len(passes) <= 1 + sum(map(len, found)) // set_join.BUCKETS and set_join.bucket_totals(iter([])).sum() == 0
+    assert (got == plain(np.concatenate(found), minlength=set_join.BUCKETS)).all()
+
+
 def test_line_join_equals_brute_force(spark, sample, docs, monkeypatch):
     near = [(i, "\n".join(f"w{i % 3} common line of several plain words number {(i + j) % 5} x{j}" for j in range(4)) + "\n \nunique" + str(i)) for i in range(30)]
     near += [(50, None), (51, ""), (52, near[0][1]), (None, near[1][1]), (None, near[1][1])]

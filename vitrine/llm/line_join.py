@@ -170,7 +170,7 @@ def first_tokens(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class_id, the columns of ORDER and tokens of the wanted classes (class_id, first), read again from the texts that hold their first lines."""
+    """class_id, the columns of ORDER, tokens and size (their number) of the wanted classes (class_id, first), read again from the texts that hold their first lines."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -186,11 +186,12 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for _, _, size, found in line_sets(pa.array(["\n".join(lines)], pa.large_string())):
                 sets += np.split(found, np.cumsum(size)[:-1])
             at = pa.array(text, pa.int64())
-            yield pa.record_batch([pa.array(name, pa.int64()), *(batch[c].take(at) for c in ORDER[:3]), pa.array(line, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets[1:]], pa.binary())], ["class_id", *ORDER, "tokens"])
+            yield pa.record_batch([pa.array(name, pa.int64()), *(batch[c].take(at) for c in ORDER[:3]), pa.array(line, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets[1:]], pa.binary()), pa.array([len(x) for x in sets[1:]], pa.int32())], ["class_id", *ORDER, "tokens", "size"])
 
     of_text = [F.col(f"first.{c}").alias(c) for c in ORDER[:3]]
     by_text = wanted.groupBy(*of_text).agg(F.collect_list(F.struct("class_id", F.col("first.line").alias("line"))).alias("picked"))
-    sets = rows.join(by_text, ORDER[:3]).mapInArrow(pick, "class_id long, has_id boolean, id long, row long, line int, tokens binary")
+    # texts are not sorted to be joined
+    sets = rows.join(by_text.hint("shuffle_hash"), ORDER[:3]).mapInArrow(pick, "class_id long, has_id boolean, id long, row long, line int, tokens binary, size int")
     return sets.dropDuplicates(["class_id"])  # rows that are equal in id and text give their sets once
 
 
@@ -205,14 +206,14 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(split)
 
     led = staged(meet(classes, percent), "line-met", compression="zstd")
-    firsts = staged(classes.select("class_id", "first", "size"), "line-classes", compression="zstd")
+    firsts = staged(classes.select("class_id", "first"), "line-classes", compression="zstd")
     release(classes)
     led, met = staged(fewer_leads(led), "line-leads", compression="zstd"), led
     release(met)
     wanted = firsts.join(led.select("class_id").distinct(), "class_id")
     sets = staged(whole_sets(rows, wanted), "line-sets", compression="zstd")
-    members, keys = cells(led.join(wanted.select("class_id", "size"), "class_id"))
-    found = compare(members.join(sets, "class_id"), keys, percent, ORDER).groupBy("class_id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
+    members, keys = cells(led.join(sets.select("class_id", "size"), "class_id"))
+    found = compare(members.join(sets.drop("size"), "class_id"), keys, percent, ORDER).groupBy("class_id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
     found = staged(found, "line-links", compression="zstd")
     release(led, sets)
     known = staged(firsts.select("class_id", "first").join(found, "class_id", "left"), "line-verdicts", compression="zstd")

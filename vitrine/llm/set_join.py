@@ -137,9 +137,7 @@ def token_counts(rows: DataFrame, column_: str, tokens: Callable[[pa.Array], np.
     """How many tokens fall in each of BUCKETS buckets: a sketch of fixed size, summed by slices, never too low for a token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches):
-            total += np.bincount(bucket(tokens(batch[column_])), minlength=BUCKETS)
+        total = bucket_totals(bucket(tokens(batch[column_])) for batch in slices(batches))
         parts = total.reshape(-1, SLICE)
         yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -156,6 +154,18 @@ def token_counts(rows: DataFrame, column_: str, tokens: Callable[[pa.Array], np.
     return out
 
 
+def bucket_totals(found: Iterator[np.ndarray]) -> np.ndarray:
+    """How often each bucket comes; a pass over all buckets is for as many finds, not for a few rows'."""
+    total, held, size = np.zeros(BUCKETS, np.int64), [], 0
+    for some in found:
+        held.append(some)
+        size += len(some)
+        if size >= BUCKETS:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held, size = [], 0
+    return total + np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=BUCKETS)
+
+
 def bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -180,17 +190,18 @@ def large_tokens(classes: DataFrame) -> DataFrame | None:
 def meet(classes: DataFrame, percent: int) -> DataFrame:
     """class_id, lead (distinct).  classes: class_id, size, bits and more_bits (parity), prefix (tokens of 40 bits)."""
     entries = classes.select("class_id", "size", "bits", "more_bits", F.posexplode("prefix").alias("place", "token"))
+    entries = entries.withColumn("sizes", F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).drop("place")  # both in one number
     dealt, order = grid(entries, "token", large_tokens(classes))
     # one number to sort by: the token, then the size
     dealt = dealt.withColumn("by", F.shiftleft("token", 23) + F.least("size", F.lit((1 << 23) - 1)))
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order[1:], "by").drop("token")
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order[1:], "by").drop("token", "size")
     order = [*order[1:], "by"]
 
     def under_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, order, 1 << 17, shift=23):
-            own, size, place, bits, more = (column(t, c) for c in ("class_id", "size", "place", "bits", "more_bits"))
+            own, sizes, bits, more = (column(t, c) for c in ("class_id", "sizes", "bits", "more_bits"))
             bits, more = bits.view(np.uint64), more.view(np.uint64)
-            size, place = size.astype(np.int64), place.astype(np.int64)
+            size, place = sizes >> 32, sizes & ((1 << 32) - 1)
             number, end = runs(*(column(t, k) >> (23 if k == "by" else 0) for k in order))
             # sorted by size: those that are not too long for a row follow it
             key = column(t, "by") & ((1 << 23) - 1)
