@@ -232,3 +232,16 @@ def test_document_hashes_row_by_row(spark, tmp_path):
     assert compare(spark, views(str(tmp_path)), "b8", QUERIES["b8_dhash64"], ORACLES["b8_dhash64"], str(tmp_path)) == ""
     assert QUERIES["b8_dhash64"](spark, str(tmp_path)).count() == 3
     assert "Exchange" not in QUERIES["b8_dhash64"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_to_zero_keeps_the_sign(spark, tmp_path):
+    """Elements that round to zero come out of a query as out of its SQL, bit for bit: F.round gives 0.0 where SQL gives -0.0."""
+    tiny = [0.6, 0.8, -3e-7, 3e-7, -1e-10, -0.0, 0.0, -5.1e-7]
+    spark.createDataFrame([(1, tiny, 0), (2, [0.0] * 8, 0), (3, [-x for x in tiny], 0), (4, None, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = lambda rows: {i: v and np.array(v).tobytes() for i, v in rows}
+    want = bits(views(str(tmp_path)).execute(ORACLES["b18_l2_normalize"]).fetchall())
+    assert bits(map(tuple, QUERIES["b18_l2_normalize"](spark, str(tmp_path)).collect())) == want and np.signbit(np.frombuffer(want[1])[2])
+    given = [-0.004, 0.004, -0.005, 0.005, -0.0, 0.0, -1.234, 2.5, None, float("nan"), float("-inf")]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").select("i", vectors.signed_round(F.col("x"), 2), vectors.rounded(F.col("x"), 2)).orderBy("i").collect()
+    sql = views(str(tmp_path)).execute("SELECT round(x, 2), round(x + 1e-9, 2) FROM (SELECT unnest(range(len(?::DOUBLE[]))) AS i, unnest(?::DOUBLE[]) AS x) ORDER BY i", [given, given]).fetchall()
+    assert [tuple(map(repr, r[1:])) for r in got] == [tuple(map(repr, r)) for r in sql]

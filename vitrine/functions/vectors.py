@@ -21,6 +21,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """x to so many places; a billionth more keeps exact halves from falling either way.  A zero keeps its sign, as in SQL: F.round drops it."""
+    unit = 10.0**places
+    return F.rint((x + 1e-9) * unit) / unit
+
+
+def signed_round(x: Column, places: int) -> Column:
+    """F.round, without a billionth more, where a zero keeps the sign of x."""
+    near = F.round(x, places)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def l2_normalize(a: Column) -> Column:
     return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(1e-12)))
 

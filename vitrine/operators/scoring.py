@@ -63,14 +63,9 @@ def component_score(pairs: DataFrame) -> DataFrame:
     return families.hybrid_score(pairs).withColumn("compat", families.compatibility(F.col("query_family"), F.col("candidate_family")))
 
 
-def rounded(c: Column) -> Column:
-    """Six places; a billionth more keeps exact halves from falling either way."""
-    return F.round(c + 1e-9, 6)
-
-
 def ranked(scored: DataFrame) -> DataFrame:
     """Add score, exact and rerank_rank by the rules on top of the hybrid score."""
-    out = search.rerank(scored).withColumn("score", rounded(F.col("score")))
+    out = search.rerank(scored).withColumn("score", vectors.rounded(F.col("score")))
     return out.withColumn("rank", search.best_first()).withColumn("rerank_rank", F.col("rank"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import clamp01
+from vitrine.functions.vectors import clamp01, rounded
 from vitrine.session import stored
 
 BLOCK = 4096
@@ -312,7 +312,7 @@ def near_tie_nudge(hits: DataFrame, verify: DataFrame | None = None, band: float
     up = F.col("in_band") & (F.col("tied") >= 2) & (F.coalesce(F.col("verify"), F.lit(0.0)) > 0)
     df = df.withColumn("score", F.when(up, F.least(F.lit(1.0), F.col("score") + bonus * F.col("verify"))).otherwise(F.col("score"))).withColumn("before", F.col("rank"))
     if places is not None:
-        df = df.withColumn("score", F.round(F.col("score") + 1e-9, places))
+        df = df.withColumn("score", rounded(F.col("score"), places))
     df = df.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), F.col("before"))))
     return df.drop("top", "in_band", "tied", "before", "verify")
 

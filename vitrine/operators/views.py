@@ -68,7 +68,7 @@ def view_ablation(hits: DataFrame, truth: DataFrame, have: DataFrame, views: int
     held = F.filter(F.lit(list(range(views))), lambda v: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), v)), F.lit(2)) == 1)
     single = F.size(held) == 2
     aux = F.element_at(held, -1)
-    rows = rows.withColumns({"gain_1": F.round((F.col("recall_1") - F.col("b1")) * 100, 2), "gain_5": F.round((F.col("recall_5") - F.col("b5")) * 100, 2)})
+    rows = rows.withColumns({"gain_1": vectors.signed_round((F.col("recall_1") - F.col("b1")) * 100, 2), "gain_5": vectors.signed_round((F.col("recall_5") - F.col("b5")) * 100, 2)})
     rows = rows.withColumn("vectors", F.aggregate(held, F.lit(0).cast("long"), lambda n, v: n + F.coalesce(F.element_at("sizes", v), F.lit(0))))
     verdict = F.when(F.col("mask") == 1, "baseline").when(single & F.array_contains("rare", aux), "rejected_rare_view").when(single & ((F.col("gain_5") >= GAIN) | (F.col("gain_1") >= GAIN)), "keep").when(single, "reject")
     rows = rows.withColumn("verdict", verdict)
@@ -103,7 +103,7 @@ def strategy_bakeoff(ranks: DataFrame, customers: DataFrame, baseline: str) -> D
     base = rows.where(F.col("config") == baseline).select(*[F.col(n).alias(f"b_{n}") for n in names])
     rows = rows.crossJoin(F.broadcast(base))  # one row
     order = [F.desc("customer_recall_5"), F.desc("customer_recall_1"), F.desc("recall_5"), F.desc("recall_1"), F.bit_count("mask"), F.asc("config")]
-    return rows.select("config", *names, *[F.round(F.col(n) - F.col(f"b_{n}"), 6).alias(f"delta_{n}") for n in names], F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return rows.select("config", *names, *[vectors.signed_round(F.col(n) - F.col(f"b_{n}"), 6).alias(f"delta_{n}") for n in names], F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
 def embedding_drift(queries: DataFrame, views: DataFrame, classes: DataFrame, most: int = 14) -> DataFrame:
@@ -116,7 +116,7 @@ def embedding_drift(queries: DataFrame, views: DataFrame, classes: DataFrame, mo
     asked, held = queries.join(chosen, "tile_id"), views.join(F.broadcast(first.select("tile_id")), "tile_id").select("tile_id", "ord", F.col("v").alias("w"))
     pairs = asked.join(held, "tile_id").withColumn("cos", vectors.cosine(F.col("v"), F.col("w")))
     out = pairs.groupBy("tile_id", "label", "variant").agg(F.max(F.when(F.col("ord") == 0, F.col("cos"))).alias("cos_primary"), F.coalesce(F.max(F.when(F.col("ord") > 0, F.col("cos"))), F.lit(0.0)).alias("cos_aux"))
-    return out.withColumns({c: F.round(c, 4) for c in ("cos_primary", "cos_aux")})
+    return out.withColumns({c: vectors.signed_round(F.col(c), 4) for c in ("cos_primary", "cos_aux")})
 
 
 def root_cause(cos_primary: Column, cos_aux: Column, rank: Column, scene: Column, panel: Column, crop: Column) -> Column:
